@@ -32,6 +32,9 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    # many small stores: no disk space set aside, and commits write what changed
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 #: Bits of the map that says which digests may have come twice; fixed, so its
 #: table of 64-bit words (at most 2**17 rows) is always small enough to broadcast.

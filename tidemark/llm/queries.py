@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, sharding
+from tidemark.llm import chunked_bpe, exact_dedup, packing, sharding
 from tidemark.llm.shared import fresh_path, table
 
 N_SHARDS = 24
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), N_SHARDS, fresh_path(spark, "slot-map"))
     return placed.select(
@@ -33,6 +38,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), vocabulary()))
+
+
+def op10_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 OP8_SQL = r"""
 WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -47,7 +60,9 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_chunked_bpe": op10_chunked_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
