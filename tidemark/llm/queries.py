@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunked_bpe, exact_dedup, packing, sharding
-from tidemark.llm.shared import fresh_path, table
+from tidemark.llm import chunked_bpe, exact_dedup, language, packing, quality, sharding, toxicity
+from tidemark.llm.shared import fresh_path, id_bucket, table
 
 N_SHARDS = 24
 
@@ -33,6 +33,28 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out(fold: tuple[int, int]) -> Column:
+    return (id_bucket("doc_id", fold[0]) == fold[1]).alias("held_out")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", _held_out(toxicity.HELD_OUT), "score", "predicted")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", _held_out(quality.HELD_OUT), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs))
+    return found.select("doc_id", _held_out(language.HELD_OUT), "lang_pred", "score")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -61,7 +83,10 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_language": op9_language,
     "op10_chunked_bpe": op10_chunked_bpe,
 }
 
