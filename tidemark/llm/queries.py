@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunked_bpe, exact_dedup, language, packing, pivot_index, quality, sharding, simhash, toxicity
+from tidemark.llm import chunked_bpe, context_tree, exact_dedup, language, packing, pivot_index, quality, sharding, simhash, toxicity
 from tidemark.llm.shared import fresh_path, id_bucket, table
 
 N_SHARDS = 24
@@ -47,6 +47,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.scored(table(spark, sf_dir, "documents"))
+
+
 def op6_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
+    "op5_context_tree": op5_context_tree,
     "op6_pivot_index": op6_pivot_index,
     "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
