@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def word_slot(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) >> 1
 
 
 def distinct_slots(text: str) -> list[int]:
@@ -69,17 +70,31 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class _Rows:
-    def __init__(self, rows: list[np.ndarray]) -> None:
-        self.begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.slots = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
+    """Slot lists of documents, one after another in one array."""
+
+    def __init__(self, slots: np.ndarray, begins: np.ndarray) -> None:
+        self.slots, self.begins = slots, begins
+
+    @classmethod
+    def of(cls, rows: list) -> _Rows:
+        begins = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        return cls(np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int32), begins)
+
+    @classmethod
+    def of_column(cls, lists: pa.ChunkedArray) -> _Rows:
+        column = lists.combine_chunks() if lists.num_chunks else pa.array([], pa.list_(pa.int32()))
+        widths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+        return cls(column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(widths)]).astype(np.int64))
 
     def __len__(self) -> int:
         return len(self.begins) - 1
 
     def only(self, slots: np.ndarray) -> _Rows:
-        """The same rows, reduced to ``slots`` and numbered by their place there."""
-        parts = [self.slots[a:b] for a, b in zip(self.begins, self.begins[1:], strict=False)]
-        return _Rows([np.flatnonzero(np.isin(slots, p, assume_unique=True)) for p in parts])
+        """The same rows, reduced to ``slots`` (sorted) and numbered by place there."""
+        at = np.minimum(np.searchsorted(slots, self.slots), max(len(slots) - 1, 0))
+        held = slots[at] == self.slots if len(slots) else np.zeros(len(self.slots), dtype=bool)
+        total = np.concatenate([[0], np.cumsum(held)])
+        return _Rows(at[held].astype(np.int64), total[self.begins])
 
     def batch(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = [self.slots[self.begins[i] : self.begins[i + 1]] for i in which]
@@ -100,8 +115,8 @@ def telling(pos: _Rows, unl: _Rows, least: int = 3, ratio: float = 3.0, deviatio
 
 
 def train(
-    positive: list[np.ndarray],
-    unlabelled: list[np.ndarray],
+    pos: _Rows,
+    unl: _Rows,
     prior: float,
     steps: int = 1500,
     batch: int = 256,
@@ -110,9 +125,8 @@ def train(
     seed: int = 7,
 ) -> Model:
     """Adam on the non-negative risk, logistic loss."""
-    if not positive or not unlabelled or prior <= 0:
+    if not len(pos) or not len(unl) or prior <= 0:
         return Model({}, -30.0, 0.0)
-    pos, unl = _Rows(positive), _Rows(unlabelled)
     slots = telling(pos, unl)
     pos, unl, size = pos.only(slots), unl.only(slots), len(slots)
     rng = np.random.default_rng(seed)
@@ -144,8 +158,8 @@ def train(
 def fit(
     docs: DataFrame,
     labels: DataFrame,
-    max_positive: int = 6000,
-    max_unlabelled: int = 12000,
+    max_positive: int = 4000,
+    max_unlabelled: int = 8000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> Model:
@@ -153,7 +167,7 @@ def fit(
     known = training_labels(labels, "toxic", *HELD_OUT)
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n or not n_toxic:
-        return train([], [], 0.0)
+        return train(_Rows.of([]), _Rows.of([]), 0.0)
     toxic = by_hash(known.filter("y = 1"), max_positive).select("doc_id", F.lit(1).alias("role"))
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).filter(F.col("doc_id").isNotNull())
     ids = ids.filter(id_bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1])
@@ -162,13 +176,12 @@ def fit(
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = pa.array([distinct_slots(t.as_py()) for t in b.column(1)], pa.list_(pa.int64()))
+            found = pa.array([distinct_slots(t.as_py()) for t in b.column(1)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), found, b.column(2)], names=["role", "slots", "doc_id"])
 
-    got = texts.mapInArrow(slots, "role int, slots array<long>, doc_id long").toPandas()
-    got = got.sort_values(["role", "doc_id"], kind="stable")
-    rows = {r: [np.asarray(x, dtype=np.int64) for x in got.loc[got["role"] == r, "slots"]] for r in (0, 1)}
-    return train(rows[1], rows[0], n_toxic / n)
+    got = texts.mapInArrow(slots, "role int, slots array<int>, doc_id long").toArrow().sort_by("doc_id")
+    pos, unl = (_Rows.of_column(got.filter(pc.field("role") == r)["slots"]) for r in (1, 0))
+    return train(pos, unl, n_toxic / n)
 
 
 class _Weights(dict):
