@@ -20,6 +20,7 @@ Defined results for odd input
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,8 +57,40 @@ class Model:
     bias: float
 
 
+@dataclass
+class Counted:
+    """Training documents: numbers of their distinct tokens, how often each occurs,
+    and how many tokens repeat the one before; features of token t lie in
+    ``flat[begins[t]:begins[t + 1]]``."""
+
+    ids: list[np.ndarray]
+    counts: list[np.ndarray]
+    repeats: np.ndarray
+    flat: np.ndarray
+    begins: np.ndarray
+
+
+def counted(docs: Iterator[tuple[list[bytes], list[int], int]]) -> Counted:
+    """``docs``: distinct tokens, their counts and the number of repeats of each."""
+    number: dict[bytes, int] = {}
+    flat, begins, ids, counts, repeats = array("i"), array("q", [0]), [], [], []
+    for tokens, n, again in docs:
+        own = array("i")
+        for t in tokens:
+            k = number.get(t)
+            if k is None:
+                k = number[t] = len(number)
+                flat.extend(features(t))
+                begins.append(len(flat))
+            own.append(k)
+        ids.append(np.array(own, dtype=np.int32))
+        counts.append(np.array(n, dtype=np.float32))
+        repeats.append(again)
+    return Counted(ids, counts, np.array(repeats, dtype=np.float64), np.array(flat), np.array(begins, dtype=np.int64))
+
+
 def train(
-    docs: list[tuple[list[bytes], list[int], int]],
+    docs: Counted,
     labels: np.ndarray,
     epochs: int = 5,
     min_steps: int = 400,
@@ -65,35 +98,24 @@ def train(
     rate: float = 0.5,
     seed: int = 11,
 ) -> Model:
-    """``docs``: distinct tokens, their counts and the number of repeats of each.
-
-    Plain SGD with a linearly falling rate; gradients of vectors are scaled as for
-    a sum over the documents of a batch.
-    """
+    """Plain SGD with a linearly falling rate; gradients of vectors are scaled as for
+    a sum over the documents of a batch."""
     size = 1 << BUCKET_BITS
-    if not docs:
+    n_docs = len(docs.ids)
+    if not n_docs:
         return Model(np.zeros(size, dtype=np.float32), 0.0)
-    number: dict[bytes, int] = {}
-    for tokens, _, _ in docs:
-        for t in tokens:
-            number.setdefault(t, len(number))
-    lists = [features(t) for t in number]
-    begins = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    flat = np.fromiter((s for x in lists for s in x), dtype=np.int64, count=begins[-1])
+    ids, counts, repeats, flat, begins = docs.ids, docs.counts, docs.repeats, docs.flat, docs.begins
     width = np.diff(begins)
-    ids = [np.array([number[t] for t in tokens], dtype=np.int64) for tokens, _, _ in docs]
-    counts = [np.array(c, dtype=np.float64) for _, c, _ in docs]
-    repeats = np.array([r for _, _, r in docs], dtype=np.float64)
     totals = np.array([(c * width[i]).sum() for i, c in zip(ids, counts, strict=True)]) + repeats
     totals = np.maximum(totals, 1.0)
     rng = np.random.default_rng(seed)
     table = rng.uniform(-1, 1, (size, DIMENSION)) / DIMENSION
     out, bias = np.zeros((DIMENSION, 2)), np.zeros(2)
     y = np.eye(2)[labels]
-    epochs = max(epochs, -(-min_steps * batch // len(docs)))
-    steps, done = epochs * -(-len(docs) // batch), 0
+    epochs = max(epochs, -(-min_steps * batch // n_docs))
+    steps, done = epochs * -(-n_docs // batch), 0
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(docs)), -(-len(docs) // batch)):
+        for part in np.array_split(rng.permutation(n_docs), -(-n_docs // batch)):
             lr = rate * (1 - done / steps)
             done += 1
             token = np.concatenate([ids[d] for d in part])
@@ -126,7 +148,7 @@ def _counted(text: bytes) -> tuple[list[bytes], list[int], int]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
     """Learns from at most ``max_rows`` labelled documents outside the held-out fold."""
     chosen = by_hash(training_labels(labels, "quality", *HELD_OUT), max_rows)
@@ -147,10 +169,9 @@ def fit(
     schema = "doc_id long, y int, tokens array<binary>, counts array<int>, repeats long"
     given = texts.select("doc_id", "y", F.col("text").cast("binary").alias("text"))
     got = given.mapInArrow(count, schema).toArrow().sort_by("doc_id")
-    rows = list(
-        zip(got["tokens"].to_pylist(), got["counts"].to_pylist(), got["repeats"].to_pylist(), strict=True)
-    )
-    return train(rows, np.array(got["y"].to_pylist(), dtype=np.int64).clip(0, 1))
+    rows = zip(got["tokens"], got["counts"], got["repeats"], strict=True)
+    docs_seen = counted((t.as_py(), c.as_py(), r.as_py()) for t, c, r in rows)
+    return train(docs_seen, np.array(got["y"].to_pylist(), dtype=np.int64).clip(0, 1))
 
 
 class _Tokens(dict):
