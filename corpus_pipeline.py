@@ -1,22 +1,57 @@
-"""Corpus preparation: toxicity, language, exact and near duplicates, packing."""
+"""Corpus preparation: toxicity, language, exact and near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on every document its predecessor
+kept; its result is written as Parquet and read again as the next stage's documents.
+All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, language, packing, simhash, toxicity
 from tidemark.llm.shared import materialise, table
 
+CAPACITY = 4096
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the model learns from the stage's own input."""
+    return toxicity.kept(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or unlike every learned language, go."""
+    return language.kept(docs, language.learn(docs))
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
     return exact_dedup.deduplicated(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the
+    document with the smallest doc_id stays."""
+    return simhash.representatives(docs, simhash.NEAR_TEXT)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as pieces placed in sequences of ``CAPACITY`` tokens."""
+    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=CAPACITY)
+    return packing.pack(pieces, CAPACITY)
+
+
 STAGES = [
-    ("exact dedup", exact_duplicates),
+    ("toxicity", drop_toxic),
+    ("language", keep_known_languages),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("packing", pack),
 ]
 
+#: Trained models and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 

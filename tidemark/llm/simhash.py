@@ -7,6 +7,15 @@ vectors of any ``radius`` differing positions leave some v orthogonal to them al
 every pair within the radius agrees on one of the 2**(radius + 1) - 1 masks: no pair
 is missed (Pagh, 2016).
 
+A larger radius is covered in parts: of ``parts`` equal runs of positions one differs
+in at most radius / parts bits, and the masks of each run cover that many.
+
+Majority bits are a coarse measure: texts whose sets of five-word shingles overlap by
+0.8 (Jaccard) differ in some 10 of 64 bits, with a wide spread.  ``NEAR_TEXT`` is the
+scheme for that similarity: fingerprints of word pairs, on which an edited word weighs
+less (radius 9, two parts), and a check on 128 bits over five-word shingles, of which
+such texts differ in 28 at most but for about one pair in sixty.
+
 Equal fingerprints are merged first.  Within a table's bucket only a spanning forest
 of the links leaves the task.  A bucket of over ``BLOCK`` fingerprints is covered once
 more over the bits its mask does not fix, which leaves at most about 2**16 possible
@@ -25,6 +34,7 @@ Defined results for odd input
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -43,35 +53,73 @@ _UPPER = bytes(range(65, 91))
 _LOWER_TABLE = bytes(b + 32 if b in _UPPER else b for b in range(256))
 
 
-def fingerprint(text: bytes, words: int = 4) -> int:
-    """64-bit majority fingerprint of a text."""
-    tokens = text.translate(_LOWER_TABLE).split()
-    if not tokens:
-        return 0
-    joined, n = b" ".join(tokens), len(tokens)
+@dataclass(frozen=True)
+class Scheme:
+    """What is linked: fingerprints over ``words``-word shingles within ``radius``
+    bits; with ``check_words``, also within ``check_radius`` of 128 bits over these."""
+
+    words: int = 4
+    radius: int = 4
+    parts: int = 1
+    check_words: int = 0
+    check_radius: int = 128
+
+
+NEAR_TEXT = Scheme(words=2, radius=9, parts=2, check_words=5, check_radius=28)
+
+
+def _majority(joined: bytes, ends: list[int], words: int, seed: int) -> int:
+    """Majority bits over the shingles of ``joined``, whose words end at ``ends``
+    (counting the space after each)."""
+    n = len(ends)
     if n <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = list(accumulate(len(t) + 1 for t in tokens))
+        return xxhash.xxh64_intdigest(joined, seed)
     begins = [0, *ends[: n - words]]
     digest = xxhash.xxh64_intdigest
     total, count = np.zeros(BITS, dtype=np.int64), n - words + 1
     for lo in range(0, count, 16_384):
-        h = [digest(joined[a : b - 1], SEED) for a, b in zip(begins[lo : lo + 16_384], ends[words - 1 + lo :], strict=False)]
+        h = [digest(joined[a : b - 1], seed) for a, b in zip(begins[lo : lo + 16_384], ends[words - 1 + lo :], strict=False)]
         bits = np.unpackbits(np.array(h, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every whole text."""
+def _spread(text: bytes) -> tuple[bytes, list[int]]:
+    tokens = text.translate(_LOWER_TABLE).split()
+    return b" ".join(tokens), list(accumulate(len(t) + 1 for t in tokens))
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = SEED) -> int:
+    """64-bit majority fingerprint of a text."""
+    joined, ends = _spread(text)
+    return _majority(joined, ends, words, seed) if ends else 0
+
+
+def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, c0 and c1 (64 bits each, as signed longs) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            got = np.zeros((3, b.num_rows), dtype=np.uint64)
+            for i, t in enumerate(b.column(1)):
+                joined, ends = _spread(t.as_py())
+                if ends:
+                    got[0, i] = _majority(joined, ends, scheme.words, SEED)
+                    if scheme.check_words:
+                        got[1, i] = _majority(joined, ends, scheme.check_words, SEED)
+                        got[2, i] = _majority(joined, ends, scheme.check_words, SEED + 1)
+            cols = [b.column(0), *(pa.array(x.view(np.int64)) for x in got)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "c0", "c1"])
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return given.mapInArrow(run, "doc_id long, fp long")
+    return given.mapInArrow(run, "doc_id long, fp long, c0 long, c1 long")
+
+
+def all_masks(scheme: Scheme, positions: list[int] | None = None) -> list[int]:
+    """Masks that cover the scheme's radius over ``positions``, part by part."""
+    positions = list(range(BITS)) if positions is None else positions
+    runs = [positions[k :: scheme.parts] for k in range(scheme.parts)]
+    return [m for run in runs for m in covering_masks(scheme.radius // scheme.parts, run)]
 
 
 def covering_masks(radius: int, positions: list[int] | None = None) -> list[int]:
@@ -91,141 +139,150 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def spanning_links(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within one group of distinct fingerprints.
+def _near(a: np.ndarray, b: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """Whether rows (fp, c0, c1) are linked."""
+    close = popcount(a[:, 0] ^ b[:, 0]) <= scheme.radius
+    if scheme.check_words:
+        apart = popcount(a[:, 1] ^ b[:, 1]).astype(np.int16) + popcount(a[:, 2] ^ b[:, 2])
+        close &= apart <= scheme.check_radius
+    return close
+
 
-    Breadth-first from the smallest member of each component: each member is compared
-    once with those not reached yet."""
-    left, us, vs = np.sort(fp), [], []
+def spanning_links(rows: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (as row numbers) of the links within one group.
+
+    Breadth-first: each member is compared once with those not reached yet."""
+    left, us, vs = np.arange(len(rows)), [], []
     while len(left) > 1:
         root, left = left[0], left[1:]
         frontier = [root]
         while frontier and len(left):
             x = frontier.pop()
-            near = popcount(left ^ x) <= radius
+            near = _near(rows[left], rows[x : x + 1], scheme)
             if near.any():
                 got, left = left[near], left[~near]
                 frontier += got.tolist()
                 us.append(got)
                 vs.append(np.full(len(got), root))
-        # ``left`` holds other components only
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
     return np.concatenate([*us, none]), np.concatenate([*vs, none])
 
 
-def _pairs(fp: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the many small groups of one batch, all at once by offset."""
+def _pairs(rows: np.ndarray, pick: np.ndarray, sizes: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Links of many small groups at once, pair offset by pair offset; ``pick`` holds
+    the groups' row numbers one after another."""
     us, vs = [], []
-    end = np.repeat(starts + sizes, sizes)
+    end = np.repeat(np.cumsum(sizes), sizes)
     for gap in range(1, int(sizes.max(initial=0))):
-        at = np.flatnonzero(np.arange(len(fp) - gap) + gap < end[: len(fp) - gap])
+        at = np.flatnonzero(np.arange(len(pick) - gap) + gap < end[: len(pick) - gap])
         if not len(at):
             break
-        a, b = fp[at], fp[at + gap]
-        near = popcount(a ^ b) <= radius
+        a, b = pick[at], pick[at + gap]
+        near = _near(rows[a], rows[b], scheme)
         us.append(b[near])
         vs.append(a[near])
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.int64)
     return np.concatenate([*us, none]), np.concatenate([*vs, none])
 
 
-def _links_of_groups(keys: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys."""
+def _links_of_groups(keys: np.ndarray, rows: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as row numbers) within runs of equal keys."""
     cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.concatenate([cut, [len(keys)]]))
     us, vs = [], []
     small = (sizes > 1) & (sizes <= 32)
     if small.any():
-        pick = np.repeat(small, sizes)
-        s = sizes[small]
-        u, v = _pairs(fp[pick], np.cumsum(s) - s, s, radius)
+        u, v = _pairs(rows, np.flatnonzero(np.repeat(small, sizes)), sizes[small], scheme)
         us.append(u)
         vs.append(v)
     for a, n in zip(cut[sizes > 32], sizes[sizes > 32], strict=True):
-        u, v = spanning_links(fp[a : a + n], radius)
-        us.append(u)
-        vs.append(v)
-    none = np.zeros(0, dtype=np.uint64)
+        u, v = spanning_links(rows[a : a + n], scheme)
+        us.append(u + a)
+        vs.append(v + a)
+    none = np.zeros(0, dtype=np.int64)
     return np.concatenate([*us, none]), np.concatenate([*vs, none])
 
 
-def _grouped_links(sorted_rows: DataFrame, radius: int) -> DataFrame:
-    """(u, v) from rows (bucket, fp) that are sorted by bucket within partitions;
-    holds one group of at most a bounded number of fingerprints at a time."""
+def _grouped_links(sorted_rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(u, v) from rows that are sorted by bucket within partitions; holds the rows of
+    one batch and one group at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_f = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        rest = np.zeros((0, 5), dtype=np.int64)
 
-        def out(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            u, v = _links_of_groups(k, f, radius)
-            cols = [pa.array(u.view(np.int64)), pa.array(v.view(np.int64))]
-            return pa.RecordBatch.from_arrays(cols, names=["u", "v"])
+        def out(x: np.ndarray) -> pa.RecordBatch:
+            u, v = _links_of_groups(x[:, 0], x[:, 2:].view(np.uint64), scheme)
+            return pa.RecordBatch.from_arrays([pa.array(x[u, 1]), pa.array(x[v, 1])], names=["u", "v"])
 
         for b in batches:
-            k = np.concatenate([rest_k, b.column(0).to_numpy()])
-            f = np.concatenate([rest_f, b.column(1).to_numpy().view(np.uint64)])
-            if not len(k):
+            x = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns], axis=1)])
+            if not len(x):
                 continue
+            k = x[:, 0]
             last = len(k) - int((k[::-1] != k[-1]).argmax()) if k[0] != k[-1] else 0
             if last:
-                yield out(k[:last], f[:last])
-            rest_k, rest_f = k[last:], f[last:]
-        if len(rest_k):
-            yield out(rest_k, rest_f)
+                yield out(x[:last])
+            rest = x[last:]
+        if len(rest):
+            yield out(rest)
 
-    return sorted_rows.select("bucket", "fp").mapInArrow(run, "u long, v long")
+    return sorted_rows.select("bucket", "node", "fp", "c0", "c1").mapInArrow(run, "u long, v long")
 
 
-def _in_tables(fps: DataFrame, masks: list[int]) -> DataFrame:
+def _in_tables(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """Each fingerprint once per mask: table and the masked bits."""
     options = F.array(*[F.lit(_signed(m)) for m in masks])
-    return fps.select("fp", F.posexplode(options).alias("table", "mask")).select(
-        "fp", "table", F.col("fp").bitwiseAND(F.col("mask")).alias("masked")
-    )
+    masked = F.col("fp").bitwiseAND(F.col("mask")).alias("masked")
+    return nodes.select("*", F.posexplode(options).alias("table", "mask")).select(*nodes.columns, "table", masked)
 
 
-def links(fps: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints such that all pairs within the
-    radius are connected by them; every edge is a link or joins two members of one
-    component of a bucket."""
-    masks = covering_masks(radius)
-    rows = _in_tables(fps, masks).withColumn("bucket", F.xxhash64("table", "masked"))
+def links(nodes: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between distinct ``nodes`` (node, fp, c0, c1): all linked pairs are
+    connected by them, and each edge joins two members of one component."""
+    masks, columns = all_masks(scheme), ["node", "fp", "c0", "c1"]
+    rows = _in_tables(nodes.select(*columns), masks)
+    bucket = F.xxhash64("table", "masked").alias("bucket")
     sizes = rows.groupBy("table", "masked").agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > block), "hot-buckets")
+    keyed = rows
     if hot.head(1):
         keyed = rows.join(hot, ["table", "masked"], "left_anti")
         second = rows.join(hot, ["table", "masked"], "left_semi")
-        inner = [covering_masks(radius, [p for p in range(BITS) if not m >> p & 1]) for m in masks]
+        inner = [all_masks(scheme, [p for p in range(BITS) if not m >> p & 1]) for m in masks]
         tables = F.array(*[F.array(*[F.lit(_signed(x)) for x in ms]) for ms in inner])
-        again = second.select("fp", "table", "masked", F.posexplode(F.get(tables, F.col("table"))).alias("t2", "m2"))
-        again = again.select("fp", F.xxhash64("table", "masked", "t2", F.col("fp").bitwiseAND(F.col("m2"))).alias("bucket"))
-        rows = keyed.select("fp", "bucket").unionByName(again)
-    parts = rows.select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket")
-    return _grouped_links(parts, radius)
+        again = second.select(*columns, "table", "masked", F.posexplode(F.get(tables, F.col("table"))).alias("t2", "m2"))
+        key = F.xxhash64("table", "masked", "t2", F.col("fp").bitwiseAND(F.col("m2"))).alias("bucket")
+        keyed = keyed.select(bucket, *columns).unionByName(again.select(key, *columns))
+    else:
+        keyed = keyed.select(bucket, *columns)
+    return _grouped_links(keyed.repartition("bucket").sortWithinPartitions("bucket"), scheme)
 
 
 def near_duplicates(
-    docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+    docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
 ) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that
     links lead to) of every document."""
-    prints = materialise(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct.select("fp"), radius, block)).withColumnRenamed("node", "fp")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = materialise(fingerprints(docs, scheme, id_col, text_col), "fingerprints")
+    distinct = prints.groupBy("fp", "c0", "c1").agg(F.min("doc_id").alias("first_id"))
+    node = F.xxhash64("fp", "c0", "c1") if scheme.check_words else F.col("fp")
+    distinct = materialise(distinct.withColumn("node", node), "distinct-fingerprints")
+    roots = components(links(distinct, scheme, block))
+    placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = materialise(placed.select("fp", "root").join(first, "root").select("fp", "component_id"), "components")
-    return prints.join(of, "fp").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    of = placed.select("fp", "c0", "c1", "root").join(first, "root").select("fp", "c0", "c1", "component_id")
+    of = materialise(of, "components")
+    return prints.join(of, ["fp", "c0", "c1"]).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
-def _hex(col: str) -> Column:
-    return F.lower(F.lpad(F.hex(col), 16, "0"))
-
-
-def representatives(docs: DataFrame, radius: int = 4, words: int = 4, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its group, all columns.
 
     Rows that share the smallest identifier and a group all stay."""
-    found = near_duplicates(docs, radius, words, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, scheme, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = found.select(F.col("doc_id").alias("stay_id")).distinct()
     return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
+
+
+def _hex(col: str) -> Column:
+    return F.lower(F.lpad(F.hex(col), 16, "0"))
