@@ -127,9 +127,7 @@ def run_trades(
     """Trade log of every series and variant (dicts of spread, take, stop, max_hold in
     price units); each series is shipped once for all its variants."""
     schema = T.StructType([df.schema[k] for k in keys]).add("variant", T.IntegerType())
-    for part in TRADES.split(","):
-        name, kind = part.split()
-        schema = schema.add(name, kind)
+    schema = T.StructType([*schema, *T.StructType.fromDDL(TRADES)])
     need = [*keys, ts, price, position]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +144,7 @@ def run_trades(
 
 def run_curves(df: DataFrame, keys: list[str], ts: str, kw: dict, price: str = "close", position: str = "position") -> DataFrame:
     """Rows with realised equity and bar returns."""
-    schema = T.StructType([*df.schema.fields]).add("equity", "double").add("bar_return", "double")
+    schema = T.StructType([*df.schema, *T.StructType.fromDDL("equity double, bar_return double")])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)

@@ -139,7 +139,7 @@ def with_p_value(stats: DataFrame) -> DataFrame:
     """Two-sided p of Student's t with n - 1 degrees; 1 where there is no statistic."""
 
     @F.udf(T.DoubleType())
-    def p(stat: float | None, n: int) -> float:
+    def p(stat, n):
         return 1.0 if stat is None or math.isnan(stat) else round(t_p(stat, n - 1), 4)
 
     t_p = S.t_two_sided

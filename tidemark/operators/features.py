@@ -92,15 +92,12 @@ def spread_features(df: DataFrame, dim: DataFrame) -> DataFrame:
 
 def cross_returns(df: DataFrame, pairs: list[str], w: WindowSpec, ks: tuple[int, ...] = (1, 5), ts: str = "ts") -> DataFrame:
     """Every other instrument's returns at the same time, each computed on that
-    instrument's own bars.  One pivot and one join stand for all pairwise joins."""
+    instrument's own bars.  One aggregate and one join stand for all pairwise joins."""
     own = df.select("pair", ts, *[W.simple_return("close", k, w).alias(f"r{k}") for k in ks])
-    wide = own.groupBy(ts).pivot("pair", pairs).agg(*[F.first(f"r{k}").alias(f"ret_{k}_xpair") for k in ks])
-    out = df.join(wide, ts, "left")
-    for p in pairs:
-        for k in ks:
-            name = f"{p}_ret_{k}_xpair"
-            out = out.withColumn(name, F.when(F.col("pair") != p, F.col(name)))
-    return out
+    at = [F.max(F.when(F.col("pair") == p, F.col(f"r{k}"))).alias(f"{p}_ret_{k}_xpair") for p in pairs for k in ks]
+    out = df.join(own.groupBy(ts).agg(*at), ts, "left")
+    names = [(p, f"{p}_ret_{k}_xpair") for p in pairs for k in ks]
+    return out.withColumns({n: F.when(F.col("pair") != p, F.col(n)) for p, n in names})
 
 
 def aligned_returns(df: DataFrame, pairs: list[str], w: WindowSpec, ts: str = "ts") -> DataFrame:

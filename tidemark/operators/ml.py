@@ -97,7 +97,7 @@ class TwoBranchNetwork:
 
     @staticmethod
     def _gate(x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-x))
+        return 0.5 * (1 + np.tanh(0.5 * x))
 
     def _run(self, x: np.ndarray, branch: tuple) -> np.ndarray:
         wx, wh, b = branch
