@@ -380,7 +380,7 @@ SQL: dict[str, str] = {
         " SELECT run, CASE WHEN z IS NOT NULL THEN printf('%.2f', z) WHEN lo >= 0 THEN '>2.0' ELSE '<0.5' END AS breakeven, at_one FROM g WHERE n >= 2"
     ),
     "dm_test": q(
-        "SELECT count(d) AS n, round(avg(d), 6) AS mean, round(var_samp(d), 6) AS var, round(avg(d) / sqrt(var_samp(d) / count(d)), 3) AS stat FROM (SELECT click - \"view\" AS d FROM wide)",
+        "SELECT count(d) AS n, round(avg(d), 6) AS mean, round(var_samp(d), 6) AS var, round(avg(d) / sqrt(var_samp(d) / count(d)), 3) AS stat FROM (SELECT click - \"view\" AS d FROM wide) HAVING count(d) > 0",
         WIDE,
     ),
     "classification_report": q(
@@ -438,13 +438,13 @@ SQL: dict[str, str] = {
 _VARIANTS = "(0, 20.0, 10.0, 24), (1, NULL, NULL, NULL)"
 SQL["trade_sim"] = (
     f"WITH RECURSIVE {BARS}, {momentum(24)}, {positions()}, v(variant, tp, sl, mh) AS (VALUES {_VARIANTS}),"
-    " z(pair, variant, i, side, entry, at, xs, xe, xa, why) AS (SELECT pair, variant, 1::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT pair FROM pos), v"
+    " z(pair, variant, i, side, entry, since, xs, xe, xa, why) AS (SELECT pair, variant, 1::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT pair FROM pos), v"
     " UNION ALL SELECT pair, variant, i, CASE WHEN why IS NOT NULL OR side = 0 THEN p ELSE side END, CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN c ELSE entry END,"
-    " CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN i - 1 ELSE at END, side, entry, at, why FROM ("
-    " SELECT z.pair, z.variant, s.rn AS i, z.side, z.entry, z.at, s.position AS p, s.close AS c,"
+    " CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN i - 1 ELSE since END, side, entry, since, why FROM ("
+    " SELECT z.pair, z.variant, s.rn AS i, z.side, z.entry, z.since, s.position AS p, s.close AS c,"
     " CASE WHEN z.side = 0 THEN NULL WHEN tp IS NOT NULL AND z.side * (s.close - z.entry) >= tp THEN 'TP' WHEN sl IS NOT NULL AND z.side * (s.close - z.entry) <= -sl THEN 'SL'"
-    " WHEN mh IS NOT NULL AND s.rn - 1 - z.at >= mh THEN 'MAX_HOLD' WHEN s.position = -z.side THEN 'SIGNAL_FLIP' END AS why"
+    " WHEN mh IS NOT NULL AND s.rn - 1 - z.since >= mh THEN 'MAX_HOLD' WHEN s.position = -z.side THEN 'SIGNAL_FLIP' END AS why"
     " FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i + 1 JOIN v ON v.variant = z.variant))"
     " SELECT z.pair, z.variant::INT AS variant, xa::INT AS entry_bar, (i - 1)::INT AS exit_bar, (i - 1 - xa)::INT AS bars_held, xs::INT AS direction, round(xe, 6) AS entry_price, round(s.close, 6) AS exit_price,"
-    " round(round((xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0)) * 100, 6), 4) AS pnl_pct, why AS exit_reason FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL"
+    " round(round((xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0)) * 100, 6) + 1e-9, 4) AS pnl_pct, why AS exit_reason FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL"
 )

@@ -477,7 +477,7 @@ def trade_sim(spark, sf):
     t = backtest.run_trades(_positions(spark, sf), KEY, "ts", VARIANTS)
     return t.filter("exit_reason != 'END_OF_DATA'").select(
         "pair", "variant", "entry_bar", "exit_bar", "bars_held", "direction", "entry_price", "exit_price",
-        F.round("pnl_pct", 4).alias("pnl_pct"), "exit_reason",
+        F.round(F.col("pnl_pct") + 1e-9, 4).alias("pnl_pct"), "exit_reason",  # off ties
     )
 
 
