@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import bounded_batches
 from tidemark.llm.tokens import ID_DTYPE, WordEncoder
 
 #: log2 of the mean chunk length in bytes.
@@ -189,6 +190,7 @@ def _bytes_column(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,6 +219,7 @@ def decoded(encoded_docs: DataFrame, tokenizer_path: str) -> DataFrame:
 def round_trip_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document n_tokens and the SHA-256 of its ids and of their decoded text,
     in one pass (ids and decoded texts never leave the worker)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ASCII_WS, fresh_path, text_or_empty
+from tidemark.llm.shared import ASCII_WS, fresh_path, materialise, text_or_empty, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SETTINGS = {
@@ -219,9 +219,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         path = fresh_path(spark, "dedup-input")
         docs.write.parquet(path)
         docs = spark.read.parquet(path)
-    stay = duplicates(docs, id_col, text_col).filter("kept").select(
-        F.col("src_file").alias("stay_file"), F.col("src_row").alias("stay_row")
+    gone = duplicates(docs, id_col, text_col).filter("not kept").select(
+        F.col("src_file").alias("gone_file"), F.col("src_row").alias("gone_row")
     )
-    rows = with_locator(docs)
-    same = (F.col("src_file") == F.col("stay_file")) & (F.col("src_row") == F.col("stay_row"))
-    return rows.join(stay, same, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = (F.col("src_file") == F.col("gone_file")) & (F.col("src_row") == F.col("gone_row"))
+    left = without(with_locator(docs), materialise(gone, "dedup-gone"), same)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

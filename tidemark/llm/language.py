@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import id_bucket
+from tidemark.llm.shared import bounded_batches, id_bucket
 
 HELD_OUT = (4, 2)
 SEGMENT = 512
@@ -124,19 +124,21 @@ class Parser:
         for lang in self.langs:
             seq = self.symbols([sample[lang]])[0]
             nxt, _ = suffix_automaton(seq.tolist())
-            table = np.full((len(nxt), self.width), -1, dtype=np.int64)
+            # one more state: a phrase of one symbol that the sample lacks
+            alone = len(nxt)
+            table = np.full((alone + 1, self.width), -1, dtype=np.int64)
             for s, row in enumerate(nxt):
                 if row:
                     table[s, list(row)] = list(row.values())
-            table[:, self.pad] = np.arange(len(nxt))
-            restart = np.where(table[0] >= 0, table[0], 0)
-            restart[self.pad] = 0
+            table[0, table[0] < 0] = alone
+            table[:, self.pad] = np.arange(alone + 1)
+            restart = table[0]
             # a dead end holds ~(state after restarting the phrase with this symbol)
             table = np.where(table >= 0, (table + base) * self.width, ~((restart[None, :] + base) * self.width))
             tables.append(table.astype(np.int32).ravel())
             self.roots.append(base * self.width)
             self.bits.append(math.log2(max(2, len(seq))))
-            base += len(nxt)
+            base += alone + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
 
     def symbols(self, texts: list[str]) -> list[np.ndarray]:
@@ -211,6 +213,7 @@ def shared_parser(sample: dict[str, str]) -> Parser:
 
 def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score and bits (per symbol) of every whole text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +232,7 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
 def kept(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in one of the learned languages, all columns; those
     without letters or unlike all of them (over ``FOREIGN_BITS``) go."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
     at = docs.columns.index(text_col)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunked_bpe import read_definition
-from tidemark.llm.shared import materialise, text_or_empty
+from tidemark.llm.shared import bounded_batches, materialise, text_or_empty
 from tidemark.llm.tokens import shared_encoder
 
 SALTS = 64
@@ -52,6 +52,7 @@ def pieces(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_definition(tokenizer_path))
     end, step = end_id.to_bytes(4, "little"), capacity * 4
 
@@ -149,24 +150,23 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, per_round
 
 
 def _take(use: dict, left: dict[int, int], capacity: int) -> Plan:
-    """Rounding: whole copies of the configurations, most used first, while the
-    histogram holds them."""
+    """Rounding: whole copies of the full configurations, as often as the solution
+    uses them (down, then up where most of a copy is left), while the histogram
+    holds their contents."""
     plan = Plan([], [])
-    ranked = sorted(use.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
-    for ceiling in (False, True):
-        for config, amount in ranked:
-            if sum(config) < capacity:
-                continue
-            counts: dict[int, int] = {}
-            for x in config:
-                counts[x] = counts.get(x, 0) + 1
-            most = min(left[x] // n for x, n in counts.items())
-            take = min(most, 1 if ceiling else int(amount))
-            if take > 0:
-                plan.patterns.append(config)
-                plan.copies.append(take)
-                for x, n in counts.items():
-                    left[x] -= n * take
+    full = [(c, a) for c, a in use.items() if sum(c) == capacity]
+    down = sorted(full, key=lambda x: (-int(x[1]), x[0]))
+    up = sorted(((c, a % 1) for c, a in full if a % 1 >= 0.5), key=lambda x: (-x[1], -x[0][0], x[0]))
+    for config, amount in [*down, *((c, 1) for c, _ in up)]:
+        counts: dict[int, int] = {}
+        for x in config:
+            counts[x] = counts.get(x, 0) + 1
+        take = min(int(amount), *(left[x] // n for x, n in counts.items()))
+        if take > 0:
+            plan.patterns.append(config)
+            plan.copies.append(take)
+            for x, n in counts.items():
+                left[x] -= n * take
     return plan
 
 

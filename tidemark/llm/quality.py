@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import by_hash, texts_of, training_labels
-from tidemark.llm.shared import text_or_empty
+from tidemark.llm.shared import bounded_batches, text_or_empty
 
 BUCKET_BITS = 17
 DIMENSION = 8
@@ -206,6 +206,7 @@ class _Tokens(dict):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for every whole text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.project, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,3 +64,19 @@ def id_bucket(id_col: str, modulus: int) -> Column:
 
 def text_or_empty(text_col: str) -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long: what a Python worker and the JVM hold of them at a time is
+    bounded by bytes and rows of an Arrow batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")
+
+
+def without(docs: DataFrame, dropped: DataFrame, same: Column, most: int = 200_000) -> DataFrame:
+    """``docs`` less the rows that match ``dropped`` (a written table).
+
+    Up to ``most`` rows (some MB) are broadcast after counting them, so that texts
+    stay where they are; more are joined by a shuffle."""
+    few = dropped.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")

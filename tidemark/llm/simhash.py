@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialise, text_or_empty
+from tidemark.llm.shared import bounded_batches, materialise, text_or_empty, without
 
 BITS = 64
 BLOCK = 16_384
@@ -111,6 +111,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
             cols = [b.column(0), *(pa.array(x.view(np.int64)) for x in got)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "c0", "c1"])
 
+    bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return given.mapInArrow(run, "doc_id long, fp long, c0 long, c1 long")
 
@@ -279,9 +280,11 @@ def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str =
     """The rows of ``docs`` whose identifier is the smallest of its group, all columns.
 
     Rows that share the smallest identifier and a group all stay."""
-    found = near_duplicates(docs, scheme, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.select(F.col("doc_id").alias("stay_id")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
+    found = near_duplicates(docs, scheme, id_col, text_col)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(first.cast("int")).alias("first")).filter("first = 0")
+    gone = materialise(gone.select("gone_id"), "near-gone")
+    return without(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")))
 
 
 def _hex(col: str) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import by_hash, texts_of, training_labels
-from tidemark.llm.shared import id_bucket, text_or_empty
+from tidemark.llm.shared import bounded_batches, id_bucket, text_or_empty
 
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
@@ -199,6 +199,7 @@ class _Weights(dict):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score and predicted for every whole text."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +219,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     at = docs.columns.index(text_col)
 
