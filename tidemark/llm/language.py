@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bounded_batches, id_bucket
+from tidemark.llm.shared import bounded_batches, give_back, id_bucket
 
 HELD_OUT = (4, 2)
 SEGMENT = 512
@@ -224,6 +224,7 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
                 lang, score, bits = parser.predict([t or "" for t in part.column(1).to_pylist()])
                 cols = [part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(bits)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "bits"])
+        give_back()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return given.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
@@ -243,5 +244,6 @@ def kept(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> Dat
                 part = b.slice(lo, 1000)
                 lang, _, bits = parser.predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array((np.array(lang) != UNKNOWN_LANGUAGE) & (bits <= FOREIGN_BITS)))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

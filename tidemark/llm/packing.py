@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunked_bpe import read_definition
-from tidemark.llm.shared import bounded_batches, materialise, text_or_empty
+from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or_empty
 from tidemark.llm.tokens import shared_encoder
 
 SALTS = 64
@@ -57,7 +57,8 @@ def pieces(
     end, step = end_id.to_bytes(4, "little"), capacity * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = shared_encoder(shared.value).encode
+        encoder = shared_encoder(shared.value)
+        encode = encoder.encode
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -69,6 +70,8 @@ def pieces(
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             cols = [pa.array(c, t) for c, t in zip(rows, types, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.forget()
+        give_back()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     return given.mapInArrow(run, PIECE_SCHEMA)

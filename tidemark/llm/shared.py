@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +83,14 @@ def without(docs: DataFrame, dropped: DataFrame, same: Column, most: int = 200_0
     stay where they are; more are joined by a shuffle."""
     few = dropped.limit(most + 1).count() <= most
     return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
+
+
+def give_back() -> None:
+    """Called by a Python worker at the end of a task: what its caches held goes back
+    to the system, as idle workers live on beside other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

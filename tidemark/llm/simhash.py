@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import bounded_batches, materialise, text_or_empty, without
+from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or_empty, without
 
 BITS = 64
 BLOCK = 16_384
@@ -110,6 +110,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
                         got[2, i] = _majority(joined, ends, scheme.check_words, SEED + 1)
             cols = [b.column(0), *(pa.array(x.view(np.int64)) for x in got)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "c0", "c1"])
+        give_back()
 
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
@@ -226,6 +227,7 @@ def _grouped_links(sorted_rows: DataFrame, scheme: Scheme) -> DataFrame:
             rest = x[last:]
         if len(rest):
             yield out(rest)
+        give_back()
 
     return sorted_rows.select("bucket", "node", "fp", "c0", "c1").mapInArrow(run, "u long, v long")
 

@@ -83,6 +83,11 @@ class WordEncoder(dict):
         self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.clear()
+        self.pieces.clear()
+
     def by_library(self, text: str) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
 

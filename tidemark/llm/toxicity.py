@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import by_hash, texts_of, training_labels
-from tidemark.llm.shared import bounded_batches, id_bucket, text_or_empty
+from tidemark.llm.shared import bounded_batches, give_back, id_bucket, text_or_empty
 
 HELD_OUT = (4, 2)
 THRESHOLD = 0.3
@@ -212,6 +212,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             p = _sigmoid(np.clip(f + bias, -30, 30))
             cols = [b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted"])
+        del look
+        give_back()
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return given.mapInArrow(run, "doc_id long, score double, predicted int")
@@ -231,5 +233,7 @@ def kept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             f = np.array([sum(map(look, w)) for w in words], dtype=np.float64)
             stay = _sigmoid(np.clip(f + bias, -30, 30)) < THRESHOLD
             yield b.filter(pa.array(stay))
+        del look
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
