@@ -219,3 +219,93 @@ def isolated(fn, rows: Iterator[dict]) -> list[dict]:
         except Exception as e:  # one failing spec must not end the sweep
             out.append({**spec, "status": "ENGINE_ERROR", "error": str(e)[:200]})
     return out
+
+
+# -- many variants of one signal ----------------------------------------------------
+
+
+def _ratio(x: np.ndarray, spread: np.ndarray, per_year: int, least: int) -> float:
+    sd = float(spread.std()) if len(spread) >= least else 0.0
+    return float(x.mean() / sd * np.sqrt(per_year)) if sd > 0 else 0.0
+
+
+def metrics_of(trades: list[tuple], equity: np.ndarray, position: np.ndarray, annualisation: int, capital: float) -> dict:
+    """All thirteen metrics of one run."""
+    r = np.array([t[6] for t in trades]) / 100
+    held = np.array([t[2] for t in trades], dtype=float)
+    per_year = int(max(1, annualisation / max(held.mean() if len(held) else 1.0, 1.0)))
+    total = float(equity[-1] - 1) if len(equity) else 0.0
+    peak = np.maximum.accumulate(equity) if len(equity) else np.ones(1)
+    dd = float(((equity - peak) / np.where(peak != 0, peak, 1)).min()) if len(equity) else 0.0
+    win, loss = r[r > 0], r[r < 0]
+    lost = abs(float(loss.sum()))
+    return {
+        "n_trades": len(trades),
+        "net_sharpe": _ratio(r, r, per_year, 2),
+        "sortino": _ratio(r, loss, per_year, 2),
+        "gross_sharpe": _ratio(win, win, per_year, 2),
+        "total_return": total,
+        "max_drawdown": dd,
+        "calmar": total / abs(dd) if dd < 0 else 0.0,
+        "win_rate": float((r >= 0).mean()) if len(r) else 0.0,
+        "profit_factor": min(float(win.sum()) / lost, PROFIT_FACTOR_CAP) if lost else PROFIT_FACTOR_CAP,
+        "avg_trade_bars": float(held.mean()) if len(held) else 0.0,
+        "turnover": float((position != 0).mean()) if len(position) else 0.0,
+        "capital_final": capital + float(sum(t[7] for t in trades)),
+    }
+
+
+METRICS = (
+    "n_trades long, net_sharpe double, sortino double, gross_sharpe double, total_return double, max_drawdown double,"
+    " calmar double, win_rate double, profit_factor double, avg_trade_bars double, turnover double, capital_final double"
+)
+SPEC = "session string, direction string, tp double, sl double, spread double, max_hold int"
+
+
+def _hours_mask(hours: np.ndarray, session: str | None) -> np.ndarray:
+    from tidemark.config import SESSION_HOURS
+
+    if session is None:
+        return np.ones(len(hours), dtype=bool)
+    lo, hi = SESSION_HOURS[session]
+    return (hours >= lo) & (hours < hi) if lo < hi else (hours >= lo) | (hours < hi)
+
+
+def run_variants(
+    signals: DataFrame, keys: list[str], ts: str, specs: DataFrame, annualisation: int, capital: float = 10_000.0
+) -> DataFrame:
+    """Outcome rows (keys, spec, metrics, status, error) of every series and every
+    spec that its keys have in ``specs`` (columns of ``SPEC``; null: off).
+
+    A series is shipped once, with its specs beside it; one that fails becomes a
+    status row."""
+    shape = [f.split()[0] for f in SPEC.split(", ")]
+    grouped = specs.groupBy(*keys).agg(F.collect_list(F.struct(*shape)).alias("specs"))  # a grid: tens of rows
+    grouped = grouped.select(*[F.col(k).alias(k) for k in keys], "specs")
+    rows = signals.select(*keys, ts, "close", "signal").join(F.broadcast(grouped.select(*keys)), keys, "left_semi")
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
+    schema = T.StructType([signals.schema[k] for k in keys])
+    schema = T.StructType([*schema, *T.StructType.fromDDL(f"{SPEC}, {METRICS}, n_signals long, status string, error string")])
+
+    def run(bars: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+        bars = bars.sort_values(ts, kind="stable")
+        price, raw, hours = bars["close"].to_numpy(), bars["signal"].to_numpy(), bars[ts].dt.hour.to_numpy()
+        key = [bars[k].iloc[0] for k in keys] if len(bars) else [grid[k].iloc[0] for k in keys]
+        out = []
+        for spec in grid["specs"].iloc[0] if len(grid) else []:
+            v = dict(zip(shape, spec.values() if isinstance(spec, dict) else spec, strict=True))
+            try:
+                s = np.where(_hours_mask(hours, v["session"]), raw, 0)
+                s = np.maximum(s, 0) if v["direction"] == "long_only" else np.minimum(s, 0) if v["direction"] == "short_only" else s
+                held = pd.Series(s).where(s != 0).ffill().fillna(0).to_numpy(int)
+                pos = np.concatenate([[0], held[:-1]]) if len(held) else held
+                trades, equity, _ = simulate(price, pos, v["spread"] or 0.0, v["tp"], v["sl"], v["max_hold"], capital)
+                got = metrics_of(trades, equity, pos, annualisation, capital)
+                n = int((s != 0).sum())
+                state = "NO_DATA_IN_WINDOW" if not len(s) else "ZERO_SIGNALS" if not n else "OK" if trades else "ZERO_TRADES"
+                out.append([*key, *v.values(), *got.values(), n, state, None])
+            except Exception as e:  # one failing spec must not end the sweep
+                out.append([*key, *v.values(), *[None] * 12, None, "ENGINE_ERROR", str(e)[:200]])
+        return pd.DataFrame(out, columns=[f.name for f in schema])
+
+    return rows.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInPandas(run, schema)

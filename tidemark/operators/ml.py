@@ -149,3 +149,28 @@ def network_signals(
         return pdf.assign(signal=signal)
 
     return df.groupBy(*keys).applyInPandas(run, schema)
+
+
+def save_model(model, scaler: DataFrame, path: str) -> None:
+    """A fitted model and its scaler table (the order of its columns)."""
+    model.write().overwrite().save(f"{path}/model")
+    scaler.coalesce(1).write.mode("overwrite").parquet(f"{path}/scaler")
+
+
+def load_model(spark, path: str):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    return LogisticRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/scaler")
+
+
+def model_strategy(model, inputs, features: list[str], warmup: int = 0):
+    """A fitted classifier as a strategy: most likely class, cooldown 0."""
+    from tidemark.operators.strategies import Strategy
+
+    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
+        missing = sorted(set(features) - set(bars.columns))
+        if missing:
+            raise KeyError(f"missing features: {', '.join(missing)}")
+        return predict(model, inputs, bars, features).drop("prediction")
+
+    return Strategy("LR", warmup, 0, {"features": features}, signal)

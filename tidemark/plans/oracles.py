@@ -448,3 +448,16 @@ SQL["trade_sim"] = (
     " SELECT z.pair, z.variant::INT AS variant, xa::INT AS entry_bar, (i - 1)::INT AS exit_bar, (i - 1 - xa)::INT AS bars_held, xs::INT AS direction, round(xe, 6) AS entry_price, round(s.close, 6) AS exit_price,"
     " round(round((xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0)) * 100, 6) + 1e-9, 4) AS pnl_pct, why AS exit_reason FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL"
 )
+
+SQL["set_operations"] = (
+    "WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 150000)"
+    + " UNION ALL ".join(
+        f" SELECT '{n}' AS op, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS total FROM ({sql})"
+        for n, sql in (
+            ("union_all", "SELECT k FROM a UNION ALL SELECT k FROM b"),
+            ("union", "SELECT k FROM a UNION SELECT k FROM b"),
+            ("intersect", "SELECT k FROM a INTERSECT SELECT k FROM b"),
+            ("except", "SELECT k FROM a EXCEPT SELECT k FROM b"),
+        )
+    )
+)

@@ -808,3 +808,50 @@ def network_signals(spark, sf):
 def sequence_windows(spark, sf):
     s = ml.sequences(bars(spark, sf), ["close"], 15, KEY, "ts")
     return s.select("pair", "ts", F.size("seq").alias("steps"), r6(F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
+
+
+# -- whole runs (rows only) ---------------------------------------------------------
+
+
+@query
+def run_backtest(spark, sf):
+    from tidemark.plans import master
+
+    out = master.run_backtest(bars(spark, sf), strategies.momentum(24), "ts", 0.5, 20.0, 10.0, 24, session="london", direction="long_only")
+    m = out["metrics"]
+    exact = {"pair", "n_trades", "n_long", "n_short", "n_flat"}
+    return m.select(*[F.col(c) if c in exact else r6(c).alias(c) for c in m.columns])
+
+
+SMALL_SET = {
+    "MA_5_20": strategies.ma_crossover(5, 20, "sma", 6), "Momentum_24": strategies.momentum(24, 6),
+    "Donchian_20": strategies.donchian(20, 6), "BB_20": strategies.bollinger(20, 2.0, 6), "RSI_14": strategies.rsi_reversion(14, 40, 60, 6),
+}
+
+
+@query
+def variant_sweep(spark, sf):
+    """Signals once per strategy, all session and direction variants inside the fold."""
+    from tidemark.plans import master
+
+    s = master.all_signals(bars(spark, sf), SMALL_SET)
+    specs = master._specs(s.select("pair", "strategy").distinct(), 0.5, 24, session=[None, "london", "ny"], direction=list(backtest.DIRECTIONS))
+    out = backtest.run_variants(s, ["pair", "strategy"], "ts", specs, CONFIG.annualisation)
+    return out.select("pair", "strategy", "session", "direction", "n_trades", "n_signals", "status", r6("net_sharpe").alias("net_sharpe"))
+
+
+@query
+def deterministic_sample(spark, sf):
+    """A repeatable sample for reports."""
+    b = read(spark, sf, "orders").filter(F.crc32(F.col("o_orderkey").cast("string").cast("binary")) % 100 == 0)
+    return b.select("o_orderkey", "o_custkey")
+
+
+@query
+def set_operations(spark, sf):
+    o = read(spark, sf, "orders")
+    a = o.filter("o_orderstatus = 'F'").select("o_custkey")
+    b = o.filter("o_totalprice > 150000").select("o_custkey")
+    parts = {"union_all": a.unionByName(b), "union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
+    out = [df.agg(F.lit(n).alias("op"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("o_custkey"), F.lit(0)).alias("total")) for n, df in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])

@@ -69,3 +69,10 @@ def report_text(title: str, df: DataFrame, rows: int = 50) -> str:
         lines.append("  ".join(k.ljust(w) for k, w in width.items()))
         lines += ["  ".join(str(r[k]).ljust(w) for k, w in width.items()) for r in got]
     return "\n".join(lines)
+
+
+def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
+    """One CSV per small result table."""
+    for name, df in tables.items():
+        flat = [F.concat_ws("|", c).alias(c) if kind.startswith("array<string") else F.col(c) for c, kind in df.dtypes]
+        write_csv(df.select(*flat), f"{folder}/{name}")
