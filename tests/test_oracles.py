@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from numbers import Number
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -27,7 +30,9 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if pd.isna(x):
             return None
-        return repr(float(x)) if isinstance(x, float) else str(x)
+        if isinstance(x, bool | np.bool_):
+            return str(x)
+        return repr(float(x)) if isinstance(x, Number) else str(x)
 
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=str)
 
