@@ -461,3 +461,16 @@ SQL["set_operations"] = (
         )
     )
 )
+
+SQL["deterministic_sample"] = "SELECT o_orderkey, o_custkey FROM orders WHERE substr(md5(o_orderkey::VARCHAR), 1, 2) = '00'"
+
+# Realised equity: the running product over closed trades, in the order of their exits.
+SQL["curve_metrics"] = SQL["trade_sim"].split(" SELECT z.pair, z.variant::INT")[0] + (
+    ", tr AS (SELECT z.pair, i, 1 + xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0) AS g FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL AND z.variant = 0),"
+    " eq AS (SELECT pair, i, product(g) OVER (PARTITION BY pair ORDER BY i) AS e FROM tr UNION ALL SELECT DISTINCT pair, 0, 1.0 FROM pos),"
+    " pk AS (SELECT *, max(e) OVER (PARTITION BY pair ORDER BY i) AS p FROM eq),"
+    " m AS (SELECT pair, arg_max(e, i) - 1 AS total, min((e - p) / p) AS dd FROM pk GROUP BY 1)"
+    " SELECT m.pair, round(turnover, 6) AS turnover, sign(total) * round(log10(1 + abs(total)), 6) AS log_total_return, sign(dd) * round(log10(1 + abs(dd)), 6) AS log_max_drawdown,"
+    " coalesce(sign(CASE WHEN dd < 0 THEN total / abs(dd) END) * round(log10(1 + abs(CASE WHEN dd < 0 THEN total / abs(dd) END)), 6), 0) AS log_calmar"
+    " FROM m JOIN (SELECT pair, avg((position != 0)::INT) AS turnover FROM pos GROUP BY 1) USING (pair)"
+)
