@@ -477,3 +477,35 @@ def test_model_beats_uniform_and_sums_to_one(spark, docs):
     t = [b"the and that", b"", b"the and that"]
     s = scorer.score(t)
     assert s[0] == s[2] > -len(t[0]) * log10(256) and s[1] < 0
+
+
+def test_context_tree_scores_by_every_node(spark, docs):
+    """Scores against the mixture over counted nodes, with and without looking grams
+    up by a join; in a tree of more nodes than 2**19 no context is dropped."""
+    depth = 3
+    rng = np.random.default_rng(5)
+    noise = [(1_000_000 + i, "".join(map(chr, rng.integers(33, 127, 4000)))) for i in range(60)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(noise, "doc_id long, text string")).cache()
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
+    train = spark.createDataFrame([(bytearray(t),) for i, t in rows if held(i, 10) != 0], "text binary")
+    levels = context_tree.tree(context_tree.gram_counts(train, depth), depth)
+    nodes = [{(r["ctx"], r["prefix"]): ((r["n1"] + 0.5) / (r["n0"] + r["n1"] + 1), r["stop"]) for r in level.collect()} for level in levels]
+    assert len(nodes[3]) > 1 << 19
+
+    def score(text):
+        data, total = b"\0" * depth + text + b"\0", 0.0
+        for at in range(depth, len(data)):
+            for j in range(8):
+                p, prefix = None, (1 << j) | (data[at] >> (8 - j))
+                for d in range(depth, -1, -1):
+                    node = nodes[d].get((int.from_bytes(data[at - d : at], "big"), prefix))
+                    if node:
+                        p = node[0] if p is None else node[1] * node[0] + (1 - node[1]) * p
+                total += log10(p if data[at] >> (7 - j) & 1 else 1 - p)
+        return total
+
+    some = dict([x for x in rows if held(x[0], 10) == 0][:8] + rows[-3:] + rows[:3])
+    want = {i: score(t[:100_000]) for i, t in some.items()}
+    for top in (context_tree.TOP_GRAMS, 500):
+        got = {r["doc_id"]: r["score"] for r in context_tree.scored(df, depth, top_grams=top).collect()}
+        assert len(got) == len(rows) and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in some)

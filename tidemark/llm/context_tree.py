@@ -13,9 +13,10 @@ estimate of the shorter one.
 
 Counting covers all training text: tasks count (context, byte) pairs of their part,
 the counts are summed by key in a shuffle and the tree is folded level by level with
-DataFrame aggregates, written to the shared folder.  Only scoring needs the model
-everywhere, so it goes into slot tables of fixed size (``SLOT_BITS``); where nodes
-fall on one slot the one with most counts stays and the others count as unseen.
+DataFrame aggregates, written to the shared folder.  Every distinct (context, byte)
+of the texts is given its probability by the whole tree, in shuffles that bring it
+together with its contexts' nodes; no node is left out.  The ``top_grams`` most
+frequent ones are broadcast, the others are looked up by a join.
 
 The base score is an add-0.1 unigram over words.  The ``top_words`` most frequent
 words are broadcast, the others are looked up by a join, so all counts are exact
@@ -42,11 +43,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import bounded_batches, drop_table, id_bucket, materialise, text_or_empty
+from tidemark.llm.shared import bounded_batches, drop_table, give_back, id_bucket, materialise, text_or_empty
 
 HELD_OUT = (10, 0)
 DEPTH = 5
-SLOT_BITS = (8, 16, 19, 20, 21, 21, 21)
+TOP_GRAMS = 1 << 21
 _BLOCK_BYTES = 1 << 20
 _UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -166,96 +167,225 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _sorted_nodes(key: np.ndarray, own: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    return key[order], own[order], stop[order]
+
+
+def mix_in(p: np.ndarray, grams: np.ndarray, d: int, nodes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """Mixes the nodes of one depth (keys in order, probability of a one, weight of
+    stopping) into ``p``: eight bits a gram, not a number where no longer context was
+    seen."""
+    keys, own, stop = nodes
+    if not len(keys):
+        return
+    sym, ctx = grams & np.uint64(255), grams >> np.uint64(8) & np.uint64((1 << (8 * d)) - 1)
+    for j in range(8):
+        key = ctx << np.uint64(8) | np.uint64(1 << j) + (sym >> np.uint64(8 - j))
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == key)
+        at, longer = at[hit], p[hit, j]
+        p[hit, j] = np.where(np.isnan(longer), own[at], stop[at] * own[at] + (1 - stop[at]) * longer)
+
+
+def log_of(p: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Natural log of the probability of each gram's byte, from its bits'."""
+    ones = np.unpackbits((grams & np.uint64(255)).astype(np.uint8)[:, None], axis=1).astype(bool)
+    p = np.where(np.isnan(p), 0.5, p)
+    return np.log(np.where(ones, p, 1 - p)).sum(axis=1)
+
+
 class Model:
-    """Slot tables per depth: log-odds of a one, weight of stopping, and a tag that
-    tells nodes on the same slot apart."""
-
-    def __init__(self, depth: int) -> None:
-        self.depth = depth
-        sizes = [1 << b for b in SLOT_BITS[: depth + 1]]
-        self.odds = [np.zeros(n, dtype=np.float16) for n in sizes]
-        self.stop = [np.zeros(n, dtype=np.float16) for n in sizes]
-        self.tag = [np.zeros(n, dtype=np.uint16) for n in sizes]
-
-    @staticmethod
-    def address(d: int, ctx: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slot and tag (never 0) of nodes; exact up to depth 1."""
-        if d == 0:
-            return prefix.astype(np.int64), np.ones(len(prefix), dtype=np.uint16)
-        mask = np.uint64((1 << (8 * d)) - 1)
-        key = ((ctx & mask) << np.uint64(8)) | prefix.astype(np.uint64)
-        if d == 1:
-            return key.astype(np.int64), np.ones(len(key), dtype=np.uint16)
-        h = _mix(key)
-        slot = (h >> np.uint64(64 - SLOT_BITS[d])).astype(np.int64)
-        return slot, ((h & np.uint64(0x7FFF)) + np.uint64(1)).astype(np.uint16)
-
-    def log_prob(self, grams: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each gram's byte in its context."""
-        sym, ctx = (grams & np.uint64(255)).astype(np.int64), grams >> np.uint64(8)
-        total = np.zeros(len(grams))
-        for j in range(8):
-            prefix = (1 << j) + (sym >> (8 - j))
-            p, have = np.full(len(grams), 0.5), np.zeros(len(grams), dtype=bool)
-            for d in range(self.depth, -1, -1):
-                slot, tag = self.address(d, ctx, prefix)
-                seen = self.tag[d][slot] == tag
-                own = 1 / (1 + np.exp(-self.odds[d][slot].astype(np.float64)))
-                stop = np.where(have, self.stop[d][slot].astype(np.float64), 1.0)
-                p = np.where(seen, stop * own + (1 - stop) * p, p)
-                have |= seen
-            total += np.log(np.where(sym >> (7 - j) & 1, p, 1 - p))
-        return total
+    """Nodes by depth in memory."""
+
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.nodes, self.depth = nodes, len(nodes) - 1
+
+    def log_prob(self, grams: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of each gram's byte in its context; ``p``
+        holds what contexts longer than the model's say."""
+        p = np.full((len(grams), 8), np.nan) if p is None else p
+        for d in range(self.depth, -1, -1):
+            mix_in(p, grams, d, self.nodes[d])
+        return log_of(p, grams)
+
+
+def _node(nodes: DataFrame) -> list[Column]:
+    key = F.shiftleft("ctx", 8).bitwiseOR(F.col("prefix").cast("long"))
+    return [key.alias("key"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("own"), nodes["stop"]]
 
 
 def slots(levels: list[DataFrame]) -> Model:
-    """The model in tables of fixed size; at most their slots reach the driver."""
-    model = Model(len(levels) - 1)
-    for d, nodes in enumerate(levels):
-
-        def place(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ctx, prefix, n0, n1, stop = (c.to_numpy() for c in b.columns)
-                slot, tag = Model.address(d, ctx.astype(np.int64).view(np.uint64), prefix)
-                odds = np.log((n1 + 0.5) / (n0 + 0.5)).astype(np.float32)
-                cols = [slot.astype(np.int32), n0 + n1, tag.astype(np.int32), odds, stop.astype(np.float32)]
-                names = ["slot", "n", "tag", "odds", "stop"]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-        schema = "slot int, n double, tag int, odds float, stop float"
-        rows = nodes.select("ctx", "prefix", "n0", "n1", "stop").mapInArrow(place, schema)
-        best = rows.groupBy("slot").agg(F.max_by(F.struct("tag", "odds", "stop"), F.struct("n", "tag")).alias("b"))
-        got = best.select("slot", "b.tag", "b.odds", "b.stop").toArrow()
-        at = got["slot"].to_numpy()
-        model.tag[d][at], model.odds[d][at] = got["tag"].to_numpy(), got["odds"].to_numpy()
-        model.stop[d][at] = got["stop"].to_numpy()
-    return model
+    """The model of ``levels`` in memory, every node of them: for the shortest
+    contexts, and for whole trees of small corpora."""
+    found = [nodes.select(*_node(nodes)).toArrow() for nodes in levels]
+    return Model([_sorted_nodes(t["key"].to_numpy().view(np.uint64), t["own"].to_numpy(), t["stop"].to_numpy()) for t in found])
+
+
+def _packed(p: np.ndarray) -> pa.Array:
+    offsets = np.arange(0, 64 * len(p) + 1, 64, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(p))])
+
+
+def _unpacked(p: pa.ChunkedArray) -> np.ndarray:
+    if p.null_count:
+        return np.full((len(p), 8), np.nan)
+    return np.frombuffer(b"".join(p.to_pylist()), dtype=np.float64).reshape(-1, 8).copy()
+
+
+def _mixed(grams: DataFrame, levels: list[DataFrame], low: int, high: int, chunk: int = 50_000) -> DataFrame:
+    """``grams`` (gram, n, p) with the nodes of depths ``high`` down to ``low`` mixed
+    in.  Rows meet by the last ``low`` bytes of their context; a task holds a chunk of
+    contexts or one of these at a time."""
+    mask = F.lit((1 << (8 * low)) - 1)
+    none = [F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("p")]
+    rows = grams.select(
+        F.shiftrightunsigned("gram", 8).bitwiseAND(mask).alias("at"), F.lit(-1).alias("d"), F.col("gram").alias("key"),
+        F.lit(0.0).alias("own"), F.lit(0.0).alias("stop"), "n", "p",
+    )
+    for d in range(low, high + 1):
+        rows = rows.unionByName(levels[d].select(F.col("ctx").bitwiseAND(mask).alias("at"), F.lit(d).alias("d"), *_node(levels[d]), *none))
+
+    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        kind, key = t["d"].to_numpy(), t["key"].to_numpy().view(np.uint64)
+        ask = np.flatnonzero(kind < 0)
+        if not len(ask):
+            return
+        own, stop, gram = t["own"].to_numpy(), t["stop"].to_numpy(), key[ask]
+        rest = t.select(["n", "p"]).take(pa.array(ask))
+        p = _unpacked(rest["p"])
+        for d in range(high, low - 1, -1):
+            at = np.flatnonzero(kind == d)
+            mix_in(p, gram, d, _sorted_nodes(key[at], own[at], stop[at]))
+        cols = [pa.array(gram.view(np.int64)), rest["n"].combine_chunks(), _packed(p)]
+        yield from pa.table(cols, names=["gram", "n", "p"]).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, wait = 0, chunk
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= wait:
+                t = pa.Table.from_batches(held)
+                at = t["at"].to_numpy()
+                last = len(at) - int((at[::-1] != at[-1]).argmax()) if at[0] != at[-1] else 0
+                yield from out(t.slice(0, last))
+                held, size = t.slice(last).to_batches(), len(at) - last
+                wait = size + max(chunk, size)
+        if held:
+            yield from out(pa.Table.from_batches(held))
+        give_back()
+
+    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(run, "gram long, n long, p binary")
+
+
+def gram_logs(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """gram, n and log_p (natural log of the byte's probability in its context by the
+    whole tree) of distinct ``grams`` (gram, n)."""
+    depth, now = len(levels) - 1, grams.select("gram", "n", F.lit(None).cast("binary").alias("p"))
+    for low, high in ((3, depth), (2, min(2, depth))):
+        if low <= high:
+            before, now = now, materialise(_mixed(now, levels, low, high), f"gram-bits-{low}")
+            if low == 2 and depth > 2:
+                drop_table(before)
+    shared = grams.sparkSession.sparkContext.broadcast(slots(levels[:2]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            gram = b.column(0).to_numpy().view(np.uint64)
+            log_p = shared.value.log_prob(gram, _unpacked(pa.chunked_array([b.column(2)], pa.binary())))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log_p)], names=["gram", "n", "log_p"])
+
+    logs = materialise(now.mapInArrow(run, "gram long, n long, log_p double"), "gram-logs")
+    if depth > 1:
+        drop_table(now)
+    return logs
+
+
+def most_frequent(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """The grams of highest n, at most ``most``, with their log_p; and the others."""
+    step = F.floor(F.log2(F.col("n") + 1) * 16).cast("int")
+    steps = sorted(logs.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    total, least = 0, 1 << 30
+    for r in steps:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    t = logs.filter(step >= least).select("gram", "log_p").toArrow()
+    return t["gram"].to_numpy().view(np.uint64), t["log_p"].to_numpy(), logs.filter(step < least).select("gram", "log_p")
+
+
+_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class GramTable:
+    """Values of grams by open addressing; no gram is left out."""
+
+    def __init__(self, grams: np.ndarray, values: np.ndarray) -> None:
+        bits = max(4, (2 * len(grams)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, _EMPTY), np.zeros(1 << bits)
+        left, at = np.arange(len(grams)), self._first(grams)
+        while len(left):
+            free = self.keys[at] == _EMPTY
+            self.keys[at[free]] = grams[left[free]]
+            placed = self.keys[at] == grams[left]
+            self.values[at[placed]] = values[left[placed]]
+            left, at = left[~placed], (at[~placed] + 1) & self.last
+
+    def _first(self, grams: np.ndarray) -> np.ndarray:
+        return (_mix(grams) >> self.shift).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values (0 for grams that are not in the table) and where these are."""
+        at = self._first(grams)
+        got = self.keys[at]
+        left = np.flatnonzero((got != grams) & (got != _EMPTY))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            got = self.keys[at[left]]
+            left = left[(got != grams[left]) & (got != _EMPTY)]
+        known = self.keys[at] == grams
+        return np.where(known, self.values[at], 0.0), np.flatnonzero(~known)
 
 
 class Scorer:
-    """log10 probabilities of texts; grams met before are kept in a direct-mapped
-    table of fixed size."""
+    """log10 probabilities of texts by a model in memory."""
 
-    def __init__(self, model: Model, bits: int = 21) -> None:
-        self.model, self.shift = model, np.uint64(64 - bits)
-        self.keys = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.values = np.zeros(1 << bits)
+    def __init__(self, model: Model) -> None:
+        self.model = model
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         gram, lengths = grams_of(texts, self.model.depth)
-        at = (_mix(gram) >> self.shift).astype(np.int64)
-        value = self.values[at]
-        miss = np.flatnonzero(self.keys[at] != gram)
-        if len(miss):
-            new, where = np.unique(gram[miss], return_inverse=True)
-            found = np.concatenate([self.model.log_prob(part) for part in np.array_split(new, 1 + len(new) // 65_536)])
-            value[miss] = found[where]
-            self.keys[at[miss]], self.values[at[miss]] = gram[miss], found[where]
+        new, where = np.unique(gram, return_inverse=True)
+        value = self.model.log_prob(new)[where]
         ends = np.cumsum(lengths)
         return np.add.reduceat(value, ends - lengths) / math.log(10) if len(texts) else np.zeros(0)
 
 
-_scorers: dict[int, Scorer] = {}
+def score_by(table: GramTable, texts: list[bytes], depth: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Natural log probability of each text by the table, and lists of the distinct
+    grams that the table lacks and how often they occur."""
+    gram, lengths = grams_of(texts, depth)
+    value, lacks = table.find(gram)
+    ends = np.cumsum(lengths)
+    rare, times = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    of, offsets = np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int32)
+    if len(lacks):
+        of = np.searchsorted(ends, lacks, side="right")
+        order = np.lexsort((gram[lacks], of))
+        rare, of = gram[lacks][order], of[order]
+        cut = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])]))
+        times = np.diff(np.concatenate([cut, [len(rare)]]))
+        rare, of = rare[cut], of[cut]
+        offsets[1:] = np.cumsum(np.bincount(of, minlength=len(texts)))
+    lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (rare.view(np.int64), times)]
+    return np.add.reduceat(value, ends - lengths), *lists
+
+
+_tables: dict[int, GramTable] = {}
 
 
 # -- words --------------------------------------------------------------------------
@@ -286,14 +416,16 @@ def word_counts(texts: DataFrame, hold: int = 150_000) -> DataFrame:
 
 
 def scored(
-    docs: DataFrame, depth: int = DEPTH, top_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, depth: int = DEPTH, top_words: int = 100_000, id_col: str = "doc_id", text_col: str = "text",
+    top_grams: int = TOP_GRAMS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of
     every whole text; all counts come from the texts outside the held-out fold."""
     spark = docs.sparkSession
     bounded_batches(spark)
     held = id_bucket(id_col, HELD_OUT[0]) == HELD_OUT[1]
-    train = docs.filter(~held).select(text_or_empty(text_col).cast("binary").alias("text"))
+    text = text_or_empty(text_col).cast("binary").alias("text")
+    train, others = docs.filter(~held).select(text), docs.filter(held).select(text)
 
     words = materialise(word_counts(train), "word-counts")
     in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -304,20 +436,22 @@ def scored(
 
     grams = materialise(gram_counts(train, depth), "gram-counts")
     levels = tree(grams, depth)
-    model = slots(levels)
+    asked = grams.unionByName(gram_counts(others, depth).withColumn("n", F.lit(0).cast("long")))
+    logs = gram_logs(asked.groupBy("gram").agg(F.sum("n").alias("n")), levels)
     for used in (grams, *levels):
         drop_table(used)
+    frequent_grams, frequent_logs, rare_logs = most_frequent(logs, top_grams)
 
-    shared = spark.sparkContext.broadcast((model, top))
+    shared = spark.sparkContext.broadcast((frequent_grams, frequent_logs, top))
     end_log, floor = math.log10(n_train + 0.1), math.log10(tokens + 0.1 * (kinds + 1))
     end_known = int(n_train > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, top = shared.value
-        scorer = _scorers.get(id(model))
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[id(model)] = Scorer(model)
+        given_grams, given_logs, top = shared.value
+        known_grams = _tables.get(id(top))
+        if known_grams is None:
+            _tables.clear()
+            known_grams = _tables[id(top)] = GramTable(given_grams, given_logs)
         known = top.get
         for b in batches:
             n, n_top, base, rare, rare_n = [], [], [], [], []
@@ -331,25 +465,28 @@ def scored(
                 base.append(math.fsum(hit) + end_log)
                 rare.append(list(others))
                 rare_n.append(list(others.values()))
-            score = np.concatenate([*(scorer.score(g) for g in blocks(b.column(2))), np.zeros(0)])
+            if not n:
+                continue
+            scores, grams, times = zip(*(score_by(known_grams, g, depth) for g in blocks(b.column(2))), strict=True)
             cols = [
                 b.column(0),
                 b.column(1),
                 pa.array(n, pa.int64()),
                 pa.array(n_top, pa.int64()),
                 pa.array(base, pa.float64()),
-                pa.array(score),
+                pa.array(np.concatenate(scores)),
                 pa.array(rare, pa.list_(pa.binary())),
                 pa.array(rare_n, pa.list_(pa.int64())),
+                pa.concat_arrays(grams),
+                pa.concat_arrays(times),
             ]
-            names = ["doc_id", "held_out", "n_tokens", "n_top", "base_top", "score", "rare", "rare_n"]
+            names = ["doc_id", "held_out", "n_tokens", "n_top", "base_top", "score_top", "rare", "rare_n", "gram", "gram_n"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = (
-        "doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, score double,"
-        " rare array<binary>, rare_n array<long>"
+        "doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, score_top double,"
+        " rare array<binary>, rare_n array<long>, gram array<long>, gram_n array<long>"
     )
-    text = text_or_empty(text_col).cast("binary").alias("text")
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), text)
     rows = materialise(given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
 
@@ -360,12 +497,15 @@ def scored(
     met = met.agg(
         F.sum(F.col("tf") * log_c).alias("base_rare"), F.sum(F.when(F.col("n") > 0, F.col("tf"))).alias("n_rare")
     )
-    return rows.join(met, "row", "left").select(
+    seen = rows.select("row", F.explode(F.arrays_zip("gram", "gram_n")).alias("x"))
+    seen = seen.select("row", F.col("x.gram").alias("gram"), F.col("x.gram_n").alias("tf"))
+    seen = seen.join(rare_logs, "gram").groupBy("row").agg(F.sum(F.col("tf") * F.col("log_p")).alias("score_rare"))
+    return rows.join(met, "row", "left").join(seen, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        ((F.col("score_top") + F.coalesce("score_rare", F.lit(0.0))) / math.log(10)).alias("score"),
     )
