@@ -375,6 +375,28 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(0, 80, 2)) <= kept and len(kept) <= 42
 
 
+def test_only_shingle_similarity_of_08_removes(spark):
+    """Against brute-force Jaccard of five-word shingles; scattered and block edits."""
+    rng = np.random.default_rng(11)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    texts = []
+    for k in range(150):
+        t = list(rng.choice(vocab, 300))
+        texts.append(" ".join(t))
+        n = (1, 8, 12, 14, 16)[k % 5]
+        at = rng.choice(300, n, replace=False) if k % 2 else np.arange(200, 200 + 5 * n)
+        for i in at:
+            t[i] = str(rng.choice(vocab))
+        texts.append(" ".join(t))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    same = {2 * k + 1: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(150)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.representatives(df).collect()}
+    gone = set(range(300)) - kept
+    assert gone <= {i for i, j in same.items() if j >= 0.8}
+    assert {i for i, j in same.items() if j >= 0.95} <= gone and sum(0.5 < j < 0.8 for j in same.values()) > 40
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (201, 200)], "u long, v long")
     got = {r["node"]: r["root"] for r in components.components(edges).collect()}

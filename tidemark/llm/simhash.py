@@ -16,6 +16,10 @@ scheme for that similarity: fingerprints of word pairs, on which an edited word
 less (radius 9, two parts), and a check on 128 bits over five-word shingles, of which
 such texts differ in 28 at most but for about one pair in sixty.
 
+``representatives`` takes these links as candidates only: the texts of each linked
+group are brought together and their sets of five-word shingles compared, and only
+similarities of ``SIMILAR`` or more (and chains of such) make a group.
+
 Equal fingerprints are merged first.  Within a table's bucket only a spanning forest
 of the links leaves the task.  A bucket of over ``BLOCK`` fingerprints is covered once
 more over the bits its mask does not fix, which leaves at most about 2**16 possible
@@ -49,6 +53,7 @@ from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or
 BITS = 64
 BLOCK = 16_384
 SEED = 42
+SIMILAR = 0.8
 _UPPER = bytes(range(65, 91))
 _LOWER_TABLE = bytes(b + 32 if b in _UPPER else b for b in range(256))
 
@@ -278,13 +283,90 @@ def near_duplicates(
     return prints.join(of, ["fp", "c0", "c1"]).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """64-bit hashes of the distinct shingles of a text, in order."""
+    joined, ends = _spread(text)
+    n, digest = len(ends), xxhash.xxh64_intdigest
+    if n <= words:
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
+    begins = [0, *ends[: n - words]]
+    return np.unique(np.array([digest(joined[a : b - 1], SEED) for a, b in zip(begins, ends[words - 1 :], strict=True)], dtype=np.uint64))
+
+
+def similar_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """A label per set; sets that a chain of Jaccard similarities of ``least`` or more
+    joins share it.  Each reached set is compared once with those not reached yet."""
+    sizes = np.array([len(x) for x in sets])
+    of, label = np.repeat(np.arange(len(sets)), sizes), np.arange(len(sets))
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marked, open_ = np.zeros(len(values), dtype=bool), np.ones(len(sets), dtype=bool)
+    mine = np.split(flat, np.cumsum(sizes)[:-1])
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root], frontier = False, [root]
+        while frontier and open_.any():
+            x = frontier.pop()
+            here = open_[of]
+            if not here.all():
+                flat, of = flat[here], of[here]
+            marked[mine[x]] = True
+            both = np.bincount(of[marked[flat]], minlength=len(sets))
+            marked[mine[x]] = False
+            got = np.flatnonzero(open_ & (both >= least * (sizes + sizes[x] - both)))
+            open_[got], label[got] = False, root
+            frontier += got.tolist()
+    return label
+
+
+def _verified(members: DataFrame, words: int) -> DataFrame:
+    """(doc_id, first) from ``members`` (component_id, doc_id, text): whether the
+    identifier is the smallest of those its text is similar to.  A task holds the
+    shingle hashes of one component at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+
+        def out() -> pa.RecordBatch:
+            label, low = similar_groups(sets), {}
+            for k, i in zip(label.tolist(), ids, strict=True):
+                if i is not None:
+                    low[k] = min(i, low.get(k, i))
+            first = [i == low.get(k) for k, i in zip(label.tolist(), ids, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.bool_())], names=["doc_id", "first"])
+
+        for b in batches:
+            for component, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if ids and component != now:
+                    yield out()
+                    ids, sets = [], []
+                now = component
+                ids.append(i)
+                sets.append(shingle_set(t.as_py(), words))
+        if ids:
+            yield out()
+        ids, sets = [], []
+        give_back()
+
+    given = members.select("component_id", "doc_id", "text").repartition("component_id").sortWithinPartitions("component_id")
+    return given.mapInArrow(run, "doc_id long, first boolean")
+
+
 def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of its group, all columns.
 
     Rows that share the smallest identifier and a group all stay."""
-    found = near_duplicates(docs, scheme, id_col, text_col)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    gone = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(first.cast("int")).alias("first")).filter("first = 0")
+    found = materialise(near_duplicates(docs, scheme, id_col, text_col).select("doc_id", "component_id"), "near-found")
+    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select(F.col("component_id").alias("of"), "n")
+    placed = found.join(sizes, F.col("component_id").eqNullSafe(F.col("of")))
+    linked = materialise(placed.filter("n > 1").select(F.col("doc_id").alias("linked_id"), "component_id").distinct(), "near-linked")
+    few = linked.limit(200_001).count() <= 200_000
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    members = texts.join(F.broadcast(linked) if few else linked, F.col("doc_id").eqNullSafe(F.col("linked_id")))
+    alone = placed.filter("n = 1").select("doc_id", F.lit(True).alias("first"))
+    checked = _verified(members, scheme.check_words or scheme.words).unionByName(alone)
+    gone = checked.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.col("first").cast("int")).alias("first")).filter("first = 0")
     gone = materialise(gone.select("gone_id"), "near-gone")
     return without(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")))
 
