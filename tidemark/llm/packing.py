@@ -5,17 +5,18 @@ documents are cut.  The number of pieces of each length (the histogram, at most
 ``capacity`` entries however large the corpus) is all that the plan needs:
 
 1.  the configuration LP (fewest sequences whose contents cover the histogram) is
-    solved approximately by multiplicative weights: lengths that have been covered
-    less than their share grow dearer, and a knapsack dynamic program over the
-    capacity prices the configurations worth most at these weights;
-2.  the fractional solution is rounded: configurations are taken whole while the
-    histogram still holds their contents;
-3.  what is left over goes best-fit, longest first, into the fullest sequence
-    that has room.
+    solved by multiplicative weights: lengths that have been placed less than their
+    share grow dearer, and a knapsack dynamic program over the capacity prices the
+    configuration worth most at these weights, among those that leave no room empty;
+2.  its use is rounded as the weights advance: each step is a whole number of copies
+    that the histogram still holds, so a corpus whose lengths mostly occur once is
+    placed by the program too;
+3.  the few pieces that no configuration completes go best-fit, longest first, into
+    the fullest sequence that has room.
 
 Pieces find their place by their rank among the pieces of their length; ranks come
-from a window over (length, salt) and the counts below it, so a length that a third
-of all pieces share is spread over ``SALTS`` groups.
+from a window over (length, salt) and the counts below it.  A length has as many
+salts as its count asks for, so no window group grows with the corpus.
 
 Defined results for odd input
     null text         as empty: one piece that holds the end id alone
@@ -39,7 +40,6 @@ from tidemark.llm.chunked_bpe import read_definition
 from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or_empty
 from tidemark.llm.tokens import shared_encoder
 
-SALTS = 64
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -88,89 +88,75 @@ class Plan:
         return sum(self.copies)
 
 
-def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: the most that lengths worth ``value`` bring within c; last[c]: the
-    length put in last (0: none, the best of c - 1 stands)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        k = fits[c]
-        best[c] = best[c - 1]
-        if k:
-            got = best[c - lengths[:k]] + value[:k]
-            at = int(got.argmax())
-            if got[at] > best[c] + 1e-12:
-                best[c], last[c] = got[at], lengths[at]
-    return best, last
-
-
-def _configuration(first: int, last: np.ndarray, capacity: int, have: dict[int, int]) -> tuple[int, ...]:
-    """``first`` and then what the dynamic program puts into the rest, as far as
-    the histogram holds it."""
-    out, used, c = [first], {first: 1}, capacity - first
-    while c > 0:
-        length = int(last[c])
-        if not length:
-            c -= 1
-            continue
-        if used.get(length, 0) < have[length]:
-            used[length] = used.get(length, 0) + 1
-            out.append(length)
-            c -= length
-        else:
-            c -= 1
-    return tuple(sorted(out, reverse=True))
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, per_round: int = 128, rate: float = 0.2) -> dict:
-    """Configurations and their fractional use, by multiplicative weights.
-
-    Each round hands out its share of the sequences to the configurations that the
-    dynamic program builds around the lengths furthest behind.
-    """
+def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -> list[int] | None:
+    """The contents that fill ``room`` exactly and are worth most, each length taken
+    at most ``most`` times; None if none do.  A dynamic program over the capacity."""
+    best = np.full(room + 1, -np.inf)
+    best[0] = 0.0
+    steps = []
+    for length, value, n in zip(lengths.tolist(), worth.tolist(), most.tolist(), strict=True):
+        rest, bundle = min(n, room // length), 1
+        while rest > 0:  # bundles of 1, 2, 4 ... of a length make up every number of it
+            k = min(bundle, rest)
+            got = best[: room + 1 - k * length] + k * value
+            steps.append((length, k, got > best[k * length :]))
+            np.maximum(best[k * length :], got, out=best[k * length :])
+            rest, bundle = rest - k, 2 * bundle
+    if best[room] == -np.inf:
+        return None
+    out, at = [], room
+    for length, k, better in reversed(steps):
+        if at >= k * length and better[at - k * length]:
+            out += [length] * k
+            at -= k * length
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int, configurations: int = 2048, width: int = 24, rate: float = 8.0) -> tuple[Plan, dict[int, int]]:
+    """Configurations and how often each is used, and the pieces that these leave.
+
+    The program: the fewest sequences whose contents cover the histogram.  Every
+    length has a weight, exp(rate * how far its share of placed pieces lies behind the
+    share of placed sequences).  A round takes the length whose weight times length is
+    highest, prices by ``price`` what fills its sequence over the ``width`` dearest
+    other lengths, each up to twice (more, in the end all and as often as they occur,
+    while nothing fills it exactly), and uses that
+    configuration by a step of 1 / ``configurations`` of all sequences.  Steps are
+    rounded: down to whole copies that the histogram still holds, one at least.
+    A length that nothing completes is put aside."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    need = np.array([histogram[int(x)] for x in lengths], dtype=np.float64)
-    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
-    place = {int(x): i for i, x in enumerate(lengths)}
-    share = float((lengths * need).sum()) / capacity / rounds
-    use: dict[tuple[int, ...], float] = {}
-    for t in range(rounds):
-        goal = need * (t + 1) / rounds
-        short = goal - covered
-        starts = np.argsort(-short * lengths, kind="stable")[:per_round]
-        starts = starts[short[starts] > 0]
-        if len(starts):
-            _, last = _knapsack(lengths, weight * lengths / capacity, capacity)
-            sizes = short[starts] * lengths[starts]
-            for s, amount in zip(starts, share * sizes / sizes.sum(), strict=True):
-                config = _configuration(int(lengths[s]), last, capacity, histogram)
-                use[config] = use.get(config, 0.0) + amount
-                for x in config:
-                    covered[place[x]] += amount
-        weight *= np.exp(-rate * np.clip((covered - goal) / goal, -1, 1))
-        weight = np.clip(weight / weight.mean(), 0.5, 2.0)
-    return use
-
-
-def _take(use: dict, left: dict[int, int], capacity: int) -> Plan:
-    """Rounding: whole copies of the full configurations, as often as the solution
-    uses them (down, then up where most of a copy is left), while the histogram
-    holds their contents."""
-    plan = Plan([], [])
-    full = [(c, a) for c, a in use.items() if sum(c) == capacity]
-    down = sorted(full, key=lambda x: (-int(x[1]), x[0]))
-    up = sorted(((c, a % 1) for c, a in full if a % 1 >= 0.5), key=lambda x: (-x[1], -x[0][0], x[0]))
-    for config, amount in [*down, *((c, 1) for c, _ in up)]:
-        counts: dict[int, int] = {}
-        for x in config:
-            counts[x] = counts.get(x, 0) + 1
-        take = min(int(amount), *(left[x] // n for x, n in counts.items()))
-        if take > 0:
-            plan.patterns.append(config)
-            plan.copies.append(take)
-            for x, n in counts.items():
-                left[x] -= n * take
-    return plan
+    need = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
+    left, usable = need.copy(), np.ones(len(lengths), dtype=bool)
+    total = float((lengths * need).sum()) / capacity
+    step, placed, plan = total / configurations, 0, Plan([], [])
+    while (usable & (left > 0)).any():
+        weight = np.exp(rate * (left / need - (1 - placed / total)))
+        value = weight * lengths / capacity
+        dear = weight * (1 + value)
+        first = int(np.argmax(np.where(usable & (left > 0), value, -1)))
+        room, have = capacity - int(lengths[first]), left.copy()
+        have[first] -= 1
+        fit = np.flatnonzero((have > 0) & (lengths <= room))
+        rest, seen = (None if room else []), width
+        while rest is None:
+            every = seen >= len(fit)
+            pick = fit if every else fit[np.argpartition(-dear[fit], seen)[:seen]]
+            rest = price(lengths[pick], value[pick], have[pick] if every else np.minimum(have[pick], 2), room)
+            if rest is None and every:
+                break
+            seen *= 4
+        if rest is None:
+            usable[first] = False
+            continue
+        config = tuple(sorted([int(lengths[first]), *rest], reverse=True))
+        used, times = np.unique(config, return_counts=True)
+        at = np.searchsorted(lengths, used)
+        copies = max(1, min(int(step), int((left[at] // times).min())))
+        left[at] -= times * copies
+        placed += copies
+        plan.patterns.append(config)
+        plan.copies.append(copies)
+    return plan, {int(x): int(n) for x, n in zip(lengths, left, strict=True) if n}
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> Plan:
@@ -212,18 +198,38 @@ def _best_fit(left: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def make_plan(histogram: dict[int, int], capacity: int = 4096, rounds: int = 120) -> Plan:
-    left = {int(k): int(v) for k, v in histogram.items()}
-    whole = left.pop(capacity, 0)
+def make_plan(histogram: dict[int, int], capacity: int = 4096, configurations: int = 2048) -> Plan:
+    given = {int(k): int(v) for k, v in histogram.items() if v}
+    whole = given.pop(capacity, 0)
     plan = Plan([(capacity,)], [whole]) if whole else Plan([], [])
-    if left:
-        taken = _take(solve(dict(left), capacity, rounds), left, capacity)
-        rest = _best_fit(left, capacity)
-        plan.patterns += taken.patterns + rest.patterns
-        plan.copies += taken.copies + rest.copies
+    if given:
+        solved, left = solve(given, capacity, configurations)
+        best = None
+        for share in (0.0, 0.03, 0.1, 0.3):
+            kept, open_ = _give_back(solved, left, share)
+            rest = _best_fit(open_, capacity)
+            if best is None or kept.sequences() + rest.sequences() < best[0].sequences() + best[1].sequences():
+                best = kept, rest
+        for part in best:
+            plan.patterns += part.patterns
+            plan.copies += part.copies
     return plan
 
 
+def _give_back(plan: Plan, left: dict[int, int], share: float) -> tuple[Plan, dict[int, int]]:
+    """The plan without the last ``share`` of its sequences, whose contents join
+    ``left``: the last pieces are the hardest to place by themselves."""
+    spare, copies, left = int(share * plan.sequences()), list(plan.copies), dict(left)
+    for k in range(len(copies) - 1, -1, -1):
+        n = min(copies[k], spare)
+        copies[k] -= n
+        spare -= n
+        for x in plan.patterns[k] if n else ():
+            left[x] = left.get(x, 0) + n
+    kept = [(p, n) for p, n in zip(plan.patterns, copies, strict=True) if n]
+    return Plan([p for p, _ in kept], [n for _, n in kept]), left
+
+
 def _intervals(plan: Plan, capacity: int) -> dict[str, np.ndarray]:
     """Per (length, group): the ranks served, the first sequence and the offset of
     the length's first item there; sorted by length and rank."""
@@ -247,32 +253,52 @@ def _intervals(plan: Plan, capacity: int) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "each", "base", "offset"), table.T, strict=True))
 
 
-def pack(found: DataFrame, capacity: int = 4096, rounds: int = 120) -> DataFrame:
+def _salts(counts: dict[int, int], rows_per_salt: int) -> dict[int, int]:
+    """Groups per length: a length has one for each ``rows_per_salt`` of its pieces."""
+    return {length: -(-n // rows_per_salt) for length, n in counts.items()}
+
+
+def pack(found: DataFrame, capacity: int = 4096, configurations: int = 2048, rows_per_salt: int = 250_000) -> DataFrame:
     """Adds sequence_id and offset to the pieces.
 
     ``found`` is written to the shared folder, as its ranks and its histogram must
-    come from the same rows.
+    come from the same rows.  The driver holds the histogram (``capacity`` rows) and a
+    count per (length, salt): ``capacity`` rows and one per ``rows_per_salt`` pieces.
     """
     spark = found.sparkSession
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    salted = materialise(salted, "pieces")
-    counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas()  # capacity * SALTS rows
-    grid = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    grid[counts["length"].to_numpy(np.int64), counts["salt"].to_numpy(np.int64)] = counts["n"]
-    totals = grid.sum(axis=1)
-    plan = make_plan({int(x): int(totals[x]) for x in np.flatnonzero(totals)}, capacity, rounds)
-    state = spark.sparkContext.broadcast((_intervals(plan, capacity), np.cumsum(grid, axis=1) - grid))
+    found = materialise(found, "pieces")
+    totals = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salts = _salts(totals, rows_per_salt)
+    many = [(length, n) for length, n in sorted(salts.items()) if n > 1]
+    salted = found.withColumn("salt", F.lit(0))
+    if many:  # one row per length at most
+        of = F.broadcast(spark.createDataFrame(many, "length int, salts int"))
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("salts", F.lit(1))).cast("int")
+        salted = found.join(of, "length", "left").withColumn("salt", salt).drop("salts")
+    begins = np.zeros(capacity + 2, dtype=np.int64)  # where the salts of each length begin in ``below``
+    begins[1:] = np.cumsum([salts.get(x, 0) for x in range(capacity + 1)])
+    below = np.zeros(begins[-1] + 1, dtype=np.int64)
+    if many:
+        hot = salted.filter(F.col("length").isin([length for length, _ in many])) if len(many) < 200 else salted
+        for r in hot.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect():
+            if r["salt"] + 1 < salts[r["length"]]:
+                below[begins[r["length"]] + r["salt"] + 1] = r["n"]
+        for length, n in many:
+            at = begins[length]
+            below[at : at + n] = np.cumsum(below[at : at + n])
+    plan = make_plan(totals, capacity, configurations)
+    state = spark.sparkContext.broadcast((_intervals(plan, capacity), begins, below))
 
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
     ranked = salted.withColumn("rank_", rank.cast("long") - 1)
     shift = 40
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, below = state.value
+        where, begins, below = state.value
         keys = (where["length"] << shift) | where["rank"]
         for batch in batches:
             length = batch.column("length").to_numpy().astype(np.int64)
-            r = batch.column("rank_").to_numpy() + below[length, batch.column("salt").to_numpy()]
+            r = batch.column("rank_").to_numpy() + below[begins[length] + batch.column("salt").to_numpy()]
             at = np.searchsorted(keys, (length << shift) | r, side="right") - 1
             copy, place = np.divmod(r - where["rank"][at], where["each"][at])
             cols = [batch.column(i) for i in range(3)] + [pa.array(length), batch.column(4)]
