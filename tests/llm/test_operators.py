@@ -227,6 +227,44 @@ def test_plan_serves_every_piece():
     assert plan.sequences() <= 1.03 * sum(k * v for k, v in hist.items()) / 100
 
 
+@pytest.mark.parametrize("times", [1, 25, 10_000])
+def test_program_places_the_sequences(docs, tok, times):
+    """The linear program and not best-fit places them, as few as best-fit alone."""
+    hist = Counter(len(tok.encode(r["text"] or "", add_special_tokens=False).ids) % 4096 + 1 for r in docs.collect())
+    hist = {k: v * times for k, v in hist.items() if k < 4096}
+    solved, left = packing.solve(hist, 4096)
+    assert all(sum(p) == 4096 for p in solved.patterns)
+    served = Counter(left)
+    for p, n in zip(solved.patterns, solved.copies, strict=True):
+        for x in p:
+            served[x] += n
+    assert served == hist
+    rest = packing._best_fit(left, 4096).sequences()
+    assert solved.sequences() >= 0.85 * (solved.sequences() + rest)
+    assert packing.make_plan(hist).sequences() <= packing._best_fit(dict(hist), 4096).sequences()
+
+
+def test_knapsack_by_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        lengths, room = np.sort(rng.choice(np.arange(1, 15), 5, replace=False)), int(rng.integers(1, 30))
+        worth, most = rng.random(5), rng.integers(1, 4, 5)
+        fill = [(c @ worth, c) for c in np.stack(np.meshgrid(*[range(m + 1) for m in most]), -1).reshape(-1, 5) if c @ lengths == room]
+        got = packing.price(lengths, worth, most, room)
+        assert (got is None) == (not fill)
+        if fill:
+            assert sum(got) == room and sum(worth[np.searchsorted(lengths, got)]) == pytest.approx(max(f[0] for f in fill))
+
+
+def test_hot_length_is_split(spark):
+    rows = [(i, 0, 0, 7 if i % 3 else 5, i) for i in range(1000)]
+    found = spark.createDataFrame(rows, "doc_id long, piece int, start long, length int, ids_crc32 long")
+    got = packing.pack(found, 64, rows_per_salt=50).toPandas()
+    check_packing(got, 64)
+    assert sorted(got["doc_id"]) == list(range(1000)) and got["sequence_id"].nunique() <= -(-int(got["length"].sum()) // 64) + 1
+    assert packing._salts({7: 667, 5: 333}, 50) == {7: 14, 5: 7}
+
+
 # -- 3, 7 and 9 classifiers
 
 
@@ -450,13 +488,14 @@ def test_base_score(spark, docs, odd, none):
     assert context_tree.scored(odd, depth=2).count() == 14
 
 
-def test_context_tree_by_recursion(spark):
+@pytest.mark.parametrize("depth", [2, 5])
+def test_context_tree_by_recursion(spark, depth):
     """The folded tree against the definition, on two short texts."""
     from math import exp, lgamma, log, pi
 
-    texts, depth = [b"abracadabra", b"abba"], 2
+    texts = [b"abracadabra", b"abba"]
     df = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
-    levels = context_tree.tree(context_tree.gram_counts(df, depth), depth)
+    nodes = context_tree.tree(context_tree.gram_counts(df, depth), depth).collect()
     counts: dict[tuple, list[int]] = {}
     for t in texts:
         data = b"\0" * depth + t + b"\0"
@@ -477,20 +516,20 @@ def test_context_tree_by_recursion(spark):
         below = sum(pw(d + 1, k[1], prefix) for k in counts if k[0] == d + 1 and k[2] == prefix and k[1][1:] == ctx)
         return log(0.5) + max(own, below) + log(1 + exp(-abs(own - below)))
 
-    for d, nodes in enumerate(levels):
-        got = nodes.collect()
+    for d in range(depth + 1):
+        got = [r for r in nodes if r["d"] == d]
         assert len(got) == sum(k[0] == d for k in counts)
         for r in got:
-            ctx = int(r["ctx"]).to_bytes(8, "big")[8 - d :] if d else b""
-            assert [r["n0"], r["n1"]] == counts[d, ctx, r["prefix"]]
-            assert r["log_pw"] == pytest.approx(pw(d, ctx, r["prefix"]), abs=1e-6)
+            ctx, prefix = (r["key"] >> 8).to_bytes(8, "big")[8 - d :] if d else b"", r["key"] & 255
+            assert [r["n0"], r["n1"]] == counts[d, ctx, prefix]
+            assert r["log_pw"] == pytest.approx(pw(d, ctx, prefix), abs=1e-6)
             if d < depth:
-                assert r["stop"] == pytest.approx(0.5 * exp(pe(*counts[d, ctx, r["prefix"]]) - pw(d, ctx, r["prefix"])), rel=1e-5)
+                assert r["stop"] == pytest.approx(0.5 * exp(pe(*counts[d, ctx, prefix]) - pw(d, ctx, prefix)), rel=1e-5)
 
 
 def test_model_beats_uniform_and_sums_to_one(spark, docs):
     text = docs.select(F.col("text").cast("binary").alias("text"))
-    model = context_tree.slots(context_tree.tree(context_tree.gram_counts(text, 3), 3))
+    model = context_tree.in_memory(context_tree.tree(context_tree.gram_counts(text, 3), 3), 3)
     for ctx in (b"the", b"qqq", b"\0\0\0"):
         c = np.uint64(int.from_bytes(ctx, "big"))
         p = np.exp(model.log_prob((c << np.uint64(8)) | np.arange(256, dtype=np.uint64)))
@@ -501,17 +540,21 @@ def test_model_beats_uniform_and_sums_to_one(spark, docs):
     assert s[0] == s[2] > -len(t[0]) * log10(256) and s[1] < 0
 
 
-def test_context_tree_scores_by_every_node(spark, docs):
+@pytest.mark.parametrize("depth", [3, 4])
+def test_context_tree_scores_by_every_node(spark, docs, depth):
     """Scores against the mixture over counted nodes, with and without looking grams
     up by a join; in a tree of more nodes than 2**19 no context is dropped."""
-    depth = 3
     rng = np.random.default_rng(5)
     noise = [(1_000_000 + i, "".join(map(chr, rng.integers(33, 127, 4000)))) for i in range(60)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(noise, "doc_id long, text string")).cache()
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
     train = spark.createDataFrame([(bytearray(t),) for i, t in rows if held(i, 10) != 0], "text binary")
-    levels = context_tree.tree(context_tree.gram_counts(train, depth), depth)
-    nodes = [{(r["ctx"], r["prefix"]): ((r["n1"] + 0.5) / (r["n0"] + r["n1"] + 1), r["stop"]) for r in level.collect()} for level in levels]
+    found = context_tree.tree(context_tree.gram_counts(train, depth), depth).toPandas()
+    nodes = []
+    for d in range(depth + 1):
+        at = found[found["d"] == d]
+        keys, own = zip(at["key"] // 256, at["key"] % 256, strict=True), (at["n1"] + 0.5) / (at["n0"] + at["n1"] + 1)
+        nodes.append(dict(zip(keys, zip(own, at["stop"], strict=True), strict=True)))
     assert len(nodes[3]) > 1 << 19
 
     def score(text):

@@ -11,12 +11,13 @@ The weight of stopping at a node is its share of P_e in P_w.  A text's code leng
 the sum over its bytes and an end symbol (byte 0); a context never seen passes on the
 estimate of the shorter one.
 
-Counting covers all training text: tasks count (context, byte) pairs of their part,
-the counts are summed by key in a shuffle and the tree is folded level by level with
-DataFrame aggregates, written to the shared folder.  Every distinct (context, byte)
-of the texts is given its probability by the whole tree, in shuffles that bring it
-together with its contexts' nodes; no node is left out.  The ``top_grams`` most
-frequent ones are broadcast, the others are looked up by a join.
+Counting covers all training text: tasks count (context, byte) pairs of their part
+and the counts are summed by key in a shuffle.  The distinct pairs are then dealt by
+the three most recent bytes of their contexts: a task holds whole subtrees below
+these, folds them, and only their roots go on to the levels above, which are sums by
+key.  A second deal of the same pairs gives each its probability by the whole tree;
+no node is left out.  The ``top_grams`` most frequent pairs are broadcast, the others
+are looked up by a join.
 
 The base score is an add-0.1 unigram over words.  The ``top_words`` most frequent
 words are broadcast, the others are looked up by a join, so all counts are exact
@@ -35,12 +36,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bounded_batches, drop_table, give_back, id_bucket, materialise, text_or_empty
@@ -85,7 +87,8 @@ def blocks(batch: pa.Array) -> Iterator[list[bytes]]:
 
 
 def gram_counts(texts: DataFrame, depth: int, hold: int = 1_200_000) -> DataFrame:
-    """(gram, n) over all rows of ``texts`` (one binary column)."""
+    """(gram, n) over all rows of ``texts``: a binary column and, if there is a second
+    one, whether the row counts (grams of the others alone have n = 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -94,72 +97,197 @@ def gram_counts(texts: DataFrame, depth: int, hold: int = 1_200_000) -> DataFram
         def merged() -> pa.Table:
             return pa.concat_tables(held).group_by("gram").aggregate([("n", "sum")]).rename_columns(["gram", "n"])
 
+        def parts(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, int]]:
+            if b.num_columns == 1:
+                yield b.column(0), 1
+            else:
+                yield b.column(0).filter(b.column(1)), 1
+                yield b.column(0).filter(pc.invert(b.column(1))), 0
+
         for b in batches:
-            for group in blocks(b.column(0)):
-                gram, _ = grams_of(group, depth)
-                found = pc.value_counts(pa.array(gram.view(np.int64)))
-                held.append(pa.table({"gram": found.field("values"), "n": found.field("counts")}))
-                size += held[-1].num_rows
-                if size > hold:
-                    held = [merged()]
-                    size = held[0].num_rows
-                    if size > hold // 2:
-                        yield from held[0].combine_chunks().to_batches()
-                        held, size = [], 0
+            for part, weight in parts(b):
+                for group in blocks(part):
+                    gram, _ = grams_of(group, depth)
+                    found = pc.value_counts(pa.array(gram.view(np.int64)))
+                    counts = pc.multiply(found.field("counts"), weight)
+                    held.append(pa.table({"gram": found.field("values"), "n": counts.cast(pa.int64())}))
+                    size += held[-1].num_rows
+                    if size > hold:
+                        held = [merged()]
+                        size = held[0].num_rows
+                        if size > hold // 2:
+                            yield from held[0].combine_chunks().to_batches()
+                            held, size = [], 0
         if held:
             yield from merged().combine_chunks().to_batches()
         held = []
         pa.default_memory_pool().release_unused()
 
-    parts = texts.mapInArrow(run, "gram long, n long")
-    return parts.groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 # -- the tree -----------------------------------------------------------------------
 
 
-def _log_gamma(x: Column) -> Column:
+def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 1/2: Stirling's series after a shift by six."""
     z = x + 6
-    shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
-    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+    shift = np.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    series = 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
 
 
-def kt_log(n0: Column, n1: Column) -> Column:
-    """ln of the Krichevsky-Trofimov block probability."""
+def _kt_formula(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - math.log(math.pi)
 
 
-def tree(grams: DataFrame, depth: int) -> list[DataFrame]:
-    """Nodes by depth (0 first): ctx, prefix, n0, n1, stop (weight of stopping)."""
-    sym = F.col("gram").bitwiseAND(F.lit(255))
-    ctx = F.shiftrightunsigned("gram", 8)
-    step = F.explode(F.array(*[F.lit(j) for j in range(8)])).alias("j")
-    bits = grams.select(ctx.alias("ctx"), sym.alias("sym"), "n", step).select(
-        "ctx",
-        F.expr("cast(shiftleft(1, j) + shiftright(sym, 8 - j) as int)").alias("prefix"),
-        F.expr("shiftright(sym, 7 - j) & 1").alias("bit"),
-        F.col("n").cast("double").alias("n"),
-    )
-    ones = F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0.0))
-    nodes = bits.groupBy("ctx", "prefix").agg((F.sum("n") - ones).alias("n0"), ones.alias("n1"))
-    nodes = nodes.withColumn("log_pw", kt_log(F.col("n0"), F.col("n1"))).withColumn("stop", F.lit(1.0))
-    levels = [materialise(nodes, f"tree-{depth}")]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        up = levels[-1].groupBy(shorter.alias("ctx"), "prefix").agg(
-            F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_pw").alias("below")
-        )
-        up = up.withColumn("log_pe", kt_log(F.col("n0"), F.col("n1")))
-        gap = F.col("below") - F.col("log_pe")
-        soft = F.greatest(gap, F.lit(0.0)) + F.log1p(F.exp(-F.abs(gap)))
-        up = up.withColumn("stop", 1 / (1 + F.exp(F.least(gap, F.lit(700.0)))))
-        up = up.withColumn("log_pw", F.col("log_pe") + soft - math.log(2))
-        levels.append(materialise(up.select("ctx", "prefix", "n0", "n1", "log_pw", "stop"), f"tree-{d}"))
+_FEW = 64
+_KT_OF_FEW = _kt_formula(*np.mgrid[0.0:_FEW, 0.0:_FEW])
+
+
+def kt_log(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """ln of the Krichevsky-Trofimov block probability."""
+    out = np.empty(len(n0))
+    few = (n0 < _FEW) & (n1 < _FEW)
+    out[few] = _KT_OF_FEW[n0[few].astype(np.int64), n1[few].astype(np.int64)]
+    out[~few] = _kt_formula(n0[~few], n1[~few])
+    return out
+
+
+def weighted(log_pe: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln P_w of nodes whose children's ln P_w sum to ``below``, and the weight of
+    stopping at them."""
+    gap = below - log_pe
+    soft = np.maximum(gap, 0) + np.log1p(np.exp(-np.abs(gap)))
+    return log_pe + soft - math.log(2), 1 / (1 + np.exp(np.minimum(gap, 700)))
+
+
+@dataclass
+class Nodes:
+    """Nodes of one depth that share a number of known bits, in the order of ``key``
+    (context << 8 | prefix)."""
+
+    key: np.ndarray
+    n0: np.ndarray
+    n1: np.ndarray
+    log_pw: np.ndarray
+    stop: np.ndarray
+
+    def own(self) -> np.ndarray:
+        return (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+
+
+def _context(key: np.ndarray, d: int) -> np.ndarray:
+    """The key with its context cut to the ``d`` most recent bytes."""
+    return key & np.uint64((1 << (8 * (d + 1))) - 1)
+
+
+def nodes_of(grams: np.ndarray, n: np.ndarray, d: int, deeper: list[Nodes] | None) -> list[Nodes]:
+    """The nodes of depth ``d``, by number of known bits, of counted grams; ``deeper``
+    holds all nodes below them (None: this is the full depth)."""
+    gram = _context(grams, d)
+    order = np.argsort(gram, kind="stable")
+    gram, n = gram[order], n[order]
+    ctx, sym, out = gram & ~np.uint64(255), gram & np.uint64(255), []
+    for j in range(8):
+        key = ctx | np.uint64(1 << j) | sym >> np.uint64(8 - j)
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+        if not len(at):
+            out.append(Nodes(key, n, n, n, n))
+            continue
+        key, total = key[at], np.add.reduceat(n, at)
+        n1 = np.add.reduceat(np.where(sym >> np.uint64(7 - j) & np.uint64(1), n, 0.0), at)
+        log_pw, stop = kt_log(total - n1, n1), np.ones(len(at))
+        if deeper is not None:
+            parent = np.searchsorted(key, _context(deeper[j].key, d))
+            log_pw, stop = weighted(log_pw, np.bincount(parent, deeper[j].log_pw, len(at)))
+        out.append(Nodes(key, total - n1, n1, log_pw, stop))
+    return out
+
+
+def fold(grams: np.ndarray, n: np.ndarray, low: int, high: int) -> list[list[Nodes]]:
+    """Nodes of depths ``low`` to ``high`` (the full depth) over all grams of some
+    contexts of ``low`` bytes."""
+    levels: list[list[Nodes]] = []
+    for d in range(high, low - 1, -1):
+        levels.append(nodes_of(grams, n, d, levels[-1] if levels else None))
     return levels[::-1]
 
 
+def _by_context(grams: DataFrame, low: int, use: Callable, schema: str, chunk: int = 50_000) -> DataFrame:
+    """``use(grams, n)`` (batches of ``schema``) over ``grams`` dealt by the ``low`` most
+    recent bytes of their contexts.  A task holds a chunk of contexts, or one: what
+    follows and precedes three bytes has at most 2**24 grams however large the corpus."""
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        yield from use(t["gram"].to_numpy().view(np.uint64), t["n"].to_numpy().astype(np.float64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, wait = 0, chunk
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= wait:
+                t = pa.Table.from_batches(held)
+                at = t["at"].to_numpy()
+                last = len(at) - int((at[::-1] != at[-1]).argmax()) if at[0] != at[-1] else 0
+                if last:
+                    yield from of(t.slice(0, last))
+                held, size = t.slice(last).to_batches(), len(at) - last
+                wait = size + max(chunk, size)
+        if size:
+            yield from of(pa.Table.from_batches(held))
+        give_back()
+
+    at = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit((1 << (8 * low)) - 1)).alias("at")
+    rows = grams.select(at, "gram", "n").repartition("at").sortWithinPartitions("at")
+    return rows.mapInArrow(run, schema)
+
+
+NODE_SCHEMA = "d int, key long, n0 double, n1 double, log_pw double, stop double"
+NEAR_BYTES = 3
+
+
+def _node_rows(grams: DataFrame, depth: int, low: int, deepest: int) -> DataFrame:
+    """Nodes of depths ``low`` to ``deepest`` as rows."""
+
+    def use(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for d, level in enumerate(fold(gram, n, low, depth)[: deepest - low + 1], low):
+            for x in level:
+                cols = [pa.array(np.full(len(x.key), d, dtype=np.int32)), pa.array(x.key.view(np.int64))]
+                cols += [pa.array(c) for c in (x.n0, x.n1, x.log_pw, x.stop)]
+                yield pa.RecordBatch.from_arrays(cols, names=["d", "key", "n0", "n1", "log_pw", "stop"])
+
+    return _by_context(grams.filter("n > 0"), low, use, NODE_SCHEMA)
+
+
+def tree(grams: DataFrame, depth: int, deepest: int | None = None) -> DataFrame:
+    """The nodes (``NODE_SCHEMA``) of all depths, or of those up to ``deepest``, of
+    counted grams.  Contexts of over three bytes are folded where their grams are;
+    the shorter ones level by level with DataFrame sums."""
+    low = min(NEAR_BYTES, depth)
+    found = materialise(_node_rows(grams, depth, low, depth if deepest is None else max(low, deepest)), "nodes")
+    now, levels = found.filter(F.col("d") == low), [found]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n0, n1, below = (b.column(i).to_numpy() for i in (2, 3, 4))
+            log_pw, stop = weighted(kt_log(n0, n1), below)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(log_pw), pa.array(stop)], names=b.schema.names)
+
+    for d in range(low - 1, -1, -1):
+        key = F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1))
+        sums = [F.sum(c).alias(c) for c in ("n0", "n1", "log_pw")]
+        up = now.groupBy(key.alias("key")).agg(*sums).select(F.lit(d).alias("d"), "key", "n0", "n1", "log_pw", F.lit(0.0).alias("stop"))
+        now = materialise(up.mapInArrow(finish, NODE_SCHEMA), "nodes")
+        levels.append(now)
+    whole = levels[0]
+    for x in levels[1:]:
+        whole = whole.unionByName(x)
+    return whole if deepest is None else whole.filter(F.col("d") <= deepest)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
@@ -167,21 +295,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _sorted_nodes(key: np.ndarray, own: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(key)
-    return key[order], own[order], stop[order]
+Level = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def mix_in(p: np.ndarray, grams: np.ndarray, d: int, nodes: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """Mixes the nodes of one depth (keys in order, probability of a one, weight of
-    stopping) into ``p``: eight bits a gram, not a number where no longer context was
-    seen."""
-    keys, own, stop = nodes
-    if not len(keys):
-        return
-    sym, ctx = grams & np.uint64(255), grams >> np.uint64(8) & np.uint64((1 << (8 * d)) - 1)
-    for j in range(8):
-        key = ctx << np.uint64(8) | np.uint64(1 << j) + (sym >> np.uint64(8 - j))
+def mix_in(p: np.ndarray, grams: np.ndarray, d: int, level: Level) -> None:
+    """Mixes the nodes of one depth (by number of known bits: keys in order,
+    probability of a one, weight of stopping) into ``p``: eight bits a gram, not a
+    number where no longer context was seen."""
+    gram = _context(grams, d)
+    sym, ctx = gram & np.uint64(255), gram & ~np.uint64(255)
+    for j, (keys, own, stop) in enumerate(level):
+        if not len(keys):
+            continue
+        key = ctx | np.uint64(1 << j) | sym >> np.uint64(8 - j)
         at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
         hit = np.flatnonzero(keys[at] == key)
         at, longer = at[hit], p[hit, j]
@@ -196,111 +322,53 @@ def log_of(p: np.ndarray, grams: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Nodes by depth in memory."""
+    """Levels of nodes in memory, depth 0 first."""
 
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.nodes, self.depth = nodes, len(nodes) - 1
+    def __init__(self, levels: list[Level]) -> None:
+        self.levels, self.depth = levels, len(levels) - 1
 
     def log_prob(self, grams: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each gram's byte in its context; ``p``
         holds what contexts longer than the model's say."""
         p = np.full((len(grams), 8), np.nan) if p is None else p
         for d in range(self.depth, -1, -1):
-            mix_in(p, grams, d, self.nodes[d])
+            mix_in(p, grams, d, self.levels[d])
         return log_of(p, grams)
 
 
-def _node(nodes: DataFrame) -> list[Column]:
-    key = F.shiftleft("ctx", 8).bitwiseOR(F.col("prefix").cast("long"))
-    return [key.alias("key"), ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("own"), nodes["stop"]]
-
-
-def slots(levels: list[DataFrame]) -> Model:
-    """The model of ``levels`` in memory, every node of them: for the shortest
-    contexts, and for whole trees of small corpora."""
-    found = [nodes.select(*_node(nodes)).toArrow() for nodes in levels]
-    return Model([_sorted_nodes(t["key"].to_numpy().view(np.uint64), t["own"].to_numpy(), t["stop"].to_numpy()) for t in found])
-
-
-def _packed(p: np.ndarray) -> pa.Array:
-    offsets = np.arange(0, 64 * len(p) + 1, 64, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(p), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(p))])
-
-
-def _unpacked(p: pa.ChunkedArray) -> np.ndarray:
-    if p.null_count:
-        return np.full((len(p), 8), np.nan)
-    return np.frombuffer(b"".join(p.to_pylist()), dtype=np.float64).reshape(-1, 8).copy()
-
-
-def _mixed(grams: DataFrame, levels: list[DataFrame], low: int, high: int, chunk: int = 50_000) -> DataFrame:
-    """``grams`` (gram, n, p) with the nodes of depths ``high`` down to ``low`` mixed
-    in.  Rows meet by the last ``low`` bytes of their context; a task holds a chunk of
-    contexts or one of these at a time."""
-    mask = F.lit((1 << (8 * low)) - 1)
-    none = [F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("p")]
-    rows = grams.select(
-        F.shiftrightunsigned("gram", 8).bitwiseAND(mask).alias("at"), F.lit(-1).alias("d"), F.col("gram").alias("key"),
-        F.lit(0.0).alias("own"), F.lit(0.0).alias("stop"), "n", "p",
-    )
-    for d in range(low, high + 1):
-        rows = rows.unionByName(levels[d].select(F.col("ctx").bitwiseAND(mask).alias("at"), F.lit(d).alias("d"), *_node(levels[d]), *none))
-
-    def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        kind, key = t["d"].to_numpy(), t["key"].to_numpy().view(np.uint64)
-        ask = np.flatnonzero(kind < 0)
-        if not len(ask):
-            return
-        own, stop, gram = t["own"].to_numpy(), t["stop"].to_numpy(), key[ask]
-        rest = t.select(["n", "p"]).take(pa.array(ask))
-        p = _unpacked(rest["p"])
-        for d in range(high, low - 1, -1):
-            at = np.flatnonzero(kind == d)
-            mix_in(p, gram, d, _sorted_nodes(key[at], own[at], stop[at]))
-        cols = [pa.array(gram.view(np.int64)), rest["n"].combine_chunks(), _packed(p)]
-        yield from pa.table(cols, names=["gram", "n", "p"]).to_batches(max_chunksize=10_000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, wait = 0, chunk
-        for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= wait:
-                t = pa.Table.from_batches(held)
-                at = t["at"].to_numpy()
-                last = len(at) - int((at[::-1] != at[-1]).argmax()) if at[0] != at[-1] else 0
-                yield from out(t.slice(0, last))
-                held, size = t.slice(last).to_batches(), len(at) - last
-                wait = size + max(chunk, size)
-        if held:
-            yield from out(pa.Table.from_batches(held))
-        give_back()
-
-    return rows.repartition("at").sortWithinPartitions("at").mapInArrow(run, "gram long, n long, p binary")
+def in_memory(nodes: DataFrame, deepest: int) -> Model:
+    """The model of ``nodes`` up to a depth, every node of them: for the shortest
+    contexts (two bytes: at most 2**16 contexts of 255 nodes), and for whole trees of
+    small corpora."""
+    own = ((F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)).alias("own")
+    t = nodes.filter(F.col("d") <= deepest).select("d", "key", own, "stop").toArrow()
+    key = t["key"].to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    d, own, stop, key = t["d"].to_numpy()[order], t["own"].to_numpy()[order], t["stop"].to_numpy()[order], key[order]
+    bit = np.frexp((key & np.uint64(255)).astype(np.float64))[1] - 1
+    levels = []
+    for depth in range(deepest + 1):
+        picks = [np.flatnonzero((d == depth) & (bit == j)) for j in range(8)]
+        levels.append([(key[i], own[i], stop[i]) for i in picks])
+    return Model(levels)
 
 
-def gram_logs(grams: DataFrame, levels: list[DataFrame]) -> DataFrame:
+def gram_logs(grams: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     """gram, n and log_p (natural log of the byte's probability in its context by the
-    whole tree) of distinct ``grams`` (gram, n)."""
-    depth, now = len(levels) - 1, grams.select("gram", "n", F.lit(None).cast("binary").alias("p"))
-    for low, high in ((3, depth), (2, min(2, depth))):
-        if low <= high:
-            before, now = now, materialise(_mixed(now, levels, low, high), f"gram-bits-{low}")
-            if low == 2 and depth > 2:
-                drop_table(before)
-    shared = grams.sparkSession.sparkContext.broadcast(slots(levels[:2]))
+    whole tree) of distinct ``grams`` (gram, n), those with n = 0 included; ``nodes``
+    holds the depths below ``NEAR_BYTES``, the others are folded anew."""
+    low = min(NEAR_BYTES, depth)
+    shared = grams.sparkSession.sparkContext.broadcast(in_memory(nodes, low - 1)) if low else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            gram = b.column(0).to_numpy().view(np.uint64)
-            log_p = shared.value.log_prob(gram, _unpacked(pa.chunked_array([b.column(2)], pa.binary())))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(log_p)], names=["gram", "n", "log_p"])
+    def use(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        seen, p = n > 0, np.full((len(gram), 8), np.nan)
+        for d, level in reversed(list(enumerate(fold(gram[seen], n[seen], low, depth), low))):
+            mix_in(p, gram, d, [(x.key, x.own(), x.stop) for x in level])
+        log_p = shared.value.log_prob(gram, p) if low else log_of(p, gram)
+        cols = [pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(log_p)]
+        yield pa.RecordBatch.from_arrays(cols, names=["gram", "n", "log_p"])
 
-    logs = materialise(now.mapInArrow(run, "gram long, n long, log_p double"), "gram-logs")
-    if depth > 1:
-        drop_table(now)
-    return logs
+    return materialise(_by_context(grams, low, use, "gram long, n long, log_p double"), "gram-logs")
 
 
 def most_frequent(logs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
@@ -425,7 +493,7 @@ def scored(
     bounded_batches(spark)
     held = id_bucket(id_col, HELD_OUT[0]) == HELD_OUT[1]
     text = text_or_empty(text_col).cast("binary").alias("text")
-    train, others = docs.filter(~held).select(text), docs.filter(held).select(text)
+    train = docs.filter(~held).select(text)
 
     words = materialise(word_counts(train), "word-counts")
     in_words, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -434,11 +502,10 @@ def scored(
     frequent = words.orderBy(F.desc("n"), "word").limit(top_words)
     top = {bytes(r["word"]): math.log10(r["n"] + 0.1) for r in frequent.collect()}
 
-    grams = materialise(gram_counts(train, depth), "gram-counts")
-    levels = tree(grams, depth)
-    asked = grams.unionByName(gram_counts(others, depth).withColumn("n", F.lit(0).cast("long")))
-    logs = gram_logs(asked.groupBy("gram").agg(F.sum("n").alias("n")), levels)
-    for used in (grams, *levels):
+    grams = materialise(gram_counts(docs.select(text, (~held).alias("counts")), depth), "gram-counts")
+    nodes = tree(grams, depth, min(NEAR_BYTES, depth) - 1)
+    logs = gram_logs(grams, nodes, depth)
+    for used in (grams, nodes):
         drop_table(used)
     frequent_grams, frequent_logs, rare_logs = most_frequent(logs, top_grams)
 
