@@ -467,6 +467,32 @@ def test_pivot_index(spark):
     assert pivot_index.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_repeated_and_missing_vector_ids(spark):
+    vecs = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 1.0]), (None, [3.0, 3.01]), (None, [3.0, 3.01]), (None, [-1.0, 0.2]), (9, [-1.0, 0.2]), (3, None)]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, pivot_index.near_duplicates(df).collect()), key=str)
+    want = [(5, 0, 5, True), (5, 0, 5, True), (7, 2, 7, True), (None, 2, 7, False), (None, 2, 7, False), (None, 1, 9, False), (9, 1, 9, True), (3, 0, 3, True)]
+    assert got == sorted(want, key=str)
+    alone = spark.createDataFrame([(None, [1.0]), (None, [-1.0])], "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, pivot_index.near_duplicates(alone).collect())) == [(None, 0, None, True)] * 2
+
+
+def test_pivot_index_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    want = con.sql(queries.OP6_SQL).df().sort_values("vec_id").reset_index(drop=True)
+    got = queries.op6_pivot_index(spark, SF).toPandas().sort_values("vec_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False)
+
+
+def test_hot_keys_are_broadcast(spark):
+    rows = spark.createDataFrame([(i, 0 if i % 3 else i) for i in range(300)], "i long, k long")
+    keyed = shared.materialise(rows.groupBy("k").agg(F.count("i").alias("size")).withColumn("twice", F.col("k") * 2), "keyed")
+    for hot in (10, 1000):
+        got = shared.by_key(rows, keyed, ["k"], hot=hot)
+        assert got.count() == 300 and got.filter("twice != 2 * k").count() == 0
+
+
 # -- 5 context tree
 
 

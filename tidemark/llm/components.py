@@ -41,7 +41,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge list (u, v); root is the smallest node
-    that can be reached.  Nodes without edges do not appear."""
+    that can be reached.  Nodes without edges do not appear.  Nodes may be of any type
+    with an order, such as structs that lead with an identifier: the root then names
+    the smallest identifier without a further join."""
     now = materialise(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(now)
     while before[0]:

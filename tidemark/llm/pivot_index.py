@@ -9,12 +9,16 @@ and pairs are verified by cosine in double precision.  A pair that meets in seve
 lists counts in one: that of its two smallest shared pivots.
 
 Lists of over ``BLOCK`` members are dealt out as pairs of blocks.  Equal vectors are
-merged before indexing and counted by their number.
+merged before indexing and counted by their number; each distinct one gets a key of
+its own, so identifiers need not be unique.
 
 Defined results for odd input
     null vector, null, NaN or infinite component, zero vector   no links
     vectors of different length                                 never linked
-    repeated rows                                               linked copies
+    repeated rows, one identifier on several vectors            a result row each
+    null identifier                                             a result row; never the
+                                                                smallest of a component
+                                                                that has an identifier
     empty table                                                 an empty result
     extra columns                                               ignored
 """
@@ -30,10 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import materialise
+from tidemark.llm.shared import by_key, materialise
 
 BLOCK = 4096
 NEAREST = 6
+#: Stands for a missing identifier where the smallest is sought: after all others.
+NO_ID = (1 << 63) - 1
 
 
 def usable(vec: str) -> Column:
@@ -70,7 +76,7 @@ def farthest_first(unit: np.ndarray, count: int) -> np.ndarray:
 def choose_pivots(distinct: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Pivots per vector length, from at most four times as many sampled vectors."""
     count = pivot_count(n)
-    sample = distinct.orderBy(F.xxhash64("vec"), "first_id").limit(4 * count).select("vec").toPandas()["vec"]
+    sample = distinct.orderBy(F.xxhash64("vec"), "rep").limit(4 * count).select("vec").toPandas()["vec"]
     by_width: dict[int, list] = {}
     for v in sample:
         by_width.setdefault(len(v), []).append(np.asarray(v, dtype=np.float64))
@@ -101,22 +107,19 @@ def posted(distinct: DataFrame, pivots: dict[int, np.ndarray], nearest: int) ->
                 rep = pa.array(np.repeat(np.arange(len(pick)), len(pairs)))
                 near = pa.FixedSizeListArray.from_arrays(pa.array(order.astype(np.int32).ravel()), k)
                 near = near.cast(pa.list_(pa.int32()))
-                cols = [pa.array(key), part.column(0).take(rep), part.column(1).take(rep), near.take(rep)]
-                cols.append(part.column(2).take(rep))
-                yield pa.RecordBatch.from_arrays(cols, names=["list", "id", "copies", "near", "vec"])
+                cols = [pa.array(key), *(part.column(i).take(rep) for i in (0, 1, 3)), near.take(rep), part.column(2).take(rep)]
+                yield pa.RecordBatch.from_arrays(cols, names=["list", "id", "copies", "first", "near", "vec"])
 
-    given = distinct.select("first_id", "copies", F.col("vec").cast("array<double>").alias("vec"))
-    return given.mapInArrow(run, "list long, id long, copies long, near array<int>, vec array<double>")
+    given = distinct.select("rep", "copies", F.col("vec").cast("array<double>").alias("vec"), "first")
+    return given.mapInArrow(run, "list long, id long, copies long, first long, near array<int>, vec array<double>")
 
 
-def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray, cross: bool) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links between rows ``a`` and columns ``b``."""
+def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between members ``a`` and ``b``."""
     r, c = np.nonzero(linked)
     if not cross:
         keep = r < c
         r, c = r[keep], c[keep]
-    if not len(r):
-        return [], []
     u, v = a[r], b[c]
     nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
     i, j = where[: len(u)], where[len(u) :]
@@ -130,23 +133,24 @@ def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray, cross: bool) -> tu
             break
         label = low
     away = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[away].tolist(), nodes[label[away]].tolist()
+    return nodes[away], nodes[label[away]]
 
 
 def verify_list(
-    key: int, ids: np.ndarray, copies: np.ndarray, near: np.ndarray, unit: np.ndarray, side: np.ndarray, threshold: float
-) -> tuple[np.ndarray, list[int], list[int]]:
-    """Link counts per member (pairs whose own list this is) and forest edges.
+    key: int, copies: np.ndarray, near: np.ndarray, unit: np.ndarray, side: np.ndarray, threshold: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Link counts per member (pairs whose own list this is) and forest edges between
+    members.
 
     ``side`` holds the block of each member; in a list of two blocks only pairs
     across them are looked at."""
     cross = side[0] != side[-1]
-    a = np.flatnonzero(side == side[0]) if cross else np.arange(len(ids))
+    a = np.flatnonzero(side == side[0]) if cross else np.arange(len(side))
     b = np.flatnonzero(side != side[0]) if cross else a
     low, high = key >> 16 & 0xFFFF, key & 0xFFFF
     cols, at = np.unique(near, return_inverse=True)
-    member = np.zeros((len(ids), len(cols)), dtype=np.float32)
-    member[np.arange(len(ids))[:, None], at.reshape(near.shape)] = 1
+    member = np.zeros((len(side), len(cols)), dtype=np.float32)
+    member[np.arange(len(side))[:, None], at.reshape(near.shape)] = 1
     shared = member[a] @ member[b].T
     before = member[:, (cols < high) & (cols != low)]
     own = (before[a] @ before[b].T) == 0
@@ -154,31 +158,32 @@ def verify_list(
     if not cross:
         np.fill_diagonal(linked, False)
     counted = linked & own
-    n = np.zeros(len(ids), dtype=np.int64)
+    n = np.zeros(len(side), dtype=np.int64)
     n[a] += counted @ copies[b]
     if cross:
         n[b] += counted.T @ copies[a]
-    us, vs = _forest(linked, ids[a], ids[b], cross)
-    return n, us, vs
+    return n, *_forest(linked, a, b, cross)
+
+
+LINK_SCHEMA = "u long, u_first long, v long, v_first long, n long"
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(u, v, n): link counts (v null) and forest edges (n null), from rows sorted
-    by list; holds one list (or pair of blocks) at a time."""
+    """Link counts (v null) and forest edges (n null), from rows sorted by list; holds
+    one list (or pair of blocks) at a time."""
 
-    def one(t: pa.Table) -> Iterator[tuple]:
+    def one(t: pa.Table) -> pa.RecordBatch:
         key = t["list"][0].as_py()
-        ids, copies, side = (t[c].to_numpy() for c in ("id", "copies", "side"))
+        ids, first, copies, side = (t[c].to_numpy() for c in ("id", "first", "copies", "side"))
         near = t["near"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         unit = unit_rows(t["vec"].combine_chunks().flatten().to_numpy(), len(t["vec"][0]))
-        n, us, vs = verify_list(key, ids, copies, near, unit, side, threshold)
+        n, us, vs = verify_list(key, copies, near, unit, side, threshold)
         some = np.flatnonzero(n)
-        yield from zip(ids[some].tolist(), [None] * len(some), n[some].tolist(), strict=True)
-        yield from zip(us, vs, [None] * len(us), strict=True)
-
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        cols = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
-        return pa.RecordBatch.from_arrays(cols, names=["u", "v", "n"])
+        u = np.concatenate([some, us])
+        lacks = pa.nulls(len(some), pa.int64()), pa.nulls(len(us), pa.int64())
+        cols = [pa.array(ids[u]), pa.array(first[u]), pa.concat_arrays([lacks[0], pa.array(ids[vs])])]
+        cols += [pa.concat_arrays([lacks[0], pa.array(first[vs])]), pa.concat_arrays([pa.array(n[some]), lacks[1]])]
+        return pa.RecordBatch.from_arrays(cols, names=["u", "u_first", "v", "v_first", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -188,16 +193,15 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
             group = t["group"].to_numpy()
             cut = np.flatnonzero(group[1:] != group[:-1]) + 1
-            edges, found = [0, *cut.tolist()], []
+            edges = [0, *cut.tolist()]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi - lo > 1:
-                    found += one(t.slice(lo, hi - lo))
+                    yield one(t.slice(lo, hi - lo))
             rest = t.slice(edges[-1])
-            yield out(found)
         if rest is not None and rest.num_rows > 1:
-            yield out(list(one(rest)))
+            yield one(rest)
 
-    return rows.select("group", "list", "id", "copies", "near", "vec", "side").mapInArrow(run, "u long, v long, n long")
+    return rows.select("group", "list", "id", "copies", "first", "near", "vec", "side").mapInArrow(run, LINK_SCHEMA)
 
 
 def near_duplicates(
@@ -212,11 +216,11 @@ def near_duplicates(
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
     able = given.filter(usable("vec"))
     distinct = able.groupBy("vec").agg(F.min("vec_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    distinct = distinct.withColumn("first", F.coalesce("first_id", F.lit(NO_ID))).withColumn("rep", F.monotonically_increasing_id())
     distinct = materialise(distinct, "distinct-vectors")
     n = distinct.count()
-    ids = materialise(
-        able.join(distinct, "vec").select("vec_id", F.col("first_id").alias("rep"), F.col("copies") - 1), "vector-ids"
-    ).toDF("vec_id", "rep", "others")
+    keyed = distinct.select("vec", "rep", (F.col("copies") - 1).alias("others"), F.col("copies").alias("size"))
+    ids = materialise(by_key(able, keyed, ["vec"]).select("vec_id", "rep", "others"), "vector-ids")
     lists = materialise(posted(distinct, choose_pivots(distinct, n), nearest), "pivot-lists")
     sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > block)
     hot = materialise(sizes.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), "hot-lists")
@@ -230,13 +234,16 @@ def near_duplicates(
         rows = cold.unionByName(split.select(*cold.columns))
     parts = rows.repartition("group").sortWithinPartitions("group", "side")
     found = materialise(_verified(parts, threshold), "vector-links")
-    links = found.filter("n is not null").groupBy("u").agg(F.sum("n").alias("n")).withColumnRenamed("u", "rep")
-    roots = components(found.filter("v is not null").select("u", "v")).withColumnRenamed("node", "rep")
-    per_rep = distinct.select(F.col("first_id").alias("rep")).join(links, "rep", "left").join(roots, "rep", "left")
-    linked = ids.join(per_rep, "rep").select(
+    links = found.filter("n is not null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
+    node = [F.struct(F.col(f"{x}_first").alias("id"), F.col(x).alias("rep")).alias(x) for x in ("u", "v")]
+    roots = components(found.filter("v is not null").select(*node))
+    roots = roots.select(F.col("node.rep").alias("rep"), F.col("root.id").alias("lowest"))
+    per_rep = distinct.select("rep", "first", F.col("copies").alias("size")).join(links, "rep", "left").join(roots, "rep", "left")
+    per_rep = per_rep.withColumn("lowest", F.coalesce("lowest", "first"))
+    linked = by_key(ids, materialise(per_rep.drop("first"), "vector-components"), ["rep"]).select(
         "vec_id",
         (F.coalesce("n", F.lit(0)) + F.col("others")).cast("long").alias("n_links"),
-        F.coalesce("root", "rep").alias("component_id"),
+        F.when(F.col("lowest") != NO_ID, F.col("lowest")).alias("component_id"),
     )
     alone = given.filter(~usable("vec")).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")

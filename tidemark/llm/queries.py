@@ -92,6 +92,29 @@ SELECT doc_id,
 FROM n WINDOW w AS (PARTITION BY text_sha256)
 """
 
+OP6_SQL = """
+WITH RECURSIVE
+v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+         coalesce(len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings
+),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE a.usable AND b.usable AND list_cosine_similarity(a.e, b.e) >= 0.95
+),
+reach AS (
+  SELECT r AS a, r AS b FROM v
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+),
+low AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, low.component_id, v.vec_id = low.component_id AS kept
+FROM v JOIN low USING (r) LEFT JOIN n USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -105,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chunked_bpe": op10_chunked_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_pivot_index": OP6_SQL, "op8_exact_dedup": OP8_SQL}

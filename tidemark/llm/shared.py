@@ -85,6 +85,21 @@ def without(docs: DataFrame, dropped: DataFrame, same: Column, most: int = 200_0
     return docs.join(F.broadcast(dropped) if few else dropped, same, "left_anti")
 
 
+def by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: int = 20_000, most: int = 200_000) -> DataFrame:
+    """``rows`` joined with the one row of ``keyed`` (a written table) for their keys,
+    whose column ``size`` says how many rows share them.
+
+    Keys of over ``hot`` rows, at most one in ``hot`` rows of the table and counted
+    against ``most``, are broadcast: no key's rows land in one task."""
+    large = keyed.filter(F.col("size") > hot)
+    n = large.limit(most + 1).count()
+    if not n or n > most:
+        return rows.join(keyed, keys)
+    spread = rows.join(F.broadcast(large), keys)
+    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(keyed.filter(F.col("size") <= hot), keys)
+    return spread.unionByName(others)
+
+
 def give_back() -> None:
     """Called by a Python worker at the end of a task: what its caches held goes back
     to the system, as idle workers live on beside other stages."""
