@@ -319,12 +319,15 @@ def test_language(spark, odd, none):
     assert kept.columns == odd.columns and not {0, 1, 2, 10, 11} & {r["doc_id"] for r in kept.collect()}
 
 
-def test_cross_parsing_by_brute_force():
-    sample = {"a": "abra cadabra abracad", "b": "the cat sat on the mat"}
-    parser = language.Parser(sample)
+@pytest.mark.parametrize("dense", [3, 64])
+def test_cross_parsing_by_brute_force(dense):
+    """Whole texts, some of many segments and some that repeat themselves."""
+    sample = {"a": "abra cadabra abracad", "b": "the cat sat on the mat " + "ab" * 900}
+    parser = language.Parser(sample, dense)
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("abcdrthe sz."), rng.integers(1, 60))) for _ in range(200)] + ["", "zzz", "..."]
-    got = parser.phrases(parser.symbols(texts))
+    texts += ["".join(rng.choice(list("abcdrthe s"), n)) for n in (511, 512, 513, 1500, 4000)] + ["ab" * 2000, "abra" * 700, "the cat sat " * 300]
+    got = parser.phrases(parser.symbols(texts), at_once=7)
 
     def plain(t):
         return re.sub(r"[^a-z]+", " ", t.lower())
@@ -340,6 +343,24 @@ def test_cross_parsing_by_brute_force():
             assert got[i, k] == n
 
 
+def test_large_alphabets():
+    """Four languages of 20 000 signs each stay small and are told apart."""
+    rng = np.random.default_rng(6)
+    words = [["".join(map(chr, 0x4E00 + rng.integers(5000 * k, 5000 * k + 4900, 3))) for _ in range(9000)] for k in range(4)]
+    parser = language.Parser({f"l{k}": "".join(w) for k, w in enumerate(words)})
+    assert parser.table.nbytes + parser.rare_keys.nbytes + parser.rare_targets.nbytes < 200 << 20
+    lang, score, _ = parser.predict(["".join(w[100:300]) for w in words])
+    assert lang == ["l0", "l1", "l2", "l3"] and (score > 0.9).all()
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    long_ = [(i, "ceci est un texte assez long " * 2500, "fr") for i in range(8)]
+    rows = [*long_, *[(100 + i, "this is a short text", "en") for i in range(8)], *[(None, f"das ist ein text {i}", "de") for i in range(3)], (300, None, "xx"), (301, "123", "yy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.learn(df)
+    assert set(sample) == {"de", "en", "fr"} and len(sample["fr"]) > 70_000
+
+
 # -- 4 simhash
 
 

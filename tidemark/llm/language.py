@@ -7,14 +7,21 @@ and the language with the lowest estimate wins (ties: first by name).
 
 Symbols are lower-case letters; any run of other characters is one space.  All
 documents of a batch advance through all automata together, one array step per
-symbol, in segments of ``SEGMENT`` symbols.
+symbol.  Long texts are parsed in segments of ``SEGMENT`` symbols side by side; a
+segment is parsed anew from the state in which the one before it ended until no such
+state changes, which is the parse of the whole text.
 
-Only the sample texts are broadcast (``sample_symbols`` per language); each worker
-builds its automata from them once.
+An automaton has a row of ``DENSE`` transitions per state for the most frequent
+symbols of its language; the others, as in scripts of many thousand signs, are kept
+as sorted (state, symbol) pairs.
+
+Only the sample texts are broadcast; each worker builds its automata from them once.
 
 Defined results for odd input
     null text, no letter   ``und`` with score 0
     nothing to learn from  every document is ``und``
+    long training texts    enter the sample whole; a language always has one
+    null identifiers       take part in learning, told apart by their text
     repeated rows          one result row each
     empty table            an empty result with the full schema
     extra columns          ignored
@@ -34,6 +41,7 @@ from tidemark.llm.shared import bounded_batches, give_back, id_bucket
 
 HELD_OUT = (4, 2)
 SEGMENT = 512
+DENSE = 64
 SHARPNESS = 6.0
 UNKNOWN_LANGUAGE = "und"
 #: Bits per symbol beyond which a text is taken for none of the learned languages.
@@ -45,35 +53,44 @@ def learn(
     docs: DataFrame,
     sample_symbols: int = 40_000,
     docs_per_language: int = 200,
+    max_languages: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> dict[str, str]:
-    """A sample of whole training texts per language, at most ``sample_symbols``
-    characters each, chosen by the hash of the identifier."""
-    open_ = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    open_ = open_.filter("lang is not null and text is not null").filter(
-        id_bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1]
+    """A sample of training texts per language: about ``docs_per_language`` are chosen
+    by a hash, and in its order they enter whole until ``sample_symbols`` characters
+    are reached (the last text may pass that).  Only values of ``lang_col`` beyond the
+    ``max_languages`` most frequent ones are not learned."""
+    own = F.when(F.col(id_col).isNull(), F.col(text_col))
+    h = F.xxhash64(F.col(id_col), own).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    open_ = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h")
     )
-    counts = {r["lang"]: r["n"] for r in open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    letters = F.regexp_like("text", F.lit(r"\p{L}"))
+    open_ = open_.filter("lang is not null").filter((id_bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1]) & letters)
+    counts = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
     # h is uniform on [0, 1): below rate(lang) lie about docs_per_language texts
-    h = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1))) / F.lit(float(1 << 52))
-    rates = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, min(1.0, docs_per_language / n))])
-    short = F.length("text") <= sample_symbols
-    picked = open_.withColumn("h", h).filter((F.col("h") < rates[F.col("lang")]) & short)
-    got = picked.select("lang", "h", "doc_id", "text").toPandas().sort_values(["lang", "h", "doc_id", "text"])
-    sample = {}
-    for lang, rows in got.groupby("lang", sort=True):
-        parts, room = [], sample_symbols
-        for text in rows["text"]:
-            if len(text) < room:
-                parts.append(text)
-                room -= len(text) + 1
-        if any(c.isalpha() for t in parts for c in t):
-            sample[str(lang)] = " ".join(parts)
-    return sample
+    rate = {r["lang"]: min(1.0, docs_per_language / r["n"]) for r in counts}
+    session = docs.sparkSession
+    rates = F.broadcast(session.createDataFrame(sorted(rate.items()), "lang string, rate double"))
+    near = open_.join(rates, "lang").filter("h < rate")
+    seen = near.select("lang", "h", F.length("text").alias("size"), F.xxhash64("text").alias("of")).collect()
+    room, chosen = dict.fromkeys(rate, sample_symbols), set()
+    for r in sorted(seen):
+        if room[r["lang"]] > 0:
+            chosen.add((r["lang"], r["h"], r["of"]))
+            room[r["lang"]] -= r["size"] + 1
+    if not chosen:
+        return {}
+    wanted = F.broadcast(session.createDataFrame(sorted(chosen), "lang string, h double, of long"))
+    texts = open_.withColumn("of", F.xxhash64("text")).join(wanted, ["lang", "h", "of"]).select("lang", "h", "text")
+    sample: dict[str, list[str]] = {}
+    for r in sorted(texts.distinct().collect()):
+        sample.setdefault(r["lang"], []).append(r["text"])
+    return {lang: " ".join(parts) for lang, parts in sample.items() if any(c.isalpha() for t in parts for c in t)}
 
 
 def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int]]:
@@ -108,38 +125,55 @@ def suffix_automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int
 class Parser:
     """Cross-parses texts against all languages at once."""
 
-    def __init__(self, sample: dict[str, str]) -> None:
+    def __init__(self, sample: dict[str, str], dense: int = DENSE) -> None:
         self.langs = sorted(sample)
         letters = sorted({c for t in sample.values() for c in t.lower() if c.isalpha()})
         # symbols: 0 space, 1 letter not in any sample, 2.. letters, last: padding
-        self.code = np.full(0x110000, _NO_LETTER, dtype=np.int16)
+        self.code = np.full(0x110000, _NO_LETTER, dtype=np.int32)
         for lo in range(0, 0x110000, 0x10000):
             block = [c for c in range(lo, lo + 0x10000) if chr(c).isalpha()]
             self.code[block] = _STRANGE
         for k, c in enumerate(letters):
             self.code[ord(c)] = k + 2
-        self.width = len(letters) + 3
-        self.pad = self.width - 1
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for lang in self.langs:
+        self.symbols_known = len(letters) + 3
+        self.pad = self.symbols_known - 1
+        # columns of a state's row: frequent symbols, then these three
+        self.alien, self.rare, stay, self.width = dense, dense + 1, dense + 2, dense + 3
+        self.column = np.full((len(self.langs), self.symbols_known), self.alien, dtype=np.int16)
+        self.column[:, self.pad] = stay
+        tables, roots, self.bits, keys, targets, base = [], [], [], [], [], 0
+        for k, lang in enumerate(self.langs):
             seq = self.symbols([sample[lang]])[0]
             nxt, _ = suffix_automaton(seq.tolist())
-            # one more state: a phrase of one symbol that the sample lacks
-            alone = len(nxt)
-            table = np.full((alone + 1, self.width), -1, dtype=np.int64)
+            own, times = np.unique(seq, return_counts=True)
+            order = own[np.lexsort((own, -times))].tolist()
+            self.column[k, order[dense:]] = self.rare
+            self.column[k, order[:dense]] = np.arange(len(order[:dense]))
+            column, often = self.column[k].tolist(), set(order[:dense])
+            alone = len(nxt)  # one more state: a phrase of one symbol that the sample lacks
+            table = np.full((alone + 1, self.width), -1, dtype=np.int32)
             for s, row in enumerate(nxt):
-                if row:
-                    table[s, list(row)] = list(row.values())
-            table[0, table[0] < 0] = alone
-            table[:, self.pad] = np.arange(alone + 1)
-            restart = table[0]
+                for c, to in row.items():
+                    if c in often:
+                        table[s, column[c]] = to
+                    else:
+                        keys.append((s + base) * self.width * self.symbols_known + c)
+                        targets.append((to + base) * self.width)
+            restart = table[0].copy()
+            restart[restart < 0] = alone
             # a dead end holds ~(state after restarting the phrase with this symbol)
             table = np.where(table >= 0, (table + base) * self.width, ~((restart[None, :] + base) * self.width))
+            table[:, stay] = (np.arange(alone + 1) + base) * self.width
+            table[0, self.alien] = (alone + base) * self.width
             tables.append(table.astype(np.int32).ravel())
-            self.roots.append(base * self.width)
+            roots.append(base * self.width)
             self.bits.append(math.log2(max(2, len(seq))))
             base += alone + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32)
+        self.roots = np.array(roots, dtype=np.int32)
+        keys, targets = np.array(keys, dtype=np.int64), np.array(targets, dtype=np.int32)
+        order = np.argsort(keys)
+        self.rare_keys, self.rare_targets = keys[order], targets[order]
 
     def symbols(self, texts: list[str]) -> list[np.ndarray]:
         lower = [t.lower() for t in texts]
@@ -153,7 +187,44 @@ class Parser:
             out.append(own[keep])
         return out
 
-    def phrases(self, docs: list[np.ndarray]) -> np.ndarray:
+    def _rare_moves(self, state: np.ndarray, root: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Moves by symbols that the rows do not hold, as entries of the table."""
+
+        def find(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            key = s.astype(np.int64) * self.symbols_known + symbol
+            at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            return self.rare_keys[at] == key, self.rare_targets[at]
+
+        known, to = find(state)
+        return np.where(known, to, ~find(root)[1])
+
+    def _advance(self, part: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended in each segment and the states after it, from the states
+        before it (languages by segments)."""
+        order = np.argsort([-len(s) for s in part], kind="stable")
+        lengths = np.array([len(part[j]) for j in order])
+        longest = int(lengths[0])
+        grid = np.full((longest, len(part)), self.pad, dtype=np.int32)
+        for k, j in enumerate(order):
+            grid[: len(part[j]), k] = part[j]
+        state = state[:, order]
+        count = np.zeros(state.shape, dtype=np.int32)
+        live = np.searchsorted(-lengths, -np.arange(longest), side="left")
+        for step in range(longest):
+            n = live[step]
+            now, column = state[:, :n], self.column.take(grid[step, :n], axis=1)
+            got = self.table.take(now + column)
+            if len(self.rare_keys):
+                lang, at = np.nonzero(column == self.rare)
+                if len(at):
+                    got[lang, at] = self._rare_moves(now[lang, at], self.roots[lang], grid[step, at])
+            dead = got >> 31
+            count[:, :n] -= dead
+            state[:, :n] = got ^ dead
+        back = np.argsort(order)
+        return count[:, back], state[:, back]
+
+    def phrases(self, docs: list[np.ndarray], at_once: int = 4096) -> np.ndarray:
         """Phrases per document and language."""
         segments, owner = [], []
         for i, d in enumerate(docs):
@@ -161,27 +232,23 @@ class Parser:
                 segments.append(d[at : at + SEGMENT])
                 owner.append(i)
         total = np.zeros((len(docs), len(self.langs)), dtype=np.int64)
-        for lo in range(0, len(segments), 4096):
-            part = segments[lo : lo + 4096]
-            part_owner = np.array(owner[lo : lo + 4096])
-            order = np.argsort([-len(s) for s in part], kind="stable")
-            longest = len(part[order[0]])
-            grid = np.full((longest, len(part)), self.pad, dtype=np.int32)
-            for k, j in enumerate(order):
-                grid[: len(part[j]), k] = part[j]
-            lengths = np.array([len(part[j]) for j in order])
-            roots = np.array(self.roots, dtype=np.int32)
-            state = np.repeat(roots[:, None], len(part), axis=1)
-            count = np.zeros(state.shape, dtype=np.int32)
-            live = np.searchsorted(-lengths, -np.arange(longest), side="left")
-            for step in range(longest):
-                n = live[step]
-                got = self.table.take(state[:, :n] + grid[step, :n])
-                dead = got >> 31
-                count[:, :n] -= dead
-                state[:, :n] = got ^ dead
-            count += state != roots[:, None]
-            np.add.at(total, part_owner[order], count.T)
+        if not segments:
+            return total
+        owner = np.array(owner)
+        before = np.repeat(self.roots[:, None], len(segments), axis=1)
+        count, after = np.zeros(before.shape, dtype=np.int64), before.copy()
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        todo = np.arange(len(segments))
+        while len(todo):
+            for lo in range(0, len(todo), at_once):
+                some = todo[lo : lo + at_once]
+                count[:, some], after[:, some] = self._advance([segments[k] for k in some], before[:, some])
+            follows = after[:, later - 1]
+            todo = later[(follows != before[:, later]).any(axis=0)]
+            before[:, later] = follows
+        last = np.flatnonzero(np.concatenate([owner[1:] != owner[:-1], [True]]))
+        count[:, last] += after[:, last] != self.roots[:, None]
+        np.add.at(total, owner, count.T)
         return total
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
