@@ -12,6 +12,7 @@ from math import log10
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -296,6 +297,71 @@ def test_classifier(spark, op, label, least, odd, none):
     assert np.allclose(op.score(odd, same).toPandas()["score"], op.score(odd, model).toPandas()["score"])
 
 
+def plain_features(text):
+    """(kind, feature) of a text: words, n-grams of marked words, pairs."""
+    words = (text or "").encode().split()
+    out = [(0, w) for w in words] + [(3, p) for p in zip(words, words[1:], strict=False)]
+    for w in words:
+        m = b"<" + w + b">"
+        out += [(n - 2, m[i : i + n]) for n in (3, 4) for i in range(len(m) - n + 1)]
+    return out
+
+
+def plain_slot(kind, feature):
+    base, mod = 0x9E3779B97F4A7C15, 1 << 64
+
+    def word(w):
+        return sum(b * pow(base, i + 1, mod) for i, b in enumerate(b"<" + w + b">")) % mod
+
+    if kind == 0:
+        x = word(feature)
+    elif kind == 3:
+        x = (word(feature[0]) * base + word(feature[1])) % mod
+    else:
+        x = 0
+        for b in feature:
+            x = (x * base + b) % mod
+    x = (x + kind) * 0xBF58476D1CE4E5B9 % mod
+    x ^= x >> 29
+    return (x * 0x94D049BB133111EB % mod) >> (64 - quality.BUCKET_BITS)
+
+
+def test_quality_by_brute_force(docs, odd):
+    """Features, shares and scores against a plain loop; the gradients of a step against
+    finite differences of the loss."""
+    texts = [r["text"] or "" for r in docs.limit(12).collect()] + [r["text"] or "" for r in odd.collect()] + ["a", "b a", "\x1c x\x0by  z "]
+    arr, rng = pa.array(texts), np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=1 << quality.BUCKET_BITS).astype(np.float32), 0.25)
+    got, have = model.score(arr), quality.counted(arr, at_once=5)
+    for i, t in enumerate(texts):
+        slots = Counter(plain_slot(*f) for f in plain_features(t))
+        n = sum(slots.values())
+        want = sum(model.project[s] * k for s, k in slots.items()) / max(n, 1) + 0.25
+        assert got[i] == pytest.approx(want, abs=1e-5)
+        at = slice(have.begins[i], have.begins[i + 1])
+        assert dict(zip(have.slot[at].tolist(), have.share[at], strict=True)) == pytest.approx({s: k / n for s, k in slots.items()})
+
+    y = np.arange(len(texts)) % 2
+    one = quality.train(have, y, epochs=1, min_steps=0, batch=len(texts), rate=0.1)  # one step: outputs from zero
+    table = (np.random.default_rng(11).uniform(-1, 1, (1 << quality.BUCKET_BITS, quality.DIMENSION)) / quality.DIMENSION).astype(np.float32)
+
+    def loss(out):
+        total = 0.0
+        for i in range(len(texts)):
+            at = slice(have.begins[i], have.begins[i + 1])
+            z = (have.share[at, None] * table[have.slot[at]]).sum(0).astype(float) @ out
+            total += np.log(np.exp(z).sum()) - z[y[i]]
+        return total
+
+    grad = np.zeros((quality.DIMENSION, 2))
+    for k in np.ndindex(grad.shape):
+        step = np.zeros_like(grad)
+        step[k] = 1e-4
+        grad[k] = (loss(step) - loss(-step)) / 2e-4
+    out = -0.1 * grad / np.sqrt(len(texts))
+    assert np.allclose(one.project, table @ (out[:, 1] - out[:, 0]), atol=1e-4)
+
+
 def test_toxic_rows_go(spark, odd, none):
     docs, labels = shared.table(spark, BIG, "documents"), shared.table(spark, BIG, "labels")
     model = toxicity.fit(docs, labels)

@@ -1,13 +1,14 @@
 """Quality classifier on supervised subword embeddings.
 
-A token's features are itself and its character n-grams (with its ends marked),
-hashed into one table of learned vectors; a repeated token adds the word n-gram
-feature that stands for repetition.  A document is the average of its feature
-vectors, classified by a softmax; vectors and output are trained together by
-stochastic gradient descent in numpy on a bounded sample of labelled rows.
+The features of a text are its words, the 3- and 4-byte n-grams of its words (with
+their ends marked) and its pairs of neighbouring words, hashed into one table of
+learned vectors.  A document is the average of its feature vectors, classified by a
+softmax; vectors and output are trained together by stochastic gradient descent in
+numpy on a bounded sample of labelled rows.
 
-As the average is linear, scoring needs two numbers per token (its projection on the
-output and its number of features), which workers cache.
+As the average is linear, scoring needs one number per feature: its vector's
+projection on the output.  A batch of texts is split, its distinct words are hashed
+together as one array of bytes and their sums are dealt back to the documents.
 
 Defined results for odd input
     null or empty text   the score of the bias alone
@@ -19,74 +20,140 @@ Defined results for odd input
 
 from __future__ import annotations
 
-import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import by_hash, texts_of, training_labels
-from tidemark.llm.shared import bounded_batches, text_or_empty
+from tidemark.llm.shared import bounded_batches, give_back, text_or_empty
 
 BUCKET_BITS = 17
 DIMENSION = 8
 HELD_OUT = (5, 0)
 THRESHOLD = 0.3
-_REPEAT = zlib.crc32(b"<repeat>") >> (32 - BUCKET_BITS)
-_SHIFT = 32 - BUCKET_BITS
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def features(token: bytes) -> list[int]:
-    """Slots of a token: itself and its 3- and 4-byte n-grams with marked ends."""
-    crc, marked = zlib.crc32, b"<" + token + b">"
-    n = len(marked)
-    found = [crc(marked) >> _SHIFT]
-    found += [crc(marked[i : i + 3]) >> _SHIFT for i in range(n - 2)]
-    found += [crc(marked[i : i + 4]) >> _SHIFT for i in range(n - 3)]
-    return found
+def slot_of(x: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of features of one kind as rows of the table."""
+    x = (x + np.uint64(kind)) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return ((x * np.uint64(0x94D049BB133111EB)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+@dataclass
+class Words:
+    """Distinct words: hash, and rows of the table of their n-grams; those of word w
+    are ``grams[begins[w]:begins[w + 1]]``."""
+
+    hash: np.ndarray
+    grams: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Words:
+        if not words:
+            return cls(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+        data = np.frombuffer(b"<" + b"><".join(words) + b">", dtype=np.uint8).astype(np.uint64)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+        ends = np.cumsum(size)
+        begin = np.repeat(ends - size, size)
+        at = np.arange(len(data))
+        power = np.cumprod(np.full(int(size.max()), _BASE))
+        found = np.add.reduceat(data * power[at - begin], ends - size)
+        three = (data[:-2] * _BASE + data[1:-1]) * _BASE + data[2:]
+        four = three[:-1] * _BASE + data[3:]
+        left = np.repeat(ends, size) - at  # bytes from here to the word's end
+        rows, owner = [], []
+        word = np.repeat(np.arange(len(words)), size)
+        for kind, (n, gram) in enumerate(((3, three), (4, four)), 1):
+            fits = np.flatnonzero(left[: len(gram)] >= n)
+            rows.append(slot_of(gram[fits], kind))
+            owner.append(word[fits])
+        order = np.argsort(np.concatenate(owner), kind="stable")
+        counts = np.bincount(np.concatenate(owner), minlength=len(words))
+        return cls(found, np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(counts)]))
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Word numbers of all texts one after another, the distinct words, and where each
+    text begins (one more entry at the end)."""
+    parts = pc.ascii_split_whitespace(texts)
+    flat, lengths = parts.flatten(), np.diff(parts.offsets.to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts)), lengths)[some.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(some).dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+    return coded.indices.to_numpy().astype(np.int64), words, begins
+
+
+def pair_slots(number: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table of all pairs of neighbouring words, and the positions of
+    their first words."""
+    first = np.ones(len(number), dtype=bool)
+    first[begins[1:-1][begins[1:-1] < len(number)]] = False
+    at = np.flatnonzero(first[1:])
+    h = hashes[number]
+    return slot_of(h[at] * _BASE + h[at + 1], 3), at
 
 
 @dataclass
 class Model:
-    project: np.ndarray  # per slot: vector times (output 1 - output 0)
+    project: np.ndarray  # per row of the table: vector times (output 1 - output 0)
     bias: float
 
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Log odds of label 1."""
+        number, names, begins = split(texts)
+        words = Words.of(names)
+        reach = np.diff(words.begins)
+        value = np.concatenate([[0.0], np.cumsum(self.project[words.grams], dtype=np.float64)])
+        value = value[words.begins[1:]] - value[words.begins[:-1]] + self.project[slot_of(words.hash, 0)]
+        pairs, at = pair_slots(number, words.hash, begins)
+        sums, count = value[number], reach[number] + 1
+        sums[at] += self.project[pairs]
+        count[at] += 1
+        owner = np.repeat(np.arange(len(texts)), np.diff(begins))
+        total = np.bincount(owner, sums, len(texts))
+        return total / np.maximum(np.bincount(owner, count, len(texts)), 1) + self.bias
+
 
 @dataclass
 class Counted:
-    """Training documents: numbers of their distinct tokens, how often each occurs,
-    and how many tokens repeat the one before; features of token t lie in
-    ``flat[begins[t]:begins[t + 1]]``."""
-
-    ids: list[np.ndarray]
-    counts: list[np.ndarray]
-    repeats: np.ndarray
-    flat: np.ndarray
+    """Training documents: distinct rows of the table and their shares in the average;
+    those of document d lie in ``begins[d]:begins[d + 1]``."""
+
+    slot: np.ndarray
+    share: np.ndarray
     begins: np.ndarray
 
 
-def counted(docs: Iterator[tuple[list[bytes], list[int], int]]) -> Counted:
-    """``docs``: distinct tokens, their counts and the number of repeats of each."""
-    number: dict[bytes, int] = {}
-    flat, begins, ids, counts, repeats = array("i"), array("q", [0]), [], [], []
-    for tokens, n, again in docs:
-        own = array("i")
-        for t in tokens:
-            k = number.get(t)
-            if k is None:
-                k = number[t] = len(number)
-                flat.extend(features(t))
-                begins.append(len(flat))
-            own.append(k)
-        ids.append(np.array(own, dtype=np.int32))
-        counts.append(np.array(n, dtype=np.float32))
-        repeats.append(again)
-    return Counted(ids, counts, np.array(repeats, dtype=np.float64), np.array(flat), np.array(begins, dtype=np.int64))
+def counted(texts: pa.Array, at_once: int = 200) -> Counted:
+    slots, shares, sizes = [], [], []
+    for lo in range(0, len(texts), at_once):
+        part = texts.slice(lo, at_once)
+        number, names, begins = split(part)
+        words = Words.of(names)
+        owner = np.repeat(np.arange(len(part)), np.diff(begins))
+        reach = np.diff(words.begins)[number]
+        gram_at = np.repeat(words.begins[number] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum()) if len(number) else np.zeros(0, dtype=np.int64)
+        pairs, at = pair_slots(number, words.hash, begins)
+        of = np.concatenate([owner, np.repeat(owner, reach), owner[at]])
+        slot = np.concatenate([slot_of(words.hash, 0)[number], words.grams[gram_at], pairs])
+        key, times = np.unique(of << BUCKET_BITS | slot, return_counts=True)
+        of = key >> BUCKET_BITS
+        slots.append((key & ((1 << BUCKET_BITS) - 1)).astype(np.int32))
+        shares.append((times / np.bincount(of, times, len(part))[of]).astype(np.float32))
+        sizes.append(np.bincount(of, minlength=len(part)))
+    none = [np.zeros(0, dtype=np.int64)]
+    begins = np.concatenate([[0], np.cumsum(np.concatenate(sizes or none))]).astype(np.int64)
+    return Counted(np.concatenate(slots or none), np.concatenate(shares or none), begins)
 
 
 def train(
@@ -99,109 +166,49 @@ def train(
     seed: int = 11,
 ) -> Model:
     """Plain SGD with a linearly falling rate; gradients of vectors are scaled as for
-    a sum over the documents of a batch."""
-    size = 1 << BUCKET_BITS
-    n_docs = len(docs.ids)
+    a sum over the documents of a batch.
+
+    With two outputs the error of a document is (e, -e), so its gradients need no
+    vector per feature: with g = the sum of share * e per row of the table, those of
+    the vectors are g times the outputs' difference, and that of the outputs is the
+    table's transpose times g."""
+    size, n_docs = 1 << BUCKET_BITS, len(labels)
     if not n_docs:
         return Model(np.zeros(size, dtype=np.float32), 0.0)
-    ids, counts, repeats, flat, begins = docs.ids, docs.counts, docs.repeats, docs.flat, docs.begins
-    width = np.diff(begins)
-    totals = np.array([(c * width[i]).sum() for i, c in zip(ids, counts, strict=True)]) + repeats
-    totals = np.maximum(totals, 1.0)
     rng = np.random.default_rng(seed)
-    table = rng.uniform(-1, 1, (size, DIMENSION)) / DIMENSION
-    out, bias = np.zeros((DIMENSION, 2)), np.zeros(2)
-    y = np.eye(2)[labels]
+    table = (rng.uniform(-1, 1, (size, DIMENSION)) / DIMENSION).astype(np.float32)
+    out, bias = np.zeros((DIMENSION, 2), dtype=np.float32), np.zeros(2)
     epochs = max(epochs, -(-min_steps * batch // n_docs))
     steps, done = epochs * -(-n_docs // batch), 0
+    begins, width = docs.begins, np.diff(docs.begins)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(n_docs), -(-n_docs // batch)):
             lr = rate * (1 - done / steps)
             done += 1
-            token = np.concatenate([ids[d] for d in part])
-            row = np.repeat(np.arange(len(part)), [len(ids[d]) for d in part])
-            weight = np.concatenate([counts[d] for d in part]) / totals[part][row]
-            reach = width[token]
-            slot_at = np.repeat(begins[token] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
-            slot, slot_row, slot_weight = flat[slot_at], np.repeat(row, reach), np.repeat(weight, reach)
-            mean = np.stack([np.bincount(slot_row, slot_weight * table[slot, k], len(part)) for k in range(DIMENSION)], 1)
-            again = (repeats[part] / totals[part])[:, None]
-            mean += again * table[_REPEAT]
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            err = p - y[part]
-            back = err @ out.T
-            out -= lr * mean.T @ err / np.sqrt(len(part))
-            bias -= lr * err.mean(0)
-            pulled = lr * slot_weight
-            for k in range(DIMENSION):
-                table[:, k] -= np.bincount(slot, pulled * back[slot_row, k], size)
-            table[_REPEAT] -= lr * (again * back).sum(0)
+            reach = width[part]
+            at = np.repeat(begins[part] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
+            row, slot, share = np.repeat(np.arange(len(part)), reach), docs.slot[at], docs.share[at]
+            apart = out[:, 1] - out[:, 0]
+            odds = np.bincount(row, share * (table @ apart)[slot], len(part)) + bias[1] - bias[0]
+            e = 1 / (1 + np.exp(-np.clip(odds, -30, 30))) - labels[part]  # error of output 1
+            g = np.bincount(slot, share * e[row], size).astype(np.float32)
+            pull = table.T @ g
+            table -= lr * g[:, None] * apart
+            out -= lr * np.stack([-pull, pull], axis=1) / np.sqrt(len(part))
+            bias -= lr * np.array([-e.mean(), e.mean()])
     return Model((table @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def _counted(text: bytes) -> tuple[list[bytes], list[int], int]:
-    tokens = text.split()
-    c = Counter(tokens)
-    return list(c), list(c.values()), sum(a == b for a, b in zip(tokens, tokens[1:], strict=False))
-
-
 def fit(
     docs: DataFrame, labels: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text"
 ) -> Model:
-    """Learns from at most ``max_rows`` labelled documents outside the held-out fold."""
+    """Learns from at most ``max_rows`` labelled documents outside the held-out fold;
+    their whole texts come to the driver."""
     chosen = by_hash(training_labels(labels, "quality", *HELD_OUT), max_rows)
-    texts = texts_of(docs, chosen, id_col, text_col)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [_counted(t.as_py()) for t in b.column(2)]
-            cols = [
-                b.column(0),
-                b.column(1),
-                pa.array([x[0] for x in got], pa.list_(pa.binary())),
-                pa.array([x[1] for x in got], pa.list_(pa.int32())),
-                pa.array([x[2] for x in got], pa.int64()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "y", "tokens", "counts", "repeats"])
-
-    schema = "doc_id long, y int, tokens array<binary>, counts array<int>, repeats long"
-    given = texts.select("doc_id", "y", F.col("text").cast("binary").alias("text"))
-    got = given.mapInArrow(count, schema).toArrow().sort_by("doc_id")
-    rows = zip(got["tokens"], got["counts"], got["repeats"], strict=True)
-    docs_seen = counted((t.as_py(), c.as_py(), r.as_py()) for t, c, r in rows)
-    return train(docs_seen, np.array(got["y"].to_pylist(), dtype=np.int64).clip(0, 1))
-
-
-class _Tokens(dict):
-    """token -> its number in the arrays of projections and feature counts."""
-
-    def __init__(self, project: np.ndarray, limit: int = 200_000) -> None:
-        self.project, self.limit = project, limit
-        self.value, self.width = np.zeros(limit + 1), np.zeros(limit + 1)
-
-    def __missing__(self, token: bytes) -> int:
-        k = len(self)
-        if k >= len(self.value):
-            self.value, self.width = np.resize(self.value, 2 * k), np.resize(self.width, 2 * k)
-        found = features(token)
-        self.value[k] = self.project[found].sum()
-        self.width[k] = len(found)
-        self[token] = k
-        return k
-
-    def score(self, text: bytes) -> float:
-        """The averaged projection of a text."""
-        if len(self) >= self.limit:
-            self.clear()
-        tokens = text.split()
-        if not tokens:
-            return 0.0
-        at = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        repeats = int((at[1:] == at[:-1]).sum())
-        total = self.value[at].sum() + repeats * self.project[_REPEAT]
-        return float(total / (self.width[at].sum() + repeats))
+    got = texts_of(docs, chosen, id_col, text_col).select("doc_id", "y", "text").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = got["text"].combine_chunks() if len(got) else pa.array([], pa.string())
+    return train(counted(texts), np.array(got["y"].to_pylist(), dtype=np.int64).clip(0, 1))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,14 +217,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((model.project, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, bias = shared.value
-        tokens = _Tokens(project)
+        own = Model(*shared.value)
         for b in batches:
-            f = np.array([tokens.score(t.as_py()) for t in b.column(1)], dtype=np.float64) + bias
-            p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(own.score(b.column(1)), -30, 30)))
             cols = [b.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "predicted"])
+        give_back()
 
-    text = text_or_empty(text_col).cast("binary").alias("text")
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text)
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return given.mapInArrow(run, "doc_id long, score double, predicted int")
