@@ -37,9 +37,9 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: Bits of the map that says which digests may have come twice; fixed, so its
-#: table of 64-bit words (at most 2**17 rows) is always small enough to broadcast.
-HIT_MAP_BITS = 23
+#: Most bits of the map that says which digests may have come twice: its table of
+#: 64-bit words then has 2**21 rows, the size up to which it may be broadcast.
+MOST_HIT_BITS = 27
 
 
 def normalised(text_col: str) -> Column:
@@ -128,20 +128,21 @@ def read_state(spark: SparkSession, state_path: str) -> DataFrame:
     )
 
 
-def _hit_bit(digest: str) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(1 << HIT_MAP_BITS))
+def hit_map_bits(digests: int) -> int:
+    """log2 of the map's bits: sixteen or more per digest that came twice."""
+    return min(MOST_HIT_BITS, max(16, (16 * digests).bit_length()))
 
 
 def collided(docs: DataFrame, state: DataFrame, text_col: str, digest_bytes: int) -> DataFrame:
     """Digests that came more than once and whose full bytes differ.
 
-    A bit map of fixed size keeps texts that certainly came once out of the
-    shuffle; the rest are grouped by digest and whole text.
+    A bit map, sized by the number of such digests, keeps texts that certainly came
+    once out of the shuffle; the rest are grouped by digest and whole text.
     """
-    bit = _hit_bit("digest")
+    hits = state.filter("group_size > 1")
+    bit = F.pmod(F.xxhash64("digest"), F.lit(1 << hit_map_bits(hits.count())))
     words = (
-        state.filter("group_size > 1")
-        .select(F.floor(bit / 64).alias("word_no"), F.expr("shiftleft(1L, cast(pmod(xxhash64(digest), 64) as int))").alias("b"))
+        hits.select(F.floor(bit / 64).alias("word_no"), F.expr("shiftleft(1L, cast(pmod(xxhash64(digest), 64) as int))").alias("b"))
         .groupBy("word_no")
         .agg(F.bit_or("b").alias("word"))
     )

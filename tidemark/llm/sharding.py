@@ -64,7 +64,8 @@ class SlotMap:
             strict=True,
         )
         schema = "slot int, shard int, bytes long, rows long, first_place long, moved boolean"
-        return spark.createDataFrame(list(rows), schema).withColumn("version", F.lit(self.version))
+        kept = {"n_shards": F.lit(self.n_shards), "version": F.lit(self.version)}
+        return spark.createDataFrame(list(rows), schema).withColumns(kept)
 
 
 def initial_map(n_slots: int, n_shards: int, bytes_: np.ndarray, rows: np.ndarray) -> SlotMap:
@@ -147,7 +148,7 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
         version = stored.agg(F.max("version")).first()[0]
     got = stored.filter(F.col("version") == version).orderBy("slot").toPandas()
     return SlotMap(
-        int(got["shard"].max()) + 1,
+        int(got["n_shards"].iloc[0]),
         got["shard"].to_numpy(np.int64),
         got["bytes"].to_numpy(np.int64),
         got["rows"].to_numpy(np.int64),

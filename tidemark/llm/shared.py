@@ -18,13 +18,15 @@ ASCII_WS = r"[\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting is
-    absent (single-machine tests) a local folder is made.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that setting is absent
+    and driver and executors are one machine (tests) a local folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tidemark-shared")
     return root.rstrip("/")
 

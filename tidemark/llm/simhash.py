@@ -13,8 +13,10 @@ in at most radius / parts bits, and the masks of each run cover that many.
 Majority bits are a coarse measure: texts whose sets of five-word shingles overlap by
 0.8 (Jaccard) differ in some 10 of 64 bits, with a wide spread.  ``NEAR_TEXT`` is the
 scheme for that similarity: fingerprints of word pairs, on which an edited word weighs
-less (radius 9, two parts), and a check on 128 bits over five-word shingles, of which
-such texts differ in 28 at most but for about one pair in sixty.
+less (radius 9, two parts), of the whole text and of its first and second half, as
+edits that lie in one place leave one half almost as it was; and a check on 128 bits
+over the five-word shingles of the whole text, of which such texts differ in 31 at
+most but for about one pair in five hundred.
 
 ``representatives`` takes these links as candidates only: the texts of each linked
 group are brought together and their sets of five-word shingles compared, and only
@@ -28,7 +30,8 @@ fingerprints per group whatever the corpus: an exact way for hot buckets, never
 Defined results for odd input
     null or empty text, white space only   fingerprint zero, linked like any other
     fewer words than a shingle             the whole sequence is the one shingle
-    null identifier                        takes part; sorts before all others
+    null identifier                        takes part; never the smallest of a component
+                                           that has an identifier
     repeated rows                          one result row each, same component
     empty table                            an empty result with the full schema
     extra columns                          ignored by ``near_duplicates``, passed
@@ -48,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or_empty, without
+from tidemark.llm.shared import bounded_batches, by_key, drop_table, give_back, materialise, text_or_empty, without
 
 BITS = 64
 BLOCK = 16_384
@@ -61,16 +64,23 @@ _LOWER_TABLE = bytes(b + 32 if b in _UPPER else b for b in range(256))
 @dataclass(frozen=True)
 class Scheme:
     """What is linked: fingerprints over ``words``-word shingles within ``radius``
-    bits; with ``check_words``, also within ``check_radius`` of 128 bits over these."""
+    bits, with ``halves`` those of the whole or of either half; with ``check_words``,
+    also within ``check_radius`` of 128 bits over these."""
 
     words: int = 4
     radius: int = 4
     parts: int = 1
     check_words: int = 0
     check_radius: int = 128
+    halves: bool = False
 
+    def views(self) -> list[str]:
+        """Columns of the fingerprints that link."""
+        return ["fp", "f1", "f2"] if self.halves else ["fp"]
 
-NEAR_TEXT = Scheme(words=2, radius=9, parts=2, check_words=5, check_radius=28)
+
+NEAR_TEXT = Scheme(words=2, radius=9, parts=2, check_words=5, check_radius=31, halves=True)
+PRINTS = ["fp", "c0", "c1", "f1", "f2"]
 
 
 def _majority(joined: bytes, ends: list[int], words: int, seed: int) -> int:
@@ -101,11 +111,11 @@ def fingerprint(text: bytes, words: int = 4, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, c0 and c1 (64 bits each, as signed longs) of every whole text."""
+    """doc_id and ``PRINTS`` (64 bits each, as signed longs) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.zeros((3, b.num_rows), dtype=np.uint64)
+            got = np.zeros((len(PRINTS), b.num_rows), dtype=np.uint64)
             for i, t in enumerate(b.column(1)):
                 joined, ends = _spread(t.as_py())
                 if ends:
@@ -113,13 +123,19 @@ def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
                     if scheme.check_words:
                         got[1, i] = _majority(joined, ends, scheme.check_words, SEED)
                         got[2, i] = _majority(joined, ends, scheme.check_words, SEED + 1)
+                    if scheme.halves:
+                        k = (len(ends) + 1) // 2
+                        at = ends[k - 1]
+                        got[3, i] = _majority(joined[: at - 1], ends[:k], scheme.words, SEED)
+                        if len(ends) > 1:
+                            got[4, i] = _majority(joined[at:], [e - at for e in ends[k:]], scheme.words, SEED)
             cols = [b.column(0), *(pa.array(x.view(np.int64)) for x in got)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "c0", "c1"])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *PRINTS])
         give_back()
 
     bounded_batches(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return given.mapInArrow(run, "doc_id long, fp long, c0 long, c1 long")
+    return given.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in PRINTS))
 
 
 def all_masks(scheme: Scheme, positions: list[int] | None = None) -> list[int]:
@@ -237,29 +253,32 @@ def _grouped_links(sorted_rows: DataFrame, scheme: Scheme) -> DataFrame:
     return sorted_rows.select("bucket", "node", "fp", "c0", "c1").mapInArrow(run, "u long, v long")
 
 
-def _in_tables(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """Each fingerprint once per mask: table and the masked bits."""
+def _in_tables(nodes: DataFrame, masks: list[int], views: list[str]) -> DataFrame:
+    """Each fingerprint once per view and mask: table, the view's bits as ``fp`` and
+    those of them that the mask keeps."""
     options = F.array(*[F.lit(_signed(m)) for m in masks])
-    masked = F.col("fp").bitwiseAND(F.col("mask")).alias("masked")
-    return nodes.select("*", F.posexplode(options).alias("table", "mask")).select(*nodes.columns, "table", masked)
+    view = F.posexplode(F.array(*views)).alias("view", "bits")
+    rows = nodes.select("node", "c0", "c1", view)
+    rows = rows.select("node", F.col("bits").alias("fp"), "c0", "c1", "view", F.posexplode(options).alias("table", "mask"))
+    return rows.select("node", "fp", "c0", "c1", "view", "table", F.col("fp").bitwiseAND(F.col("mask")).alias("masked"))
 
 
 def links(nodes: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct ``nodes`` (node, fp, c0, c1): all linked pairs are
+    """Edges (u, v) between distinct ``nodes`` (node, ``PRINTS``): all linked pairs are
     connected by them, and each edge joins two members of one component."""
-    masks, columns = all_masks(scheme), ["node", "fp", "c0", "c1"]
-    rows = _in_tables(nodes.select(*columns), masks)
-    bucket = F.xxhash64("table", "masked").alias("bucket")
-    sizes = rows.groupBy("table", "masked").agg(F.count(F.lit(1)).alias("n"))
+    masks, columns, of = all_masks(scheme), ["node", "fp", "c0", "c1"], ["view", "table", "masked"]
+    rows = _in_tables(nodes, masks, scheme.views())
+    bucket = F.xxhash64(*of).alias("bucket")
+    sizes = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("n"))
     hot = materialise(sizes.filter(F.col("n") > block), "hot-buckets")
     keyed = rows
     if hot.head(1):
-        keyed = rows.join(hot, ["table", "masked"], "left_anti")
-        second = rows.join(hot, ["table", "masked"], "left_semi")
+        keyed = rows.join(hot, of, "left_anti")
+        second = rows.join(hot, of, "left_semi")
         inner = [all_masks(scheme, [p for p in range(BITS) if not m >> p & 1]) for m in masks]
         tables = F.array(*[F.array(*[F.lit(_signed(x)) for x in ms]) for ms in inner])
-        again = second.select(*columns, "table", "masked", F.posexplode(F.get(tables, F.col("table"))).alias("t2", "m2"))
-        key = F.xxhash64("table", "masked", "t2", F.col("fp").bitwiseAND(F.col("m2"))).alias("bucket")
+        again = second.select(*columns, *of, F.posexplode(F.get(tables, F.col("table"))).alias("t2", "m2"))
+        key = F.xxhash64(*of, "t2", F.col("fp").bitwiseAND(F.col("m2"))).alias("bucket")
         keyed = keyed.select(bucket, *columns).unionByName(again.select(key, *columns))
     else:
         keyed = keyed.select(bucket, *columns)
@@ -272,15 +291,20 @@ def near_duplicates(
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that
     links lead to) of every document."""
     prints = materialise(fingerprints(docs, scheme, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp", "c0", "c1").agg(F.min("doc_id").alias("first_id"))
-    node = F.xxhash64("fp", "c0", "c1") if scheme.check_words else F.col("fp")
-    distinct = materialise(distinct.withColumn("node", node), "distinct-fingerprints")
+    keys = PRINTS if scheme.check_words or scheme.halves else ["fp"]
+    distinct = prints.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
+    node = F.xxhash64(*keys) if len(keys) > 1 else F.col("fp")
+    distinct = distinct.withColumns({c: F.lit(0).cast("long") for c in PRINTS if c not in keys}).withColumn("node", node)
+    distinct = materialise(distinct, "distinct-fingerprints")
     roots = components(links(distinct, scheme, block))
     placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = placed.select("fp", "c0", "c1", "root").join(first, "root").select("fp", "c0", "c1", "component_id")
-    of = materialise(of, "components")
-    return prints.join(of, ["fp", "c0", "c1"]).select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
+    placed = materialise(placed.select(*keys, "root", "first_id", F.col("size").alias("docs")), "placed")
+    drop_table(distinct)
+    first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of = by_key(placed.select(*keys, "root", "docs"), materialise(first, "roots"), ["root"])
+    of = materialise(of.select(*keys, "component_id", F.col("docs").alias("size")), "components")
+    found = by_key(prints.select("doc_id", *keys), of, keys)
+    return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
