@@ -1,8 +1,20 @@
 """Corpus preparation: toxicity, language, exact and near duplicates, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on every document its predecessor
-kept; its result is written as Parquet and read again as the next stage's documents.
-All but the last return the columns of ``documents``.
+kept; its result is written as Parquet and read again as the next stage's documents,
+and its input, if a stage wrote it, is deleted then.  All but the last return the
+columns of ``documents``.
+
+Defined results for odd input
+    null or empty text    not toxic; without letters, hence gone after the language stage
+    null identifier       kept or dropped by its text like any other; of equal texts a
+                          null identifier stays before all others, and all rows without
+                          one stay or go together in the near-duplicate stage
+    repeated rows         one stays (exact copies)
+    ties                  the smallest identifier stays
+    empty table           an empty result with the full schema
+    extra columns         passed through to packing, whatever their names
+    no labels, no lang    nothing is toxic; no language is learned, so all go
 """
 
 from __future__ import annotations
@@ -11,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import exact_dedup, language, packing, simhash, toxicity
-from tidemark.llm.shared import materialise, table
+from tidemark.llm.shared import drop_table, materialise, table
 
 CAPACITY = 4096
 
@@ -56,7 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return applied(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def applied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All stages over ``docs``."""
+    written = None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if written is not None:
+            drop_table(written)
+        written = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # reads its documents at once
+    drop_table(written)
+    return packed
