@@ -58,11 +58,11 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(shared.value)
-        encode = encoder.encode
         for batch in batches:
             rows = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encode(text.as_py()) + end
+            ids, begins = encoder.encode_all(batch.column(1))
+            for doc_id, lo, hi in zip(batch.column(0).to_pylist(), begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+                raw = ids[lo:hi].tobytes() + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     for col, x in zip(rows, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -73,7 +73,7 @@ def pieces(
         encoder.forget()
         give_back()
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
     return given.mapInArrow(run, PIECE_SCHEMA)
 
 

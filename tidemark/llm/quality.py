@@ -25,12 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.sampling import by_hash, texts_of, training_labels
-from tidemark.llm.shared import bounded_batches, give_back, text_or_empty
+from tidemark.llm.shared import bounded_batches, give_back, split_words, text_or_empty
 
 BUCKET_BITS = 17
 DIMENSION = 8
@@ -80,19 +79,6 @@ class Words:
         return cls(found, np.concatenate(rows)[order], np.concatenate([[0], np.cumsum(counts)]))
 
 
-def split(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Word numbers of all texts one after another, the distinct words, and where each
-    text begins (one more entry at the end)."""
-    parts = pc.ascii_split_whitespace(texts)
-    flat, lengths = parts.flatten(), np.diff(parts.offsets.to_numpy())
-    some = pc.greater(pc.binary_length(flat), 0)
-    owner = np.repeat(np.arange(len(texts)), lengths)[some.to_numpy(zero_copy_only=False)]
-    coded = flat.filter(some).dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
-    return coded.indices.to_numpy().astype(np.int64), words, begins
-
-
 def pair_slots(number: np.ndarray, hashes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table of all pairs of neighbouring words, and the positions of
     their first words."""
@@ -110,7 +96,7 @@ class Model:
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Log odds of label 1."""
-        number, names, begins = split(texts)
+        number, names, begins = split_words(texts)
         words = Words.of(names)
         reach = np.diff(words.begins)
         value = np.concatenate([[0.0], np.cumsum(self.project[words.grams], dtype=np.float64)])
@@ -138,7 +124,7 @@ def counted(texts: pa.Array, at_once: int = 200) -> Counted:
     slots, shares, sizes = [], [], []
     for lo in range(0, len(texts), at_once):
         part = texts.slice(lo, at_once)
-        number, names, begins = split(part)
+        number, names, begins = split_words(part)
         words = Words.of(names)
         owner = np.repeat(np.arange(len(part)), np.diff(begins))
         reach = np.diff(words.begins)[number]

@@ -8,7 +8,9 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,19 @@ def by_key(rows: DataFrame, keyed: DataFrame, keys: list[str], hot: int = 20_000
     return spread.unionByName(others)
 
 
+def split_words(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Word numbers of all texts one after another, the distinct words (between ASCII
+    white space), and where each text begins (one more entry at the end)."""
+    parts = pc.ascii_split_whitespace(texts)
+    flat, lengths = parts.flatten(), np.diff(parts.offsets.to_numpy())
+    some = pc.greater(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts)), lengths)[some.to_numpy(zero_copy_only=False)]
+    coded = flat.filter(some).dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    begins = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+    return coded.indices.to_numpy().astype(np.int64), words, begins
+
+
 def give_back() -> None:
     """Called by a Python worker at the end of a task: what its caches held goes back
     to the system, as idle workers live on beside other stages."""

@@ -12,14 +12,20 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
+from tidemark.llm.shared import split_words
+
 ID_DTYPE = "<u4"
 #: The pre-tokenizer's own pattern (a fixed value of the vocabulary file).
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _SPECIAL = "<|"
+#: Single marks that are a pre-token of their own after letters.
+_MARKS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -64,25 +70,38 @@ class _Pieces(dict):
 class WordEncoder(dict):
     """word (UTF-8, no ASCII white space) -> its ids as little-endian 32-bit integers."""
 
-    def __init__(self, definition: str, max_words: int = 250_000, max_pieces: int = 250_000) -> None:
+    def __init__(self, definition: str, max_words: int = 400_000, max_pieces: int = 100_000) -> None:
         self.tok = load_tokenizer(definition)
         self.pieces = _Pieces(self.tok.model, max_pieces, self.tok.get_vocab_size())
+        self.tokenize = self.tok.model.tokenize
         self.limit = max_words
         self.find = regex.compile(PIECE_PATTERN).findall
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        text = word.decode("utf-8", "replace")
-        if _SPECIAL not in text and _PLAIN.fullmatch(text):
-            lower = text.lower()
-            parts = [lower] if lower.isalpha() else self.find(lower)
-            ids = b"".join(map(self.pieces.__getitem__, parts))
+        body, last = word[:-1], word[-1:]
+        if word.isalpha():  # ASCII letters: one pre-token
+            ids = self._letters(word.lower().decode())
+        elif last in _MARKS and body.isalpha():
+            ids = self[body] + self[last]
         else:
-            ids = self.by_library(text)
+            text = word.decode("utf-8", "replace")
+            if _SPECIAL not in text and _PLAIN.fullmatch(text):
+                lower = text.lower()
+                if lower.isalpha():
+                    ids = self._letters("".join(map(self.pieces.symbols.__getitem__, lower.encode())))
+                else:
+                    ids = b"".join(map(self.pieces.__getitem__, self.find(lower)))
+            else:
+                ids = self.by_library(text)
         self[word] = ids
         return ids
 
+    def _letters(self, shown: str) -> bytes:
+        packed = self.pieces.packed
+        return b"".join([packed[t.id] for t in self.tokenize(shown)])
+
     def forget(self) -> None:
         """Empties the caches."""
         self.clear()
@@ -94,6 +113,18 @@ class WordEncoder(dict):
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin (one
+        more entry at the end).  Distinct words of the texts are looked up once."""
+        number, words, begins = split_words(texts)
+        packed = list(map(self.__getitem__, words))
+        ids = np.frombuffer(b"".join(packed), dtype=ID_DTYPE)
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        first, reach = np.cumsum(size) - size, size[number]
+        ends = np.concatenate([[0], np.cumsum(reach)])
+        at = np.repeat(first[number] - ends[:-1], reach) + np.arange(ends[-1])
+        return ids[at], ends[begins]
+
 
 _encoders: dict[int, WordEncoder] = {}
 
