@@ -567,6 +567,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(61), 0), 200: 200, 201: 200}
 
 
+def test_thinned_edges_join_the_same_nodes(spark):
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (3000, 2)) // 20 * 20 + rng.integers(0, 3, (3000, 2))]
+    df = spark.createDataFrame(edges, "u long, v long")
+    want = {r["node"]: r["root"] for r in components.components(df).collect()}
+    for at_once in (1 << 20, 500):
+        thin = components.thinned(df, at_once)
+        assert {r["node"]: r["root"] for r in components.components(thin).collect()} == want
+    assert components.thinned(df).count() == len(want) - len(set(want.values()))
+
+
 # -- 6 pivot index
 
 

@@ -8,10 +8,61 @@ compares two numbers per round.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import drop_table, materialise
+from tidemark.llm.shared import drop_table, give_back, materialise
+
+#: Edges that one task holds while it thins them.
+EDGES_AT_ONCE = 1 << 20
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node that is not the smallest of its component to that one."""
+    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = where[: len(u)], where[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
+
+
+def thinned(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
+    """Edges (u, v, longs) with the same components and no cycle among those of one
+    task: groups that are linked many times over keep about one edge a node.  Tasks
+    hold at most ``at_once`` edges at a time; there are more of them as edges grow."""
+    edges = materialise(edges.select("u", "v"), "links")
+    parts = max(1, -(-edges.count() // at_once))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(u), np.concatenate(v))], names=["u", "v"])
+
+        for b in batches:
+            u.append(b.column(0).to_numpy())
+            v.append(b.column(1).to_numpy())
+            size += b.num_rows
+            if size >= at_once:
+                yield out()
+                u, v, size = [], [], 0
+        if size:
+            yield out()
+        give_back()
+
+    return edges.repartition(parts).mapInArrow(run, "u long, v long")
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

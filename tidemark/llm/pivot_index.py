@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, forest
 from tidemark.llm.shared import by_key, materialise
 
 BLOCK = 4096
@@ -120,20 +120,7 @@ def _forest(linked: np.ndarray, a: np.ndarray, b: np.ndarray, cross: bool) -> tu
     if not cross:
         keep = r < c
         r, c = r[keep], c[keep]
-    u, v = a[r], b[c]
-    nodes, where = np.unique(np.concatenate([u, v]), return_inverse=True)
-    i, j = where[: len(u)], where[len(u) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = label.copy()
-        np.minimum.at(low, i, label[j])
-        np.minimum.at(low, j, label[i])
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    away = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[away], nodes[label[away]]
+    return forest(a[r], b[c])
 
 
 def verify_list(

@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, thinned
 from tidemark.llm.shared import bounded_batches, by_key, drop_table, give_back, materialise, text_or_empty, without
 
 BITS = 64
@@ -296,7 +296,7 @@ def near_duplicates(
     node = F.xxhash64(*keys) if len(keys) > 1 else F.col("fp")
     distinct = distinct.withColumns({c: F.lit(0).cast("long") for c in PRINTS if c not in keys}).withColumn("node", node)
     distinct = materialise(distinct, "distinct-fingerprints")
-    roots = components(links(distinct, scheme, block))
+    roots = components(thinned(links(distinct, scheme, block)))
     placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed.select(*keys, "root", "first_id", F.col("size").alias("docs")), "placed")
     drop_table(distinct)
