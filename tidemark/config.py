@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass, field
 
 
+def _env(name: str, default: str) -> str:
+    return os.environ.get(name) or default
+
+
 def _ints(name: str, default: str) -> tuple[int, ...]:
-    return tuple(int(x) for x in os.getenv(name, default).split(",") if x.strip())
+    return tuple(map(int, re.findall(r"-?\d+", _env(name, default))))
 
 
 def _grid(name: str, default: str) -> tuple[tuple[int, int], ...]:
-    pairs = (p.split(",") for p in os.getenv(name, default).split(";") if p.strip())
-    return tuple((int(a), int(b)) for a, b in pairs)
+    flat = _ints(name, default)
+    return tuple(zip(flat[::2], flat[1::2], strict=True))
 
 
 # Instruments and their typical spreads in pips.
@@ -36,7 +41,8 @@ def pip_size(pair: str) -> float:
 
 @dataclass(frozen=True)
 class Config:
-    """One place for every number a stage may need."""
+    """One place for every number a stage may need.  Fixed values: the names of the
+    environment variables and the defaults."""
 
     pairs: tuple[str, ...] = tuple(SPREAD_PIPS)
     days_per_year: int = field(default_factory=lambda: int(os.getenv("TRADING_DAYS_PER_YEAR", "252")))

@@ -7,11 +7,11 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import SESSION_HOURS
+from tidemark.config import SESSION_HOURS, SPREAD_PIPS
 
 # Model shortcodes.
 CODE_TYPES = {"lr": "LR", "lstm": "LSTM"}
-CODE_SESSIONS = {"gl": "global", "lo": "london", "ny": "ny", "as": "asia"}
+CODE_SESSIONS = {"gl": "global", "ldn": "london", "ny": "ny", "as": "asia"}
 
 
 def session_label(hour: Column) -> Column:
@@ -50,45 +50,33 @@ def grade(score: Column) -> Column:
     return F.when(score >= 80, "A").when(score >= 60, "B").when(score >= 40, "C").when(score >= 20, "D").otherwise("F")
 
 
-def model_code(code: Column) -> Column:
-    """'eurusd-lr-gl' -> (pair, type, session); null parts where unknown."""
+def model_code(code: Column, pairs: tuple[str, ...] = tuple(SPREAD_PIPS)) -> Column:
+    """'eurusd-lr-gl' -> (pair, type, session); null parts where unknown, nothing known
+    of a code that has not three parts."""
     part = F.split(F.lower(code), "-")
-    types = F.create_map(*[F.lit(x) for kv in CODE_TYPES.items() for x in kv])
-    sessions = F.create_map(*[F.lit(x) for kv in CODE_SESSIONS.items() for x in kv])
-    return F.struct(
-        F.upper(F.get(part, F.lit(0))).alias("pair"),
-        F.try_element_at(types, F.coalesce(F.get(part, F.lit(1)), F.lit(""))).alias("type"),
-        F.try_element_at(sessions, F.coalesce(F.get(part, F.lit(2)), F.lit(""))).alias("session"),
-    )
-
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 400):
-        for num in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d, c = 1 + num * d, 1 + num / c
-            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
-            h *= d * c
-        if abs(d * c - 1) < 1e-15:
-            break
-    return h
-
-
-def t_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) of Student's t."""
-    if math.isnan(t):
-        return 1.0
-    x, a, b = df / (df + t * t), df / 2, 0.5
-    if x >= 1:
-        return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+    maps = [F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in ({p.lower(): p for p in pairs}, CODE_TYPES, CODE_SESSIONS)]
+    names = [
+        F.when(F.size(part) == 3, F.try_element_at(m, F.coalesce(F.get(part, F.lit(k)), F.lit("")))) for k, m in enumerate(maps)
+    ]
+    return F.struct(*[c.alias(n) for c, n in zip(names, ("pair", "type", "session"), strict=True)])
+
+
+def log_gamma(x: Column) -> Column:
+    """ln Gamma for x >= 1/2: Stirling's series after a shift by six."""
+    z = x + 6
+    shift = F.log(x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5))
+    series = 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - shift
+
+
+def t_two_sided(t: Column, df: Column, steps: int = 2000) -> Column:
+    """P(|T| >= |t|) of Student's t by Simpson's rule; 1 where there is no t.  Beyond
+    40 the integral is that up to 40."""
+    x, v = F.least(F.abs(t), F.lit(40.0)), df.cast("double")
+    h = x / steps
+    weight = lambda k: F.when((k == 0) | (k == steps), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+    term = lambda k: weight(k) * F.pow(1 + k * h * k * h / v, -(v + 1) / 2)
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda acc, k: acc + term(k)) * h / 3
+    density = F.exp(log_gamma((v + 1) / 2) - log_gamma(v / 2)) / F.sqrt(v * math.pi)
+    p = F.greatest(F.lit(0.0), 1 - 2 * density * area)
+    return F.when(t.isNull() | F.isnan(t), F.lit(1.0)).otherwise(p)

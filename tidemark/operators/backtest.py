@@ -7,8 +7,6 @@ one grouped call per series, which can run many variants of one signal at once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -210,17 +208,6 @@ def next_bar_return(df: DataFrame, keys: list[str], ts: str, price: str = "close
     return df.withColumn("signal_return", F.coalesce(F.col(signal) * W.forward_return(price, 1, w), F.lit(0.0)))
 
 
-def isolated(fn, rows: Iterator[dict]) -> list[dict]:
-    """Runs ``fn`` per spec; a failure becomes a status row and stops nothing."""
-    out = []
-    for spec in rows:
-        try:
-            out.append({**spec, **fn(spec), "status": "OK", "error": None})
-        except Exception as e:  # one failing spec must not end the sweep
-            out.append({**spec, "status": "ENGINE_ERROR", "error": str(e)[:200]})
-    return out
-
-
 # -- many variants of one signal ----------------------------------------------------
 
 
@@ -259,7 +246,7 @@ METRICS = (
     "n_trades long, net_sharpe double, sortino double, gross_sharpe double, total_return double, max_drawdown double,"
     " calmar double, win_rate double, profit_factor double, avg_trade_bars double, turnover double, capital_final double"
 )
-SPEC = "session string, direction string, tp double, sl double, spread double, max_hold int"
+SPEC = "session string, direction string, tp double, sl double, spread double, max_hold int, warmup int"
 
 
 def _hours_mask(hours: np.ndarray, session: str | None) -> np.ndarray:
@@ -274,18 +261,20 @@ def _hours_mask(hours: np.ndarray, session: str | None) -> np.ndarray:
 def run_variants(
     signals: DataFrame, keys: list[str], ts: str, specs: DataFrame, annualisation: int, capital: float = 10_000.0
 ) -> DataFrame:
-    """Outcome rows (keys, spec, metrics, status, error) of every series and every
-    spec that its keys have in ``specs`` (columns of ``SPEC``; null: off).
+    """Outcome rows (keys, spec, metrics, signals after masks, status, error) of every
+    series and every spec that its keys have in ``specs`` (columns of ``SPEC``; null:
+    off).
 
-    A series is shipped once, with its specs beside it; one that fails becomes a
-    status row."""
+    A series not longer than its warm-up is skipped; one whose signals are all 0 before
+    any mask has status ZERO_SIGNALS.  A series is shipped once, with its specs beside
+    it; one that fails becomes a status row."""
     shape = [f.split()[0] for f in SPEC.split(", ")]
     grouped = specs.groupBy(*keys).agg(F.collect_list(F.struct(*shape)).alias("specs"))  # a grid: tens of rows
     grouped = grouped.select(*[F.col(k).alias(k) for k in keys], "specs")
     rows = signals.select(*keys, ts, "close", "signal").join(F.broadcast(grouped.select(*keys)), keys, "left_semi")
     rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])
     schema = T.StructType([signals.schema[k] for k in keys])
-    schema = T.StructType([*schema, *T.StructType.fromDDL(f"{SPEC}, {METRICS}, n_signals long, status string, error string")])
+    schema = T.StructType([*schema, *T.StructType.fromDDL(f"{SPEC}, {METRICS}, n_long long, n_short long, n_flat long, status string, error string")])
 
     def run(bars: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
         bars = bars.sort_values(ts, kind="stable")
@@ -294,6 +283,11 @@ def run_variants(
         out = []
         for spec in grid["specs"].iloc[0] if len(grid) else []:
             v = dict(zip(shape, spec.values() if isinstance(spec, dict) else spec, strict=True))
+            lacks = "NO_DATA_IN_WINDOW" if not len(raw) else "SKIP_WARMUP_GT_DATA" if len(raw) <= (v["warmup"] or 0) else None
+            lacks = lacks or (None if (raw != 0).any() else "ZERO_SIGNALS")
+            if lacks:
+                out.append([*key, *v.values(), *[None] * 15, lacks, None])
+                continue
             try:
                 s = np.where(_hours_mask(hours, v["session"]), raw, 0)
                 s = np.maximum(s, 0) if v["direction"] == "long_only" else np.minimum(s, 0) if v["direction"] == "short_only" else s
@@ -301,11 +295,10 @@ def run_variants(
                 pos = np.concatenate([[0], held[:-1]]) if len(held) else held
                 trades, equity, _ = simulate(price, pos, v["spread"] or 0.0, v["tp"], v["sl"], v["max_hold"], capital)
                 got = metrics_of(trades, equity, pos, annualisation, capital)
-                n = int((s != 0).sum())
-                state = "NO_DATA_IN_WINDOW" if not len(s) else "ZERO_SIGNALS" if not n else "OK" if trades else "ZERO_TRADES"
-                out.append([*key, *v.values(), *got.values(), n, state, None])
+                signs = [int((s == k).sum()) for k in (1, -1, 0)]
+                out.append([*key, *v.values(), *got.values(), *signs, "OK" if trades else "ZERO_TRADES", None])
             except Exception as e:  # one failing spec must not end the sweep
-                out.append([*key, *v.values(), *[None] * 12, None, "ENGINE_ERROR", str(e)[:200]])
+                out.append([*key, *v.values(), *[None] * 15, "ENGINE_ERROR", str(e)[:200]])
         return pd.DataFrame(out, columns=[f.name for f in schema])
 
     return rows.groupBy(*keys).cogroup(grouped.groupBy(*keys)).applyInPandas(run, schema)

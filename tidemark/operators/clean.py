@@ -55,17 +55,35 @@ def duplicate_count(*cols: str) -> Column:
     return F.count(F.lit(1)) - F.count_distinct(*cols) - nulls
 
 
-def summary(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """One row per instrument: what cleaning would meet."""
-    missing = [F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in OHLC]
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *missing,
-        duplicate_count(ts).alias("duplicate_ts"),
-        F.count_if(invalid_ohlc()).alias("invalid_ohlc"),
-        F.bool_and(F.col("volume") == 0).alias("all_zero_volume"),
-        F.min(ts).alias("first_ts"),
-        F.max(ts).alias("last_ts"),
+def missing_ohlc() -> Column:
+    return F.coalesce(*[F.when(F.col(c).isNull(), True) for c in OHLC], F.lit(False))
+
+
+def summary(before: DataFrame, after: DataFrame, least_per_day: int, keys: list[str], ts: str, tie: list[str]) -> DataFrame:
+    """One row per instrument: what cleaning met, what it removed, and both spans."""
+    had = before.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows_before"),
+        F.count_if(missing_ohlc()).alias("missing_ohlc_rows_before"),
+        duplicate_count(ts).alias("duplicate_timestamps_before"),
+        F.count_if(invalid_ohlc()).alias("invalid_ohlc_rows_before"),
+        F.bool_and(F.col("volume") == 0).alias("volume_all_zero"),
+        F.min(ts).alias("start_before"),
+        F.max(ts).alias("end_before"),
+    )
+    left = after.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after"), F.min(ts).alias("start_after"), F.max(ts).alias("end_after"))
+    sound = dedupe_first(before.dropna(subset=[ts, *OHLC]), [*keys, ts], tie).filter(~invalid_ohlc())
+    sparse = daily_counts(sound, keys, ts).filter(F.col("n") < least_per_day).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("days_dropped_low_coverage"), F.sum("n").alias("rows_removed_low_coverage_days")
+    )
+    counts = ["rows_after", "days_dropped_low_coverage", "rows_removed_low_coverage_days"]
+    out = had.join(left, keys, "left").join(sparse, keys, "left").fillna(0, counts)
+    removed = F.col("rows_before") - F.col("rows_after")
+    return out.withColumns(
+        {
+            "rows_removed_total": removed,
+            "pct_rows_removed_total": removed / F.col("rows_before"),
+            "min_obs_day_threshold": F.lit(least_per_day),
+        }
     )
 
 

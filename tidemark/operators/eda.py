@@ -7,6 +7,8 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.clean import OHLC, daily_counts, duplicate_count, invalid_ohlc, missing_ohlc
+
 
 def monthly_coverage(df: DataFrame, keys: list[str], ts: str, per_day: int = 1440) -> DataFrame:
     daily = df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
@@ -70,20 +72,106 @@ def correlations(wide: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.inline(rows))
 
 
-def quality(df: DataFrame, keys: list[str], ret: str, ts: str, per_day: int, times: float = 10.0) -> DataFrame:
-    """Extreme jumps (beyond ``times`` sample deviations) and low-coverage days."""
-    sd = df.groupBy(*keys).agg(F.stddev_samp(ret).alias("sd"))
-    jumps = df.join(sd, keys).groupBy(*keys).agg(
-        F.count_if(F.abs(ret) > times * F.col("sd")).alias("extreme_jumps"), F.count(F.lit(1)).alias("n_rows")
+def quality(df: DataFrame, keys: list[str], ret: str, ts: str, per_day: int, times: float = 10.0, low: float = 0.5) -> DataFrame:
+    """Duplicates, missing and impossible prices, extreme jumps (beyond ``times`` sample
+    deviations), days of low coverage (below ``low``), and both limits."""
+    sd = df.groupBy(*keys).agg(F.stddev_samp(ret).alias("sd_"))
+    rows = df.join(sd, keys).groupBy(*keys).agg(
+        duplicate_count(ts).alias("duplicate_timestamps"),
+        F.count_if(missing_ohlc()).alias("missing_core_ohlc_rows"),
+        F.count_if(invalid_ohlc()).alias("invalid_ohlc_rows"),
+        F.count_if((F.col("sd_") > 0) & (F.abs(ret) > times * F.col("sd_"))).alias("extreme_jump_rows"),
     )
     days = df.groupBy(*keys, F.to_date(ts).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    low = days.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("days"), F.count_if(F.col("n") / per_day < 0.5).alias("low_coverage_days")
+    few = days.groupBy(*keys).agg(F.count_if(F.col("n") / per_day < low).alias("low_coverage_days"))
+    limits = {"extreme_jump_std_multiplier": F.lit(times), "low_coverage_threshold": F.lit(low)}
+    return rows.join(few, keys).withColumns(limits)
+
+
+def overview(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Rows, span, and counts of faults per instrument."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min(ts).alias("first_ts"),
+        F.max(ts).alias("last_ts"),
+        duplicate_count(ts).alias("duplicate_ts"),
+        *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in (*OHLC, "volume")],
+        F.count_if(invalid_ohlc()).alias("invalid_ohlc"),
+        F.count_if(F.col("volume") == 0).alias("zero_volume"),
+    )
+
+
+def inspect(df: DataFrame, keys: list[str], ts: str, columns: list[str], least: int) -> DataFrame:
+    """Nulls per column, faults, and rows per day: least, most, median, and days with
+    fewer than ``least``."""
+    days = daily_counts(df.filter(F.col(ts).isNotNull()), keys, ts).groupBy(*keys).agg(
+        F.min("n").alias("min_per_day"), F.max("n").alias("max_per_day"), F.median("n").alias("median_per_day"),
+        F.count_if(F.col("n") < least).alias("short_days"),
+    )
+    rows = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in columns],
+        duplicate_count(ts).alias("duplicate_ts"),
+        F.count_if(invalid_ohlc()).alias("invalid_ohlc"),
+        F.count_if(F.col("volume") == 0).alias("zero_volume"),
+    )
+    return rows.join(days, keys)
+
+
+def year_month_counts(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    return df.groupBy(*keys, F.year(ts).alias("year"), F.month(ts).alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def range_stats(df: DataFrame, by: list[str], ret: str = "ret") -> DataFrame:
+    """Range, absolute return and volume per group, such as session or hour."""
+    rng = F.col("high") - F.col("low")
+    return df.groupBy(*by).agg(
+        F.avg(rng).alias("mean_range"),
+        F.median(rng).alias("median_range"),
+        F.avg(F.abs(ret)).alias("mean_abs_ret"),
+        F.avg("volume").alias("mean_volume"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+def value_counts(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows per group, such as labels by session."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_summary(before: DataFrame, after: DataFrame, keys: list[str], horizons: dict[str, tuple[str, int, float]]) -> DataFrame:
+    """Rows before and after the tail is cut and, per name in ``horizons`` (label column,
+    horizon, threshold), the parameters and the count of each class."""
+    counts = []
+    for name, (label, horizon, band) in horizons.items():
+        x = F.col(label)
+        counts += [F.lit(horizon).alias(f"horizon_{name}"), F.lit(band).alias(f"threshold_{name}")]
+        counts += [F.count_if(x == v).alias(f"{name}_{n}_count") for v, n in ((1, "long"), (0, "no_trade"), (-1, "short"))]
+        counts.append(F.count_if(x.isNull()).alias(f"{name}_nan_count"))
+    had = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before"))
+    out = had.join(after.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after"), *counts), keys, "left")
+    return out.withColumn("rows_after", F.coalesce("rows_after", F.lit(0))).withColumn(
+        "rows_removed_tail", F.col("rows_before") - F.col("rows_after")
     )
-    return jumps.join(low, keys)
 
 
-def histogram(df: DataFrame, col: str, keys: list[str], lo: float, hi: float, bins: int) -> DataFrame:
-    """Counts per equal bin of [lo, hi]; the last bin is closed."""
-    at = F.least(F.floor((F.col(col) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
-    return df.filter(F.col(col).between(lo, hi)).groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+def feature_summary(before: DataFrame, after: DataFrame, keys: list[str], base: list[str]) -> DataFrame:
+    """Rows before and after incomplete ones are dropped, and numbers of columns."""
+    n = {"num_total_columns": F.lit(len(after.columns)), "num_feature_columns": F.lit(len(set(after.columns) - set(base)))}
+    had = before.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_before"))
+    left = after.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_after"))
+    out = had.join(left, keys, "left").withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
+    return out.withColumn("rows_removed", F.col("rows_before") - F.col("rows_after")).withColumns(n)
+
+
+def histogram(df: DataFrame, col: str, keys: list[str], bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Counts per equal bin from the least to the greatest value of each group (or of
+    the range given, values outside it being left out); the last bin is closed.  Null
+    values are not counted; a group of one value has it in bin 0."""
+    x, own = F.col(col), df.filter(F.col(col).isNotNull())
+    ends = own.groupBy(*keys).agg(F.min(col).alias("lo_"), F.max(col).alias("hi_"))
+    if lo is not None and hi is not None:
+        own, ends = own.filter(x.between(lo, hi)), ends.withColumns({"lo_": F.lit(lo), "hi_": F.lit(hi)})
+    at = F.least(F.floor((x - F.col("lo_")) * bins / (F.col("hi_") - F.col("lo_"))), F.lit(bins - 1))
+    bin_ = F.when(F.col("hi_") > F.col("lo_"), at).otherwise(0).cast("int")
+    return own.join(F.broadcast(ends), keys).groupBy(*keys, bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

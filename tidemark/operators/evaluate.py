@@ -6,11 +6,8 @@ explicit tie-break, so results do not depend on the order runs finish in.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import scalars as S
 
@@ -59,15 +56,22 @@ def beats_baseline(tuned: DataFrame, base: DataFrame, keys: list[str], score: st
     )
 
 
+FOLD_MEANS = ("total_return", "max_drawdown", "calmar", "win_rate", "profit_factor", "avg_trade_bars", "turnover", "sortino")
+FOLD_LAST = ("capital_final", "gross_sharpe", "n_long", "n_short", "n_flat")
+
+
 def fold_aggregate(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Means over folds, last fold's capital, trades in all, spread of Sharpe."""
+    """Means over folds, trades in all, spread of Sharpe; what the last fold ended with
+    (capital, gross Sharpe, signals).  Columns that ``df`` lacks are left out."""
+    means = [c for c in FOLD_MEANS if c in df.columns]
+    last = [c for c in FOLD_LAST if c in df.columns]
     out = df.groupBy(*keys).agg(
         F.avg("net_sharpe").alias("fold_mean"),
         F.stddev_pop("net_sharpe").alias("fold_std"),
-        F.avg("total_return").alias("total_return"),
         F.sum("n_trades").alias("n_trades"),
         F.count_if(F.col("net_sharpe") < 0).alias("negative_folds"),
-        F.max_by("capital_final", "fold").alias("capital_final"),
+        *[F.avg(c).alias(c) for c in means],
+        *[F.max_by(c, "fold").alias(c) for c in last],
     )
     return out.withColumn("stability", F.round(F.col("fold_mean") - 0.5 * F.col("fold_std"), 4))
 
@@ -104,8 +108,8 @@ def breakeven(df: DataFrame, keys: list[str], mult: str = "spread_mult", value:
     w = Window.partitionBy(*keys).orderBy(mult)
     d = df.withColumns({"m2_": F.lead(mult).over(w), "v2_": F.lead(value).over(w)})
     v, v2, m, m2 = F.col(value), F.col("v2_"), F.col(mult), F.col("m2_")
-    crosses = (v * v2 <= 0) & (v != v2)
-    zero = F.round(m + (0 - v) * (m2 - m) / (v2 - v), 2)
+    crosses = v * v2 <= 0  # two zeros in a row: at the first of them
+    zero = F.round(m - v * (m2 - m) / F.when(v2 == v, F.lit(1.0)).otherwise(v2 - v), 2)
     out = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("points"),
         F.min_by(F.when(crosses, zero), F.when(crosses, m)).alias("zero"),
@@ -137,13 +141,7 @@ def dm_statistics(df: DataFrame, keys: list[str], a: str, b: str, lag: int = 0,
 
 def with_p_value(stats: DataFrame) -> DataFrame:
     """Two-sided p of Student's t with n - 1 degrees; 1 where there is no statistic."""
-
-    @F.udf(T.DoubleType())
-    def p(stat, n):
-        return 1.0 if stat is None or math.isnan(stat) else round(t_p(stat, n - 1), 4)
-
-    t_p = S.t_two_sided
-    out = stats.withColumn("p", p("stat", "n"))  # a few rows, one per comparison
+    out = stats.withColumn("p", F.round(S.t_two_sided(F.col("stat"), F.col("n") - 1), 4))
     return out.withColumn("significant", F.col("p") < 0.05)
 
 
@@ -158,6 +156,84 @@ def status(n_bars: Column, warmup: Column, n_signals: Column, n_trades: Column)
     )
 
 
+def ok(state: Column) -> Column:
+    """Whether a run counts as one: it ran, with trades or without."""
+    return state.isin("OK", "ZERO_TRADES")
+
+
+def tier1_survivors(outcomes: DataFrame, share: float = 0.4, least: float = 0.0) -> DataFrame:
+    """(pair, strategy) that pass the first tier, from outcomes with family and ordinal:
+    per pair the best ``share`` by mean Sharpe above ``least``, and the best of every
+    family these lack.  Only runs that are ok take part."""
+    keys = ["pair", "strategy", "family", "ordinal"]
+    scores = outcomes.filter(ok(F.col("status"))).groupBy(*keys).agg(F.avg("net_sharpe").alias("score"))
+    kept = top_fraction(scores, "pair", "score", "ordinal", share, least)
+    return family_floor(kept, scores, "pair", "family", "score", "ordinal").select("pair", "strategy")
+
+
+def champions(outcomes: DataFrame, keys: list[str], place: str, score: str, tie: list[str]) -> DataFrame:
+    """Champion and runner-up per group: the two best rows with distinct ``place``."""
+    per = best(outcomes, [*keys, place], score, tie)
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), place))
+    return per.withColumn("rank", n).filter("rank <= 2")
+
+
+def compared(returns: DataFrame, pairs: DataFrame, keys: list[str], name: str, ts: str, value: str, lag: int = 0) -> DataFrame:
+    """Diebold-Mariano tests of the listed comparisons.
+
+    ``returns``: one row per series (``keys``, ``name``) and time; ``pairs``: ``keys``,
+    comparison, a and b, names of two series.  Losses are the negative returns; series
+    are paired by time."""
+    loss = returns.select(*keys, F.col(name).alias("n_"), F.col(ts).alias("t_"), (-F.col(value)).alias("v_"))
+    left = pairs.join(loss.withColumnsRenamed({"n_": "a", "v_": "loss_a"}), [*keys, "a"])
+    both = left.join(loss.withColumnsRenamed({"n_": "b", "v_": "loss_b"}), [*keys, "b", "t_"])
+    of = [*keys, "comparison", "a", "b"]
+    return with_p_value(dm_statistics(both, of, "loss_a", "loss_b", lag, "t_"))
+
+
+# The columns of a flat outcome table, in order.
+OUTCOME = [
+    "tier", "pair", "strategy", "split", "session", "direction", "tp_pips", "sl_pips", "folds", "eval_session",
+    "spread_mult", "model_type", "train_session", "ok", "status", "net_sharpe", "gross_sharpe", "total_return",
+    "max_drawdown", "calmar", "win_rate", "profit_factor", "avg_trade_bars", "turnover", "sortino", "n_trades",
+    "capital_final", "signal_long", "signal_short", "signal_flat", "fold_mean_sharpe", "fold_std_sharpe",
+    "negative_fold_count", "composite_score", "stability_score", "grade", "warning_flags", "notes", "error",
+]
+_TEXT = {"tier", "pair", "strategy", "split", "session", "direction", "eval_session", "model_type", "train_session", "status", "grade", "warning_flags", "notes", "error"}
+_ZERO_WITHOUT_RUN = set(OUTCOME[15:36]) - _TEXT
+
+
+def flat_outcomes(runs: DataFrame, tier: str, split: str) -> DataFrame:
+    """Runs as the flat outcome table: what a run lacks is null, or 0 for a metric;
+    score and grade are computed, warnings joined by commas."""
+    names = {
+        "tp": "tp_pips", "sl": "sl_pips", "n_long": "signal_long", "n_short": "signal_short", "n_flat": "signal_flat",
+        "fold_mean": "fold_mean_sharpe", "fold_std": "fold_std_sharpe", "negative_folds": "negative_fold_count", "stability": "stability_score",
+    }
+    d = runs.withColumnsRenamed({k: v for k, v in names.items() if k in runs.columns})
+    d = d.withColumns({"tier": F.lit(tier), "split": F.lit(split)})
+    if "status" not in d.columns:
+        d = d.withColumn("status", F.lit("OK"))
+    d = d.withColumn("ok", ok(F.col("status")))
+    for c in OUTCOME:
+        if c not in d.columns:
+            d = d.withColumn(c, F.lit(None).cast("string" if c in _TEXT else "double"))
+    d = d.withColumns({c: F.coalesce(c, F.lit(0)) for c in _ZERO_WITHOUT_RUN})
+    d = d.withColumns({"folds": F.coalesce("folds", F.lit(0)), "spread_mult": F.coalesce("spread_mult", F.lit(1.0))})
+    score = S.composite_score(*[F.col(c) for c in ("n_trades", "net_sharpe", "sortino", "calmar", "max_drawdown")])
+    d = d.withColumn("composite_score", F.when(F.col("ok"), score).otherwise(0.0))
+    flags = F.array_compact(
+        F.array(
+            F.nullif(F.col("warning_flags"), F.lit("")),
+            F.when(F.col("status") == "SKIP_WARMUP_GT_DATA", "WARMUP_GT_DATA"),
+            F.when(F.col("status").isin("ZERO_SIGNALS", "ZERO_TRADES"), F.col("status")),
+            F.when(F.col("ok") & (F.col("profit_factor") >= 998), "PF_CAPPED"),
+        )
+    )
+    d = d.withColumns({"grade": S.grade(F.col("composite_score")), "warning_flags": F.array_join(flags, ",")})
+    return d.select(*OUTCOME)
+
+
 def spec_flags(tp: Column, sl: Column, spread: Column) -> Column:
     return F.array_compact(
         F.array(

@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.schema import SchemaValidationError
+from tidemark.config import SESSION_SETS
+from tidemark.schema import TableMismatch
 
 
 def purge_tail(df: DataFrame, n: int, keys: list[str], ts: str) -> DataFrame:
@@ -38,15 +39,11 @@ def folds(df: DataFrame, bounds: list[tuple[str, str, str]], purge: int, keys: l
     """Expanding folds: ``bounds`` holds (train end, validation start, validation end)
     per fold.  Each row appears once per fold and kind it belongs to; train tails are
     purged, validation is not."""
-    spark = df.sparkSession
-    rows = [(k, *b) for k, b in enumerate(bounds)]
-    plan = spark.createDataFrame(rows, "fold int, te string, vs string, ve string")
-    plan = plan.select("fold", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("te", "vs", "ve")])
-    kind = F.when(F.col(ts) <= F.col("te"), "train").when(
-        (F.col(ts) >= F.col("vs")) & (F.col(ts) <= F.col("ve")), "val"
-    )
-    df = df.join(F.broadcast(plan), F.col(ts) <= F.greatest("te", "ve")).withColumn("kind", kind)
-    df = df.filter("kind is not null").drop("te", "vs", "ve")
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    x = F.col(ts)
+    kinds = [F.when(x <= at(te), "train").when(x.between(at(vs), at(ve)), "val") for te, vs, ve in bounds]
+    of = F.array(*[F.struct(F.lit(k).alias("fold"), kind.alias("kind")) for k, kind in enumerate(kinds)])
+    df = df.select("*", F.inline(F.filter(of, lambda f: f["kind"].isNotNull())))
     w = Window.partitionBy(*keys, "fold", "kind")
     from_end = F.row_number().over(w.orderBy(F.desc(ts)))
     df = df.withColumns({"end_": from_end, "all_": F.count(F.lit(1)).over(w)})
@@ -73,10 +70,31 @@ def date_window(df: DataFrame, ts: str, start: str | None, end: str | None, end_
 def require_splits(df: DataFrame, names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
     have = {r["split"] for r in df.select("split").distinct().collect()}
     if set(names) - have:
-        raise SchemaValidationError(f"empty split: {', '.join(sorted(set(names) - have))}")
+        raise TableMismatch(f"empty split: {', '.join(sorted(set(names) - have))}")
     return df
 
 
+def session_training(df: DataFrame, session: str = "session") -> dict[str, DataFrame]:
+    """Training rows of each session set; ``global`` is all of them.  They share the
+    scaler of the whole training split."""
+    return {"global": df} | {name: df.filter(F.col(session).isin(labels)) for name, labels in SESSION_SETS.items()}
+
+
+def manifest(df: DataFrame, keys: list[str], ts: str, purge: int, bounds: dict[str, str], label: str | None = None) -> DataFrame:
+    """One row per instrument over a table with a ``split`` column: rows in all and per
+    split, first and last time per split, the bounds configured and, with ``label``, the
+    share of each class per split in percent."""
+    wanted = [F.count(F.lit(1)).alias("total_rows")]
+    for name in ("train", "val", "test"):
+        mine = F.col("split") == name
+        wanted += [F.count_if(mine).alias(f"{name}_rows"), F.min(F.when(mine, F.col(ts))).alias(f"{name}_start"), F.max(F.when(mine, F.col(ts))).alias(f"{name}_end")]
+        if label:
+            share = lambda v, mine=mine: F.avg(F.when(mine & F.col(label).isNotNull(), (F.col(label) == v).cast("double"))) * 100
+            wanted += [share(v).alias(f"{name}_{n}_pct") for v, n in ((1, "long"), (0, "flat"), (-1, "short"))]
+    configured = {f"configured_{k}": F.lit(v) for k, v in bounds.items()}
+    return df.groupBy(*keys).agg(*wanted).withColumns(configured | {"purge_rows": F.lit(purge)})
+
+
 def scaler(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
     """One row per group and feature, in order: mean and population deviation with
     nulls as 0; a feature without variance has scale 1."""

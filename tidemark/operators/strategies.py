@@ -22,7 +22,8 @@ from tidemark.operators import folds
 
 @dataclass(frozen=True)
 class Strategy:
-    """``signal`` adds column ``signal`` (before cooldown) to bars."""
+    """``signal`` adds column ``signal`` (before cooldown) to bars; ``family`` is what
+    selection keeps diverse: trend, momentum, mean_reversion or breakout."""
 
     family: str
     warmup: int
@@ -72,7 +73,7 @@ def ma_crossover(fast: int, slow: int, kind: str = "ema", cooldown: int = 0) ->
         up, down = _cross(F.col("above_"), w)
         return df.withColumn("signal", _finish(up, down, slow - 1, w)).drop("ma_f", "ma_s", "above_")
 
-    return Strategy("MA", slow, cooldown, {"fast": fast, "slow": slow, "kind": kind}, signal)
+    return Strategy("trend", slow, cooldown, {"fast": fast, "slow": slow, "kind": kind}, signal)
 
 
 def momentum(lookback: int, cooldown: int = 0) -> Strategy:
@@ -85,7 +86,7 @@ def momentum(lookback: int, cooldown: int = 0) -> Strategy:
         down = c < W.channel_low(c, lookback, w)
         return bars.withColumn("signal", _finish(F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False)), lookback, w))
 
-    return Strategy("Momentum", lookback, cooldown, {"lookback": lookback}, signal)
+    return Strategy("momentum", lookback, cooldown, {"lookback": lookback}, signal)
 
 
 def donchian(period: int, cooldown: int = 0) -> Strategy:
@@ -105,7 +106,7 @@ def donchian(period: int, cooldown: int = 0) -> Strategy:
         up, down = W.crossing_up(F.col("over_"), w), W.crossing_up(F.col("under_"), w)
         return df.withColumn("signal", _finish(up, down, period, w)).drop("over_", "under_")
 
-    return Strategy("Donchian", period, cooldown, {"period": period}, signal)
+    return Strategy("breakout", period, cooldown, {"period": period}, signal)
 
 
 def rsi_reversion(period: int = 14, low: float = 30, high: float = 70, cooldown: int = 0) -> Strategy:
@@ -122,7 +123,7 @@ def rsi_reversion(period: int = 14, low: float = 30, high: float = 70, cooldown:
     def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
         return folds.per_series(bars, keys, order, {"signal": T.ByteType()}, fold)
 
-    return Strategy("RSI", period, cooldown, {"period": period, "low": low, "high": high}, signal)
+    return Strategy("mean_reversion", period, cooldown, {"period": period, "low": low, "high": high}, signal)
 
 
 def bollinger(period: int = 20, width: float = 2.0, cooldown: int = 0) -> Strategy:
@@ -141,13 +142,13 @@ def bollinger(period: int = 20, width: float = 2.0, cooldown: int = 0) -> Strate
         up, down = W.crossing_up(F.col("over_"), w), W.crossing_up(F.col("under_"), w)
         return df.withColumn("signal", _finish(up, down, period, w)).drop("over_", "under_")
 
-    return Strategy("Bollinger", period, cooldown, {"period": period, "width": width}, signal)
+    return Strategy("mean_reversion", period, cooldown, {"period": period, "width": width}, signal)
 
 
 def macd_cross(fast: int = 26, slow: int = 65, smooth: int = 9, cooldown: int = 0) -> Strategy:
     if not 0 < fast < slow or smooth < 1:
         raise ValueError("need fast < slow and smooth >= 1")
-    warmup = slow + smooth
+    warmup = slow + smooth - 1
 
     def fold(p: pd.DataFrame) -> dict:
         line = folds.ewm_span(p["close"], fast) - folds.ewm_span(p["close"], slow)
@@ -155,18 +156,18 @@ def macd_cross(fast: int = 26, slow: int = 65, smooth: int = 9, cooldown: int =
         rise = above & ~np.concatenate([[False], above[:-1]])
         fall = ~above & np.concatenate([[True], above[:-1]])
         s = np.where(rise, 1, np.where(fall, -1, 0))
-        s[: warmup - 1] = 0
+        s[:warmup] = 0
         return {"signal": s.astype(np.int8)}
 
     def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
         return folds.per_series(bars, keys, order, {"signal": T.ByteType()}, fold)
 
-    return Strategy("MACD", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, signal)
+    return Strategy("trend", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, signal)
 
 
 def silent() -> Strategy:
     """Never signals; stands in for a model that is not there."""
-    return Strategy("None", 0, 0, {}, lambda bars, keys, order: bars.withColumn("signal", F.lit(0).cast("tinyint")))
+    return Strategy("none", 0, 0, {}, lambda bars, keys, order: bars.withColumn("signal", F.lit(0).cast("tinyint")))
 
 
 # The registered instances (name: parameters, cooldown in bars).
@@ -187,7 +188,19 @@ REGISTRY: dict[str, Strategy] = {
 }
 
 
-def get_strategy(name: str) -> Strategy:
+#: Prefixes of model strategies; what follows names the training session.
+MODEL_PREFIXES = ("LR_", "LSTM_")
+
+
+def get_strategy(name: str, models: dict[str, Strategy] | None = None, or_silent: bool = False) -> Strategy:
+    """A rule by its registered name, or a model (``LR_<session>``, ``LSTM_<session>``)
+    among ``models``; one that is not there is refused or, if asked for, silent."""
     if name in REGISTRY:
         return REGISTRY[name]
+    if name.startswith(MODEL_PREFIXES):
+        if models and name in models:
+            return models[name]
+        if or_silent:
+            return silent()
+        raise ValueError(f"model not available: {name}; available: {', '.join(models or ()) or 'none'}")
     raise ValueError(f"unknown strategy: {name}; known: {', '.join(REGISTRY)}")

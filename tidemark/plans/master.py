@@ -73,7 +73,8 @@ def _specs(runs: DataFrame, spread: float, max_hold: int | None, **axes: list) -
     for name, kind in off.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit("both" if name == "direction" else None).cast(kind))
-    return out.withColumns({"spread": F.lit(float(spread)), "max_hold": F.lit(max_hold).cast("int")})
+    out = out.withColumns({"spread": F.lit(float(spread)), "max_hold": F.lit(max_hold).cast("int")})
+    return out if "warmup" in out.columns else out.withColumn("warmup", F.lit(None).cast("int"))
 
 
 def _scored(outcomes: DataFrame) -> DataFrame:
@@ -91,43 +92,51 @@ def tiered_selection(
     spread: float = 0.0,
     max_hold: int | None = None,
     sessions: tuple = (None, "london", "ny"),
-    tp_sl: tuple = (),
+    tp_sl: tuple | None = None,
+    test_from: str | None = None,
+    test_to: str | None = None,
     config: Config | None = None,
     *,
     work: str,
 ) -> dict[str, DataFrame]:
-    """Screen, session and direction sweep, targets, walk-forward, final test.
+    """Screen, session and direction sweep, targets (by default the configured grid),
+    walk-forward, final test (of the window given).  Runs that are not ok take no part
+    in any choice.
 
     Each tier is one job over (pair, strategy) series; only outcome tables, a row per
     run, pass between tiers; they and the signals are written below ``work``."""
     config, registry = config or Config(), registry or REGISTRY
-    names = {n: (s.family, k) for k, (n, s) in enumerate(registry.items())}
+    tp_sl = config.tp_sl_grid if tp_sl is None else tp_sl
+    names = {n: (s.family, k, s.warmup) for k, (n, s) in enumerate(registry.items())}
     spark = bars.sparkSession
 
     def cut(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{work}/{name}")
         return spark.read.parquet(f"{work}/{name}")
 
-    order = spark.createDataFrame([(n, f, k) for n, (f, k) in names.items()], "strategy string, family string, ordinal int")
+    order = spark.createDataFrame([(n, *x) for n, x in names.items()], "strategy string, family string, ordinal int, warmup int")
+    warm = F.broadcast(order.select("strategy", "warmup"))
     tag = splits.fixed_split(bars, train_end, val_end, config.purge_rows, ["pair"], ts)
     val = cut(all_signals(tag.filter("split = 'val'"), registry, ts), "val-signals")
-    run = lambda sig, specs, keys=KEYS: _scored(backtest.run_variants(sig, keys, ts, specs, config.annualisation, config.capital))
 
+    def run(signals: DataFrame, specs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+        specs = specs.drop("warmup").join(warm, "strategy")
+        return _scored(backtest.run_variants(signals, keys, ts, specs, config.annualisation, config.capital))
+
+    good = evaluate.ok(F.col("status"))
     runs = val.select(*KEYS).distinct()
-    t1 = cut(run(val, _specs(runs, spread, max_hold)).join(F.broadcast(order), "strategy"), "t1")
-    ranked = t1.select(*KEYS, "family", "ordinal", F.col("net_sharpe").alias("score"))
-    kept = evaluate.top_fraction(ranked, "pair", "score", "ordinal", 0.4, 0.0)
-    survivors = evaluate.family_floor(kept, ranked, "pair", "family", "score", "ordinal").select(*KEYS)
+    t1 = cut(run(val, _specs(runs, spread, max_hold)).drop("warmup").join(F.broadcast(order), "strategy"), "t1")
+    survivors = cut(evaluate.tier1_survivors(t1), "survivors")
 
     t2 = cut(run(val, _specs(survivors, spread, max_hold, session=list(sessions), direction=list(backtest.DIRECTIONS))), "t2")
-    base = evaluate.best(t2, KEYS, "composite", ["session", "direction"])
+    base = evaluate.best(t2.filter(good), KEYS, "composite", ["session", "direction"])
     chosen = base.select(*KEYS, "session", "direction")
 
     best = base
     if tp_sl:
         pairs = spark.createDataFrame([(float(a), float(b)) for a, b in tp_sl], "tp double, sl double")
         t3 = cut(run(val, _specs(chosen.crossJoin(F.broadcast(pairs)), spread, max_hold)), "t3")
-        tuned = evaluate.best(t3, KEYS, "composite", ["tp", "sl"])
+        tuned = evaluate.best(t3.filter(good), KEYS, "composite", ["tp", "sl"])
         beat = tuned.alias("t").join(base.alias("b"), KEYS).filter("t.composite > b.composite").select("t.*")
         best = beat.unionByName(base.join(beat.select(*KEYS), KEYS, "left_anti"))
     chosen = cut(best.select(*KEYS, "session", "direction", "tp", "sl"), "chosen")
@@ -138,15 +147,23 @@ def tiered_selection(
     numbers = spark.createDataFrame([(k,) for k in range(len(folds))], "fold int")
     specs = _specs(chosen, spread, max_hold).crossJoin(F.broadcast(numbers))
     t4 = cut(run(fold_signals, specs, [*KEYS, "fold"]), "t4")
-    folded = evaluate.fold_aggregate(t4, [*KEYS, "session", "direction"])
+    folded = evaluate.fold_aggregate(t4.filter(good), [*KEYS, "session", "direction"])
     final = cut(evaluate.final_rank(folded), "ranking")
 
-    test = cut(all_signals(tag.filter("split = 'test'"), registry, ts), "test-signals")
+    window = splits.date_window(tag.filter("split = 'test'"), ts, test_from, test_to)
+    test = cut(all_signals(window, registry, ts), "test-signals")
     t5 = run(test, _specs(chosen.join(final.select(*KEYS), KEYS, "left_semi"), spread, max_hold))
-    t5 = t5.withColumn("grade", S.grade(F.col("composite")))
+    t5 = without_data(t5.withColumn("grade", S.grade(F.col("composite"))), final)
     return {"t1": t1, "survivors": survivors, "t2": t2, "chosen": chosen, "t4": t4, "ranking": final, "t5": t5}
 
 
+def without_data(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
+    """``outcomes`` with a row of status NO_DATA_IN_WINDOW for every expected run
+    whose series has no bar in the window."""
+    missing = expected.select(*KEYS).join(outcomes, KEYS, "left_anti").withColumn("status", F.lit("NO_DATA_IN_WINDOW"))
+    return outcomes.unionByName(missing, allowMissingColumns=True)
+
+
 def session_transfer(signals: DataFrame, ts: str, spreads: tuple = (0.5, 1.0, 2.0), spread: float = 1.0, config: Config | None = None) -> DataFrame:
     """Each model's signals (pair, strategy = training session) over every evaluation
     session and spread multiple; signals are computed once."""

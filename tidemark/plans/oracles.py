@@ -79,21 +79,21 @@ def recursive(cols: str, first: str, step: str, *ctes: str, base: str = BARS, bo
     )
 
 
-def ewm_sql(spans: list[int]) -> str:
-    """z(pair, i, e1, e2...): averages of close by span."""
+def ewm_sql(spans: list[int], z: str = "z") -> str:
+    """z(pair, i, e0, e1...): averages of close by span."""
     names = ", ".join(f"e{k}" for k in range(len(spans)))
     first = "SELECT pair, i, " + ", ".join("close" for _ in spans) + " FROM s WHERE i = 1"
-    terms = ", ".join(f"z.e{k} + (s.close - z.e{k}) * (2.0::DOUBLE / {n + 1})" for k, n in enumerate(spans))
-    step = f"SELECT s.pair, s.i, {terms} FROM z JOIN s ON s.pair = z.pair AND s.i = z.i + 1"
-    return f"z(pair, i, {names}) AS ({first} UNION ALL {step})"
+    terms = ", ".join(f"{z}.e{k} + (s.close - {z}.e{k}) * (2.0::DOUBLE / {n + 1})" for k, n in enumerate(spans))
+    step = f"SELECT s.pair, s.i, {terms} FROM {z} JOIN s ON s.pair = {z}.pair AND s.i = {z}.i + 1"
+    return f"{z}(pair, i, {names}) AS ({first} UNION ALL {step})"
 
 
 WILDER = (
     "g AS (SELECT *, greatest(close - lag(close) OVER (PARTITION BY pair ORDER BY ts), 0) AS up,"
     " greatest(lag(close) OVER (PARTITION BY pair ORDER BY ts) - close, 0) AS dn FROM s),"
-    " z(pair, i, u, d) AS (SELECT pair, i, up, dn FROM g WHERE i = 2 UNION ALL"
-    " SELECT g.pair, g.i, z.u + (g.up - z.u) / 14.0::DOUBLE, z.d + (g.dn - z.d) / 14.0::DOUBLE FROM z JOIN g ON g.pair = z.pair AND g.i = z.i + 1),"
-    " rs AS (SELECT s.pair, s.ts, s.i, 100 - 100 / (1 + z.u / nullif(z.d, 0)) AS rsi FROM s LEFT JOIN z USING (pair, i))"
+    " wz(pair, i, u, d) AS (SELECT pair, i, up, dn FROM g WHERE i = 2 UNION ALL"
+    " SELECT g.pair, g.i, wz.u + (g.up - wz.u) / 14.0::DOUBLE, wz.d + (g.dn - wz.d) / 14.0::DOUBLE FROM wz JOIN g ON g.pair = wz.pair AND g.i = wz.i + 1),"
+    " rs AS (SELECT s.pair, s.ts, s.i, 100 - 100 / (1 + wz.u / nullif(wz.d, 0)) AS rsi FROM s LEFT JOIN wz USING (pair, i))"
 )
 
 SPLIT = (
@@ -123,16 +123,20 @@ STRAT = OUTCOMES + (
 )
 FOLD_RUNS = (
     "fr AS (SELECT 'P' || (l_suppkey % 5) AS pair, 'S' || (l_partkey % 7) AS strategy, (l_orderkey % 5)::INT AS fold, round(avg(l_quantity) - 25.3, 4) AS net_sharpe,"
-    " round(avg(l_discount) - 0.05, 6) AS total_return, count(*) AS n_trades, round(sum(l_quantity), 2) AS capital_final FROM lineitem GROUP BY 1, 2, 3),"
-    " fa AS (SELECT pair, strategy, round(avg(net_sharpe), 6) AS fold_mean, round(stddev_pop(net_sharpe), 6) AS fold_std, round(avg(total_return), 6) AS total_return,"
-    " sum(n_trades)::BIGINT AS n_trades, count(*) FILTER (net_sharpe < 0) AS negative_folds, arg_max(capital_final, fold) AS capital_final FROM fr GROUP BY 1, 2),"
+    " round(avg(l_discount) - 0.05, 6) AS total_return, count(*) AS n_trades, round(sum(l_quantity), 2) AS capital_final, round(-avg(l_tax), 6) AS max_drawdown, round(avg(l_tax) * 30, 6) AS calmar,"
+    " round(avg(l_discount) * 7, 6) AS win_rate, round(avg(l_quantity) / 20, 6) AS profit_factor, round(avg(l_linenumber), 6) AS avg_trade_bars, round(avg(l_discount), 6) AS turnover, round(avg(l_tax) - 0.04, 6) AS sortino,"
+    " round(max(l_quantity) / 10, 6) AS gross_sharpe, count(*) FILTER (l_linenumber = 1) AS n_long, count(*) FILTER (l_linenumber = 2) AS n_short, count(*) FILTER (l_linenumber > 2) AS n_flat FROM lineitem GROUP BY 1, 2, 3),"
+    " fa AS (SELECT pair, strategy, round(avg(net_sharpe), 6) AS fold_mean, round(stddev_pop(net_sharpe), 6) AS fold_std,"
+    + ", ".join(f" round(avg({c}), 6) AS {c}" for c in ("total_return", "max_drawdown", "calmar", "win_rate", "profit_factor", "avg_trade_bars", "turnover", "sortino"))
+    + ", " + ", ".join(f"arg_max({c}, fold) AS {c}" for c in ("capital_final", "gross_sharpe", "n_long", "n_short", "n_flat"))
+    + ", sum(n_trades)::BIGINT AS n_trades, count(*) FILTER (net_sharpe < 0) AS negative_folds FROM fr GROUP BY 1, 2),"
     " fs AS (SELECT *, round(fold_mean - 0.5 * fold_std, 3) AS stability FROM fa)"
 )
 SESSIONS = "['asia', 'global', 'london', 'ny']"
 TRANSFERS = (
     f"tr AS (SELECT {SESSIONS}[(l_suppkey % 4 + 1)::INT] AS train_session, {SESSIONS}[(l_partkey % 4 + 1)::INT] AS eval_session,"
     " CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 2.0 END AS spread_mult, round(avg(l_quantity) - 25, 4) AS net_sharpe"
-    " FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2, 3)"
+    " FROM lineitem GROUP BY 1, 2, 3)"
 )
 
 SQL: dict[str, str] = {
@@ -148,11 +152,15 @@ SQL: dict[str, str] = {
         DIRTY,
     ),
     "cleaning_summary": q(
-        "SELECT pair, count(*) AS n_rows, count(*) FILTER (open IS NULL) AS missing_open, count(*) FILTER (high IS NULL) AS missing_high,"
-        " count(*) FILTER (low IS NULL) AS missing_low, count(*) FILTER (close IS NULL) AS missing_close, count(*) - count(DISTINCT ts) AS duplicate_ts,"
-        f" count(*) FILTER ({BAD}) AS invalid_ohlc, bool_and(volume = 0) AS all_zero_volume, min(ts) AS first_ts, max(ts) AS last_ts FROM x GROUP BY 1",
+        "SELECT pair, rows_before, missing_ohlc_rows_before, duplicate_timestamps_before, invalid_ohlc_rows_before, volume_all_zero, start_before, end_before,"
+        " coalesce(rows_after, 0)::BIGINT AS rows_after, start_after, end_after, coalesce(dd, 0)::BIGINT AS days_dropped_low_coverage, coalesce(dr, 0)::BIGINT AS rows_removed_low_coverage_days,"
+        " rows_before - coalesce(rows_after, 0)::BIGINT AS rows_removed_total, (rows_before - coalesce(rows_after, 0)) / rows_before AS pct_rows_removed_total, 18 AS min_obs_day_threshold FROM h LEFT JOIN k USING (pair) LEFT JOIN p USING (pair)",
         DIRTY,
         "x AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE n % 50 = 0)",
+        "h AS (SELECT pair, count(*) AS rows_before, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS missing_ohlc_rows_before, count(*) - count(DISTINCT ts) AS duplicate_timestamps_before,"
+        f" count(*) FILTER ({BAD}) AS invalid_ohlc_rows_before, bool_and(volume = 0) AS volume_all_zero, min(ts) AS start_before, max(ts) AS end_before FROM x GROUP BY 1)",
+        f"u AS (SELECT DISTINCT ON (pair, ts) * FROM x WHERE close IS NOT NULL), g AS (SELECT *, count(*) OVER (PARTITION BY pair, ts::DATE) AS c FROM u WHERE NOT {BAD})",
+        "k AS (SELECT pair, count(*) AS rows_after, min(ts) AS start_after, max(ts) AS end_after FROM g WHERE c >= 18 GROUP BY 1), p AS (SELECT pair, count(DISTINCT ts::DATE) AS dd, count(*) AS dr FROM g WHERE c < 18 GROUP BY 1)",
     ),
     "dedupe_first": q(
         "SELECT pair, ts, close, event_id FROM (SELECT *, row_number() OVER (PARTITION BY pair, floor(epoch(ts) / 1800) ORDER BY ts, event_id) AS n FROM t) WHERE n = 1"
@@ -179,11 +187,14 @@ SQL: dict[str, str] = {
         RET,
     ),
     "hourly_stats": q(
-        "SELECT pair, hour(ts)::INT AS hour, round(avg(high - low), 6) AS mean_range, round(avg(volume), 6) AS mean_volume, count(*) AS n FROM b GROUP BY 1, 2"
+        "SELECT pair, hour(ts)::INT AS hour, round(avg(high - low), 6) AS mean_range, round(median(high - low), 6) AS median_range,"
+        " round(avg(abs(ret)), 6) AS mean_abs_ret, round(avg(volume), 6) AS mean_volume, count(*) AS n FROM r GROUP BY 1, 2",
+        RET,
     ),
     "overview": q(
-        f"SELECT pair, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS duplicate_ts, count(*) FILTER ({BAD}) AS invalid_ohlc,"
-        " count(*) FILTER (volume = 0) AS zero_volume, count(DISTINCT ts::DATE) AS days, min(ts) AS first_ts, max(ts) AS last_ts FROM b GROUP BY 1"
+        f"SELECT pair, count(*) AS n_rows, count(*) - count(DISTINCT ts) AS duplicate_ts, {', '.join(f'count(*) FILTER ({c} IS NULL) AS missing_{c}' for c in ('open', 'high', 'low', 'close', 'volume'))},"
+        f" count(*) FILTER ({BAD}) AS invalid_ohlc, count(*) FILTER (volume = 0) AS zero_volume, min(ts) AS first_ts, max(ts) AS last_ts FROM d GROUP BY 1",
+        DIRTY,
     ),
     "distribution_summary": q(
         "SELECT pair, metric, count(*) AS n, " + ", ".join(
@@ -206,16 +217,23 @@ SQL: dict[str, str] = {
         WIDE,
     ),
     "quality_summary": q(
-        "SELECT j.pair, extreme_jumps, n_rows, days, low_coverage_days FROM (SELECT pair, count(*) FILTER (abs(ret) > 3 * sd) AS extreme_jumps, count(*) AS n_rows"
-        " FROM r JOIN (SELECT pair, stddev_samp(ret) AS sd FROM r GROUP BY 1) USING (pair) GROUP BY 1) j JOIN (SELECT pair, count(*) AS days,"
-        " count(*) FILTER (n / 24 < 0.5) AS low_coverage_days FROM (SELECT pair, ts::DATE AS d, count(*) AS n FROM b GROUP BY 1, 2) GROUP BY 1) USING (pair)",
-        RET,
+        "SELECT pair, duplicate_timestamps, missing_core_ohlc_rows, invalid_ohlc_rows, extreme_jump_rows, low_coverage_days, 3.0::DOUBLE AS extreme_jump_std_multiplier, 0.5::DOUBLE AS low_coverage_threshold FROM"
+        " (SELECT pair, count(*) - count(DISTINCT ts) AS duplicate_timestamps, count(*) FILTER (open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS missing_core_ohlc_rows,"
+        f" count(*) FILTER ({BAD}) AS invalid_ohlc_rows, count(*) FILTER (sd > 0 AND abs(ret) > 3 * sd) AS extreme_jump_rows FROM r JOIN (SELECT pair, stddev_samp(ret) AS sd FROM r GROUP BY 1) USING (pair) GROUP BY 1)"
+        " JOIN (SELECT pair, count(*) FILTER (n / 24 < 0.5) AS low_coverage_days FROM (SELECT pair, ts::DATE AS d, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1) USING (pair)",
+        DIRTY, f"r AS (SELECT *, {ret(1)} AS ret FROM d)",
     ),
     "inspect_days": q(
-        "SELECT pair, min(n) AS min_per_day, max(n) AS max_per_day, median(n) AS median_per_day, count(*) FILTER (n < 24) AS short_days"
-        " FROM (SELECT pair, ts::DATE AS d, count(*) AS n FROM b GROUP BY 1, 2) GROUP BY 1"
+        "SELECT * FROM (SELECT pair, count(*) AS n_rows, count(*) FILTER (ts IS NULL) AS null_ts, count(*) FILTER (open IS NULL) AS null_open, count(*) FILTER (close IS NULL) AS null_close,"
+        f" count(*) - count(DISTINCT ts) AS duplicate_ts, count(*) FILTER ({BAD}) AS invalid_ohlc, count(*) FILTER (volume = 0) AS zero_volume FROM d GROUP BY 1)"
+        " JOIN (SELECT pair, min(n) AS min_per_day, max(n) AS max_per_day, median(n) AS median_per_day, count(*) FILTER (n < 24) AS short_days"
+        " FROM (SELECT pair, ts::DATE AS d, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY 1) USING (pair)",
+        DIRTY,
+    ),
+    "histogram": q(
+        "SELECT pair, CASE WHEN hi > lo THEN least(floor((close - lo) * 64 / (hi - lo)), 63) ELSE 0 END::INT AS bin, count(*) AS n FROM t JOIN (SELECT pair, min(close) AS lo, max(close) AS hi FROM t GROUP BY 1) USING (pair) GROUP BY 1, 2",
+        base=TICKS,
     ),
-    "histogram": q("SELECT pair, least(floor(close / 8), 63)::INT AS bin, count(*) AS n FROM t WHERE close BETWEEN 0 AND 512 GROUP BY 1, 2", base=TICKS),
     "time_features": q(
         "SELECT pair, ts, hour(ts)::INT AS hour, ((dayofweek(ts) + 6) % 7)::INT AS day_of_week, (hour(ts) * 60 + minute(ts))::INT AS minute_of_day,"
         " (hour(ts) BETWEEN 13 AND 15)::TINYINT AS is_overlap_session, (ts::DATE = last_day(ts))::TINYINT AS is_month_end,"
@@ -256,6 +274,19 @@ SQL: dict[str, str] = {
     "aligned_returns": q("SELECT * FROM wide", WIDE),
     "forward_label": q("SELECT pair, ts, f AS future_ret_5, label::TINYINT AS label FROM l", LABELLED),
     "label_distribution": q("SELECT pair, label, count(*) AS n FROM l GROUP BY 1, 2", LABELLED),
+    "label_summary": q(
+        "SELECT pair, count(*) AS rows_before, count(f15) AS rows_after, count(*) - count(f15) AS rows_removed_tail, 5 AS horizon_primary, 0.25::DOUBLE AS threshold_primary, 15 AS horizon_secondary, 0.5::DOUBLE AS threshold_secondary, "
+        + ", ".join(
+            f"count(*) FILTER (f15 IS NOT NULL AND {x}) AS {n}_{k}_count"
+            for n, f, t in (("primary", "f5", 0.25), ("secondary", "f15", 0.5))
+            for k, x in (("long", f"{f} > {t}"), ("short", f"{f} < -{t}"), ("no_trade", f"{f} BETWEEN -{t} AND {t}"), ("nan", f"{f} IS NULL"))
+        )
+        + " FROM x GROUP BY 1",
+        f"x AS (SELECT *, lead(close, 5) {W} / nullif(close, 0) - 1 AS f5, lead(close, 15) {W} / nullif(close, 0) - 1 AS f15 FROM b)",
+    ),
+    "feature_summary": q(
+        "SELECT pair, count(*) AS rows_before, greatest(count(*) - 29, 0) AS rows_after, least(count(*), 29) AS rows_removed, 9 AS num_total_columns, 2 AS num_feature_columns FROM b GROUP BY 1"
+    ),
     "session_label_distribution": q("SELECT session, label, count(*) AS n FROM l GROUP BY 1, 2", LABELLED),
     "class_weights": q(
         "SELECT pair, label, n, round(sum(n) OVER (PARTITION BY pair) / (3 * n + 1e-8), 6) AS weight FROM (SELECT pair, label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY 1, 2)",
@@ -268,6 +299,21 @@ SQL: dict[str, str] = {
         + ", round(avg((session = 'Asia')::INT) * 100, 6) AS pct_asia, min(ts) AS first_ts, max(ts) AS last_ts FROM sp GROUP BY 1, 2",
         LABELLED, SPLIT.format(src="l"),
     ),
+    "split_manifest": q(
+        "SELECT pair, count(*) AS total_rows, "
+        + ", ".join(
+            f"count(*) FILTER (split = '{s}') AS {s}_rows, min(ts) FILTER (split = '{s}') AS {s}_start, max(ts) FILTER (split = '{s}') AS {s}_end, "
+            + ", ".join(f"round(avg((label = {v})::INT) FILTER (split = '{s}') * 100, 6) AS {s}_{n}_pct" for n, v in (("long", 1), ("flat", 0), ("short", -1)))
+            for s in ("train", "val", "test")
+        )
+        + ", '2024-01-15 23:59:59' AS configured_train_end, '2024-01-22 23:59:59' AS configured_val_end, 15 AS purge_rows FROM sp GROUP BY 1",
+        LABELLED, SPLIT.format(src="l"),
+    ),
+    "session_training": q(
+        "SELECT pair, train_set, count(*) AS n FROM sp, (VALUES ('global', ['Asia', 'London', 'Overlap', 'New_York']), ('london', ['London', 'Overlap']), ('ny', ['New_York', 'Overlap']), ('asia', ['Asia'])) v(train_set, labels)"
+        " WHERE split = 'train' AND list_contains(labels, session) GROUP BY 1, 2",
+        LABELLED, SPLIT.format(src="l"),
+    ),
     "date_window": q("SELECT pair, ts, close FROM b WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-09 23:59:59'"),
     "scaler_stats": q(
         " UNION ALL ".join(
@@ -374,9 +420,9 @@ SQL: dict[str, str] = {
         base=TRANSFERS,
     ),
     "breakeven": (
-        "WITH r AS (SELECT l_partkey % 40 AS run, CASE l_linenumber WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 2.0 END::DOUBLE AS m, round(avg(l_quantity) - 25.5, 4) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),"
+        "WITH r AS (SELECT l_partkey % 40 AS run, CASE l_linenumber WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 2.0 END::DOUBLE AS m, round(avg(CASE WHEN l_partkey % 20 = 3 AND l_linenumber <= 2 OR l_partkey % 20 = 4 AND l_linenumber > 1 THEN 0.0 ELSE l_quantity - 25.5 END), 4) AS v FROM lineitem GROUP BY 1, 2),"
         " d AS (SELECT *, lead(m) OVER w AS m2, lead(v) OVER w AS v2 FROM r WINDOW w AS (PARTITION BY run ORDER BY m)),"
-        " g AS (SELECT run, count(*) AS n, arg_min(round(m + (0 - v) * (m2 - m) / (v2 - v), 2), m) FILTER (v * v2 <= 0 AND v != v2) AS z, min(v) AS lo, max(v) FILTER (m = 1.0) AS at_one FROM d GROUP BY 1)"
+        " g AS (SELECT run, count(*) AS n, arg_min(round(m - v * (m2 - m) / CASE WHEN v2 = v THEN 1 ELSE v2 - v END, 2), m) FILTER (v * v2 <= 0) AS z, min(v) AS lo, max(v) FILTER (m = 1.0) AS at_one FROM d GROUP BY 1)"
         " SELECT run, CASE WHEN z IS NOT NULL THEN printf('%.2f', z) WHEN lo >= 0 THEN '>2.0' ELSE '<0.5' END AS breakeven, at_one FROM g WHERE n >= 2"
     ),
     "dm_test": q(
@@ -415,11 +461,12 @@ SQL: dict[str, str] = {
         " SELECT CASE WHEN nb IS NULL THEN 'MISSING_FILE' WHEN nb = 0 THEN 'NO_DATA_IN_WINDOW' WHEN 20 >= nb THEN 'SKIP_WARMUP_GT_DATA' WHEN o_orderkey % 5 = 0 THEN 'ZERO_SIGNALS' WHEN o_custkey % 3 = 0 THEN 'ZERO_TRADES' ELSE 'OK' END AS status, count(*) AS n FROM x GROUP BY 1"
     ),
     "spec_flags": (
-        "WITH x AS (SELECT CASE WHEN l_linenumber % 3 != 0 THEN l_quantity END AS tp, CASE WHEN l_linenumber % 4 != 0 THEN l_quantity / 2 END AS sl FROM lineitem WHERE l_orderkey % 10 = 0)"
+        "WITH x AS (SELECT CASE WHEN l_linenumber % 3 != 0 THEN l_quantity END AS tp, CASE WHEN l_linenumber % 4 != 0 THEN l_quantity / 2 END AS sl FROM lineitem)"
         " SELECT concat_ws('|', CASE WHEN (tp IS NULL) != (sl IS NULL) THEN 'PARTIAL_TP_SL' END, CASE WHEN tp <= 10 THEN 'TP_LE_SPREAD' END, CASE WHEN sl <= 10 THEN 'SL_LE_SPREAD' END) AS flags, count(*) AS n FROM x GROUP BY 1"
     ),
     "model_codes": (
-        "SELECT * FROM (VALUES ('eurusd-lr-gl', 'EURUSD', 'LR', 'global'), ('usdjpy-lstm-ny', 'USDJPY', 'LSTM', 'ny'), ('audusd-lr', 'AUDUSD', 'LR', NULL), ('gbpusd-xx-as', 'GBPUSD', NULL, 'asia')) v(code, pair, type, session)"
+        "SELECT * FROM (VALUES ('eurusd-lr-gl', 'EURUSD', 'LR', 'global'), ('usdjpy-lstm-ny', 'USDJPY', 'LSTM', 'ny'), ('EURUSD-LR-LDN', 'EURUSD', 'LR', 'london'), ('audusd-lr', NULL, NULL, NULL), ('gbpusd-xx-as', 'GBPUSD', NULL, 'asia'),"
+        " ('eurusd-lr-lo', 'EURUSD', 'LR', NULL), ('abcdef-lr-gl', NULL, 'LR', 'global'), ('', NULL, NULL, NULL), ('a-b-c-d', NULL, NULL, NULL)) v(code, pair, type, session)"
     ),
     "in_domain_vs_rest": q(
         "SELECT ts, max(ret) FILTER (pair = 'click') AS own, round(avg(ret) FILTER (pair != 'click'), 6) AS rest FROM r WHERE ret IS NOT NULL GROUP BY 1", RET
@@ -434,19 +481,32 @@ SQL: dict[str, str] = {
     ),
 }
 
-# The trade simulator: a fold over rows that carries the open trade.
-_VARIANTS = "(0, 20.0, 10.0, 24), (1, NULL, NULL, NULL)"
-SQL["trade_sim"] = (
-    f"WITH RECURSIVE {BARS}, {momentum(24)}, {positions()}, v(variant, tp, sl, mh) AS (VALUES {_VARIANTS}),"
-    " z(pair, variant, i, side, entry, since, xs, xe, xa, why) AS (SELECT pair, variant, 1::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT pair FROM pos), v"
-    " UNION ALL SELECT pair, variant, i, CASE WHEN why IS NOT NULL OR side = 0 THEN p ELSE side END, CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN c ELSE entry END,"
-    " CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN i - 1 ELSE since END, side, entry, since, why FROM ("
-    " SELECT z.pair, z.variant, s.rn AS i, z.side, z.entry, z.since, s.position AS p, s.close AS c,"
-    " CASE WHEN z.side = 0 THEN NULL WHEN tp IS NOT NULL AND z.side * (s.close - z.entry) >= tp THEN 'TP' WHEN sl IS NOT NULL AND z.side * (s.close - z.entry) <= -sl THEN 'SL'"
-    " WHEN mh IS NOT NULL AND s.rn - 1 - z.since >= mh THEN 'MAX_HOLD' WHEN s.position = -z.side THEN 'SIGNAL_FLIP' END AS why"
-    " FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i + 1 JOIN v ON v.variant = z.variant))"
-    " SELECT z.pair, z.variant::INT AS variant, xa::INT AS entry_bar, (i - 1)::INT AS exit_bar, (i - 1 - xa)::INT AS bars_held, xs::INT AS direction, round(xe, 6) AS entry_price, round(s.close, 6) AS exit_price,"
-    " round(round((xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0)) * 100, 6) + 1e-9, 4) AS pnl_pct, why AS exit_reason FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL"
+# The trade simulator: a fold over rows that carries the open trade.  ``pos`` holds bars
+# with position and row number rn per key, ``v`` the settings.
+def simulator(keys: str) -> str:
+    k, same = keys.split(", "), " AND ".join(f"s.{x} = z.{x}" for x in keys.split(", "))
+    mine = ", ".join(f"z.{x}" for x in k)
+    return (
+        f"z({keys}, variant, i, side, entry, since, xs, xe, xa, why) AS (SELECT {keys}, variant, 1::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, 0, 0.0::DOUBLE, 0::BIGINT, NULL::VARCHAR FROM (SELECT DISTINCT {keys} FROM pos), v"
+        f" UNION ALL SELECT {keys}, variant, i, CASE WHEN why IS NOT NULL OR side = 0 THEN p ELSE side END, CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN c ELSE entry END,"
+        " CASE WHEN (why IS NOT NULL OR side = 0) AND p != 0 THEN i - 1 ELSE since END, side, entry, since, why FROM ("
+        f" SELECT {mine}, z.variant, s.rn AS i, z.side, z.entry, z.since, s.position AS p, s.close AS c,"
+        " CASE WHEN z.side = 0 THEN NULL WHEN tp IS NOT NULL AND z.side * (s.close - z.entry) >= tp THEN 'TP' WHEN sl IS NOT NULL AND z.side * (s.close - z.entry) <= -sl THEN 'SL'"
+        " WHEN mh IS NOT NULL AND s.rn - 1 - z.since >= mh THEN 'MAX_HOLD' WHEN s.position = -z.side THEN 'SIGNAL_FLIP' END AS why"
+        f" FROM z JOIN pos s ON {same} AND s.rn = z.i + 1 JOIN v ON v.variant = z.variant)),"
+        # a trade that is open after the last row closes there
+        f" ended AS (SELECT {keys}, max(rn) AS n FROM pos GROUP BY {keys}),"
+        f" closed AS (SELECT {keys}, variant, i, xs, xe, xa, why FROM z WHERE why IS NOT NULL UNION ALL"
+        f" SELECT {keys}, variant, i, side, entry, since, 'END_OF_DATA' FROM z JOIN ended USING ({keys}) WHERE i = n AND side != 0),"
+        f" trades AS (SELECT {mine}, z.variant::INT AS variant, i, xa::INT AS entry_bar, (i - 1)::INT AS exit_bar, (i - 1 - xa)::INT AS bars_held, xs::INT AS direction, round(xe, 6) AS entry_price, round(s.close, 6) AS exit_price,"
+        " xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0) AS net, why AS exit_reason FROM closed z"
+        f" JOIN pos s ON {same} AND s.rn = z.i)"
+    )
+
+
+SIMULATED = f"WITH RECURSIVE {BARS}, {momentum(24)}, {positions()}, v(variant, tp, sl, mh) AS (VALUES (0, 20.0, 10.0, 24), (1, NULL, NULL, NULL)), {simulator('pair')}"
+SQL["trade_sim"] = SIMULATED + (
+    " SELECT pair, variant, entry_bar, exit_bar, bars_held, direction, entry_price, exit_price, round(round(net * 100, 6) + 1e-9, 4) AS pnl_pct, exit_reason FROM trades"
 )
 
 SQL["set_operations"] = (
@@ -465,12 +525,116 @@ SQL["set_operations"] = (
 SQL["deterministic_sample"] = "SELECT o_orderkey, o_custkey FROM orders WHERE substr(md5(o_orderkey::VARCHAR), 1, 2) = '00'"
 
 # Realised equity: the running product over closed trades, in the order of their exits.
-SQL["curve_metrics"] = SQL["trade_sim"].split(" SELECT z.pair, z.variant::INT")[0] + (
-    ", tr AS (SELECT z.pair, i, 1 + xs * (s.close - xe) / nullif(xe, 0) - 0.5 / nullif(xe, 0) AS g FROM z JOIN pos s ON s.pair = z.pair AND s.rn = z.i WHERE why IS NOT NULL AND z.variant = 0),"
-    " eq AS (SELECT pair, i, product(g) OVER (PARTITION BY pair ORDER BY i) AS e FROM tr UNION ALL SELECT DISTINCT pair, 0, 1.0 FROM pos),"
+SQL["curve_metrics"] = SIMULATED + (
+    ", eq AS (SELECT pair, i, product(1 + net) OVER (PARTITION BY pair ORDER BY i) AS e FROM trades WHERE variant = 0 AND exit_reason != 'END_OF_DATA' UNION ALL SELECT DISTINCT pair, 0, 1.0 FROM pos),"
     " pk AS (SELECT *, max(e) OVER (PARTITION BY pair ORDER BY i) AS p FROM eq),"
     " m AS (SELECT pair, arg_max(e, i) - 1 AS total, min((e - p) / p) AS dd FROM pk GROUP BY 1)"
     " SELECT m.pair, round(turnover, 6) AS turnover, sign(total) * round(log10(1 + abs(total)), 6) AS log_total_return, sign(dd) * round(log10(1 + abs(dd)), 6) AS log_max_drawdown,"
     " coalesce(sign(CASE WHEN dd < 0 THEN total / abs(dd) END) * round(log10(1 + abs(CASE WHEN dd < 0 THEN total / abs(dd) END)), 6), 0) AS log_calmar"
     " FROM m JOIN (SELECT pair, avg((position != 0)::INT) AS turnover FROM pos GROUP BY 1) USING (pair)"
 )
+
+# Diebold-Mariano of all pairs of instruments; p by Simpson's rule.
+SQL["dm_p_value"] = q(
+    "SELECT comparison, a, b, n, round(stat, 3) AS stat, round(CASE WHEN stat IS NULL THEN 1 ELSE greatest(0, 1 - 2 * exp(lgamma((d + 1) / 2) - lgamma(d / 2)) / sqrt(d * pi()) * area) END, 3) AS p FROM"
+    " (SELECT x.*, (SELECT sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(k * t / 2000, 2) / d, -(d + 1) / 2)) * t / 2000 / 3 FROM range(2001) g(k)) AS area FROM x)",
+    RET,
+    "y AS (SELECT l.pair || '_vs_' || r2.pair AS comparison, l.pair AS a, r2.pair AS b, -l.ret + r2.ret AS v FROM r l JOIN r r2 USING (ts) WHERE l.pair < r2.pair AND l.ret IS NOT NULL AND r2.ret IS NOT NULL),"
+    " x0 AS (SELECT comparison, a, b, count(*) AS n, CASE WHEN count(*) >= 10 AND var_samp(v) > 0 THEN round(avg(v) / sqrt(var_samp(v) / count(*)), 4) END AS stat FROM y GROUP BY 1, 2, 3),"
+    " x AS (SELECT *, (n - 1)::DOUBLE AS d, least(abs(stat), 40) AS t FROM x0)",
+)
+
+# All registered strategies: averages by recursion, crossings, cooldown, masks, trades.
+_EDGE = (
+    "CASE WHEN i <= warm THEN 0 WHEN {o} AND NOT lag({o}, 1, false) OVER w THEN 1 WHEN {u} AND {was} THEN -1 ELSE 0 END::INT"
+)
+_REGISTERED = [  # name, family, warm-up, cooldown
+    ("MACrossover_f20_s50_EMA", "trend", 50, 60), ("MACrossover_f50_s200_EMA", "trend", 200, 30), ("MACrossover_f20_s50_SMA", "trend", 50, 60),
+    ("Momentum_lb60", "momentum", 60, 60), ("Momentum_lb120", "momentum", 120, 30), ("Donchian_p20", "breakout", 20, 60), ("Donchian_p55", "breakout", 55, 30),
+    ("RSI_p14_os30_ob70", "mean_reversion", 14, 60), ("RSI_p14_os20_ob80", "mean_reversion", 14, 30), ("BB_p20_std2_0", "mean_reversion", 20, 60),
+    ("BB_p60_std2_0", "mean_reversion", 60, 30), ("MACD_f26_s65_sig9", "trend", 73, 60), ("MACD_f78_s195_sig13", "trend", 207, 30),
+]
+
+
+_HOURS = {None: "true", "london": "hour(ts) >= 7 AND hour(ts) < 16", "ny": "hour(ts) >= 13 AND hour(ts) < 22"}
+_ONLY = {"both": "signal", "long_only": "greatest(signal, 0)", "short_only": "least(signal, 0)"}
+
+
+def _above(name: str, src: str, cond: str, warm: int) -> str:
+    return f"SELECT '{name}' AS strategy, pair, ts, i, coalesce({cond}, false) AS o, {warm} AS warm FROM {src}"
+
+
+def _channel(name: str, n: int, top: str, bottom: str, since: int) -> str:
+    return (
+        f"SELECT '{name}' AS strategy, pair, ts, i, i > {since} AND coalesce(close > {top}, false) AS o, i > {since} AND coalesce(close < {bottom}, false) AS u, {n} AS warm FROM"
+        f" (SELECT *, max(high) {over(n, '1 PRECEDING')} AS hi, min(low) {over(n, '1 PRECEDING')} AS lo, {full('avg', 'close', n)} AS m, {full('stddev_samp', 'close', n)} AS sd FROM s)"
+    )
+
+
+def sweep_sql(sessions: list[str | None], directions: list[str], body: str) -> str:
+    of = "PARTITION BY strategy, pair ORDER BY ts"
+    known = ", ".join(f"('{n}', '{f}', {k}, {wu}, {cd})" for k, (n, f, wu, cd) in enumerate(_REGISTERED))
+    above = " UNION ALL ".join([
+        _above("MACrossover_f20_s50_EMA", "z1", "e0 > e1", 49), _above("MACrossover_f50_s200_EMA", "z1", "e1 > e2", 199),
+        _above("MACrossover_f20_s50_SMA", f"(SELECT *, {full('avg', 'close', 20)} AS f, {full('avg', 'close', 50)} AS sl FROM s)", "f > sl", 49),
+        _above("MACD_f26_s65_sig9", "z2", "e3 - e4 > a", 73), _above("MACD_f78_s195_sig13", "z2", "e5 - e6 > b", 207),
+    ])
+    channels = " UNION ALL ".join([
+        _channel("Donchian_p20", 20, "hi", "lo", 20), _channel("Donchian_p55", 55, "hi", "lo", 55),
+        _channel("BB_p20_std2_0", 20, "m + 2 * sd", "m - 2 * sd", 0), _channel("BB_p60_std2_0", 60, "m + 2 * sd", "m - 2 * sd", 0),
+    ])
+    level = " UNION ALL ".join(
+        f"SELECT 'Momentum_lb{n}' AS strategy, pair, ts, i, CASE WHEN i <= {n} THEN 0 WHEN close > max(close) {over(n, '1 PRECEDING')} THEN 1 WHEN close < min(close) {over(n, '1 PRECEDING')} THEN -1 ELSE 0 END::INT AS raw FROM s"
+        for n in (60, 120)
+    )
+    rsi = " UNION ALL ".join(
+        f"SELECT 'RSI_p14_os{lo}_ob{hi}' AS strategy, pair, ts, i, CASE WHEN i <= 14 THEN 0 WHEN l <= {lo} AND r > {lo} THEN 1 WHEN l >= {hi} AND r < {hi} THEN -1 ELSE 0 END::INT AS raw"
+        f" FROM (SELECT *, coalesce(rsi, 50) AS r, lag(coalesce(rsi, 50)) {W} AS l FROM rs)"
+        for lo, hi in ((30, 70), (20, 80))
+    )
+    masks = " UNION ALL ".join(
+        f"SELECT strategy, pair, {'NULL' if s is None else repr(s)}::VARCHAR AS session, '{d}' AS direction, ts, i, close, "
+        + f"CASE WHEN {_HOURS[s]} THEN {_ONLY[d]} ELSE 0 END::INT AS signal FROM sig"
+        for s in sessions
+        for d in directions
+    )
+    return (
+        f"WITH RECURSIVE {BARS}, {NUMBERED}, {ewm_sql([20, 50, 200, 26, 65, 78, 195], 'e7')},"
+        " zz(pair, i, a, b) AS (SELECT pair, i, e3 - e4, e5 - e6 FROM e7 WHERE i = 1 UNION ALL SELECT e7.pair, e7.i, zz.a + (e3 - e4 - zz.a) * (2.0::DOUBLE / 10), zz.b + (e5 - e6 - zz.b) * (2.0::DOUBLE / 14)"
+        " FROM zz JOIN e7 ON e7.pair = zz.pair AND e7.i = zz.i + 1),"
+        f" z1 AS (SELECT s.ts, e7.* FROM s JOIN e7 USING (pair, i)), z2 AS (SELECT z1.*, zz.a, zz.b FROM z1 JOIN zz USING (pair, i)),"
+        f" {WILDER},"
+        f" known(strategy, family, ordinal, warmup, cooldown) AS (VALUES {known}), up AS ({above}), ch AS ({channels}),"
+        f" raw AS (SELECT strategy, pair, ts, i, {_EDGE.format(o='o', u='NOT o', was='lag(o, 1, true) OVER w')} AS raw FROM up WINDOW w AS ({of})"
+        f" UNION ALL SELECT strategy, pair, ts, i, {_EDGE.format(o='o', u='u', was='NOT lag(u, 1, false) OVER w')} FROM ch WINDOW w AS ({of}) UNION ALL {level} UNION ALL {rsi}),"
+        " cd(strategy, pair, i, signal, free) AS (SELECT strategy, pair, i, raw, CASE WHEN raw != 0 THEN i + cooldown + 1 ELSE 0 END FROM raw JOIN known USING (strategy) WHERE i = 1 UNION ALL"
+        " SELECT r.strategy, r.pair, r.i, CASE WHEN r.i >= cd.free THEN r.raw ELSE 0 END, CASE WHEN r.raw != 0 AND r.i >= cd.free THEN r.i + cooldown + 1 ELSE cd.free END"
+        " FROM cd JOIN raw r ON r.strategy = cd.strategy AND r.pair = cd.pair AND r.i = cd.i + 1 JOIN known k ON k.strategy = r.strategy),"
+        " sig AS (SELECT cd.strategy, cd.pair, s.ts, cd.i, s.close, cd.signal FROM cd JOIN s USING (pair, i)),"
+        f" masked AS (SELECT *, concat_ws('|', strategy, pair, coalesce(session, '-'), direction) AS run FROM ({masks})),"
+        " p0 AS (SELECT *, coalesce(last_value(nullif(signal, 0) IGNORE NULLS) OVER (PARTITION BY run ORDER BY i), 0) AS held FROM masked),"
+        " pos AS (SELECT run, i AS rn, close, signal, lag(held, 1, 0) OVER (PARTITION BY run ORDER BY i)::INT AS position FROM p0),"
+        f" v(variant, tp, sl, mh) AS (VALUES (0, NULL, NULL, 24)), {simulator('run')},"
+        " pnl AS (SELECT run, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
+        " m AS (SELECT run, count(*) AS n_trades, avg(h) AS held, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe FROM pnl GROUP BY 1),"
+        " d AS (SELECT run, strategy, pair, session, direction, count(*) AS n, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short, count(*) FILTER (signal = 0) AS n_flat FROM masked GROUP BY ALL),"
+        " any_signal AS (SELECT strategy, pair, bool_or(signal != 0) AS signals FROM sig GROUP BY 1, 2),"
+        " runs AS (SELECT d.*, family, ordinal, CASE WHEN d.n <= warmup THEN 'SKIP_WARMUP_GT_DATA' WHEN NOT signals THEN 'ZERO_SIGNALS' WHEN m.n_trades IS NULL THEN 'ZERO_TRADES' ELSE 'OK' END AS status,"
+        " coalesce(m.n_trades, 0) AS n_trades, coalesce(held, 0) AS held, coalesce(sharpe, 0) AS net_sharpe FROM d JOIN known USING (strategy) JOIN any_signal USING (strategy, pair) LEFT JOIN m USING (run))"
+        f" {body}"
+    )
+
+
+_RAN = "status IN ('OK', 'ZERO_TRADES')"
+SQL["variant_sweep"] = sweep_sql(
+    [None, "london", "ny"], ["both", "long_only", "short_only"],
+    "SELECT pair, strategy, session, direction, status, " + ", ".join(f"CASE WHEN {_RAN} THEN {c} END AS {c}" for c in ("n_trades", "n_long", "n_short", "n_flat"))
+    + f", CASE WHEN {_RAN} THEN round(net_sharpe, 4) END AS net_sharpe, CASE WHEN {_RAN} THEN round(held, 6) END AS avg_trade_bars FROM runs",
+)
+SQL["tier1_survivors"] = sweep_sql(
+    [None], ["both"],
+    f", sc AS (SELECT * FROM runs WHERE {_RAN}), k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY net_sharpe DESC, ordinal) AS r, count(*) OVER (PARTITION BY pair) AS c FROM sc WHERE net_sharpe > 0),"
+    " kept AS (SELECT pair, strategy, family FROM k WHERE r <= greatest(1, floor(0.4 * c))),"
+    " lacking AS (SELECT sc.* FROM sc LEFT JOIN (SELECT DISTINCT pair, family, true AS there FROM kept) USING (pair, family) WHERE there IS NULL)"
+    " SELECT pair, strategy FROM kept UNION ALL SELECT pair, strategy FROM (SELECT *, row_number() OVER (PARTITION BY pair, family ORDER BY net_sharpe DESC, ordinal) AS place FROM lacking) WHERE place = 1",
+)

@@ -92,7 +92,7 @@ def clean_bars(spark, sf):
 def cleaning_summary(spark, sf):
     d = dirty_bars(spark, sf)
     d = d.unionByName(d.filter("n % 50 = 0"))
-    return clean.summary(d, KEY, "ts")
+    return clean.summary(d, clean.clean(d, 18, KEY, "ts", ["n"]), 18, KEY, "ts", ["n"])
 
 
 @query
@@ -135,8 +135,7 @@ def monthly_coverage(spark, sf):
 
 @query
 def year_month_counts(spark, sf):
-    b = bars(spark, sf)
-    return b.groupBy("pair", F.year("ts").alias("year"), F.month("ts").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return eda.year_month_counts(bars(spark, sf), KEY, "ts")
 
 
 def _session(df):
@@ -145,37 +144,21 @@ def _session(df):
 
 @query
 def session_stats(spark, sf):
-    b = _session(bars(spark, sf)).withColumn("rng", F.col("high") - F.col("low"))
-    b = b.withColumn("abs_ret", F.abs(W.simple_return("close", 1, w())))
-    return b.groupBy("pair", "session").agg(
-        r6(F.avg("rng")).alias("mean_range"),
-        r6(F.median("rng")).alias("median_range"),
-        r6(F.avg("abs_ret")).alias("mean_abs_ret"),
-        r6(F.avg("volume")).alias("mean_volume"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    b = _session(bars(spark, sf)).withColumn("ret", W.simple_return("close", 1, w()))
+    s = eda.range_stats(b, ["pair", "session"])
+    return s.select("pair", "session", "n", *[r6(c).alias(c) for c in s.columns[2:-1]])
 
 
 @query
 def hourly_stats(spark, sf):
-    b = bars(spark, sf).withColumn("rng", F.col("high") - F.col("low"))
-    return b.groupBy("pair", F.hour("ts").alias("hour")).agg(
-        r6(F.avg("rng")).alias("mean_range"), r6(F.avg("volume")).alias("mean_volume"), F.count(F.lit(1)).alias("n")
-    )
+    b = bars(spark, sf).withColumns({"ret": W.simple_return("close", 1, w()), "hour": F.hour("ts")})
+    s = eda.range_stats(b, ["pair", "hour"])
+    return s.select("pair", "hour", "n", *[r6(c).alias(c) for c in s.columns[2:-1]])
 
 
 @query
 def overview(spark, sf):
-    b = bars(spark, sf)
-    return b.groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        clean.duplicate_count("ts").alias("duplicate_ts"),
-        F.count_if(clean.invalid_ohlc()).alias("invalid_ohlc"),
-        F.count_if(F.col("volume") == 0).alias("zero_volume"),
-        F.countDistinct(F.to_date("ts")).alias("days"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-    )
+    return eda.overview(dirty_bars(spark, sf), KEY, "ts")
 
 
 @query
@@ -202,22 +185,18 @@ def correlation_matrix(spark, sf):
 
 @query
 def quality_summary(spark, sf):
-    b = bars(spark, sf).withColumn("ret", W.simple_return("close", 1, w()))
+    b = dirty_bars(spark, sf).withColumn("ret", W.simple_return("close", 1, w()))
     return eda.quality(b, KEY, "ret", "ts", 24, 3.0)
 
 
 @query
 def inspect_days(spark, sf):
-    d = clean.daily_counts(bars(spark, sf), KEY, "ts")
-    return d.groupBy("pair").agg(
-        F.min("n").alias("min_per_day"), F.max("n").alias("max_per_day"), F.median("n").alias("median_per_day"),
-        F.count_if(F.col("n") < 24).alias("short_days"),
-    )
+    return eda.inspect(dirty_bars(spark, sf), KEY, "ts", ["ts", "open", "close"], 24)
 
 
 @query
 def histogram(spark, sf):
-    return eda.histogram(ticks(spark, sf), "close", KEY, 0.0, 512.0, 64)
+    return eda.histogram(ticks(spark, sf), "close", KEY, 64)
 
 
 # -- features and labels ------------------------------------------------------------
@@ -314,12 +293,27 @@ def _labelled(spark, sf):
 
 @query
 def label_distribution(spark, sf):
-    return _labelled(spark, sf).groupBy("pair", "label").agg(F.count(F.lit(1)).alias("n"))
+    return eda.value_counts(_labelled(spark, sf), ["pair", "label"])
+
+
+@query
+def label_summary(spark, sf):
+    b = bars(spark, sf).withColumns({f"f{k}": W.forward_return("close", k, w()) for k in (5, 15)})
+    b = b.withColumns({f"label_{k}": S.three_way(F.col(f"f{k}"), band) for k, band in ((5, 0.25), (15, 0.5))})
+    after = b.filter("f15 is not null")
+    return eda.label_summary(b, after, KEY, {"primary": ("label_5", 5, 0.25), "secondary": ("label_15", 15, 0.5)})
+
+
+@query
+def feature_summary(spark, sf):
+    b = bars(spark, sf)
+    f = b.withColumns({f"sma_{k}": W.rolling_mean(F.col("close"), k, w()) for k in (10, 30)})
+    return eda.feature_summary(f, f.dropna(subset=["sma_30"]), KEY, b.columns)
 
 
 @query
 def session_label_distribution(spark, sf):
-    return _labelled(spark, sf).groupBy("session", "label").agg(F.count(F.lit(1)).alias("n"))
+    return eda.value_counts(_labelled(spark, sf), ["session", "label"])
 
 
 @query
@@ -363,6 +357,20 @@ def split_label_stats(spark, sf):
     )
 
 
+@query
+def split_manifest(spark, sf):
+    s = splits.fixed_split(_labelled(spark, sf), TRAIN_END, VAL_END, 15, KEY, "ts")
+    m = splits.manifest(s, KEY, "ts", 15, {"train_end": TRAIN_END, "val_end": VAL_END}, "label")
+    return m.select(*[r6(c).alias(c) if c.endswith("_pct") else F.col(c) for c in m.columns])
+
+
+@query
+def session_training(spark, sf):
+    s = splits.fixed_split(_session(bars(spark, sf)), TRAIN_END, VAL_END, 15, KEY, "ts").filter("split = 'train'")
+    sets = [df.groupBy("pair").agg(F.lit(n).alias("train_set"), F.count(F.lit(1)).alias("n")) for n, df in splits.session_training(s).items()]
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(sets[3])
+
+
 @query
 def date_window(spark, sf):
     return splits.date_window(bars(spark, sf), "ts", "2024-01-05", "2024-01-09").select("pair", "ts", "close")
@@ -475,7 +483,7 @@ VARIANTS = [
 @query
 def trade_sim(spark, sf):
     t = backtest.run_trades(_positions(spark, sf), KEY, "ts", VARIANTS)
-    return t.filter("exit_reason != 'END_OF_DATA'").select(
+    return t.select(
         "pair", "variant", "entry_bar", "exit_bar", "bars_held", "direction", "entry_price", "exit_price",
         F.round(F.col("pnl_pct") + 1e-9, 4).alias("pnl_pct"), "exit_reason",  # off ties
     )
@@ -622,16 +630,22 @@ def _fold_runs(spark, sf):
     li = read(spark, sf, "lineitem")
     return li.select(
         F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("pair"), F.concat(F.lit("S"), F.col("l_partkey") % 7).alias("strategy"),
-        (F.col("l_orderkey") % 5).cast("int").alias("fold"), "l_quantity", "l_discount",
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"), "l_quantity", "l_discount", "l_tax", "l_linenumber",
     ).groupBy("pair", "strategy", "fold").agg(
         F.round(F.avg("l_quantity") - 25.3, 4).alias("net_sharpe"), F.round(F.avg("l_discount") - 0.05, 6).alias("total_return"),
         F.count(F.lit(1)).alias("n_trades"), F.round(F.sum("l_quantity"), 2).alias("capital_final"),
+        F.round(-F.avg("l_tax"), 6).alias("max_drawdown"), F.round(F.avg("l_tax") * 30, 6).alias("calmar"), F.round(F.avg("l_discount") * 7, 6).alias("win_rate"),
+        F.round(F.avg("l_quantity") / 20, 6).alias("profit_factor"), F.round(F.avg("l_linenumber"), 6).alias("avg_trade_bars"),
+        F.round(F.avg("l_discount"), 6).alias("turnover"), F.round(F.avg("l_tax") - 0.04, 6).alias("sortino"),
+        F.round(F.max("l_quantity") / 10, 6).alias("gross_sharpe"), F.count_if(F.col("l_linenumber") == 1).alias("n_long"),
+        F.count_if(F.col("l_linenumber") == 2).alias("n_short"), F.count_if(F.col("l_linenumber") > 2).alias("n_flat"),
     )
 
 
 def _rounded_folds(spark, sf):
     f = evaluate.fold_aggregate(_fold_runs(spark, sf), ["pair", "strategy"])
-    return f.withColumns({c: r6(c) for c in ("fold_mean", "fold_std", "total_return")} | {"stability": F.round(F.col("fold_mean") - 0.5 * F.col("fold_std"), 3)})
+    means = ("fold_mean", "fold_std", *evaluate.FOLD_MEANS)
+    return f.withColumns({c: r6(c) for c in means} | {"stability": F.round(F.col("fold_mean") - 0.5 * F.col("fold_std"), 3)})
 
 
 @query
@@ -649,7 +663,7 @@ SESSIONS = ["asia", "global", "london", "ny"]
 
 def _transfers(spark, sf):
     names = F.array(*map(F.lit, SESSIONS))
-    li = read(spark, sf, "lineitem").filter("l_linenumber <= 6")
+    li = read(spark, sf, "lineitem")
     return li.groupBy(
         F.get(names, (F.col("l_suppkey") % 4).cast("int")).alias("train_session"),
         F.get(names, (F.col("l_partkey") % 4).cast("int")).alias("eval_session"),
@@ -670,10 +684,12 @@ def generalisability(spark, sf):
 
 @query
 def breakeven(spark, sf):
-    li = read(spark, sf, "lineitem").filter("l_linenumber <= 3")
+    li = read(spark, sf, "lineitem")
     mult = F.when(F.col("l_linenumber") == 1, 0.5).when(F.col("l_linenumber") == 2, 1.0).otherwise(2.0)
-    runs = li.groupBy((F.col("l_partkey") % 40).alias("run"), mult.alias("spread_mult")).agg(
-        F.round(F.avg("l_quantity") - 25.5, 4).alias("net_sharpe")
+    run = F.col("l_partkey") % 40
+    runs = li.groupBy(run.alias("run"), mult.alias("spread_mult")).agg(
+        # two runs in twenty stay at 0 from 0.5 to 1 or from 1 to 2
+        F.round(F.avg(F.when((run % 20 == 3) & (mult < 2) | (run % 20 == 4) & (mult > 0.5), 0.0).otherwise(F.col("l_quantity") - 25.5)), 4).alias("net_sharpe")
     )
     return evaluate.breakeven(runs, ["run"])
 
@@ -687,9 +703,12 @@ def dm_test(spark, sf):
 
 @query
 def dm_p_value(spark, sf):
-    """Rows only: Student's t has no SQL form."""
-    a = features.aligned_returns(bars(spark, sf), PAIRS, w()).withColumn("one", F.lit(1))
-    return evaluate.with_p_value(evaluate.dm_statistics(a, ["one"], "click", "view", 2, "ts"))
+    """Every pair of instruments, p by Student's t."""
+    b = bars(spark, sf).withColumn("r", W.simple_return("close", 1, w())).filter("r is not null")
+    names = [(x, f"{x}_vs_{y}", y) for i, x in enumerate(PAIRS) for y in PAIRS[i + 1 :]]
+    pairs = spark.createDataFrame([(1, c, x, y) for x, c, y in names], "one int, comparison string, a string, b string")
+    t = evaluate.compared(b.withColumn("one", F.lit(1)), pairs, ["one"], "pair", "ts", "r")
+    return t.select("comparison", "a", "b", "n", F.round("stat", 3).alias("stat"), F.round("p", 3).alias("p"))
 
 
 @query
@@ -757,7 +776,7 @@ def run_status(spark, sf):
 
 @query
 def spec_flags(spark, sf):
-    li = read(spark, sf, "lineitem").filter("l_orderkey % 10 = 0")
+    li = read(spark, sf, "lineitem")
     tp = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity"))
     sl = F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity") / 2)
     flags = F.concat_ws("|", evaluate.spec_flags(tp, sl, F.lit(10.0)))
@@ -766,7 +785,7 @@ def spec_flags(spark, sf):
 
 @query
 def model_codes(spark, sf):
-    codes = [("eurusd-lr-gl",), ("usdjpy-lstm-ny",), ("audusd-lr",), ("gbpusd-xx-as",)]
+    codes = [(c,) for c in ("eurusd-lr-gl", "usdjpy-lstm-ny", "EURUSD-LR-LDN", "audusd-lr", "gbpusd-xx-as", "eurusd-lr-lo", "abcdef-lr-gl", "", "a-b-c-d")]
     c = spark.createDataFrame(codes, "code string")
     return c.select("code", S.model_code(F.col("code")).alias("m")).select("code", "m.*")
 
@@ -831,15 +850,38 @@ SMALL_SET = {
 }
 
 
+def _sweep(spark, sf, sessions: list, directions: list) -> DataFrame:
+    """Runs of all registered strategies with their warm-up, family and ordinal."""
+    from tidemark.plans import master
+
+    registry = strategies.REGISTRY
+    rows = [(n, s.family, k, s.warmup) for k, (n, s) in enumerate(registry.items())]
+    known = F.broadcast(spark.createDataFrame(rows, "strategy string, family string, ordinal int, warmup int"))
+    s = master.all_signals(bars(spark, sf), registry)
+    runs = s.select("pair", "strategy").distinct().join(known.select("strategy", "warmup"), "strategy")
+    specs = master._specs(runs, 0.5, 24, session=sessions, direction=directions)
+    return backtest.run_variants(s, ["pair", "strategy"], "ts", specs, CONFIG.annualisation).drop("warmup").join(known, "strategy")
+
+
 @query
 def variant_sweep(spark, sf):
     """Signals once per strategy, all session and direction variants inside the fold."""
-    from tidemark.plans import master
+    out = _sweep(spark, sf, [None, "london", "ny"], list(backtest.DIRECTIONS))
+    exact = ["pair", "strategy", "session", "direction", "n_trades", "n_long", "n_short", "n_flat", "status"]
+    return out.select(*exact, F.round("net_sharpe", 4).alias("net_sharpe"), F.round("avg_trade_bars", 6).alias("avg_trade_bars"))
+
 
-    s = master.all_signals(bars(spark, sf), SMALL_SET)
-    specs = master._specs(s.select("pair", "strategy").distinct(), 0.5, 24, session=[None, "london", "ny"], direction=list(backtest.DIRECTIONS))
-    out = backtest.run_variants(s, ["pair", "strategy"], "ts", specs, CONFIG.annualisation)
-    return out.select("pair", "strategy", "session", "direction", "n_trades", "n_signals", "status", r6("net_sharpe").alias("net_sharpe"))
+@query
+def tier1_survivors(spark, sf):
+    """What passes the first tier of the selection."""
+    return evaluate.tier1_survivors(_sweep(spark, sf, [None], ["both"]))
+
+
+@query
+def flat_outcomes(spark, sf):
+    """The flat table of a first tier's runs."""
+    out = evaluate.flat_outcomes(_sweep(spark, sf, [None], ["both"]), "T1", "val")
+    return out.select("tier", "pair", "strategy", "split", "direction", "ok", "status", "n_trades", "signal_long", "signal_short", "grade", "warning_flags")
 
 
 @query

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-class SchemaValidationError(ValueError):
-    """A table lacks required columns or rows."""
+class TableMismatch(ValueError):
+    """A table is not what a stage needs: columns, types or rows."""
 
 
 RAW_BARS = T.StructType(
     [T.StructField("stamp", T.StringType())]
     + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")]
 )
+# Columns of a bar table and of a trade log.
 CANONICAL = [
     "timestamp_est", "timestamp_utc", "open", "high", "low", "close", "volume", "pair", "year", "month", "session",
 ]
@@ -25,15 +26,19 @@ TRADES = (
 )
 
 
-def require_columns(df: DataFrame, names: Iterable[str], what: str = "table") -> DataFrame:
-    missing = sorted(set(names) - set(df.columns))
-    if missing:
-        raise SchemaValidationError(f"{what} lacks columns: {', '.join(missing)}")
+def require_columns(df: DataFrame, wanted: Iterable[str] | T.StructType, what: str = "table") -> DataFrame:
+    """``df``, if it has the wanted columns and, where a schema is given, their types."""
+    have = {f.name: f.dataType for f in df.schema}
+    types = {f.name: f.dataType for f in wanted} if isinstance(wanted, T.StructType) else dict.fromkeys(wanted)
+    wrong = [f"no {n}" for n in types if n not in have]
+    wrong += [f"{n} is {have[n].simpleString()}, not {t.simpleString()}" for n, t in types.items() if t and n in have and have[n] != t]
+    if wrong:
+        raise TableMismatch(f"{what}: {'; '.join(wrong)}")
     return df
 
 
 def require_rows(df: DataFrame, what: str = "table") -> DataFrame:
     """Asks Spark for one row; call only where emptiness must be refused."""
     if not df.head(1):
-        raise SchemaValidationError(f"{what} is empty")
+        raise TableMismatch(f"{what} is empty")
     return df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.schema import CANONICAL, RAW_BARS, SchemaValidationError, require_columns
+from tidemark.schema import CANONICAL, RAW_BARS, TableMismatch, require_columns
 
 LOCAL_ZONE = "America/New_York"
 
@@ -109,7 +109,7 @@ class Catalog:
     def require(self, names: list[str]) -> None:
         missing = [n for n in names if n not in self.views]
         if missing:
-            raise SchemaValidationError(f"missing splits: {', '.join(missing)}")
+            raise TableMismatch(f"missing splits: {', '.join(missing)}")
 
 
 def resample(ticks: DataFrame, every: str, keys: list[str], ts: str = "ts", price: str | None = None) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,25 +36,15 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def _plain(x):
-    if isinstance(x, float) and not math.isfinite(x):
-        return None
-    if isinstance(x, dict):
-        return {str(k): _plain(v) for k, v in x.items()}
-    if isinstance(x, (list, tuple)):
-        return [_plain(v) for v in x]
-    return x if isinstance(x, (int, float, str, bool, type(None))) else str(x)
-
-
-def report_html(title: str, results: list[dict]) -> str:
-    """A self-contained page: table of scalar metrics and the data as JSON."""
-    names = list(dict.fromkeys(k for r in results for k, v in r.items() if not isinstance(v, (list, dict))))
-    head = "".join(f"<th>{html.escape(n)}</th>" for n in names)
-    rows = "".join("<tr>" + "".join(f"<td>{html.escape(str(r.get(n, '')))}</td>" for n in names) + "</tr>" for r in results)
-    data = json.dumps(_plain(results)).replace("</", "<\\/")
+def report_html(title: str, results: DataFrame, most: int = 1000) -> str:
+    """A self-contained page of a small result table: its rows as a table and as JSON."""
+    rows = results.limit(most)
+    data = ",".join(r["json"] for r in as_json(rows).collect()).replace("</", "<\\/")
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
+    body = "".join("<tr>" + "".join(f"<td>{html.escape(str(v))}</td>" for v in r) + "</tr>" for r in rows.collect())
     return (
         f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"
-        f"<table><tr>{head}</tr>{rows}</table><script>const results = {data};</script>"
+        f"<table><tr>{head}</tr>{body}</table><script>const results = [{data}];</script>"
     )
 
 
