@@ -193,6 +193,20 @@ def test_shared_passage_is_reused():
     assert enc.encoded - before < 5 and enc.reused > 50
 
 
+def test_shared_chunks_outlive_a_full_cache():
+    words = tokens.WordEncoder(chunked_bpe.read_definition(VOCAB))
+    enc = chunked_bpe.ChunkEncoder(words, bits=5, max_bytes=60_000)
+    passage = " ".join(f"w{i}" for i in range(100)).encode()
+    for k in range(200):
+        enc.encode(passage)
+        enc.encode(" ".join(f"v{k}x{i}" for i in range(100)).encode())
+    enc.encode(passage)
+    before = enc.encoded
+    enc.encode(passage)
+    assert enc.encoded == before and enc.reused > 150 * len(chunked_bpe.cut_points(passage, 5))
+    assert len(enc.chunks) + len(enc.older) < 1000
+
+
 def check_packing(got, capacity):
     for _, seq in got.sort_values("offset").groupby("sequence_id"):
         assert (seq["offset"].to_numpy() == np.concatenate([[0], np.cumsum(seq["length"])[:-1]])).all()
@@ -297,6 +311,34 @@ def test_classifier(spark, op, label, least, odd, none):
     assert np.allclose(op.score(odd, same).toPandas()["score"], op.score(odd, model).toPandas()["score"])
 
 
+def test_toxicity_by_brute_force(spark, docs, odd):
+    """The risk and its gradients by finite differences, on both sides of zero; scores
+    by a plain loop over the words of whole texts."""
+    rng = np.random.default_rng(3)
+    for prior, shift in ((0.3, 1.0), (0.9, 0.0)):
+        fp, fu = rng.normal(2 - shift, 1, 7), rng.normal(-2 + shift, 1, 9)
+        value, gp, gu = toxicity.risk(fp, fu, prior)
+        bracket = sum(np.log1p(np.exp(x)) for x in fu) / 9 - prior * sum(np.log1p(np.exp(x)) for x in fp) / 7
+        assert (bracket < 0) == (prior == 0.9)
+        assert value == pytest.approx(-bracket if bracket < 0 else bracket + prior * sum(np.log1p(np.exp(-x)) for x in fp) / 7)
+        for x, g in ((fp, gp), (fu, gu)):
+            for i in range(len(x)):
+                x[i] += 1e-5
+                up = toxicity.risk(fp, fu, prior)[0]
+                x[i] -= 2e-5
+                low = toxicity.risk(fp, fu, prior)[0]
+                x[i] += 1e-5
+                assert g[i] == pytest.approx((up - low) / 2e-5, abs=1e-6)
+    model = toxicity.fit(docs, shared.table(spark, SF, "labels"))
+    for df in (docs, odd):
+        want = Counter()
+        for r in df.collect():
+            words = {w for w in re.split(r"[\W\d_]+", (r["text"] or "").lower()) if w}
+            f = model.bias + sum(model.weights.get(zlib.crc32(w.encode()) >> 1, 0.0) for w in words)
+            want[r["doc_id"], round(1 / (1 + np.exp(-min(30, max(-30, f)))), 9)] += 1
+        assert Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.score(df, model).collect()) == want
+
+
 def plain_features(text):
     """(kind, feature) of a text: words, n-grams of marked words, pairs."""
     words = (text or "").encode().split()

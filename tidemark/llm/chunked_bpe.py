@@ -92,24 +92,31 @@ class ChunkEncoder:
     def __init__(self, words: WordEncoder, bits: int = CHUNK_BITS, max_bytes: int = 32 << 20) -> None:
         self.words, self.bits, self.max_bytes = words, bits, max_bytes
         self.chunks: dict[bytes, _Chunk] = {}
+        self.older: dict[bytes, _Chunk] = {}
         self.joins: dict[tuple, bytes] = {}
         self.held = self.encoded = self.reused = self.widened = self.whole = 0
         self.tokens = [words.tok.id_to_token(i) for i in range(words.tok.get_vocab_size())]
 
     def _chunk(self, data: bytes) -> _Chunk:
         got = self.chunks.get(data)
+        if got is None and (got := self.older.pop(data, None)) is not None:
+            self._hold(data, got)
         if got is not None:
             self.reused += 1
             return got
-        if self.held > self.max_bytes:
-            self.chunks.clear()
-            self.joins.clear()
-            self.held = 0
-        got = self.chunks[data] = _Chunk(data, self.words)
-        self.held += len(data) * 2 + len(got.ids) + 60 * len(got.words)
+        got = _Chunk(data, self.words)
+        self._hold(data, got)
         self.encoded += 1
         return got
 
+    def _hold(self, data: bytes, chunk: _Chunk) -> None:
+        """Keeps a chunk; when half the room is full, what was not met since the last
+        time goes, so shared chunks stay."""
+        if self.held > self.max_bytes // 2:
+            self.older, self.chunks, self.joins, self.held = self.chunks, {}, {}, 0
+        self.chunks[data] = chunk
+        self.held += len(data) * 2 + len(chunk.ids) + 60 * len(chunk.words)
+
     def _repair(self, left: list[bytes], broken: bytes, right: list[bytes]) -> bytes | None:
         """Ids of ``broken``, which lies between words ``left`` and ``right`` whose
         ids are known; None if no window agrees with both sides."""

@@ -16,7 +16,7 @@ covers every whole text, with nothing shuffled.
 
 Defined results for odd input
     null or empty text      the score of a text without words
-    no labelled positives   every document scores 0
+    no labelled positives   every document scores the same, below 1e-12
     repeated rows           one result row each
     empty table             an empty result with the full schema
     extra columns           ignored
@@ -114,6 +114,17 @@ def telling(pos: _Rows, unl: _Rows, least: int = 3, ratio: float = 3.0, deviatio
     return slots[(p >= ratio * q) & (p - q >= deviations * np.sqrt(q / len(pos)))]
 
 
+def risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """What a step makes smaller, and its gradients by the outputs for positive and
+    unlabelled texts.  Logistic losses: l(+) = log(1 + e^-f), l(-) = log(1 + e^f)."""
+    bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    minus_p, minus_u = -prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
+    if bracket < 0:  # overfitted: away from it
+        return -bracket, -minus_p, -minus_u
+    plus = prior * np.logaddexp(0, -fp).mean()
+    return plus + bracket, minus_p - prior * _sigmoid(-fp) / len(fp), minus_u
+
+
 def train(
     pos: _Rows,
     unl: _Rows,
@@ -136,14 +147,7 @@ def train(
         sp, bp = pos.batch(rng.integers(0, len(pos), min(batch, len(pos))))
         su, bu = unl.batch(rng.integers(0, len(unl), min(2 * batch, len(unl))))
         fp, fu = _sums(w[sp], bp) + bias, _sums(w[su], bu) + bias
-        # logistic losses: l(+) = log(1 + e^-f), l(-) = log(1 + e^f)
-        bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        d_plus = -prior * _sigmoid(-fp) / len(fp)
-        d_minus_p, d_minus_u = -prior * _sigmoid(fp) / len(fp), _sigmoid(fu) / len(fu)
-        if bracket >= 0:
-            gp, gu = d_plus + d_minus_p, d_minus_u
-        else:
-            gp, gu = -d_minus_p, -d_minus_u
+        _, gp, gu = risk(fp, fu, prior)
         g = np.bincount(sp, np.repeat(gp, np.diff(bp)), size) + np.bincount(su, np.repeat(gu, np.diff(bu)), size)
         g, gb = g + decay * w, float(gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
