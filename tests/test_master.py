@@ -34,9 +34,23 @@ def test_tiers(spark, tmp_path):
     c = Config(purge_rows=15)
     out = master.tiered_selection(
         Q.bars(spark, "/root/testdata/sf0.01"), Q.TRAIN_END, Q.VAL_END, Q.FOLDS[:2], {k: Q.SMALL_SET[k] for k in ("Momentum_24", "Donchian_20", "BB_20")},
-        spread=0.5, max_hold=24, sessions=(None, "london"), tp_sl=((40, 20),), config=c, work=str(tmp_path),
+        spread=0.5, max_hold=24, sessions=(None, "london"), tp_sl=((40, 20),), test_from="2024-01-24", pips=False, config=c, work=str(tmp_path),
     )
+    ok = [r for r in out["t1"].collect() if r["status"] in ("OK", "ZERO_TRADES")]
+    by = {(r["pair"], r["family"]): max(x["net_sharpe"] for x in ok if (x["pair"], x["family"]) == (r["pair"], r["family"])) for r in ok}
+    chosen = {(r["pair"], r["strategy"]) for r in out["survivors"].collect()}
+    assert chosen == {(r["pair"], r["strategy"]) for r in ok if by[r["pair"], r["family"]] == r["net_sharpe"]}  # one strategy a family: all stay
+    assert out["t5"].filter("status = 'OK'").count() > 0
     t1, survivors, t2 = out["t1"].count(), out["survivors"].count(), out["t2"].count()
     assert t1 == 15 and 0 < survivors <= t1 and t2 == survivors * 6
     assert out["chosen"].count() == survivors and out["t4"].count() == survivors * 2
     assert np.all([r["grade"] in "ABCDF" for r in out["t5"].collect()])
+
+
+def test_pips_are_units_of_price(spark):
+    """The same run in pips and in price units."""
+    b = Q.bars(spark, SF).withColumn("pair", F.when(F.col("pair") == "view", "USDJPY").when(F.col("pair") == "click", "EURUSD").otherwise("OTHER")).filter("pair != 'OTHER'")
+    inside = master.run_backtest(b, Q.strategies.momentum(6), "ts", None, 2000.0, 1000.0, 24, pips=True)["trades"]
+    for pair, unit, usual in (("USDJPY", 0.01, 0.7), ("EURUSD", 0.0001, 0.6)):
+        plain = master.run_backtest(b.filter(F.col("pair") == pair), Q.strategies.momentum(6), "ts", usual * unit, 2000 * unit, 1000 * unit, 24)["trades"]
+        assert sorted(map(tuple, inside.filter(F.col("pair") == pair).collect())) == sorted(map(tuple, plain.collect()))

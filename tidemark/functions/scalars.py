@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import SESSION_HOURS, SPREAD_PIPS
+from tidemark.config import DEFAULT_PIP, DEFAULT_SPREAD, SESSION_HOURS, SPREAD_PIPS, pip_size
 
 # Model shortcodes.
 CODE_TYPES = {"lr": "LR", "lstm": "LSTM"}
@@ -28,6 +28,21 @@ def in_session(hour: Column, name: str) -> Column:
     return (hour >= lo) & (hour < hi) if lo < hi else (hour >= lo) | (hour < hi)
 
 
+def _by_pair(pair: Column, values: dict[str, float], other: float) -> Column:
+    known = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, pair), F.lit(other))
+
+
+def pip(pair: Column) -> Column:
+    """Price units of a pip."""
+    return _by_pair(pair, {p: pip_size(p) for p in SPREAD_PIPS}, DEFAULT_PIP)
+
+
+def typical_spread(pair: Column) -> Column:
+    """An instrument's usual spread in pips."""
+    return _by_pair(pair, SPREAD_PIPS, DEFAULT_SPREAD)
+
+
 def three_way(x: Column, band: float) -> Column:
     """1 above the band, -1 below it, 0 within, null for null."""
     return F.when(x > band, 1).when(x < -band, -1).when(x.isNotNull(), 0).cast("tinyint")

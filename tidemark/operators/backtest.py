@@ -113,6 +113,10 @@ def simulate(
     return trades, equity, returns
 
 
+def _settings(kw: dict, pdf: pd.DataFrame) -> dict:
+    return {k: float(pdf[v].iloc[0]) if isinstance(v, str) else v for k, v in kw.items()}
+
+
 def run_trades(
     df: DataFrame,
     keys: list[str],
@@ -123,17 +127,18 @@ def run_trades(
     capital: float = 10_000.0,
 ) -> DataFrame:
     """Trade log of every series and variant (dicts of spread, take, stop, max_hold in
-    price units); each series is shipped once for all its variants."""
+    price units, or names of columns that hold them, constant within a series); each
+    series is shipped once for all its variants."""
     schema = T.StructType([df.schema[k] for k in keys]).add("variant", T.IntegerType())
     schema = T.StructType([*schema, *T.StructType.fromDDL(TRADES)])
-    need = [*keys, ts, price, position]
+    need = list(dict.fromkeys([*keys, ts, price, position, *(x for v in variants for x in v.values() if isinstance(x, str))]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable")
         key = tuple(pdf[k].iloc[0] for k in keys)
         rows = []
         for v, kw in enumerate(variants):
-            trades, _, _ = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), capital=capital, **kw)
+            trades, _, _ = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), capital=capital, **_settings(kw, pdf))
             rows += [(*key, v, *t) for t in trades]
         return pd.DataFrame(rows, columns=[f.name for f in schema])
 
@@ -146,7 +151,7 @@ def run_curves(df: DataFrame, keys: list[str], ts: str, kw: dict, price: str = "
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
-        _, equity, returns = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), **kw)
+        _, equity, returns = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), **_settings(kw, pdf))
         return pdf.assign(equity=equity, bar_return=returns)
 
     return df.groupBy(*keys).applyInPandas(run, schema)

@@ -32,7 +32,7 @@ def run_backtest(
     bars: DataFrame,
     strategy: Strategy,
     ts: str = "ts",
-    spread: float = 0.0,
+    spread: float | None = 0.0,
     take: float | None = None,
     stop: float | None = None,
     max_hold: int | None = None,
@@ -41,16 +41,27 @@ def run_backtest(
     entry_time: str | None = None,
     every: str | None = None,
     direction: str = "both",
+    start: str | None = None,
+    end: str | None = None,
+    pips: bool = False,
     config: Config | None = None,
 ) -> dict[str, DataFrame]:
-    """Signals, trades, curves and metrics per instrument; distances in price units."""
+    """Signals, trades, curves and metrics with status per instrument, of the bars from
+    ``start`` to ``end``.  Distances are in price units or, with ``pips``, in pips of the
+    instrument; then a spread of None is its usual one."""
     config, keys = config or Config(), ["pair"]
+    bars = splits.date_window(bars, ts, start, end)
     if every:
         bars = resample(bars, every, keys, ts).withColumnRenamed("ts", ts)
     signals = strategy.generate(bars, keys, ts)
     masked = backtest.masked_signal("signal", ts, direction, session, entry_time).cast("int")
     held = backtest.with_position(signals.withColumn("signal", masked), "signal", keys, ts)
-    kw = {"spread": spread, "take": take, "stop": stop, "max_hold": max_hold}
+    kw = {"spread": spread or 0.0, "take": take, "stop": stop, "max_hold": max_hold}
+    if pips:
+        unit, usual = S.pip(F.col("pair")), S.typical_spread(F.col("pair"))
+        sizes = {"spread": F.lit(spread) if spread is not None else usual, "take": F.lit(take), "stop": F.lit(stop)}
+        held = held.withColumns({f"{k}_": v.cast("double") * unit for k, v in sizes.items() if k == "spread" or kw[k]})
+        kw |= {k: f"{k}_" for k in sizes if f"{k}_" in held.columns}
     trades = backtest.run_trades(held, keys, ts, [kw], capital=capital)
     curves = backtest.run_curves(held, keys, ts, kw | {"capital": capital})
     metrics = (
@@ -61,11 +72,15 @@ def run_backtest(
         .fillna(999.0, ["profit_factor"])
         .fillna(capital, ["capital_final"])
     )
+    raw = signals.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"), F.count_if(F.col("signal") != 0).alias("n_raw"))
+    state = evaluate.status(F.col("n_bars"), F.lit(strategy.warmup), F.col("n_raw"), F.col("n_trades"))
+    metrics = metrics.join(raw, keys).withColumn("status", state).drop("n_bars", "n_raw")
     return {"signals": held, "trades": trades.drop("variant"), "curves": curves, "metrics": metrics}
 
 
-def _specs(runs: DataFrame, spread: float, max_hold: int | None, **axes: list) -> DataFrame:
-    """Specs of ``runs`` (pair, strategy and any fixed axes) times the given axes."""
+def _specs(runs: DataFrame, spread: float | None, max_hold: int | None, **axes: list) -> DataFrame:
+    """Specs of ``runs`` (pair, strategy and any fixed axes) times the given axes; a
+    spread of None is the instrument's usual one."""
     off = {"session": "string", "direction": "string", "tp": "double", "sl": "double"}
     out = runs
     if axes:
@@ -73,7 +88,7 @@ def _specs(runs: DataFrame, spread: float, max_hold: int | None, **axes: list) -
     for name, kind in off.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit("both" if name == "direction" else None).cast(kind))
-    out = out.withColumns({"spread": F.lit(float(spread)), "max_hold": F.lit(max_hold).cast("int")})
+    out = out.withColumns({"spread": S.typical_spread(F.col("pair")) if spread is None else F.lit(float(spread)), "max_hold": F.lit(max_hold).cast("int")})
     return out if "warmup" in out.columns else out.withColumn("warmup", F.lit(None).cast("int"))
 
 
@@ -89,19 +104,21 @@ def tiered_selection(
     folds: list[tuple[str, str, str]],
     registry: dict[str, Strategy] | None = None,
     ts: str = "ts",
-    spread: float = 0.0,
+    spread: float | None = None,
     max_hold: int | None = None,
     sessions: tuple = (None, "london", "ny"),
     tp_sl: tuple | None = None,
     test_from: str | None = None,
     test_to: str | None = None,
+    pips: bool = True,
     config: Config | None = None,
     *,
     work: str,
 ) -> dict[str, DataFrame]:
     """Screen, session and direction sweep, targets (by default the configured grid),
     walk-forward, final test (of the window given).  Runs that are not ok take no part
-    in any choice.
+    in any choice.  Spread and targets are in pips, or without ``pips`` in price units;
+    a spread of None is the instrument's usual one.
 
     Each tier is one job over (pair, strategy) series; only outcome tables, a row per
     run, pass between tiers; they and the signals are written below ``work``."""
@@ -121,6 +138,8 @@ def tiered_selection(
 
     def run(signals: DataFrame, specs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         specs = specs.drop("warmup").join(warm, "strategy")
+        if pips:  # returns do not depend on the unit of price
+            signals = signals.withColumn("close", F.col("close") / S.pip(F.col("pair")))
         return _scored(backtest.run_variants(signals, keys, ts, specs, config.annualisation, config.capital))
 
     good = evaluate.ok(F.col("status"))
@@ -164,19 +183,22 @@ def without_data(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
     return outcomes.unionByName(missing, allowMissingColumns=True)
 
 
-def session_transfer(signals: DataFrame, ts: str, spreads: tuple = (0.5, 1.0, 2.0), spread: float = 1.0, config: Config | None = None) -> DataFrame:
+def session_transfer(signals: DataFrame, ts: str, spreads: tuple = (0.5, 1.0, 2.0), spread: float | None = None, config: Config | None = None) -> DataFrame:
     """Each model's signals (pair, strategy = training session) over every evaluation
-    session and spread multiple; signals are computed once."""
+    session and multiple of the spread in pips (None: the instrument's usual one);
+    signals are computed once."""
     config = config or Config()
     runs = signals.select(*KEYS).distinct()
     grid = evaluate.grid(signals.sparkSession, session=[None, "london", "ny", "asia"], spread_mult=list(spreads))
-    specs = _specs(runs.crossJoin(F.broadcast(grid)), 0.0, None).withColumn("spread", F.col("spread_mult") * spread)
+    usual = S.typical_spread(F.col("pair")) if spread is None else F.lit(spread)
+    specs = _specs(runs.crossJoin(F.broadcast(grid)), 0.0, None).withColumn("spread", F.col("spread_mult") * usual)
+    signals = signals.withColumn("close", F.col("close") / S.pip(F.col("pair")))
     out = backtest.run_variants(signals, KEYS, ts, specs, config.annualisation, config.capital)
     return out.select(
         "pair",
         F.col("strategy").alias("train_session"),
         F.coalesce("session", F.lit("global")).alias("eval_session"),
-        (F.col("spread") / spread).alias("spread_mult"),
+        F.round(F.col("spread") / usual, 6).alias("spread_mult"),
         "net_sharpe",
         "n_trades",
         "status",

@@ -638,3 +638,21 @@ SQL["tier1_survivors"] = sweep_sql(
     " lacking AS (SELECT sc.* FROM sc LEFT JOIN (SELECT DISTINCT pair, family, true AS there FROM kept) USING (pair, family) WHERE there IS NULL)"
     " SELECT pair, strategy FROM kept UNION ALL SELECT pair, strategy FROM (SELECT *, row_number() OVER (PARTITION BY pair, family ORDER BY net_sharpe DESC, ordinal) AS place FROM lacking) WHERE place = 1",
 )
+
+# One back-test: long signals of the London session, metrics of the trade log.
+SQL["run_backtest"] = (
+    f"WITH RECURSIVE {BARS.replace(', b AS (', ', b_all AS (')}, b AS (SELECT * FROM b_all WHERE ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-28 23:59:59'), {momentum(24)},"
+    " mine AS (SELECT * REPLACE (CASE WHEN hour(ts) >= 7 AND hour(ts) < 16 THEN greatest(signal, 0) ELSE 0 END::INT AS signal) FROM sig),"
+    f" {positions('mine')}, v(variant, tp, sl, mh) AS (VALUES (0, 20.0, 10.0, 24)), {simulator('pair')},"
+    " x AS (SELECT pair, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
+    " y AS (SELECT pair, count(*) AS n_trades, floor(greatest(1.0, 98280 / greatest(avg(h), 1.0))) AS tpy, avg(r) AS m, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN stddev_pop(r) END AS s,"
+    " CASE WHEN count(*) FILTER (r < 0) >= 2 AND max(r) FILTER (r < 0) != min(r) FILTER (r < 0) THEN stddev_pop(r) FILTER (r < 0) END AS sl, avg(r) FILTER (r > 0) AS mw,"
+    " CASE WHEN count(*) FILTER (r > 0) >= 2 AND max(r) FILTER (r > 0) != min(r) FILTER (r > 0) THEN stddev_pop(r) FILTER (r > 0) END AS sw, avg((r >= 0)::INT) AS wr,"
+    " coalesce(sum(r) FILTER (r > 0), 0) AS w, abs(sum(r) FILTER (r < 0)) AS l, avg(h) AS ah FROM x GROUP BY 1),"
+    " c AS (SELECT pair, count(*) AS n, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short, count(*) FILTER (signal = 0) AS n_flat, avg((position != 0)::INT) AS turnover FROM pos GROUP BY 1),"
+    " raw AS (SELECT pair, count(*) FILTER (signal != 0) AS n_raw FROM sig GROUP BY 1)"
+    " SELECT pair, CASE WHEN n <= 24 THEN 'SKIP_WARMUP_GT_DATA' WHEN n_raw = 0 THEN 'ZERO_SIGNALS' WHEN n_trades IS NULL THEN 'ZERO_TRADES' ELSE 'OK' END AS status, coalesce(n_trades, 0) AS n_trades, n_long, n_short, n_flat,"
+    " round(coalesce(m / s * sqrt(tpy), 0), 4) AS net_sharpe, round(coalesce(m / sl * sqrt(tpy), 0), 4) AS sortino, round(coalesce(mw / sw * sqrt(tpy), 0), 4) AS gross_sharpe, round(coalesce(wr, 0), 4) AS win_rate,"
+    " round(CASE WHEN l > 0 THEN least(w / l, 999) ELSE 999 END, 4) AS profit_factor, round(coalesce(ah, 0), 4) AS avg_trade_bars, round(turnover, 4) AS turnover"
+    " FROM c JOIN raw USING (pair) LEFT JOIN y USING (pair)"
+)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import Config
+from tidemark.config import LONG_FEATURES, LR_FEATURES, SESSION_FEATURES, SHORT_FEATURES, Config
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
 from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, splits, strategies
@@ -809,20 +809,30 @@ def _model_rows(spark, sf):
     return f.fillna(0.0, ["ret_1", "ret_5", "abs_ret_1", "range_pct", "rv_10", "rv_30", "rv_60", "rv_ratio_10_60", "mom_5"])
 
 
+def _scaled_rows(spark, sf, wanted: list[str]) -> tuple[DataFrame, list[str]]:
+    """Rows of all splits with inputs standardised by the training split's scaler, in
+    its order."""
+    rows = features.regime(_model_rows(spark, sf), KEY, "ts")
+    rows = splits.fixed_split(rows, TRAIN_END, VAL_END, 15, KEY, "ts")
+    scaler = splits.scaler(rows.filter("split = 'train'").withColumn("all_", F.lit(1)), wanted, ["all_"])
+    names = [f"x{i}" for i in range(len(wanted))]
+    return ml.scaled(rows, scaler, wanted).withColumns({n: F.get("x", F.lit(i)) for i, n in enumerate(names)}), names
+
+
 @query
 def logistic_signals(spark, sf):
-    names = ["hour_sin", "hour_cos", "ret_1", "ret_5", "range_pct"]
-    rows = _model_rows(spark, sf)
-    model, inputs = ml.fit_logistic(rows, names, "label", max_iter=100)
-    return ml.predict(model, inputs, rows, names).select("pair", "ts", "signal")
+    rows, names = _scaled_rows(spark, sf, LR_FEATURES)
+    model, inputs = ml.fit_logistic(rows.filter("split = 'train'"), names, "label")
+    return ml.predict(model, inputs, rows, names).select("pair", "ts", "split", "signal")
 
 
 @query
 def network_signals(spark, sf):
-    net = ml.TwoBranchNetwork(5, 4)
-    short, long = ["ret_1", "ret_5", "abs_ret_1", "range_pct", "rv_10"], ["rv_10", "rv_30", "rv_60", "rv_ratio_10_60"]
-    flags = ["session_asia", "session_london", "session_ny", "session_overlap"]
-    return ml.network_signals(_model_rows(spark, sf), net, short, long, flags, KEY, "ts").select("pair", "ts", "signal")
+    net = ml.TwoBranchNetwork(len(SHORT_FEATURES), len(LONG_FEATURES))
+    wanted = [*SHORT_FEATURES, *[c for c in LONG_FEATURES if c not in SHORT_FEATURES]]
+    rows, names = _scaled_rows(spark, sf, wanted)
+    named = rows.withColumns({c: F.col(x) for c, x in zip(wanted, names, strict=True)})
+    return ml.network_signals(named, net, SHORT_FEATURES, LONG_FEATURES, SESSION_FEATURES, KEY, "ts").select("pair", "ts", "signal")
 
 
 @query
@@ -838,10 +848,11 @@ def sequence_windows(spark, sf):
 def run_backtest(spark, sf):
     from tidemark.plans import master
 
-    out = master.run_backtest(bars(spark, sf), strategies.momentum(24), "ts", 0.5, 20.0, 10.0, 24, session="london", direction="long_only")
-    m = out["metrics"]
-    exact = {"pair", "n_trades", "n_long", "n_short", "n_flat"}
-    return m.select(*[F.col(c) if c in exact else r6(c).alias(c) for c in m.columns])
+    # event values are no prices: their curves compound to sums that are compared in curve_metrics
+    b, signals = bars(spark, sf), strategies.momentum(24)
+    out = master.run_backtest(b, signals, "ts", 0.5, 20.0, 10.0, 24, session="london", direction="long_only", start="2024-01-03", end="2024-01-28")
+    exact = ["pair", "status", "n_trades", "n_long", "n_short", "n_flat"]
+    return out["metrics"].select(*exact, *[F.round(c, 4).alias(c) for c in ("net_sharpe", "sortino", "gross_sharpe", "win_rate", "profit_factor", "avg_trade_bars", "turnover")])
 
 
 SMALL_SET = {
