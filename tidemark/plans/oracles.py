@@ -616,11 +616,12 @@ def sweep_sql(sessions: list[str | None], directions: list[str], body: str) -> s
         " pos AS (SELECT run, i AS rn, close, signal, lag(held, 1, 0) OVER (PARTITION BY run ORDER BY i)::INT AS position FROM p0),"
         f" v(variant, tp, sl, mh) AS (VALUES (0, NULL, NULL, 24)), {simulator('run')},"
         " pnl AS (SELECT run, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
-        " m AS (SELECT run, count(*) AS n_trades, avg(h) AS held, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe FROM pnl GROUP BY 1),"
+        " m AS (SELECT run, count(*) AS n_trades, avg(h) AS held, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe,"
+        " CASE WHEN bool_or(r < 0) THEN coalesce(sum(r) FILTER (r > 0), 0) / abs(sum(r) FILTER (r < 0)) ELSE 999 END AS pf FROM pnl GROUP BY 1),"
         " d AS (SELECT run, strategy, pair, session, direction, count(*) AS n, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short, count(*) FILTER (signal = 0) AS n_flat FROM masked GROUP BY ALL),"
         " any_signal AS (SELECT strategy, pair, bool_or(signal != 0) AS signals FROM sig GROUP BY 1, 2),"
         " runs AS (SELECT d.*, family, ordinal, CASE WHEN d.n <= warmup THEN 'SKIP_WARMUP_GT_DATA' WHEN NOT signals THEN 'ZERO_SIGNALS' WHEN m.n_trades IS NULL THEN 'ZERO_TRADES' ELSE 'OK' END AS status,"
-        " coalesce(m.n_trades, 0) AS n_trades, coalesce(held, 0) AS held, coalesce(sharpe, 0) AS net_sharpe FROM d JOIN known USING (strategy) JOIN any_signal USING (strategy, pair) LEFT JOIN m USING (run))"
+        " coalesce(m.n_trades, 0) AS n_trades, coalesce(held, 0) AS held, coalesce(sharpe, 0) AS net_sharpe, coalesce(pf, 999) AS pf FROM d JOIN known USING (strategy) JOIN any_signal USING (strategy, pair) LEFT JOIN m USING (run))"
         f" {body}"
     )
 
@@ -631,6 +632,12 @@ SQL["variant_sweep"] = sweep_sql(
     "SELECT pair, strategy, session, direction, status, " + ", ".join(f"CASE WHEN {_RAN} THEN {c} END AS {c}" for c in ("n_trades", "n_long", "n_short", "n_flat"))
     + f", CASE WHEN {_RAN} THEN round(net_sharpe, 4) END AS net_sharpe, CASE WHEN {_RAN} THEN round(held, 6) END AS avg_trade_bars FROM runs",
 )
+SQL["flat_outcomes"] = sweep_sql(
+    [None], ["both"],
+    f"SELECT 'T1' AS tier, pair, strategy, 'val' AS split, direction, {_RAN} AS ok, status, n_trades, CASE WHEN {_RAN} THEN n_long ELSE 0 END AS signal_long, CASE WHEN {_RAN} THEN n_short ELSE 0 END AS signal_short,"
+    " concat_ws(',', CASE WHEN status = 'SKIP_WARMUP_GT_DATA' THEN 'WARMUP_GT_DATA' END, CASE WHEN status IN ('ZERO_SIGNALS', 'ZERO_TRADES') THEN status END,"
+    f" CASE WHEN {_RAN} AND pf >= 998 THEN 'PF_CAPPED' END) AS warning_flags FROM runs",
+)
 SQL["tier1_survivors"] = sweep_sql(
     [None], ["both"],
     f", sc AS (SELECT * FROM runs WHERE {_RAN}), k AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY net_sharpe DESC, ordinal) AS r, count(*) OVER (PARTITION BY pair) AS c FROM sc WHERE net_sharpe > 0),"

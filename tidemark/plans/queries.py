@@ -892,7 +892,7 @@ def tier1_survivors(spark, sf):
 def flat_outcomes(spark, sf):
     """The flat table of a first tier's runs."""
     out = evaluate.flat_outcomes(_sweep(spark, sf, [None], ["both"]), "T1", "val")
-    return out.select("tier", "pair", "strategy", "split", "direction", "ok", "status", "n_trades", "signal_long", "signal_short", "grade", "warning_flags")
+    return out.select("tier", "pair", "strategy", "split", "direction", "ok", "status", "n_trades", "signal_long", "signal_short", "warning_flags")
 
 
 @query
