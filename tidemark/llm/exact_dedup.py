@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import ASCII_WS, fresh_path, materialise, text_or_empty, without
+from tidemark.llm.shared import ASCII_WS, by_key, fresh_path, materialise, text_or_empty, without
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_SETTINGS = {
@@ -190,10 +190,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not spark.read.parquet(arrivals_path).head(1):
         empty = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string, src_file long, src_row long"
         return spark.createDataFrame([], empty)
-    state = read_state(spark, state_path)
+    state = materialise(read_state(spark, state_path), "dedup-classes")
     bad = collided(docs, state, text_col, digest_bytes)
     has_bad = bool(bad.head(1))  # never with whole SHA-256 digests
-    joined = arrivals.join(state, "digest")
+    joined = by_key(arrivals, state.withColumn("size", F.col("group_size")), ["digest"])
     if has_bad:
         joined = joined.join(bad, "digest", "left_anti")
     out = joined.select(
