@@ -121,7 +121,7 @@ def gram_counts(texts: DataFrame, depth: int, hold: int = 1_200_000) -> DataFram
         if held:
             yield from merged().combine_chunks().to_batches()
         held = []
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -476,6 +476,8 @@ def word_counts(texts: DataFrame, hold: int = 150_000) -> DataFrame:
                     yield out()
                     held.clear()
         yield out()
+        held.clear()
+        give_back()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -549,6 +551,7 @@ def scored(
             ]
             names = ["doc_id", "held_out", "n_tokens", "n_top", "base_top", "score_top", "rare", "rare_n", "gram", "gram_n"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     schema = (
         "doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, score_top double,"
