@@ -21,6 +21,8 @@ COLUMNS = {
     "op8_exact_dedup": "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string",
     "op9_language": "doc_id long, held_out boolean, lang_pred string, score double",
     "op10_chunked_bpe": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    "op11_centroid_clustering": "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string",
+    "op13_line_dedup": "doc_id long, n_lines long, n_dropped long, kept_sha256 string",
 }
 FOLDS = {"op3_toxicity": (4, 2), "op5_context_tree": (10, 0), "op7_quality": (5, 0), "op9_language": (4, 2)}
 
@@ -33,7 +35,7 @@ def test_columns_and_rows(spark, name):
     want = dict(x.split() for x in COLUMNS[name].split(", "))
     assert {c: have.get(c) for c in want} == want
     rows = got.collect()
-    key = "vec_id" if name == "op6_pivot_index" else "doc_id"
+    key = next(iter(want))
     given = shared.table(spark, SF, "embeddings" if key == "vec_id" else "documents")
     ids = sorted(r[key] for r in given.select(key).collect())
     assert (sorted({r[key] for r in rows}) if name == "op2_best_fit_packing" else sorted(r[key] for r in rows)) == ids
