@@ -160,4 +160,5 @@ def without_common_lines(
     found = lines_of(placed, least_chars, salts).join(wanted, ["h1", "h2", "salt"], "left_semi")
     dropped = materialise(found.groupBy("file", "row").agg(F.collect_list("pos").alias("dropped")), "dropped-lines")
     drop_table(common)
-    return reassembled(placed.join(dropped, ["file", "row"], "left"))
+    # dropped lines grow with the documents: the same join at every size
+    return reassembled(placed.join(dropped.hint("merge"), ["file", "row"], "left"))
