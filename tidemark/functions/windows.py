@@ -10,7 +10,7 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def series(by: str = "pair", order: str = "ts") -> WindowSpec:
+def series(by: str = "pair", order: str | list[str] = "ts") -> WindowSpec:
     return Window.partitionBy(by).orderBy(order)
 
 
@@ -64,7 +64,7 @@ def rolling_zscore(x: Column, n: int, w: WindowSpec) -> Column:
 
 def expanding_quantile(x: Column, q: float, w: WindowSpec, least: int = 30) -> Column:
     """Exact, linearly interpolated; costs grow with the square of a series' length.
-    Long series go through ``tidemark.operators.folds.expanding_quantile``."""
+    Long series go through ``tidemark.operators.order_stats``."""
     frame = so_far(w)
     return F.when(F.count(x).over(frame) >= least, F.percentile(x, q).over(frame))
 

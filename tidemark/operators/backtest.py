@@ -1,8 +1,8 @@
 """Signals to positions, trades, curves and metrics.
 
-Masks and positions are window expressions.  The trade state machine depends on its
-own path (targets hang on the entry price), so it is a fold over one series in numpy,
-one grouped call per series, which can run many variants of one signal at once.
+Masks and positions are window expressions.  The trade machine depends on its own path
+(targets hang on the entry price); on long series it is a scan over chunks of time
+(``tidemark.operators.trades``), in sweeps of many short runs a fold over one of them.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tidemark.config import PROFIT_FACTOR_CAP, SESSION_SETS
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
-from tidemark.schema import TRADES
+from tidemark.operators.trades import run_curves, run_trades  # noqa: F401
 
 DIRECTIONS = ("both", "long_only", "short_only")
 
@@ -113,50 +113,6 @@ def simulate(
     return trades, equity, returns
 
 
-def _settings(kw: dict, pdf: pd.DataFrame) -> dict:
-    return {k: float(pdf[v].iloc[0]) if isinstance(v, str) else v for k, v in kw.items()}
-
-
-def run_trades(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    variants: list[dict],
-    price: str = "close",
-    position: str = "position",
-    capital: float = 10_000.0,
-) -> DataFrame:
-    """Trade log of every series and variant (dicts of spread, take, stop, max_hold in
-    price units, or names of columns that hold them, constant within a series); each
-    series is shipped once for all its variants."""
-    schema = T.StructType([df.schema[k] for k in keys]).add("variant", T.IntegerType())
-    schema = T.StructType([*schema, *T.StructType.fromDDL(TRADES)])
-    need = list(dict.fromkeys([*keys, ts, price, position, *(x for v in variants for x in v.values() if isinstance(x, str))]))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        key = tuple(pdf[k].iloc[0] for k in keys)
-        rows = []
-        for v, kw in enumerate(variants):
-            trades, _, _ = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), capital=capital, **_settings(kw, pdf))
-            rows += [(*key, v, *t) for t in trades]
-        return pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return df.select(*need).groupBy(*keys).applyInPandas(run, schema)
-
-
-def run_curves(df: DataFrame, keys: list[str], ts: str, kw: dict, price: str = "close", position: str = "position") -> DataFrame:
-    """Rows with realised equity and bar returns."""
-    schema = T.StructType([*df.schema, *T.StructType.fromDDL("equity double, bar_return double")])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
-        _, equity, returns = simulate(pdf[price].to_numpy(), pdf[position].to_numpy(), **_settings(kw, pdf))
-        return pdf.assign(equity=equity, bar_return=returns)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
-
-
 def trade_metrics(trades: DataFrame, keys: list[str], annualisation: int, capital: float = 10_000.0) -> DataFrame:
     """Metrics that need the trade log alone, from its rounded returns."""
     r = F.col("pnl_pct") / 100

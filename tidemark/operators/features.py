@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import SPREAD_PIPS, Config
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
-from tidemark.operators import folds
+from tidemark.operators import folds, order_stats
 
 
 def time_features(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -64,15 +64,13 @@ def same_slot_range(df: DataFrame, by: str = "pair", ts: str = "ts") -> DataFram
 def regime(df: DataFrame, keys: list[str], ts: str, c: Config = Config()) -> DataFrame:
     """High-volatility flag against the quantile of all values so far."""
     rv, name = f"rv_{c.regime_window}", f"rv_{c.regime_window}_q{round(c.regime_quantile * 100)}"
-    df = folds.expanding_quantile(df, rv, c.regime_quantile, keys, ts, c.regime_window, name)
+    df = order_stats.expanding_quantile(df, rv, c.regime_quantile, keys, ts, c.regime_window, name)
     high = F.coalesce(F.col(rv) > F.col(name), F.lit(False)).cast("tinyint")
     return df.withColumns({"volatility_regime_high": high, "volatility_regime_code": high})
 
 
 def rsi_feature(df: DataFrame, keys: list[str], ts: str, n: int = 14) -> DataFrame:
-    from pyspark.sql import types as T
-
-    return folds.per_series(df, keys, ts, {f"rsi_{n}": T.DoubleType()}, lambda p: {f"rsi_{n}": folds.rsi(p["close"], n)})
+    return folds.rsi(df, n, keys, ts, name=f"rsi_{n}")
 
 
 def dimension(spark) -> DataFrame:

@@ -1,8 +1,8 @@
 """Rule-based signal strategies.
 
 A strategy turns bars into signals in {-1, 0, 1}: events, not positions.  Windowed
-rules stay in Catalyst; recursive averages and the cooldown run in one grouped pandas
-call per series.  Indicators begin with the rows given, so a split is cut first.
+rules stay in Catalyst; recursive averages and the cooldown are scans over chunks of time
+(``tidemark.operators.folds``).  Indicators begin with the rows given, so a split is cut first.
 """
 
 from __future__ import annotations
@@ -10,11 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import windows as W
 from tidemark.operators import folds
@@ -64,8 +61,7 @@ def ma_crossover(fast: int, slow: int, kind: str = "ema", cooldown: int = 0) ->
     def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
         w = _window(keys, order)
         if kind == "ema":
-            fold = lambda p: {"ma_f": folds.ewm_span(p["close"], fast), "ma_s": folds.ewm_span(p["close"], slow)}
-            df = folds.per_series(bars, keys, order, {"ma_f": T.DoubleType(), "ma_s": T.DoubleType()}, fold)
+            df = folds.ewm(bars, {"ma_f": ("close", folds.span(fast)), "ma_s": ("close", folds.span(slow))}, keys, order)
         else:
             c = F.col("close")
             df = bars.withColumns({"ma_f": W.rolling_mean(c, fast, w), "ma_s": W.rolling_mean(c, slow, w)})
@@ -113,15 +109,12 @@ def rsi_reversion(period: int = 14, low: float = 30, high: float = 70, cooldown:
     if period < 2 or not 0 < low < high < 100:
         raise ValueError("need period >= 2 and 0 < low < high < 100")
 
-    def fold(p: pd.DataFrame) -> dict:
-        r = folds.rsi(p["close"], period).fillna(50).to_numpy()
-        before = np.concatenate([[np.nan], r[:-1]])
-        s = np.where((before <= low) & (r > low), 1, np.where((before >= high) & (r < high), -1, 0))
-        s[:period] = 0
-        return {"signal": s.astype(np.int8)}
-
     def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        return folds.per_series(bars, keys, order, {"signal": T.ByteType()}, fold)
+        w = _window(keys, order)
+        df = folds.rsi(bars, period, keys, order, name="rsi_").withColumn("rsi_", F.coalesce("rsi_", F.lit(50.0)))
+        before = F.lag("rsi_", 1).over(w)
+        up, down = (before <= low) & (F.col("rsi_") > low), (before >= high) & (F.col("rsi_") < high)
+        return df.withColumn("signal", _finish(up, down, period, w)).drop("rsi_")
 
     return Strategy("mean_reversion", period, cooldown, {"period": period, "low": low, "high": high}, signal)
 
@@ -150,17 +143,14 @@ def macd_cross(fast: int = 26, slow: int = 65, smooth: int = 9, cooldown: int =
         raise ValueError("need fast < slow and smooth >= 1")
     warmup = slow + smooth - 1
 
-    def fold(p: pd.DataFrame) -> dict:
-        line = folds.ewm_span(p["close"], fast) - folds.ewm_span(p["close"], slow)
-        above = (line > folds.ewm_span(line, smooth)).to_numpy()
-        rise = above & ~np.concatenate([[False], above[:-1]])
-        fall = ~above & np.concatenate([[True], above[:-1]])
-        s = np.where(rise, 1, np.where(fall, -1, 0))
-        s[:warmup] = 0
-        return {"signal": s.astype(np.int8)}
-
     def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        return folds.per_series(bars, keys, order, {"signal": T.ByteType()}, fold)
+        w = _window(keys, order)
+        df = folds.ewm(bars, {"ma_f": ("close", folds.span(fast)), "ma_s": ("close", folds.span(slow))}, keys, order)
+        df = df.withColumn("line_", F.col("ma_f") - F.col("ma_s"))
+        df = folds.ewm(df, {"smooth_": ("line_", folds.span(smooth))}, keys, order)
+        df = df.withColumn("above_", F.coalesce(F.col("line_") > F.col("smooth_"), F.lit(False)))
+        up, down = _cross(F.col("above_"), w)
+        return df.withColumn("signal", _finish(up, down, warmup, w)).drop("ma_f", "ma_s", "line_", "smooth_", "above_")
 
     return Strategy("trend", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, signal)
 

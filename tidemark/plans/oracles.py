@@ -509,6 +509,18 @@ SQL["trade_sim"] = SIMULATED + (
     " SELECT pair, variant, entry_bar, exit_bar, bars_held, direction, entry_price, exit_price, round(round(net * 100, 6) + 1e-9, 4) AS pnl_pct, exit_reason FROM trades"
 )
 
+# Events one by one: numbered in time order, the number standing for the clock.
+TICKED = "t AS (SELECT event_type AS pair, value AS close, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS ts FROM events)"
+SQL["trade_sim_ticks"] = (
+    f"WITH RECURSIVE {TICKED}, {momentum(24, 't')}, {positions()}, v(variant, tp, sl, mh) AS (VALUES (0, 20.0, 10.0, 24), (1, NULL, NULL, NULL)), {simulator('pair')}"
+    " SELECT pair, variant, entry_bar, exit_bar, bars_held, direction, entry_price, exit_price, round(round(net * 100, 6) + 1e-9, 4) AS pnl_pct, exit_reason FROM trades"
+)
+SQL["regime"] = (
+    f"WITH {TICKED}, v AS (SELECT *, {full('stddev_samp', 'close', 30)} AS rv FROM t),"
+    f" x AS (SELECT *, CASE WHEN count(rv) {W} >= 30 THEN quantile_cont(rv, 0.8) OVER (PARTITION BY pair ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS q FROM v)"
+    " SELECT pair, event_id, round(q, 6) AS q80, coalesce(rv > q, false)::INT AS high FROM x"
+)
+
 SQL["set_operations"] = (
     "WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 150000)"
     + " UNION ALL ".join(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.config import LONG_FEATURES, LR_FEATURES, SESSION_FEATURES, SHORT_FEATURES, Config
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
-from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, splits, strategies
+from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, order_stats, splits, strategies
 from tidemark.sources import bars as B
 
 PAIRS = ["click", "error", "purchase", "signup", "view"]
@@ -251,7 +251,7 @@ def volume_zscore(spark, sf):
 @query
 def expanding_quantile(spark, sf):
     b = bars(spark, sf).withColumn("r", F.col("high") - F.col("low"))
-    q = folds.expanding_quantile(b, "r", 0.8, KEY, "ts", 30, "q80")
+    q = order_stats.expanding_quantile(b, "r", 0.8, KEY, "ts", 30, "q80")
     high = F.coalesce(F.col("r") > F.col("q80"), F.lit(False)).cast("int")
     return q.select("pair", "ts", r6("q80").alias("q80"), high.alias("regime_high"))
 
@@ -427,9 +427,7 @@ def macd_cross(spark, sf):
 
 @query
 def ewm(spark, sf):
-    from pyspark.sql import types as T
-
-    e = folds.per_series(bars(spark, sf), KEY, "ts", {"e": T.DoubleType()}, lambda p: {"e": folds.ewm_span(p["close"], 20)})
+    e = folds.ewm(bars(spark, sf), {"e": ("close", folds.span(20))}, KEY, "ts")
     return e.select("pair", "ts", r6("e").alias("ema_20"))
 
 
@@ -489,6 +487,27 @@ def trade_sim(spark, sf):
     )
 
 
+@query
+def trade_sim_ticks(spark, sf):
+    """Every event as a tick; chunks of a day."""
+    s = strategies.momentum(24).generate(ticks(spark, sf), KEY, ["ts", "event_id"])
+    p = backtest.with_position(s, "signal", KEY, ["ts", "event_id"])
+    t = backtest.run_trades(p, KEY, ["ts", "event_id"], VARIANTS, seconds=86_400)
+    return t.select(
+        "pair", "variant", "entry_bar", "exit_bar", "bars_held", "direction", "entry_price", "exit_price",
+        F.round(F.col("pnl_pct") + 1e-9, 4).alias("pnl_pct"), "exit_reason",
+    )
+
+
+@query
+def regime(spark, sf):
+    """High-volatility flag of every tick against the quantile of all before it."""
+    order = ["ts", "event_id"]
+    t = ticks(spark, sf).withColumn("rv_30", W.rolling_std(F.col("close"), 30, W.series(order=order)))
+    r = features.regime(t, KEY, order)
+    return r.select("pair", "event_id", r6("rv_30_q80").alias("q80"), F.col("volatility_regime_high").cast("int").alias("high"))
+
+
 @query
 def trade_metrics(spark, sf):
     """Metrics over a trade log (order lines as trades)."""
