@@ -220,14 +220,15 @@ def _hours_mask(hours: np.ndarray, session: str | None) -> np.ndarray:
 
 
 def run_variants(
-    signals: DataFrame, keys: list[str], ts: str, specs: DataFrame, annualisation: int, capital: float = 10_000.0
+    signals: DataFrame, keys: list[str], ts: str, specs: DataFrame, annualisation: int, capital: float = 10_000.0, always: bool = False
 ) -> DataFrame:
     """Outcome rows (keys, spec, metrics, signals after masks, status, error) of every
     series and every spec that its keys have in ``specs`` (columns of ``SPEC``; null:
     off).
 
     A series not longer than its warm-up is skipped; one whose signals are all 0 before
-    any mask has status ZERO_SIGNALS.  A series is shipped once, with its specs beside
+    any mask has status ZERO_SIGNALS; with ``always`` both are run like any other and count
+    as they come out, without trades.  A series is shipped once, with its specs beside
     it; one that fails becomes a status row."""
     shape = [f.split()[0] for f in SPEC.split(", ")]
     grouped = specs.groupBy(*keys).agg(F.collect_list(F.struct(*shape)).alias("specs"))  # a grid: tens of rows
@@ -246,6 +247,7 @@ def run_variants(
             v = dict(zip(shape, spec.values() if isinstance(spec, dict) else spec, strict=True))
             lacks = "NO_DATA_IN_WINDOW" if not len(raw) else "SKIP_WARMUP_GT_DATA" if len(raw) <= (v["warmup"] or 0) else None
             lacks = lacks or (None if (raw != 0).any() else "ZERO_SIGNALS")
+            lacks = None if always and len(raw) else lacks
             if lacks:
                 out.append([*key, *v.values(), *[None] * 15, lacks, None])
                 continue

@@ -167,8 +167,14 @@ def tier1_survivors(outcomes: DataFrame, share: float = 0.4, least: float = 0.0)
     family these lack.  Only runs that are ok take part."""
     keys = ["pair", "strategy", "family", "ordinal"]
     scores = outcomes.filter(ok(F.col("status"))).groupBy(*keys).agg(F.avg("net_sharpe").alias("score"))
-    kept = top_fraction(scores, "pair", "score", "ordinal", share, least)
-    return family_floor(kept, scores, "pair", "family", "score", "ordinal").select("pair", "strategy")
+    good, per, family = F.col("score") > least, Window.partitionBy("pair"), Window.partitionBy("pair", "family")
+    best_first = [F.desc("score"), "ordinal"]
+    rank = F.row_number().over(per.orderBy(F.desc(good), *best_first))  # good ones lead
+    most = F.greatest(F.lit(1), F.floor(share * F.count_if(good).over(per)))
+    of_family = F.row_number().over(family.orderBy(*best_first))
+    ranked = scores.withColumns({"kept_": good & (rank <= most), "f_": of_family})
+    there = F.max("kept_").over(family)
+    return ranked.withColumn("there_", there).filter("kept_ OR (f_ = 1 AND NOT there_)").select("pair", "strategy")
 
 
 def champions(outcomes: DataFrame, keys: list[str], place: str, score: str, tie: list[str]) -> DataFrame:

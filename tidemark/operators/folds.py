@@ -123,6 +123,18 @@ def with_columns(
     return scan(df, keys, order, fold, lambda pdf, state, last: pdf.assign(**replay(pdf, state)), schema, seconds)
 
 
+def together(folds_: list[tuple[Fold, Callable, dict[str, T.DataType]]]) -> tuple[Fold, Callable, dict[str, T.DataType]]:
+    """Several folds over the same rows as one: a single pair of passes for all."""
+    each = [f for f, _, _ in folds_]
+    fold = Fold(
+        [f.start for f in each],
+        lambda p: [f.summarise(p) for f in each],
+        lambda states, sums: [f.advance(s, x) for f, s, x in zip(each, states, sums, strict=True)],
+    )
+    replay = lambda p, states: {k: v for (_, r, _), s in zip(folds_, states, strict=True) for k, v in r(p, s).items()}
+    return fold, replay, {k: v for _, _, a in folds_ for k, v in a.items()}
+
+
 # -- recursive averages ---------------------------------------------------------------
 
 #: State of an average: its value (NaN: none yet) and the rows without a value since.
@@ -179,11 +191,7 @@ def span(n: int) -> float:
     return 2 / (n + 1)
 
 
-def ewm(
-    df: DataFrame, averages: dict[str, tuple[str, float]], keys: list[str], order: str | list[str], seconds: float = CHUNK_SECONDS
-) -> DataFrame:
-    """Adds recursive averages, each of a column with a weight ``alpha`` of the newest
-    value; all share the passes."""
+def averages_fold(averages: dict[str, tuple[str, float]]) -> tuple[Fold, Callable, dict[str, T.DataType]]:
     plan = list(averages.items())
     values = lambda p, c: p[c].to_numpy(dtype=float)
     fold = Fold(
@@ -192,7 +200,15 @@ def ewm(
         lambda states, sums: [ewm_advance(s, x, a) for s, x, (_, (_, a)) in zip(states, sums, plan, strict=True)],
     )
     replay = lambda p, states: {n: ewm_replay(values(p, c), s, a) for (n, (c, a)), s in zip(plan, states, strict=True)}
-    return with_columns(df, keys, order, fold, replay, {n: T.DoubleType() for n, _ in plan}, seconds)
+    return fold, replay, {n: T.DoubleType() for n, _ in plan}
+
+
+def ewm(
+    df: DataFrame, averages: dict[str, tuple[str, float]], keys: list[str], order: str | list[str], seconds: float = CHUNK_SECONDS
+) -> DataFrame:
+    """Adds recursive averages, each of a column with a weight ``alpha`` of the newest
+    value; all share the passes."""
+    return with_columns(df, keys, order, *averages_fold(averages), seconds)
 
 
 def _moves(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,11 +216,9 @@ def _moves(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(change, 0), np.maximum(-change, 0)
 
 
-def rsi(
-    df: DataFrame, n: int, keys: list[str], order: str | list[str], close: str = "close", name: str = "rsi", seconds: float = CHUNK_SECONDS
-) -> DataFrame:
-    """Adds the relative strength index on Wilder averages; null where there were no
-    losses.  The state is the last close and both averages."""
+def rsi_fold(n: int, close: str, name: str) -> tuple[Fold, Callable, dict[str, T.DataType]]:
+    """Relative strength index on Wilder averages; null where there were no losses.  The
+    state is the last close and both averages."""
     alpha = 1 / n
 
     def summarise(p: pd.DataFrame) -> tuple:
@@ -224,7 +238,14 @@ def rsi(
         with np.errstate(divide="ignore", invalid="ignore"):
             return {name: np.where(loss != 0, 100 - 100 / (1 + gain / loss), np.nan)}
 
-    return with_columns(df, keys, order, Fold((np.nan, [EMPTY, EMPTY]), summarise, advance), replay, {name: T.DoubleType()}, seconds)
+    return Fold((np.nan, [EMPTY, EMPTY]), summarise, advance), replay, {name: T.DoubleType()}
+
+
+def rsi(
+    df: DataFrame, n: int, keys: list[str], order: str | list[str], close: str = "close", name: str = "rsi", seconds: float = CHUNK_SECONDS
+) -> DataFrame:
+    """Adds the relative strength index."""
+    return with_columns(df, keys, order, *rsi_fold(n, close, name), seconds)
 
 
 # -- cooldown -------------------------------------------------------------------------
@@ -260,10 +281,13 @@ def silence_after(signal: np.ndarray, bars: int) -> np.ndarray:
     return np.where(first < len(at), rest[np.minimum(first, len(at) - 1)], np.maximum(begin - n, 0))
 
 
+def cooldown_fold(bars: int, signal: str, name: str) -> tuple[Fold, Callable, dict[str, T.DataType]]:
+    fold = Fold(0, lambda p: silence_after(p[signal].to_numpy(), bars), lambda free, to: int(to[free]))
+    return fold, lambda p, free: {name: cooldown(p[signal].to_numpy(), bars, free)}, {name: T.ByteType()}
+
+
 def with_cooldown(
     df: DataFrame, bars: int, keys: list[str], order: str | list[str], signal: str = "signal", seconds: float = CHUNK_SECONDS
 ) -> DataFrame:
     """Adds ``cooled``; 0 bars leave the signal as it is."""
-    fold = Fold(0, lambda p: silence_after(p[signal].to_numpy(), bars), lambda free, to: int(to[free]))
-    replay = lambda p, free: {"cooled": cooldown(p[signal].to_numpy(), bars, free)}
-    return with_columns(df, keys, order, fold, replay, {"cooled": T.ByteType()}, seconds)
+    return with_columns(df, keys, order, *cooldown_fold(bars, signal, "cooled"), seconds)

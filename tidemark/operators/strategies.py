@@ -2,7 +2,10 @@
 
 A strategy turns bars into signals in {-1, 0, 1}: events, not positions.  Windowed
 rules stay in Catalyst; recursive averages and the cooldown are scans over chunks of time
-(``tidemark.operators.folds``).  Indicators begin with the rows given, so a split is cut first.
+(``tidemark.operators.folds``).  A rule says what averages it needs and how its signal
+follows from them, so that any number of strategies share the scans, the windows' sort and
+the cooldowns (``signals_of``).  Indicators begin with the rows given, so a split is cut
+first.
 """
 
 from __future__ import annotations
@@ -10,149 +13,175 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import folds
 
 
+@dataclass(frozen=True)
+class Rule:
+    """``averages`` of close and the ``strength`` period are scanned first; ``line`` is
+    (name, column over them, name of its average, alpha), scanned next.  ``flags`` are
+    columns over rows and windows, ``cross`` is (up, down) over the flags."""
+
+    flags: Callable[[DataFrame, WindowSpec], dict[str, Column]]
+    cross: Callable[[Callable[[str], Column], WindowSpec], tuple[Column, Column]]
+    warmup: int
+    averages: dict[str, float] = field(default_factory=dict)
+    strength: int | None = None
+    line: tuple[str, Column, str, float] | None = None
+
+
 @dataclass(frozen=True)
 class Strategy:
-    """``signal`` adds column ``signal`` (before cooldown) to bars; ``family`` is what
-    selection keeps diverse: trend, momentum, mean_reversion or breakout."""
+    """``rule`` or, for models, ``signal`` (which adds column ``signal`` to bars) gives the
+    signal before cooldown; ``family`` is what selection keeps diverse: trend, momentum,
+    mean_reversion or breakout."""
 
     family: str
     warmup: int
     cooldown: int
     params: dict = field(hash=False)
-    signal: Callable[[DataFrame, list[str], str], DataFrame] = field(repr=False, compare=False, default=None)
-
-    def generate(self, bars: DataFrame, keys: list[str], order: str = "ts") -> DataFrame:
-        out = self.signal(bars, keys, order)
-        if not self.cooldown:
-            return out
-        return folds.with_cooldown(out, self.cooldown, keys, order).drop("signal").withColumnRenamed("cooled", "signal")
-
-
-def _window(keys: list[str], order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(order)
-
-
-def _finish(up, down, warmup: int, w):
+    signal: Callable[[DataFrame, list[str], str], DataFrame] | None = field(repr=False, compare=False, default=None)
+    rule: Rule | None = field(repr=False, compare=False, default=None)
+
+    def generate(self, bars: DataFrame, keys: list[str], order: str | list[str] = "ts") -> DataFrame:
+        return signals_of(bars, {"signal": self}, keys, order)
+
+
+def signals_of(bars: DataFrame, named: dict[str, Strategy], keys: list[str], order: str | list[str] = "ts") -> DataFrame:
+    """``bars`` with a column of signals per strategy."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rules = {n: s.rule for n, s in named.items() if s.rule}
+    out = bars.drop(*named)
+    averages = {f"{n}_": ("close", a) for r in rules.values() for n, a in r.averages.items()}
+    first = [folds.averages_fold(averages)] if averages else []
+    first += [folds.rsi_fold(n, "close", f"rsi_{n}_") for n in sorted({r.strength for r in rules.values() if r.strength})]
+    if first:
+        out = folds.with_columns(out, keys, order, *folds.together(first), folds.CHUNK_SECONDS)
+    lines = {r.line[0]: r.line for r in rules.values() if r.line}
+    if lines:
+        out = out.withColumns({n: c for n, c, _, _ in lines.values()})
+        out = folds.ewm(out, {to: (n, a) for n, _, to, a in (r.line for r in rules.values() if r.line)}, keys, order)
+    flags, raw = {}, {}
+    for k, (n, r) in enumerate(rules.items()):
+        flags |= {f"{f}_{k}_": c for f, c in r.flags(bars, w).items()}
+        up, down = r.cross(lambda f, k=k: F.col(f"{f}_{k}_"), w)
+        raw[n] = _finish(up, down, r.warmup, w)
+    out = out.withColumns(flags).withColumns(raw)
+    for n, s in named.items():
+        if not s.rule:
+            plain = s.signal(out.drop("signal") if n != "signal" else out, keys, order)
+            out = plain if n == "signal" else plain.withColumnRenamed("signal", n)
+    cooled = {n: s.cooldown for n, s in named.items() if s.cooldown}
+    if cooled:
+        out = out.select(*[c for c in bars.columns if c not in named], *named)
+        parts = [folds.cooldown_fold(bars_, n, f"cooled_{k}_") for k, (n, bars_) in enumerate(cooled.items())]
+        out = folds.with_columns(out, keys, order, *folds.together(parts), folds.CHUNK_SECONDS)
+        out = out.drop(*cooled).withColumnsRenamed({f"cooled_{k}_": n for k, n in enumerate(cooled)})
+    model = [c for c in out.columns if c not in bars.columns and not c.endswith("_") and c not in named]  # what models add
+    return out.select(*[c for c in bars.columns if c not in named], *model, *named)
+
+
+def _finish(up: Column, down: Column, warmup: int, w: WindowSpec) -> Column:
     raw = F.when(up, 1).when(down, -1).otherwise(0)
     return F.when(F.row_number().over(w) > warmup, raw).otherwise(0).cast("tinyint")
 
 
-def _cross(above, w):
+def _cross(above: Column, w: WindowSpec) -> tuple[Column, Column]:
     """+1 where ``above`` begins, -1 where it ends; before the series: ended for the
     rise, begun for the fall."""
     return above & ~F.lag(above, 1, False).over(w), ~above & F.lag(above, 1, True).over(w)
 
 
+def _sure(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def _begins(c: Callable[[str], Column], w: WindowSpec) -> tuple[Column, Column]:
+    return W.crossing_up(c("over"), w), W.crossing_up(c("under"), w)
+
+
 def ma_crossover(fast: int, slow: int, kind: str = "ema", cooldown: int = 0) -> Strategy:
     if not 0 < fast < slow:
         raise ValueError("fast must be below slow")
     if kind not in ("ema", "sma"):
         raise ValueError("kind is ema or sma")
+    c = F.col
 
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w = _window(keys, order)
+    def flags(bars: DataFrame, w: WindowSpec) -> dict[str, Column]:
         if kind == "ema":
-            df = folds.ewm(bars, {"ma_f": ("close", folds.span(fast)), "ma_s": ("close", folds.span(slow))}, keys, order)
-        else:
-            c = F.col("close")
-            df = bars.withColumns({"ma_f": W.rolling_mean(c, fast, w), "ma_s": W.rolling_mean(c, slow, w)})
-        df = df.withColumn("above_", F.coalesce(F.col("ma_f") > F.col("ma_s"), F.lit(False)))
-        up, down = _cross(F.col("above_"), w)
-        return df.withColumn("signal", _finish(up, down, slow - 1, w)).drop("ma_f", "ma_s", "above_")
+            return {"above": _sure(c(f"ema_{fast}_") > c(f"ema_{slow}_"))}
+        return {"above": _sure(W.rolling_mean(c("close"), fast, w) > W.rolling_mean(c("close"), slow, w))}
 
-    return Strategy("trend", slow, cooldown, {"fast": fast, "slow": slow, "kind": kind}, signal)
+    averages = {f"ema_{n}": folds.span(n) for n in (fast, slow)} if kind == "ema" else {}
+    rule = Rule(flags, lambda f, w: _cross(f("above"), w), slow - 1, averages)
+    return Strategy("trend", slow, cooldown, {"fast": fast, "slow": slow, "kind": kind}, rule=rule)
 
 
 def momentum(lookback: int, cooldown: int = 0) -> Strategy:
     if lookback < 2:
         raise ValueError("lookback must be at least 2")
 
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w, c = _window(keys, order), F.col("close")
-        up = c > W.channel_high(c, lookback, w)
-        down = c < W.channel_low(c, lookback, w)
-        return bars.withColumn("signal", _finish(F.coalesce(up, F.lit(False)), F.coalesce(down, F.lit(False)), lookback, w))
+    def flags(bars: DataFrame, w: WindowSpec) -> dict[str, Column]:
+        x = F.col("close")
+        return {"over": _sure(x > W.channel_high(x, lookback, w)), "under": _sure(x < W.channel_low(x, lookback, w))}
 
-    return Strategy("momentum", lookback, cooldown, {"lookback": lookback}, signal)
+    rule = Rule(flags, lambda f, w: (f("over"), f("under")), lookback)
+    return Strategy("momentum", lookback, cooldown, {"lookback": lookback}, rule=rule)
 
 
 def donchian(period: int, cooldown: int = 0) -> Strategy:
     if period < 2:
         raise ValueError("period must be at least 2")
 
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w, c = _window(keys, order), F.col("close")
-        top = F.col("high") if "high" in bars.columns else c
-        bottom = F.col("low") if "low" in bars.columns else c
-        df = bars.withColumns(
-            {
-                "over_": F.coalesce(c > W.channel_high(top, period, w), F.lit(False)),
-                "under_": F.coalesce(c < W.channel_low(bottom, period, w), F.lit(False)),
-            }
-        )
-        up, down = W.crossing_up(F.col("over_"), w), W.crossing_up(F.col("under_"), w)
-        return df.withColumn("signal", _finish(up, down, period, w)).drop("over_", "under_")
+    def flags(bars: DataFrame, w: WindowSpec) -> dict[str, Column]:
+        x = F.col("close")
+        top, bottom = (F.col(c) if c in bars.columns else x for c in ("high", "low"))
+        return {"over": _sure(x > W.channel_high(top, period, w)), "under": _sure(x < W.channel_low(bottom, period, w))}
 
-    return Strategy("breakout", period, cooldown, {"period": period}, signal)
+    return Strategy("breakout", period, cooldown, {"period": period}, rule=Rule(flags, _begins, period))
 
 
 def rsi_reversion(period: int = 14, low: float = 30, high: float = 70, cooldown: int = 0) -> Strategy:
     if period < 2 or not 0 < low < high < 100:
         raise ValueError("need period >= 2 and 0 < low < high < 100")
 
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w = _window(keys, order)
-        df = folds.rsi(bars, period, keys, order, name="rsi_").withColumn("rsi_", F.coalesce("rsi_", F.lit(50.0)))
-        before = F.lag("rsi_", 1).over(w)
-        up, down = (before <= low) & (F.col("rsi_") > low), (before >= high) & (F.col("rsi_") < high)
-        return df.withColumn("signal", _finish(up, down, period, w)).drop("rsi_")
+    def cross(f: Callable[[str], Column], w: WindowSpec) -> tuple[Column, Column]:
+        before = F.lag(f("strength"), 1).over(w)
+        return (before <= low) & (f("strength") > low), (before >= high) & (f("strength") < high)
 
-    return Strategy("mean_reversion", period, cooldown, {"period": period, "low": low, "high": high}, signal)
+    rule = Rule(lambda bars, w: {"strength": F.coalesce(F.col(f"rsi_{period}_"), F.lit(50.0))}, cross, period, strength=period)
+    return Strategy("mean_reversion", period, cooldown, {"period": period, "low": low, "high": high}, rule=rule)
 
 
 def bollinger(period: int = 20, width: float = 2.0, cooldown: int = 0) -> Strategy:
     if period < 2 or width <= 0:
         raise ValueError("need period >= 2 and width > 0")
 
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w, c = _window(keys, order), F.col("close")
-        mean, sd = W.rolling_mean(c, period, w), W.rolling_std(c, period, w)
-        df = bars.withColumns(
-            {
-                "over_": F.coalesce(c > mean + width * sd, F.lit(False)),
-                "under_": F.coalesce(c < mean - width * sd, F.lit(False)),
-            }
-        )
-        up, down = W.crossing_up(F.col("over_"), w), W.crossing_up(F.col("under_"), w)
-        return df.withColumn("signal", _finish(up, down, period, w)).drop("over_", "under_")
+    def flags(bars: DataFrame, w: WindowSpec) -> dict[str, Column]:
+        x = F.col("close")
+        mean, sd = W.rolling_mean(x, period, w), W.rolling_std(x, period, w)
+        return {"over": _sure(x > mean + width * sd), "under": _sure(x < mean - width * sd)}
 
-    return Strategy("mean_reversion", period, cooldown, {"period": period, "width": width}, signal)
+    return Strategy("mean_reversion", period, cooldown, {"period": period, "width": width}, rule=Rule(flags, _begins, period))
 
 
 def macd_cross(fast: int = 26, slow: int = 65, smooth: int = 9, cooldown: int = 0) -> Strategy:
     if not 0 < fast < slow or smooth < 1:
         raise ValueError("need fast < slow and smooth >= 1")
     warmup = slow + smooth - 1
-
-    def signal(bars: DataFrame, keys: list[str], order: str) -> DataFrame:
-        w = _window(keys, order)
-        df = folds.ewm(bars, {"ma_f": ("close", folds.span(fast)), "ma_s": ("close", folds.span(slow))}, keys, order)
-        df = df.withColumn("line_", F.col("ma_f") - F.col("ma_s"))
-        df = folds.ewm(df, {"smooth_": ("line_", folds.span(smooth))}, keys, order)
-        df = df.withColumn("above_", F.coalesce(F.col("line_") > F.col("smooth_"), F.lit(False)))
-        up, down = _cross(F.col("above_"), w)
-        return df.withColumn("signal", _finish(up, down, warmup, w)).drop("ma_f", "ma_s", "line_", "smooth_", "above_")
-
-    return Strategy("trend", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, signal)
+    line, average = f"line_{fast}_{slow}_", f"line_{fast}_{slow}_{smooth}_"
+    rule = Rule(
+        lambda bars, w: {"above": _sure(F.col(line) > F.col(average))},
+        lambda f, w: _cross(f("above"), w),
+        warmup,
+        {f"ema_{n}": folds.span(n) for n in (fast, slow)},
+        line=(line, F.col(f"ema_{fast}_") - F.col(f"ema_{slow}_"), average, folds.span(smooth)),
+    )
+    return Strategy("trend", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, rule=rule)
 
 
 def silent() -> Strategy:

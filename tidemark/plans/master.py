@@ -2,30 +2,29 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config
 from tidemark.functions import scalars as S
 from tidemark.operators import backtest, evaluate, splits
-from tidemark.operators.strategies import REGISTRY, Strategy
+from tidemark.operators.strategies import REGISTRY, Strategy, signals_of
 from tidemark.sources.bars import resample
 
 KEYS = ["pair", "strategy"]
 
 
-def all_signals(bars: DataFrame, registry: dict[str, Strategy], ts: str = "ts") -> DataFrame:
-    """(pair, strategy, family, ts, close, signal) of every strategy, computed once
-    and used by all variants."""
-    parts = [
-        s.generate(bars, ["pair"], ts).select(
-            "pair", F.lit(n).alias("strategy"), F.lit(s.family).alias("family"), ts, "close", F.col("signal").cast("int").alias("signal")
-        )
-        for n, s in registry.items()
+def all_signals(bars: DataFrame, registry: dict[str, Strategy], ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """(keys, by default pair; strategy, family, ts, close, signal) of every strategy, from
+    one pass over the bars."""
+    keys = keys or ["pair"]
+    names = {f"signal_{k}": s for k, s in enumerate(registry.values())}
+    wide = signals_of(bars, names, keys, ts)
+    rows = [
+        F.struct(F.lit(n).alias("strategy"), F.lit(s.family).alias("family"), F.col(c).cast("int").alias("signal"))
+        for (n, s), c in zip(registry.items(), names, strict=True)
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return wide.select(*keys, ts, "close", F.inline(F.array(*rows))).select(*keys, "strategy", "family", ts, "close", "signal")
 
 
 def run_backtest(
@@ -136,11 +135,11 @@ def tiered_selection(
     tag = splits.fixed_split(bars, train_end, val_end, config.purge_rows, ["pair"], ts)
     val = cut(all_signals(tag.filter("split = 'val'"), registry, ts), "val-signals")
 
-    def run(signals: DataFrame, specs: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    def run(signals: DataFrame, specs: DataFrame, keys: list[str] = KEYS, always: bool = False) -> DataFrame:
         specs = specs.drop("warmup").join(warm, "strategy")
         if pips:  # returns do not depend on the unit of price
             signals = signals.withColumn("close", F.col("close") / S.pip(F.col("pair")))
-        return _scored(backtest.run_variants(signals, keys, ts, specs, config.annualisation, config.capital))
+        return _scored(backtest.run_variants(signals, keys, ts, specs, config.annualisation, config.capital, always))
 
     good = evaluate.ok(F.col("status"))
     runs = val.select(*KEYS).distinct()
@@ -161,11 +160,11 @@ def tiered_selection(
     chosen = cut(best.select(*KEYS, "session", "direction", "tp", "sl"), "chosen")
 
     parts = splits.folds(bars, folds, config.purge_rows, ["pair"], ts).filter("kind = 'train'")
-    by_fold = [all_signals(parts.filter(F.col("fold") == k), registry, ts).withColumn("fold", F.lit(k)) for k in range(len(folds))]
-    fold_signals = cut(reduce(DataFrame.unionByName, by_fold), "fold-signals")
+    fold_signals = cut(all_signals(parts, registry, ts, ["pair", "fold"]), "fold-signals")
     numbers = spark.createDataFrame([(k,) for k in range(len(folds))], "fold int")
     specs = _specs(chosen, spread, max_hold).crossJoin(F.broadcast(numbers))
-    t4 = cut(run(fold_signals, specs, [*KEYS, "fold"]), "t4")
+    # a fold without signals, or not longer than the warm-up, counts with zeros
+    t4 = cut(run(fold_signals, specs, [*KEYS, "fold"], always=True), "t4")
     folded = evaluate.fold_aggregate(t4.filter(good), [*KEYS, "session", "direction"])
     final = cut(evaluate.final_rank(folded), "ranking")
 

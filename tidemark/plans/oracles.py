@@ -658,6 +658,25 @@ SQL["tier1_survivors"] = sweep_sql(
     " SELECT pair, strategy FROM kept UNION ALL SELECT pair, strategy FROM (SELECT *, row_number() OVER (PARTITION BY pair, family ORDER BY net_sharpe DESC, ordinal) AS place FROM lacking) WHERE place = 1",
 )
 
+# Walk-forward: all folds of four lookbacks, those without trades as zeros.
+_LOOKBACKS = (12, 24, 120, 240)
+SQL["tier4_ranking"] = (
+    f"WITH RECURSIVE {BARS}, {FOLDS}, kt AS (SELECT * FROM k WHERE kind = 'train'),"
+    " sig AS ("
+    + " UNION ALL ".join(
+        f"SELECT concat_ws('|', pair, '{n}', fold) AS run, pair, 'Momentum_{n}' AS strategy, fold, ts, close, CASE WHEN row_number() OVER (PARTITION BY pair, fold ORDER BY ts) <= {n} THEN 0"
+        f" WHEN close > max(close) OVER w THEN 1 WHEN close < min(close) OVER w THEN -1 ELSE 0 END::INT AS signal FROM kt WINDOW w AS (PARTITION BY pair, fold ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        for n in _LOOKBACKS
+    )
+    + "), sn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts) AS rn FROM sig),"
+    f" {positions('sn', 'run')}, v(variant, tp, sl, mh) AS (VALUES (0, NULL, NULL, 24)), {simulator('run')},"
+    " pnl AS (SELECT run, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
+    " m AS (SELECT run, count(*) AS n, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe FROM pnl GROUP BY 1),"
+    " runs AS (SELECT pair, strategy, coalesce(n, 0) AS n, coalesce(sharpe, 0) AS sharpe FROM (SELECT DISTINCT run, pair, strategy FROM sig) LEFT JOIN m USING (run)),"
+    " g AS (SELECT pair, strategy, sum(n)::BIGINT AS n_trades, count(*) FILTER (sharpe < 0) AS negative_folds, avg(sharpe) AS fm, stddev_pop(sharpe) AS fs FROM runs GROUP BY 1, 2)"
+    " SELECT pair, strategy, n_trades, negative_folds, round(fm, 4) AS fold_mean, round(fs, 4) AS fold_std, row_number() OVER (ORDER BY round(fm - 0.5 * fs, 4) DESC, pair, strategy)::INT AS rank FROM g WHERE n_trades >= 10 AND negative_folds <= 3"
+)
+
 # One back-test: long signals of the London session, metrics of the trade log.
 SQL["run_backtest"] = (
     f"WITH RECURSIVE {BARS.replace(', b AS (', ', b_all AS (')}, b AS (SELECT * FROM b_all WHERE ts >= TIMESTAMP '2024-01-03' AND ts <= TIMESTAMP '2024-01-28 23:59:59'), {momentum(24)},"

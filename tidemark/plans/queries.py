@@ -887,8 +887,9 @@ def _sweep(spark, sf, sessions: list, directions: list) -> DataFrame:
     registry = strategies.REGISTRY
     rows = [(n, s.family, k, s.warmup) for k, (n, s) in enumerate(registry.items())]
     known = F.broadcast(spark.createDataFrame(rows, "strategy string, family string, ordinal int, warmup int"))
-    s = master.all_signals(bars(spark, sf), registry)
-    runs = s.select("pair", "strategy").distinct().join(known.select("strategy", "warmup"), "strategy")
+    b = bars(spark, sf)
+    s = master.all_signals(b, registry)
+    runs = b.select("pair").distinct().crossJoin(F.broadcast(known.select("strategy", "warmup")))  # a grid
     specs = master._specs(runs, 0.5, 24, session=sessions, direction=directions)
     return backtest.run_variants(s, ["pair", "strategy"], "ts", specs, CONFIG.annualisation).drop("warmup").join(known, "strategy")
 
@@ -907,6 +908,24 @@ def tier1_survivors(spark, sf):
     return evaluate.tier1_survivors(_sweep(spark, sf, [None], ["both"]))
 
 
+@query
+def tier4_ranking(spark, sf):
+    """Walk-forward: every fold counts, those too short for the warm-up with zeros."""
+    from tidemark.plans import master
+
+    registry = {f"Momentum_{n}": strategies.momentum(n) for n in (12, 24, 120, 240)}
+    parts = splits.folds(bars(spark, sf), FOLDS, 15, KEY, "ts").filter("kind = 'train'")
+    s = master.all_signals(parts, registry, "ts", ["pair", "fold"])
+    rows = [(n, x.warmup, k) for n, x in registry.items() for k in range(len(FOLDS))]
+    grid = spark.createDataFrame(rows, "strategy string, warmup int, fold int")
+    specs = master._specs(parts.select("pair").distinct().crossJoin(F.broadcast(grid)), 0.5, 24)
+    runs = backtest.run_variants(s, ["pair", "strategy", "fold"], "ts", specs, CONFIG.annualisation, always=True)
+    folded = evaluate.fold_aggregate(runs.filter(evaluate.ok(F.col("status"))), ["pair", "strategy"])
+    return evaluate.final_rank(folded, 10, 3).select(
+        "pair", "strategy", "n_trades", "negative_folds", F.round("fold_mean", 4).alias("fold_mean"), F.round("fold_std", 4).alias("fold_std"), "rank"
+    )
+
+
 @query
 def flat_outcomes(spark, sf):
     """The flat table of a first tier's runs."""
