@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import LONG_STEPS, LR_STRENGTHS, SHORT_STEPS
+from tidemark.operators import folds
 
 
 def scaled(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
@@ -95,6 +96,20 @@ class TwoBranchNetwork:
         self.dense = (draw(2 * hidden + session, 32), np.zeros(32, np.float32))
         self.out = (draw(32, 3), np.zeros(3, np.float32))
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All weights by name."""
+        out = {f"branch{k}_{n}": w for k, branch in enumerate(self.branches) for n, w in zip("xhb", branch, strict=True)}
+        return out | {"dense_w": self.dense[0], "dense_b": self.dense[1], "out_w": self.out[0], "out_b": self.out[1]}
+
+    def with_arrays(self, arrays: dict[str, np.ndarray]) -> TwoBranchNetwork:
+        for name, old in self.arrays().items():
+            if name not in arrays or arrays[name].shape != old.shape:
+                raise ValueError(f"checkpoint does not fit: {name}")
+        a = {n: np.asarray(w, np.float32) for n, w in arrays.items()}
+        self.branches = [tuple(a[f"branch{k}_{n}"] for n in "xhb") for k in (0, 1)]
+        self.dense, self.out = (a["dense_w"], a["dense_b"]), (a["out_w"], a["out_b"])
+        return self
+
     def _run(self, x: np.ndarray, branch: tuple) -> np.ndarray:
         wx, wh, b = branch
         n = self.hidden
@@ -130,29 +145,59 @@ def network_signals(
     session: list[str],
     keys: list[str],
     ts: str,
-    batch: int = 4096,
+    batch: int = 512,
+    seconds: float = 5 * 86_400,
 ) -> DataFrame:
-    """Adds ``signal``; the first ``LONG_STEPS`` rows of a series are 0.  Windows are
-    strided views of one array per series."""
+    """Adds ``signal``; the first ``LONG_STEPS`` rows of a series are 0.
+
+    A chunk of time is scored by one task, with the rows before it that its first windows
+    reach back to; windows are strided views of one array."""
     shared = df.sparkSession.sparkContext.broadcast(net)
-    schema = T.StructType([*df.schema.fields, T.StructField("signal", T.ByteType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable").reset_index(drop=True)
-        n, signal = len(pdf), np.zeros(len(pdf), dtype=np.int8)
-        if n >= LONG_STEPS:
-            take = lambda cols: pdf[cols].fillna(0).to_numpy(np.float32)
-            s = np.lib.stride_tricks.sliding_window_view(take(short), SHORT_STEPS, axis=0)[LONG_STEPS - SHORT_STEPS :]
-            g = np.lib.stride_tricks.sliding_window_view(take(long), LONG_STEPS, axis=0)
-            flags = take(session)[LONG_STEPS - 1 :]
+    cols = list(dict.fromkeys([*short, *long]))
+    at = [[cols.index(c) for c in side] for side in (short, long)]
+    take = lambda pdf, names: pdf[names].fillna(0).to_numpy(np.float32)
+
+    def tail(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
+        return len(pdf), take(pdf.tail(LONG_STEPS - 1), cols)
+
+    def advance(state: tuple, summary: tuple) -> tuple:
+        return state[0] + summary[0], np.concatenate([state[1], summary[1]])[-(LONG_STEPS - 1) :]
+
+    def replay(pdf: pd.DataFrame, state: tuple) -> dict:
+        seen, before = state
+        x = np.concatenate([before, take(pdf, cols)])
+        signal, first = np.zeros(len(pdf), dtype=np.int8), LONG_STEPS - 1 - len(before)
+        if len(x) >= LONG_STEPS:
+            view = np.lib.stride_tricks.sliding_window_view
+            s = view(x[:, at[0]], SHORT_STEPS, axis=0)[LONG_STEPS - SHORT_STEPS :]
+            g = view(x[:, at[1]], LONG_STEPS, axis=0)
+            flags = take(pdf, session)[first:]
             for lo in range(0, len(g), batch):
                 part = slice(lo, lo + batch)
                 got = shared.value.log_probs(s[part].transpose(0, 2, 1), g[part].transpose(0, 2, 1), flags[part])
-                signal[LONG_STEPS - 1 + lo : LONG_STEPS - 1 + lo + len(got)] = got.argmax(axis=1) - 1
-            signal[:LONG_STEPS] = 0
-        return pdf.assign(signal=signal)
+                signal[first + lo : first + lo + len(got)] = got.argmax(axis=1) - 1
+        signal[: max(LONG_STEPS - seen, 0)] = 0
+        return {"signal": signal}
+
+    fold = folds.Fold((0, np.zeros((0, len(cols)), np.float32)), tail, advance)
+    return folds.with_columns(df.drop("signal"), keys, ts, fold, replay, {"signal": T.ByteType()}, seconds)
+
+
+def save_network(net: TwoBranchNetwork, spark, path: str, **about) -> None:
+    """A checkpoint as a small table: a row per array, and what is told about it."""
+    rows = [(n, [int(k) for k in w.shape], [float(v) for v in w.ravel()]) for n, w in net.arrays().items()]
+    rows += [(f"about:{k}", [], [float(v)]) for k, v in about.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, vals array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def load_network(spark, path: str) -> tuple[TwoBranchNetwork, dict[str, float]]:
+    rows = spark.read.parquet(path).collect()
+    about = {r["name"][6:]: r["vals"][0] for r in rows if r["name"].startswith("about:")}
+    arrays = {r["name"]: np.array(r["vals"]).reshape(r["shape"]) for r in rows if not r["name"].startswith("about:")}
+    sizes = [arrays[f"branch{k}_x"].shape[0] for k in (0, 1)]
+    hidden = arrays["branch0_h"].shape[0]
+    net = TwoBranchNetwork(*sizes, arrays["dense_w"].shape[0] - 2 * hidden, hidden)
+    return net.with_arrays(arrays), about
 
 
 def save_model(model, scaler: DataFrame, path: str) -> None:

@@ -9,7 +9,8 @@ some n values; it gets those, puts its own rows into their order and moves a poi
 through it, one rank at a time.
 
 No task holds more than a chunk and the cells sent to it; cells are sent once for each
-chunk that looks at their bucket.  Any bounds give the same result.
+chunk that looks at their bucket.  Any bounds give the same result.  The rows and the cells
+are written to the shared folder once, as several passes read them.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.folds import CHUNK_SECONDS, sorted_rows, with_chunk
+from tidemark.sources.tables import written
 
 #: Quantiles that a chunk gives for the bounds, and buckets of a series.
 SAMPLES, BUCKETS = 64, 1024
@@ -143,7 +145,7 @@ def expanding_quantile(
     """Adds the exact, linearly interpolated quantile of all values so far, null below
     ``least`` of them.  Rows without a value get that of the values before."""
     by = [*keys, "chunk_"]
-    at = with_chunk(df, order, seconds)
+    at = written(with_chunk(df, order, seconds), "quantile-rows")
     fields = [at.schema[k] for k in by]
     more = lambda ddl: T.StructType([*fields, *T.StructType.fromDDL(ddl)])
 
@@ -185,6 +187,7 @@ def expanding_quantile(
     sampled = at.groupBy(*by).applyInPandas(sample, more("sample array<double>, n long"))
     known = sampled.groupBy(*keys).applyInPandas(bounds, more("bounds array<double>"))
     cell = at.groupBy(*by).cogroup(known.groupBy(*by)).applyInPandas(cells, more("bucket int, vals array<double>, often array<long>, n long"))
+    cell = written(cell, "quantile-cells")
     place = cell.select(*by, "bucket", "n").groupBy(*keys).applyInPandas(places, more("before long, below long, first int, last int"))
     ask = place.filter("first <= last").withColumn("bucket", F.explode(F.sequence("first", "last"))).alias("a")
     have = cell.alias("h")

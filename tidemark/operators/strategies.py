@@ -31,7 +31,7 @@ class Rule:
     warmup: int
     averages: dict[str, float] = field(default_factory=dict)
     strength: int | None = None
-    line: tuple[str, Column, str, float] | None = None
+    line: tuple[str, Callable[[], Column], str, float] | None = None
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,7 @@ def signals_of(bars: DataFrame, named: dict[str, Strategy], keys: list[str], ord
         out = folds.with_columns(out, keys, order, *folds.together(first), folds.CHUNK_SECONDS)
     lines = {r.line[0]: r.line for r in rules.values() if r.line}
     if lines:
-        out = out.withColumns({n: c for n, c, _, _ in lines.values()})
+        out = out.withColumns({n: c() for n, c, _, _ in lines.values()})
         out = folds.ewm(out, {to: (n, a) for n, _, to, a in (r.line for r in rules.values() if r.line)}, keys, order)
     flags, raw = {}, {}
     for k, (n, r) in enumerate(rules.items()):
@@ -179,7 +179,7 @@ def macd_cross(fast: int = 26, slow: int = 65, smooth: int = 9, cooldown: int =
         lambda f, w: _cross(f("above"), w),
         warmup,
         {f"ema_{n}": folds.span(n) for n in (fast, slow)},
-        line=(line, F.col(f"ema_{fast}_") - F.col(f"ema_{slow}_"), average, folds.span(smooth)),
+        line=(line, lambda: F.col(f"ema_{fast}_") - F.col(f"ema_{slow}_"), average, folds.span(smooth)),
     )
     return Strategy("trend", warmup, cooldown, {"fast": fast, "slow": slow, "smooth": smooth}, rule=rule)
 

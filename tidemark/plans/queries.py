@@ -18,6 +18,7 @@ from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
 from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, order_stats, splits, strategies
 from tidemark.sources import bars as B
+from tidemark.sources.tables import written
 
 PAIRS = ["click", "error", "purchase", "signup", "view"]
 KEY, ORDER = ["pair"], "ts"
@@ -831,7 +832,7 @@ def _model_rows(spark, sf):
 def _scaled_rows(spark, sf, wanted: list[str]) -> tuple[DataFrame, list[str]]:
     """Rows of all splits with inputs standardised by the training split's scaler, in
     its order."""
-    rows = features.regime(_model_rows(spark, sf), KEY, "ts")
+    rows = written(features.regime(_model_rows(spark, sf), KEY, "ts"), "model-rows")  # several passes follow
     rows = splits.fixed_split(rows, TRAIN_END, VAL_END, 15, KEY, "ts")
     scaler = splits.scaler(rows.filter("split = 'train'").withColumn("all_", F.lit(1)), wanted, ["all_"])
     names = [f"x{i}" for i in range(len(wanted))]
@@ -854,6 +855,20 @@ def network_signals(spark, sf):
     return ml.network_signals(named, net, SHORT_FEATURES, LONG_FEATURES, SESSION_FEATURES, KEY, "ts").select("pair", "ts", "signal")
 
 
+@query
+def network_training(spark, sf):
+    """Losses per epoch of a small network over the training split."""
+    from tidemark.operators import training
+
+    wanted = [*SHORT_FEATURES, *[c for c in LONG_FEATURES if c not in SHORT_FEATURES]]
+    rows, names = _scaled_rows(spark, sf, wanted)
+    rows = rows.withColumns({c: F.col(x) for c, x in zip(wanted, names, strict=True)})
+    sides = [rows.filter(F.col("split") == s) for s in ("train", "val")]
+    _, told = training.train(*sides, SHORT_FEATURES, LONG_FEATURES, SESSION_FEATURES, "label", KEY, "ts", hidden=8, epochs=4, steps=2)
+    out = spark.createDataFrame([(t["epoch"], t["train_loss"], t["val_loss"], t["best"]) for t in told], "epoch int, train_loss double, val_loss double, best boolean")
+    return out.select("epoch", F.round("train_loss", 4).alias("train_loss"), F.round("val_loss", 4).alias("val_loss"), "best")
+
+
 @query
 def sequence_windows(spark, sf):
     s = ml.sequences(bars(spark, sf), ["close"], 15, KEY, "ts")
