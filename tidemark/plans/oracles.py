@@ -521,6 +521,14 @@ SQL["regime"] = (
     " SELECT pair, event_id, round(q, 6) AS q80, coalesce(rv > q, false)::INT AS high FROM x"
 )
 
+# Stages: dense days, nothing lost by features and labels, purged splits.
+SQL["stage_manifest"] = q(
+    "SELECT stage, pair, 'DONE' AS status, n AS rows, 'PRESENT' AS second_run FROM (SELECT pair, count(*) AS n FROM dense GROUP BY 1), (VALUES ('clean'), ('features'), ('labels')) v(stage)"
+    " UNION ALL SELECT 'splits', pair, 'DONE', count(*), 'PRESENT' FROM sp GROUP BY 2",
+    "dense AS (SELECT * EXCLUDE c FROM (SELECT *, count(*) OVER (PARTITION BY pair, ts::DATE) AS c FROM b) WHERE c >= 18)",
+    SPLIT.format(src="dense"),
+)
+
 SQL["set_operations"] = (
     "WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 150000)"
     + " UNION ALL ".join(

@@ -18,7 +18,7 @@ from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
 from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, order_stats, splits, strategies
 from tidemark.sources import bars as B
-from tidemark.sources.tables import written
+from tidemark.sources.tables import fresh_folder, written
 
 PAIRS = ["click", "error", "purchase", "signup", "view"]
 KEY, ORDER = ["pair"], "ts"
@@ -948,6 +948,21 @@ def flat_outcomes(spark, sf):
     return out.select("tier", "pair", "strategy", "split", "direction", "ok", "status", "n_trades", "signal_long", "signal_short", "warning_flags")
 
 
+@query
+def stage_manifest(spark, sf):
+    """Bars to splits as stages, run twice: what was made, and whether the second run
+    found it."""
+    from tidemark.plans import stages
+
+    source = {"bars": written(bars(spark, sf), "bars")}
+    plan = stages.preparation(18, TRAIN_END, VAL_END, 15, 0.25, 5)
+    folder = fresh_folder(spark, "stages")
+    _, first = stages.run(spark, plan, source, folder)
+    _, second = stages.run(spark, plan, source, folder)
+    again = second.select("stage", "pair", F.col("status").alias("second_run"))
+    return first.select("stage", "pair", "status", "rows").join(again, ["stage", "pair"])
+
+
 @query
 def deterministic_sample(spark, sf):
     """A repeatable sample for reports."""
