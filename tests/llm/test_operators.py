@@ -259,6 +259,58 @@ def test_program_places_the_sequences(docs, tok, times):
     assert packing.make_plan(hist).sequences() <= packing._best_fit(dict(hist), 4096).sequences()
 
 
+@pytest.mark.parametrize(
+    "hist",
+    [
+        {1500: 1000, 1400: 1000},
+        Counter((np.random.default_rng(0).integers(1, 100, 20_000) * 40).tolist()),
+        Counter(np.random.default_rng(1).integers(2049, 4000, 5000).tolist()),
+        Counter((np.random.default_rng(2).integers(20, 580, 8000) * 7 + 3).tolist()),
+    ],
+    ids=["two lengths", "multiples of 40", "over half", "7 k + 3"],
+)
+def test_program_where_nothing_fills_exactly(hist):
+    """Lengths that do not add up to the capacity: the program still places nearly all,
+    in no more sequences than best-fit, and its bound holds."""
+    hist = {int(k): int(v) for k, v in hist.items()}
+    plan, (solved, _) = packing.make_plan(hist), packing.solve(hist, 4096, leave_room=True)
+    served = Counter()
+    for p, n in zip(plan.patterns, plan.copies, strict=True):
+        assert sum(p) <= 4096
+        for x in p:
+            served[x] += n
+    assert served == Counter(hist)
+    placed = sum(sum(p) * n for p, n in zip(solved.patterns, solved.copies, strict=True))
+    assert placed >= 0.9 * sum(k * v for k, v in hist.items())
+    # where best-fit comes within half a hundredth of the bound, the program may need some more
+    assert plan.sequences() <= max(packing._best_fit(dict(hist), 4096).sequences(), 1.006 * plan.bound)
+    assert 0.85 * plan.sequences() < plan.bound <= plan.sequences()
+
+
+def test_dual_bound_by_brute_force():
+    """No packing of a few pieces has fewer sequences than any worths say."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        items = rng.integers(1, 20, 6).tolist()
+        least = len(items)
+        for code in range(4 ** len(items)):  # every way into at most four sequences
+            room = [0] * 4
+            for k, x in enumerate(items):
+                room[code // 4**k % 4] += x
+            if max(room) <= 24:
+                least = min(least, sum(r > 0 for r in room))
+        lengths, need = np.unique(items, return_counts=True)
+        for worth in (lengths / 24, rng.random(len(lengths)) + 0.1):
+            assert packing.dual_bound(lengths, worth, need, 24) <= least + 1e-9
+
+
+def test_equal_rows_are_split(spark):
+    found = spark.createDataFrame([(None, 0, 0, 1, 7)] * 600, "doc_id long, piece int, start long, length int, ids_crc32 long").repartition(3)
+    got = packing.pack(found, 64, rows_per_salt=50)
+    check_packing(got.toPandas(), 64)
+    assert got.count() == 600
+
+
 def test_knapsack_by_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(200):
@@ -779,3 +831,26 @@ def test_context_tree_scores_by_every_node(spark, docs, depth):
     for top in (context_tree.TOP_GRAMS, 500):
         got = {r["doc_id"]: r["score"] for r in context_tree.scored(df, depth, top_grams=top).collect()}
         assert len(got) == len(rows) and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in some)
+
+
+def test_language_of_one_identifier_is_learned(spark):
+    """What enters the sample does not hang on identifiers alone."""
+    french = [(5, f"le petit chat numéro {i} dort sur la chaise verte", "fr") for i in range(600)]
+    english = [(i, "the small cat sleeps on the green chair and dreams", "en") for i in range(100, 120)]
+    copies = [(8, "die kleine Katze schläft auf dem grünen Stuhl", "de")] * 500
+    for k in (4, 5, 7, 8):
+        rows = [(k if x[0] == 5 else x[0], *x[1:]) for x in french] + english + copies
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in (k, 8)}
+        want = {"en"} | ({"fr"} if not held[k] else set()) | ({"de"} if not held[8] else set())
+        assert set(language.learn(docs)) == want
+
+
+def test_many_languages_share_the_sample(spark):
+    rng = np.random.default_rng(1)
+    rows = [(3 * i + j, "".join(chr(97 + c) for c in rng.integers(0, 26, 900)), f"l{i:04d}") for i in range(1000) for j in range(3)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.learn(docs, all_symbols=500_000)
+    assert set(got) == {r[2] for r in rows}
+    assert sum(map(len, got.values())) <= 1000 * (500 + 901)

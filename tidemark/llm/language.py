@@ -21,7 +21,7 @@ Defined results for odd input
     null text, no letter   ``und`` with score 0
     nothing to learn from  every document is ``und``
     long training texts    enter the sample whole; a language always has one
-    null identifiers       take part in learning, told apart by their text
+    null or repeated identifiers   take part in learning, told apart by their text
     repeated rows          one result row each
     empty table            an empty result with the full schema
     extra columns          ignored
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import bounded_batches, give_back, id_bucket
@@ -53,40 +53,48 @@ def learn(
     docs: DataFrame,
     sample_symbols: int = 40_000,
     docs_per_language: int = 200,
+    all_symbols: int = 2_000_000,
     max_languages: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> dict[str, str]:
-    """A sample of training texts per language: about ``docs_per_language`` are chosen
-    by a hash, and in its order they enter whole until ``sample_symbols`` characters
-    are reached (the last text may pass that).  Only values of ``lang_col`` beyond the
-    ``max_languages`` most frequent ones are not learned."""
-    own = F.when(F.col(id_col).isNull(), F.col(text_col))
-    h = F.xxhash64(F.col(id_col), own).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+    """A sample of training texts per language: the ``docs_per_language`` smallest by a
+    hash of identifier and text, and in its order they enter whole until
+    ``sample_symbols`` characters are reached (the last text may pass that).  A language
+    with any text has one in the sample.
+
+    What workers hold is bounded by ``all_symbols``: where there are more languages than
+    that allows, each has an equal share of it, and texts of over twice a share stay out
+    unless a language has no shorter one.  Of over ``max_languages`` values of
+    ``lang_col`` the most frequent are learned."""
+    h = F.xxhash64(F.col(id_col), F.col(text_col))
     open_ = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h")
     )
     letters = F.regexp_like("text", F.lit(r"\p{L}"))
     open_ = open_.filter("lang is not null").filter((id_bucket("doc_id", HELD_OUT[0]) != HELD_OUT[1]) & letters)
-    counts = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    # equal rows are one: no language's sample is taken up by copies
+    of = open_.groupBy("lang", "h", F.xxhash64("text", F.lit(1)).alias("of")).agg(F.max(F.length("text")).alias("size"))
+    counts = of.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
-    # h is uniform on [0, 1): below rate(lang) lie about docs_per_language texts
-    rate = {r["lang"]: min(1.0, docs_per_language / r["n"]) for r in counts}
-    session = docs.sparkSession
-    rates = F.broadcast(session.createDataFrame(sorted(rate.items()), "lang string, rate double"))
-    near = open_.join(rates, "lang").filter("h < rate")
-    seen = near.select("lang", "h", F.length("text").alias("size"), F.xxhash64("text").alias("of")).collect()
-    room, chosen = dict.fromkeys(rate, sample_symbols), set()
-    for r in sorted(seen):
-        if room[r["lang"]] > 0:
-            chosen.add((r["lang"], r["h"], r["of"]))
-            room[r["lang"]] -= r["size"] + 1
-    if not chosen:
-        return {}
-    wanted = F.broadcast(session.createDataFrame(sorted(chosen), "lang string, h double, of long"))
-    texts = open_.withColumn("of", F.xxhash64("text")).join(wanted, ["lang", "h", "of"]).select("lang", "h", "text")
+    session, room = docs.sparkSession, max(1, min(sample_symbols, all_symbols // len(counts)))
+    most = max(4, min(docs_per_language, 200_000 // len(counts)))
+    langs = F.broadcast(session.createDataFrame([(r["lang"],) for r in counts], "lang string"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "of"))
+    seen: dict[str, list[tuple]] = {}
+    for r in of.join(langs, "lang").withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank").collect():
+        seen.setdefault(r["lang"], []).append((r["h"], r["of"], r["size"]))
+    chosen = []
+    for lang, rows in seen.items():
+        left = room
+        for row in sorted(x for x in rows if x[2] <= 2 * room) or [min(rows, key=lambda x: (x[2], x))]:
+            if left > 0:
+                chosen.append((lang, *row[:2]))
+                left -= row[2] + 1
+    wanted = F.broadcast(session.createDataFrame(sorted(chosen), "lang string, h long, of long"))
+    texts = open_.withColumn("of", F.xxhash64("text", F.lit(1))).join(wanted, ["lang", "h", "of"]).select("lang", "h", "text")
     sample: dict[str, list[str]] = {}
     for r in sorted(texts.distinct().collect()):
         sample.setdefault(r["lang"], []).append(r["text"])

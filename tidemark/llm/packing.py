@@ -7,12 +7,15 @@ documents are cut.  The number of pieces of each length (the histogram, at most
 1.  the configuration LP (fewest sequences whose contents cover the histogram) is
     solved by multiplicative weights: lengths that have been placed less than their
     share grow dearer, and a knapsack dynamic program over the capacity prices the
-    configuration worth most at these weights, among those that leave no room empty;
+    configuration worth most at these weights, among those that leave no room empty
+    or, where lengths do not add up to the capacity, no more than must be.  The
+    weights also give a bound that no packing can be below (the dual program);
 2.  its use is rounded as the weights advance: each step is a whole number of copies
     that the histogram still holds, so a corpus whose lengths mostly occur once is
     placed by the program too;
 3.  the few pieces that no configuration completes go best-fit, longest first, into
-    the fullest sequence that has room.
+    the fullest sequence that has room, and with them the last sequences of the
+    program, which had to take what was left, if that needs fewer.
 
 Pieces find their place by their rank among the pieces of their length; ranks come
 from a window over (length, salt) and the counts below it.  A length has as many
@@ -40,6 +43,11 @@ from tidemark.llm.chunked_bpe import read_definition
 from tidemark.llm.shared import bounded_batches, give_back, materialise, text_or_empty
 from tidemark.llm.tokens import shared_encoder
 
+#: Tried in turn until a plan meets its bound: how fast weights follow what lags (high
+#: rates stay near the program's solution, low ones leave more short pieces for the last
+#: sequences), and whether sequences may leave room.
+TRIED = ((8.0, False), (8.0, True), (1.0, True), (0.25, True))
+
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -83,14 +91,16 @@ class Plan:
 
     patterns: list[tuple[int, ...]]
     copies: list[int]
+    #: No packing has fewer sequences.
+    bound: float = 0.0
 
     def sequences(self) -> int:
         return sum(self.copies)
 
 
-def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -> list[int] | None:
-    """The contents that fill ``room`` exactly and are worth most, each length taken
-    at most ``most`` times; None if none do.  A dynamic program over the capacity."""
+def _filled(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -> tuple[np.ndarray, list[tuple]]:
+    """Most worth of contents that take exactly 0 ... ``room`` (-inf: none do), each
+    length at most ``most`` times, and the steps of the program."""
     best = np.full(room + 1, -np.inf)
     best[0] = 0.0
     steps = []
@@ -102,9 +112,20 @@ def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -
             steps.append((length, k, got > best[k * length :]))
             np.maximum(best[k * length :], got, out=best[k * length :])
             rest, bundle = rest - k, 2 * bundle
-    if best[room] == -np.inf:
+    return best, steps
+
+
+def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int, spare: int | None = 0) -> list[int] | None:
+    """The contents that leave at most ``spare`` of ``room`` empty and are worth most;
+    None if there are none.  A ``spare`` of None stands for as little as can be left."""
+    best, steps = _filled(lengths, worth, most, room)
+    if spare is None:
+        spare = room - int(np.flatnonzero(best > -np.inf)[-1])
+    empty = int(np.argmax(best[::-1][: spare + 1]))
+    at = room - empty
+    if best[at] == -np.inf:
         return None
-    out, at = [], room
+    out = []
     for length, k, better in reversed(steps):
         if at >= k * length and better[at - k * length]:
             out += [length] * k
@@ -112,26 +133,51 @@ def price(lengths: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int, configurations: int = 2048, width: int = 24, rate: float = 8.0) -> tuple[Plan, dict[int, int]]:
+def dual_bound(lengths: np.ndarray, worth: np.ndarray, need: np.ndarray, capacity: int) -> float:
+    """What all pieces are worth over the most that one sequence can be worth: no packing
+    has fewer sequences, whatever the worths."""
+    most = _filled(lengths, worth, need, capacity)[0].max()
+    return float((worth * need).sum() / most) if most > 0 else 0.0
+
+
+def solve(
+    histogram: dict[int, int],
+    capacity: int,
+    configurations: int = 2048,
+    width: int = 24,
+    rate: float = 8.0,
+    bounds: int = 6,
+    leave_room: bool = False,
+    share: float = 0.95,
+) -> tuple[Plan, dict[int, int]]:
     """Configurations and how often each is used, and the pieces that these leave.
 
     The program: the fewest sequences whose contents cover the histogram.  Every
     length has a weight, exp(rate * how far its share of placed pieces lies behind the
     share of placed sequences).  A round takes the length whose weight times length is
-    highest, prices by ``price`` what fills its sequence over the ``width`` dearest
+    highest, prices by ``price`` what completes its sequence over the ``width`` dearest
     other lengths, each up to twice (more, in the end all and as often as they occur,
-    while nothing fills it exactly), and uses that
-    configuration by a step of 1 / ``configurations`` of all sequences.  Steps are
-    rounded: down to whole copies that the histogram still holds, one at least.
-    A length that nothing completes is put aside."""
+    while nothing completes it), and uses that configuration by a step of
+    1 / ``configurations`` of all sequences.  Steps are rounded: down to whole copies that
+    the histogram still holds, one at least.
+
+    A sequence is complete if it leaves no room; with ``leave_room``, no more than rounds
+    before have had to leave.  A length that nothing completes is put aside; with
+    ``leave_room`` only once ``share`` of the contents is placed.  At ``bounds`` rounds
+    the weights give a lower bound."""
     lengths = np.array(sorted(histogram), dtype=np.int64)
     need = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-    left, usable = need.copy(), np.ones(len(lengths), dtype=bool)
+    left, usable, spare = need.copy(), np.ones(len(lengths), dtype=bool), 0
     total = float((lengths * need).sum()) / capacity
-    step, placed, plan = total / configurations, 0, Plan([], [])
+    step, placed, plan = total / configurations, 0, Plan([], [], total)
+    marks = [total * k / bounds for k in range(bounds)]
     while (usable & (left > 0)).any():
         weight = np.exp(rate * (left / need - (1 - placed / total)))
         value = weight * lengths / capacity
+        if marks and placed >= marks[0]:
+            marks.pop(0)
+            plan.bound = max(plan.bound, dual_bound(lengths, value, need, capacity))
+        enough = not leave_room or (lengths * left).sum() <= (1 - share) * total * capacity
         dear = weight * (1 + value)
         first = int(np.argmax(np.where(usable & (left > 0), value, -1)))
         room, have = capacity - int(lengths[first]), left.copy()
@@ -141,9 +187,13 @@ def solve(histogram: dict[int, int], capacity: int, configurations: int = 2048,
         while rest is None:
             every = seen >= len(fit)
             pick = fit if every else fit[np.argpartition(-dear[fit], seen)[:seen]]
-            rest = price(lengths[pick], value[pick], have[pick] if every else np.minimum(have[pick], 2), room)
+            rest = price(lengths[pick], value[pick], have[pick] if every else np.minimum(have[pick], 2), room, spare)
             if rest is None and every:
-                break
+                if enough:
+                    break
+                rest = price(lengths[pick], value[pick], have[pick], room, None)
+                if len(fit) > 4 * width:  # not for want of pieces: others will have to leave as much
+                    spare = max(spare, room - sum(rest))
             seen *= 4
         if rest is None:
             usable[first] = False
@@ -202,15 +252,22 @@ def make_plan(histogram: dict[int, int], capacity: int = 4096, configurations: i
     given = {int(k): int(v) for k, v in histogram.items() if v}
     whole = given.pop(capacity, 0)
     plan = Plan([(capacity,)], [whole]) if whole else Plan([], [])
+    plan.bound = float(whole)
     if given:
-        solved, left = solve(given, capacity, configurations)
-        best = None
-        for share in (0.0, 0.03, 0.1, 0.3):
-            kept, open_ = _give_back(solved, left, share)
-            rest = _best_fit(open_, capacity)
-            if best is None or kept.sequences() + rest.sequences() < best[0].sequences() + best[1].sequences():
-                best = kept, rest
-        for part in best:
+        best, bound = None, 0.0
+        for rate, leave_room in TRIED:
+            solved, left = solve(given, capacity, configurations, rate=rate, leave_room=leave_room)
+            bound = max(bound, solved.bound)
+            for share in (0.0, 0.03, 0.1, 0.3):
+                kept, open_ = _give_back(solved, left, share)
+                rest = _best_fit(open_, capacity)
+                n = kept.sequences() + rest.sequences()
+                if (best is None or n < best[0]) and (leave_room or kept.sequences() >= rest.sequences()):
+                    best = n, kept, rest
+            if best and best[0] <= np.ceil(bound):  # no packing has fewer
+                break
+        plan.bound += bound
+        for part in best[1:]:
             plan.patterns += part.patterns
             plan.copies += part.copies
     return plan
@@ -266,14 +323,14 @@ def pack(found: DataFrame, capacity: int = 4096, configurations: int = 2048, row
     count per (length, salt): ``capacity`` rows and one per ``rows_per_salt`` pieces.
     """
     spark = found.sparkSession
-    found = materialise(found, "pieces")
+    found = materialise(found.withColumn("row_", F.monotonically_increasing_id()), "pieces")
     totals = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     salts = _salts(totals, rows_per_salt)
     many = [(length, n) for length, n in sorted(salts.items()) if n > 1]
     salted = found.withColumn("salt", F.lit(0))
     if many:  # one row per length at most
         of = F.broadcast(spark.createDataFrame(many, "length int, salts int"))
-        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("salts", F.lit(1))).cast("int")
+        salt = F.pmod(F.xxhash64("row_"), F.coalesce("salts", F.lit(1))).cast("int")  # equal rows spread as well
         salted = found.join(of, "length", "left").withColumn("salt", salt).drop("salts")
     begins = np.zeros(capacity + 2, dtype=np.int64)  # where the salts of each length begin in ``below``
     begins[1:] = np.cumsum([salts.get(x, 0) for x in range(capacity + 1)])
@@ -289,7 +346,7 @@ def pack(found: DataFrame, capacity: int = 4096, configurations: int = 2048, row
     plan = make_plan(totals, capacity, configurations)
     state = spark.sparkContext.broadcast((_intervals(plan, capacity), begins, below))
 
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row_"))
     ranked = salted.withColumn("rank_", rank.cast("long") - 1)
     shift = 40
 
