@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.numbering import numbered
 
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
@@ -197,6 +198,13 @@ def compared(returns: DataFrame, pairs: DataFrame, keys: list[str], name: str, t
     return with_p_value(dm_statistics(both, of, "loss_a", "loss_b", lag, "t_"))
 
 
+def compared_by_position(returns: DataFrame, pairs: DataFrame, keys: list[str], name: str, ts: str, value: str, lag: int = 0) -> DataFrame:
+    """The same tests with series paired by position: the first with the first and so on,
+    the longer one cut to the shorter."""
+    placed = numbered(returns.select(*keys, name, ts, value), [*keys, name], [ts], "position")
+    return compared(placed, pairs, keys, name, "position", value, lag)
+
+
 # The columns of a flat outcome table, in order.
 OUTCOME = [
     "tier", "pair", "strategy", "split", "session", "direction", "tp_pips", "sl_pips", "folds", "eval_session",

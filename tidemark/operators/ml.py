@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.config import LONG_STEPS, LR_STRENGTHS, SHORT_STEPS
-from tidemark.operators import folds
+from tidemark.operators import folds, splits
 
 
 def scaled(df: DataFrame, scaler: DataFrame, features: list[str]) -> DataFrame:
@@ -84,6 +84,19 @@ def sequences(df: DataFrame, features: list[str], steps: int, keys: list[str], t
     return df.withColumn("seq", F.when(F.size(seq) == steps, seq))
 
 
+def session_sequences(
+    df: DataFrame, features: list[str], steps: int, keys: list[str], ts: str, labels: list[str] | None = None, session: str = "session", step: str | None = None
+) -> DataFrame:
+    """Windows for training on the rows of some sessions (null: all).
+
+    Without ``step`` the rows left are one series, so a window may go on from one day's
+    session to the next one's; with it no window crosses a gap of more than ``step``."""
+    kept = df.filter(F.col(session).isin(labels)) if labels else df
+    if step is None:
+        return sequences(kept, features, steps, keys, ts)
+    return sequences(splits.islands(kept, keys, ts, step, "island_"), features, steps, [*keys, "island_"], ts).drop("island_")
+
+
 class TwoBranchNetwork:
     """Two recurrent branches (short and long windows) and session flags into a dense
     layer and three classes; numpy forward pass with seeded or given weights."""

@@ -80,6 +80,15 @@ def session_training(df: DataFrame, session: str = "session") -> dict[str, DataF
     return {"global": df} | {name: df.filter(F.col(session).isin(labels)) for name, labels in SESSION_SETS.items()}
 
 
+def islands(df: DataFrame, keys: list[str], ts: str, step: str = "1 hour", name: str = "island") -> DataFrame:
+    """Adds ``name``: the number (from 1) of the run of rows that a row belongs to; a run
+    ends where the next row is more than ``step`` later, as rows between were removed or
+    never there."""
+    w = Window.partitionBy(*keys).orderBy(ts)
+    gap = F.coalesce(F.col(ts) > F.lag(ts).over(w) + F.expr(f"INTERVAL {step}"), F.lit(True))
+    return df.withColumn("gap_", gap).withColumn(name, F.count_if("gap_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap_")
+
+
 def manifest(df: DataFrame, keys: list[str], ts: str, purge: int, bounds: dict[str, str], label: str | None = None) -> DataFrame:
     """One row per instrument over a table with a ``split`` column: rows in all and per
     split, first and last time per split, the bounds configured and, with ``label``, the

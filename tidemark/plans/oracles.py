@@ -465,8 +465,10 @@ SQL: dict[str, str] = {
         " SELECT concat_ws('|', CASE WHEN (tp IS NULL) != (sl IS NULL) THEN 'PARTIAL_TP_SL' END, CASE WHEN tp <= 10 THEN 'TP_LE_SPREAD' END, CASE WHEN sl <= 10 THEN 'SL_LE_SPREAD' END) AS flags, count(*) AS n FROM x GROUP BY 1"
     ),
     "model_codes": (
-        "SELECT * FROM (VALUES ('eurusd-lr-gl', 'EURUSD', 'LR', 'global'), ('usdjpy-lstm-ny', 'USDJPY', 'LSTM', 'ny'), ('EURUSD-LR-LDN', 'EURUSD', 'LR', 'london'), ('audusd-lr', NULL, NULL, NULL), ('gbpusd-xx-as', 'GBPUSD', NULL, 'asia'),"
-        " ('eurusd-lr-lo', 'EURUSD', 'LR', NULL), ('abcdef-lr-gl', NULL, 'LR', 'global'), ('', NULL, NULL, NULL), ('a-b-c-d', NULL, NULL, NULL)) v(code, pair, type, session)"
+        "WITH x AS (SELECT c_custkey AS k, ['eurusd', 'USDJPY', 'gbpusd', 'abcdef'][c_custkey % 4 + 1] AS p, ['lr', 'LSTM', 'xx'][(c_custkey + c_nationkey) % 3 + 1] AS t, ['gl', 'ldn', 'NY', 'as', 'lo'][c_nationkey % 5 + 1] AS s FROM customer),"
+        " y AS (SELECT *, k % 17 > 0 AND k % 11 > 0 AND k % 13 > 0 AS whole, CASE WHEN k % 17 = 0 THEN '' WHEN k % 11 = 0 THEN p || '-' || t WHEN k % 13 = 0 THEN p || '-' || t || '-' || s || '-d' ELSE p || '-' || t || '-' || s END AS code FROM x)"
+        " SELECT code, count(*) AS n, CASE WHEN whole AND p != 'abcdef' THEN upper(p) END AS pair, CASE WHEN whole AND t != 'xx' THEN upper(t) END AS type,"
+        " CASE WHEN whole THEN CASE s WHEN 'gl' THEN 'global' WHEN 'ldn' THEN 'london' WHEN 'NY' THEN 'ny' WHEN 'as' THEN 'asia' END END AS session FROM y GROUP BY 1, 3, 4, 5"
     ),
     "in_domain_vs_rest": q(
         "SELECT ts, max(ret) FILTER (pair = 'click') AS own, round(avg(ret) FILTER (pair != 'click'), 6) AS rest FROM r WHERE ret IS NOT NULL GROUP BY 1", RET
@@ -475,7 +477,7 @@ SQL: dict[str, str] = {
         f"SELECT pair, ts, CASE WHEN count(*) {over(14)} = 15 THEN 15 END::INT AS steps, round(CASE WHEN count(*) {over(14)} = 15 THEN sum(close::FLOAT::DOUBLE) {over(14)} END, 6) AS total FROM b"
     ),
     "config_grid": (
-        "SELECT pair, strategy, session, direction FROM (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS pair), (SELECT unnest(['MACrossover_f20_s50_EMA', 'MACrossover_f50_s200_EMA', 'MACrossover_f20_s50_SMA',"
+        "SELECT pair, strategy, session, direction FROM (SELECT DISTINCT event_type AS pair FROM events), (SELECT unnest(['MACrossover_f20_s50_EMA', 'MACrossover_f50_s200_EMA', 'MACrossover_f20_s50_SMA',"
         " 'Momentum_lb60', 'Momentum_lb120', 'Donchian_p20', 'Donchian_p55', 'RSI_p14_os30_ob70', 'RSI_p14_os20_ob80', 'BB_p20_std2_0', 'BB_p60_std2_0', 'MACD_f26_s65_sig9', 'MACD_f78_s195_sig13']) AS strategy),"
         " (SELECT unnest([NULL, 'london', 'ny']) AS session), (SELECT unnest(['both', 'long_only', 'short_only']) AS direction)"
     ),
@@ -564,6 +566,38 @@ SQL["dm_p_value"] = q(
     " x AS (SELECT *, (n - 1)::DOUBLE AS d, least(abs(stat), 40) AS t FROM x0)",
 )
 
+# The same by position: returns numbered within each series.
+SQL["dm_by_position"] = SQL["dm_p_value"].replace("FROM r l JOIN r r2 USING (ts)", "FROM rn l JOIN rn r2 USING (place)").replace(
+    "y AS (", "rn AS (SELECT pair, ret, row_number() OVER (PARTITION BY pair ORDER BY ts) AS place FROM r WHERE ret IS NOT NULL), y AS (", 1
+)
+SQL["trade_log"] = SQL["trade_sim"]
+SQL["worst_fall"] = (
+    "SELECT event_type AS pair, round(min((value - p) / p), 6) AS worst_fall FROM"
+    " (SELECT *, max(value) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS p FROM events WHERE value > 0) GROUP BY 1"
+)
+_IN_SESSION = f"ss AS (SELECT * FROM (SELECT *, {SESSION} AS session FROM b) WHERE session IN ('London', 'Overlap'))"
+_CLOSES = (
+    "SELECT pair, ts, CASE WHEN count(*) OVER w = 3 THEN array_to_string(list(round(close::FLOAT::DOUBLE * 100)::BIGINT) OVER w, ',') END AS closes"
+    " FROM {src} WINDOW w AS (PARTITION BY pair{island} ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
+)
+SQL["session_windows"] = q(_CLOSES.format(src="ss", island=""), _IN_SESSION)
+SQL["gap_aware_windows"] = q(
+    _CLOSES.format(src="isl", island=", island"),
+    _IN_SESSION,
+    f"gp AS (SELECT *, coalesce(ts > lag(ts) {W} + INTERVAL 1 HOUR, true) AS gap FROM ss), isl AS (SELECT *, sum(gap::INT) {W} AS island FROM gp)",
+)
+SQL["sample_rows"] = (
+    "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('7|' || o_orderkey), o_orderkey) AS n FROM orders) WHERE n <= 40"
+)
+SQL["sample_fraction"] = (
+    "SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS c,"
+    " row_number() OVER (PARTITION BY l_returnflag ORDER BY md5('0|' || l_orderkey || '|' || l_linenumber), l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= floor(0.01::DOUBLE * c + 0.5)"
+)
+SQL["numbered_rows"] = (
+    "SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) - 1 AS position FROM orders"
+)
+SQL["archive_round_trip"] = q("SELECT pair, ts, open, high, low, close, volume, year(ts)::INT AS year FROM b")
+
 # All registered strategies: averages by recursion, crossings, cooldown, masks, trades.
 _EDGE = (
     "CASE WHEN i <= warm THEN 0 WHEN {o} AND NOT lag({o}, 1, false) OVER w THEN 1 WHEN {u} AND {was} THEN -1 ELSE 0 END::INT"

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.config import LONG_FEATURES, LR_FEATURES, SESSION_FEATURES, SHORT_FEATURES, Config
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
-from tidemark.operators import backtest, clean, eda, evaluate, features, folds, ml, order_stats, splits, strategies
+from tidemark.operators import backtest, clean, eda, evaluate, features, folds, logs, ml, numbering, order_stats, splits, strategies
+from tidemark.sources import archives
 from tidemark.sources import bars as B
 from tidemark.sources.tables import fresh_folder, written
 
@@ -500,6 +501,27 @@ def trade_sim_ticks(spark, sf):
     )
 
 
+@query
+def trade_log(spark, sf):
+    """The simulator's trades by the table function, from SQL."""
+    logs.register(spark)
+    p = _positions(spark, sf).select(F.col("pair").alias("series"), "ts", F.col("close").alias("price"), "position")
+    call = "SELECT {v} AS variant, * FROM trade_log(TABLE(SELECT * FROM {{p}}) PARTITION BY (series) ORDER BY (ts), {args})"
+    args = [", ".join("null" if v[k] is None else str(v[k]) for k in ("spread", "take", "stop", "max_hold")) for v in VARIANTS]
+    t = spark.sql(" UNION ALL ".join(call.format(v=i, args=a) for i, a in enumerate(args)), p=p)
+    return t.select(
+        F.col("series").alias("pair"), "variant", "entry_bar", "exit_bar", "bars_held", "direction", "entry_price", "exit_price",
+        F.round(F.col("pnl_pct") + 1e-9, 4).alias("pnl_pct"), "exit_reason",
+    )
+
+
+@query
+def worst_fall(spark, sf):
+    """Worst fall of every tick's value, a day being a chunk."""
+    t = ticks(spark, sf).filter("close > 0")
+    return logs.worst_fall(t, KEY, "ts", "close", "1 day").select("pair", r6("worst_fall").alias("worst_fall"))
+
+
 @query
 def regime(spark, sf):
     """High-volatility flag of every tick against the quantile of all before it."""
@@ -605,8 +627,12 @@ def scored_outcomes(spark, sf) -> DataFrame:
 
 @query
 def config_grid(spark, sf):
-    g = evaluate.grid(spark, pair=PAIRS, strategy=list(strategies.REGISTRY), session=[None, "london", "ny"], direction=["both", "long_only", "short_only"])
-    return g
+    """Every instrument of the table with every setting."""
+    g = evaluate.grid(spark, strategy=list(strategies.REGISTRY), session=[None, "london", "ny"], direction=["both", "long_only", "short_only"])
+    settings = F.array_agg(F.struct(*g.columns)).alias("settings")  # a grid: tens of rows
+    known = ticks(spark, sf).select("pair").distinct().withColumn("all_", F.lit(1))
+    both = known.join(F.broadcast(g.agg(settings).withColumn("all_", F.lit(1))), "all_")
+    return both.select("pair", F.inline("settings"))
 
 
 @query
@@ -731,6 +757,16 @@ def dm_p_value(spark, sf):
     return t.select("comparison", "a", "b", "n", F.round("stat", 3).alias("stat"), F.round("p", 3).alias("p"))
 
 
+@query
+def dm_by_position(spark, sf):
+    """Every pair of instruments, paired by the number of the bar."""
+    b = bars(spark, sf).withColumn("r", W.simple_return("close", 1, w())).filter("r is not null")
+    names = [(x, f"{x}_vs_{y}", y) for i, x in enumerate(PAIRS) for y in PAIRS[i + 1 :]]
+    pairs = spark.createDataFrame([(1, c, x, y) for x, c, y in names], "one int, comparison string, a string, b string")
+    t = evaluate.compared_by_position(b.withColumn("one", F.lit(1)), pairs, ["one"], "pair", "ts", "r")
+    return t.select("comparison", "a", "b", "n", F.round("stat", 3).alias("stat"), F.round("p", 3).alias("p"))
+
+
 @query
 def classification_report(spark, sf):
     l = _labelled(spark, sf).filter("label is not null")
@@ -803,11 +839,18 @@ def spec_flags(spark, sf):
     return li.groupBy(flags.alias("flags")).agg(F.count(F.lit(1)).alias("n"))
 
 
+CODE_PAIRS, CODE_KINDS, CODE_SETS = ["eurusd", "USDJPY", "gbpusd", "abcdef"], ["lr", "LSTM", "xx"], ["gl", "ldn", "NY", "as", "lo"]
+
+
 @query
 def model_codes(spark, sf):
-    codes = [(c,) for c in ("eurusd-lr-gl", "usdjpy-lstm-ny", "EURUSD-LR-LDN", "audusd-lr", "gbpusd-xx-as", "eurusd-lr-lo", "abcdef-lr-gl", "", "a-b-c-d")]
-    c = spark.createDataFrame(codes, "code string")
-    return c.select("code", S.model_code(F.col("code")).alias("m")).select("code", "m.*")
+    """Codes put together from customers, some of them unknown, short or long."""
+    k = F.col("c_custkey")
+    pick = lambda names, by: F.get(F.array(*map(F.lit, names)), (by % len(names)).cast("int"))
+    parts = [pick(CODE_PAIRS, k), pick(CODE_KINDS, k + F.col("c_nationkey")), pick(CODE_SETS, F.col("c_nationkey"))]
+    text = F.when(k % 11 == 0, F.concat_ws("-", *parts[:2])).when(k % 13 == 0, F.concat_ws("-", *parts, F.lit("d"))).otherwise(F.concat_ws("-", *parts))
+    c = read(spark, sf, "customer").select(F.when(k % 17 > 0, text).otherwise("").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    return c.select("code", "n", S.model_code(F.col("code")).alias("m")).select("code", "n", "m.*")
 
 
 @query
@@ -875,6 +918,26 @@ def sequence_windows(spark, sf):
     return s.select("pair", "ts", F.size("seq").alias("steps"), r6(F.aggregate(F.flatten("seq"), F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
+def _session_windows(spark, sf, step: str | None) -> DataFrame:
+    """The last three closes before each bar of a session set, as text."""
+    rows = _session(features.time_features(bars(spark, sf)))
+    s = ml.session_sequences(rows, ["close"], 3, KEY, "ts", ["London", "Overlap"], step=step)
+    texts = F.transform(F.flatten("seq"), lambda x: F.round(x.cast("double") * 100).cast("long").cast("string"))
+    return s.select("pair", "ts", F.array_join(texts, ",").alias("closes"))
+
+
+@query
+def session_windows(spark, sf):
+    """Windows go on over the hours that the session leaves out."""
+    return _session_windows(spark, sf, None)
+
+
+@query
+def gap_aware_windows(spark, sf):
+    """No window crosses an hour that is not there."""
+    return _session_windows(spark, sf, "1 hour")
+
+
 # -- whole runs (rows only) ---------------------------------------------------------
 
 
@@ -971,6 +1034,38 @@ def deterministic_sample(spark, sf):
     return b.select("o_orderkey", "o_custkey")
 
 
+@query
+def sample_rows(spark, sf):
+    """Exactly forty orders of each priority."""
+    return numbering.exact_sample(read(spark, sf, "orders"), ["o_orderpriority"], ["o_orderkey"], n=40, seed=7).select("o_orderkey", "o_orderpriority")
+
+
+@query
+def sample_fraction(spark, sf):
+    """One order line in a hundred of each return flag."""
+    li = read(spark, sf, "lineitem")
+    return numbering.exact_sample(li, ["l_returnflag"], ["l_orderkey", "l_linenumber"], fraction=0.01).select("l_orderkey", "l_linenumber", "l_returnflag")
+
+
+@query
+def numbered_rows(spark, sf):
+    """Every order's place among those of its priority, by time."""
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    return numbering.numbered(o, ["o_orderpriority"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_orderpriority", "position")
+
+
+@query
+def archive_round_trip(spark, sf):
+    """Bars written as archives by instrument and year and read back."""
+    b = bars(spark, sf).withColumn("volume", F.col("volume").cast("double"))
+    folder = fresh_folder(spark, "archives")
+    archives.write_archives(b.withColumns({"stamp": F.date_format("ts", "yyyyMMdd HHmmss"), "year": F.year("ts")}), folder)
+    back = archives.read_archives(spark, folder)
+    return back.select(
+        "pair", F.to_timestamp("stamp", "yyyyMMdd HHmmss").alias("ts"), "open", "high", "low", "close", F.col("volume").cast("long").alias("volume"), "year"
+    )
+
+
 @query
 def set_operations(spark, sf):
     o = read(spark, sf, "orders")
