@@ -4,6 +4,7 @@ with nulls, empty and long texts, ties, repeated rows, empty tables and extra co
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from collections import Counter
@@ -172,6 +173,32 @@ def test_encode_then_decode(odd, tok):
     assert want == sorted((r["doc_id"] or -1, r["text"]) for r in chunked_bpe.decoded(enc, VOCAB).collect())
 
 
+def other_vocabularies():
+    given = json.loads(chunked_bpe.read_definition(VOCAB))
+    bare = {**given, "normalizer": None}
+    marked = {**given, "added_tokens": [*given["added_tokens"], {**given["added_tokens"][0], "id": 49408, "content": "hello"}]}
+    bytewise = chunked_bpe.read_definition(VOCAB.replace("word_bpe_49k", "byte_bpe_50k"))
+    return [bytewise, json.dumps(bare), json.dumps(marked)]
+
+
+@pytest.mark.parametrize("which", range(3))
+def test_vocabularies_with_other_rules(which):
+    """No short way: the library's own ids, through each of the encoders."""
+    definition = other_vocabularies()[which]
+    lib = tokens.load_tokenizer(definition)
+    words = tokens.WordEncoder(definition)
+    chunks = chunked_bpe.ChunkEncoder(words, bits=4)
+    texts = ["Hello World", "", "  two\n\nlines  ", "hello, don't STOP 12 " * 30, "naïve 漢字 Σς"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not tokens.word_wise(definition) and tokens.word_wise(chunked_bpe.read_definition(VOCAB))
+    for t, ids in zip(texts, want, strict=True):
+        assert np.frombuffer(words.encode(t.encode()), "<u4").tolist() == ids
+        got = np.frombuffer(chunks.encode(t.encode()), "<u4")
+        assert got.tolist() == ids and chunks.decode(got) == lib.decode(ids, skip_special_tokens=False)
+    flat, begins = words.encode_all(pa.array(texts))
+    assert [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == want
+
+
 def test_joins_are_repaired(tok):
     words = tokens.WordEncoder(chunked_bpe.read_definition(VOCAB))
     enc = chunked_bpe.ChunkEncoder(words, bits=3)

@@ -9,7 +9,9 @@ with what both chunks already hold there; if they never do, the document is enco
 whole.
 
 Chunks are kept per Python worker in a cache of bounded size, so no text or id is
-ever shuffled; a chunk may be encoded once in each worker.
+ever shuffled; a chunk may be encoded once in each worker.  Chunks rest on words that
+are encoded by themselves: texts of a vocabulary with other rules (see
+``tokens.word_wise``) are encoded whole.
 
 Defined results for odd input
     null or empty text   no ids, decoded to the empty text
@@ -145,6 +147,8 @@ class ChunkEncoder:
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian 32-bit integers."""
+        if not self.words.word_wise:
+            return self._whole(text)
         ends = cut_points(text, self.bits)
         if len(ends) == 1 and len(text) < 64:
             return self.words.encode(text)
@@ -170,7 +174,9 @@ class ChunkEncoder:
         return self.words.by_library(text.decode("utf-8", "replace"))
 
     def decode(self, ids: np.ndarray) -> str:
-        """As the library's decode without a decoder: tokens joined by spaces."""
+        """As the library's decode; without a decoder that is tokens joined by spaces."""
+        if not self.words.word_wise:
+            return self.words.tok.decode(ids.tolist(), skip_special_tokens=False)
         return " ".join(map(self.tokens.__getitem__, ids.tolist()))
 
 

@@ -5,11 +5,13 @@ word, so the ids of a text are the ids of its words one after another.  Words an
 their letter, digit and symbol runs are encoded by the library's model once and
 kept in bounded caches; whatever the short way does not cover (characters beyond
 Latin, control characters, the strings of special tokens) goes through the
-library's full encode.
+library's full encode.  A definition with other rules (see ``word_wise``) gets no
+short way: its texts go whole through the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -22,6 +24,18 @@ from tidemark.llm.shared import split_words
 ID_DTYPE = "<u4"
 #: The pre-tokenizer's own pattern (a fixed value of the vocabulary file).
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The rules that the short way has built in (fixed values of the vocabulary file).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PIECE_PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _PLAIN = re.compile("[\x21-\x7e\xa1-ɏ]+")
 _SPECIAL = "<|"
 #: Single marks that are a pre-token of their own after letters.
@@ -48,6 +62,20 @@ def load_tokenizer(definition: str) -> Tokenizer:
     return tok
 
 
+def word_wise(definition: str) -> bool:
+    """Whether the rules of a definition are those of the short way: the same normalizer
+    and pre-tokenizer, byte-pair merges without chance, and special tokens that all hold
+    the mark which the short way leaves to the library."""
+    d = json.loads(definition)
+    model = d["model"]
+    return (
+        (d["normalizer"], d["pre_tokenizer"], d["post_processor"], d["decoder"]) == (NORMALIZER, PRE_TOKENIZER, None, None)
+        and model["type"] == "BPE"
+        and not model.get("dropout")
+        and all(_SPECIAL in t["content"] and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+    )
+
+
 class _Pieces(dict):
     """pre-token -> its ids as little-endian 32-bit integers."""
 
@@ -71,7 +99,7 @@ class WordEncoder(dict):
     """word (UTF-8, no ASCII white space) -> its ids as little-endian 32-bit integers."""
 
     def __init__(self, definition: str, max_words: int = 400_000, max_pieces: int = 100_000) -> None:
-        self.tok = load_tokenizer(definition)
+        self.tok, self.word_wise = load_tokenizer(definition), word_wise(definition)
         self.pieces = _Pieces(self.tok.model, max_pieces, self.tok.get_vocab_size())
         self.tokenize = self.tok.model.tokenize
         self.limit = max_words
@@ -111,11 +139,17 @@ class WordEncoder(dict):
         return b"".join(i.to_bytes(4, "little") for i in self.tok.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
+        if not self.word_wise:
+            return self.by_library(text.decode("utf-8", "replace"))
         return b"".join(map(self.__getitem__, text.split()))
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (one
         more entry at the end).  Distinct words of the texts are looked up once."""
+        if not self.word_wise:
+            parts = [self.by_library(t or "") for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            return np.frombuffer(b"".join(parts), dtype=ID_DTYPE), ends
         number, words, begins = split_words(texts)
         packed = list(map(self.__getitem__, words))
         ids = np.frombuffer(b"".join(packed), dtype=ID_DTYPE)
