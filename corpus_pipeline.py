@@ -8,9 +8,11 @@ columns of ``documents``.
 Defined results for odd input
     null or empty text    not toxic; without letters, hence gone after the language stage
     null identifier       kept or dropped by its text like any other; of equal texts a
-                          null identifier stays before all others, and all rows without
-                          one stay or go together in the near-duplicate stage
+                          null identifier stays before all others, in the near-duplicate
+                          stage it comes last
     repeated rows         one stays (exact copies)
+    repeated identifiers  each row goes by its own text; of near copies with the same
+                          identifier the text with the smallest md5 stays
     ties                  the smallest identifier stays
     empty table           an empty result with the full schema
     extra columns         passed through to packing, whatever their names

@@ -621,6 +621,31 @@ def test_near_copies_go_and_others_stay(spark):
     assert set(range(0, 80, 2)) <= kept and len(kept) <= 42
 
 
+def test_near_copies_with_repeated_identifiers(spark):
+    """Rows go by their own text: a copy goes though its identifier occurs again, and the
+    other text stays; without identifiers one row of a group stays."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(200))
+    rows = [(3, text("a")), (5, text("a") + " more"), (5, text("b")), (7, text("b") + " more"), (None, text("c")), (None, text("c") + " more"), (None, text("a") + " most"), (9, text("d")), (9, text("d") + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("x")).withColumn("text_key", F.lit(1))
+    kept = simhash.representatives(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    sure = {(3, text("a")), (5, text("b"))}
+    assert sure <= set(got) and len(got) == 4
+    for i, k in ((None, "c"), (9, "d")):
+        pair = [(i, text(k)), (i, text(k) + " more")]
+        first = min(pair, key=lambda r: hashlib.md5(r[1].encode()).digest())
+        assert first in got and len(set(pair) & set(got)) == 1
+
+
+def test_a_hot_identifier_keeps_texts_apart(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(120))
+    rows = [(0, text(k)) for k in range(60)] + [(0, text(k) + " more") for k in range(60)] + [(1, text(2) + " most")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"].split()[0] for r in simhash.representatives(df).collect()]
+    assert Counter(got) == {f"{k}w0": 1 for k in range(60)}
+
+
 def test_only_shingle_similarity_of_08_removes(spark):
     """Against brute-force Jaccard of five-word shingles; scattered and block edits."""
     rng = np.random.default_rng(11)

@@ -33,6 +33,7 @@ Defined results for odd input
     null identifier                        takes part; never the smallest of a component
                                            that has an identifier
     repeated rows                          one result row each, same component
+    repeated identifiers                   each row by its own text
     empty table                            an empty result with the full schema
     extra columns                          ignored by ``near_duplicates``, passed
                                            through by ``representatives``
@@ -110,8 +111,13 @@ def fingerprint(text: bytes, words: int = 4, seed: int = SEED) -> int:
     return _majority(joined, ends, words, seed) if ends else 0
 
 
+def text_key(text_col: str) -> Column:
+    """16 bytes that stand for a whole text."""
+    return F.unhex(F.md5(text_or_empty(text_col).cast("binary")))
+
+
 def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``PRINTS`` (64 bits each, as signed longs) of every whole text."""
+    """doc_id, text_key and ``PRINTS`` (64 bits each, as signed longs) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,13 +135,14 @@ def fingerprints(docs: DataFrame, scheme: Scheme, id_col: str = "doc_id", text_c
                         got[3, i] = _majority(joined[: at - 1], ends[:k], scheme.words, SEED)
                         if len(ends) > 1:
                             got[4, i] = _majority(joined[at:], [e - at for e in ends[k:]], scheme.words, SEED)
-            cols = [b.column(0), *(pa.array(x.view(np.int64)) for x in got)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *PRINTS])
+            cols = [b.column(0), b.column(2), *(pa.array(x.view(np.int64)) for x in got)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_key", *PRINTS])
         give_back()
 
     bounded_batches(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    return given.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in PRINTS))
+    text = text_or_empty(text_col).cast("binary").alias("text")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), text, text_key(text_col).alias("text_key"))
+    return given.mapInArrow(run, "doc_id long, text_key binary, " + ", ".join(f"{c} long" for c in PRINTS))
 
 
 def all_masks(scheme: Scheme, positions: list[int] | None = None) -> list[int]:
@@ -285,11 +292,9 @@ def links(nodes: DataFrame, scheme: Scheme, block: int = BLOCK) -> DataFrame:
     return _grouped_links(keyed.repartition("bucket").sortWithinPartitions("bucket"), scheme)
 
 
-def near_duplicates(
-    docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
-) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that
-    links lead to) of every document."""
+def linked_rows(docs: DataFrame, scheme: Scheme, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_key, fp, component_id (smallest doc_id that links lead to) and root (a
+    number of the component) of every document."""
     prints = materialise(fingerprints(docs, scheme, id_col, text_col), "fingerprints")
     keys = PRINTS if scheme.check_words or scheme.halves else ["fp"]
     distinct = prints.groupBy(*keys).agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
@@ -302,8 +307,16 @@ def near_duplicates(
     drop_table(distinct)
     first = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     of = by_key(placed.select(*keys, "root", "docs"), materialise(first, "roots"), ["root"])
-    of = materialise(of.select(*keys, "component_id", F.col("docs").alias("size")), "components")
-    found = by_key(prints.select("doc_id", *keys), of, keys)
+    of = materialise(of.select(*keys, "component_id", "root", F.col("docs").alias("size")), "components")
+    return by_key(prints.select("doc_id", "text_key", *keys), of, keys).select("doc_id", "text_key", "fp", "component_id", "root")
+
+
+def near_duplicates(
+    docs: DataFrame, scheme: Scheme = Scheme(), id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK
+) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id that
+    links lead to) of every document."""
+    found = linked_rows(docs, scheme, id_col, text_col, block)
     return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
 
@@ -343,56 +356,56 @@ def similar_groups(sets: list[np.ndarray], least: float = SIMILAR) -> np.ndarray
     return label
 
 
-def _verified(members: DataFrame, words: int) -> DataFrame:
-    """(doc_id, first) from ``members`` (component_id, doc_id, text): whether the
-    identifier is the smallest of those its text is similar to.  A task holds the
-    shingle hashes of one component at a time."""
+def _beaten(members: DataFrame, words: int) -> DataFrame:
+    """(doc_id, text_key) of those ``members`` (root, doc_id, text_key, text) whose text is
+    similar to that of a smaller one: by identifier, missing ones last, then by text_key.
+    A task holds the shingle hashes of one component at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sets = None, [], []
+        now, rows, sets = None, [], []
 
         def out() -> pa.RecordBatch:
-            label, low = similar_groups(sets), {}
-            for k, i in zip(label.tolist(), ids, strict=True):
-                if i is not None:
-                    low[k] = min(i, low.get(k, i))
-            first = [i == low.get(k) for k, i in zip(label.tolist(), ids, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(first, pa.bool_())], names=["doc_id", "first"])
+            label, low = similar_groups(sets).tolist(), {}
+            for k, r in zip(label, rows, strict=True):
+                low[k] = min(r, low.get(k, r))
+            gone = [r for k, r in zip(label, rows, strict=True) if r != low[k]]
+            ids = pa.array([None if missing else i for missing, i, _ in gone], pa.int64())
+            return pa.RecordBatch.from_arrays([ids, pa.array([t for _, _, t in gone], pa.binary())], names=["doc_id", "text_key"])
 
         for b in batches:
-            for component, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if ids and component != now:
+            for root, i, key, t in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3), strict=True):
+                if rows and root != now:
                     yield out()
-                    ids, sets = [], []
-                now = component
-                ids.append(i)
+                    rows, sets = [], []
+                now = root
+                rows.append((i is None, i or 0, key))
                 sets.append(shingle_set(t.as_py(), words))
-        if ids:
+        if rows:
             yield out()
-        ids, sets = [], []
+        rows, sets = [], []
         give_back()
 
-    given = members.select("component_id", "doc_id", "text").repartition("component_id").sortWithinPartitions("component_id")
-    return given.mapInArrow(run, "doc_id long, first boolean")
+    given = members.select("root", "doc_id", "text_key", "text").repartition("root").sortWithinPartitions("root")
+    return given.mapInArrow(run, "doc_id long, text_key binary")
 
 
 def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose identifier is the smallest of its group, all columns.
-
-    Rows that share the smallest identifier and a group all stay."""
-    found = materialise(near_duplicates(docs, scheme, id_col, text_col).select("doc_id", "component_id"), "near-found")
-    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select(F.col("component_id").alias("of"), "n")
-    placed = found.join(sizes, F.col("component_id").eqNullSafe(F.col("of")))
-    linked = materialise(placed.filter("n > 1").select(F.col("doc_id").alias("linked_id"), "component_id").distinct(), "near-linked")
+    """The rows of ``docs`` that are the first of their group, all columns: the smallest
+    identifier stays, missing ones coming last; of rows that share it the one whose text
+    has the smallest md5.  Rows are told apart by identifier and text, so a repeated
+    identifier neither saves a near copy nor removes another text; rows with the same
+    identifier and text stay or go together."""
+    found = materialise(linked_rows(docs, scheme, id_col, text_col).select("doc_id", "text_key", "root"), "near-found")
+    shared = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
+    linked = found.join(shared, "root").select(F.col("doc_id").alias("linked_id"), F.col("text_key").alias("linked_key"), "root").distinct()
+    linked = materialise(linked, "near-linked")
     few = linked.limit(200_001).count() <= 200_000
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    members = texts.join(F.broadcast(linked) if few else linked, F.col("doc_id").eqNullSafe(F.col("linked_id")))
-    alone = placed.filter("n = 1").select("doc_id", F.lit(True).alias("first"))
-    checked = _verified(members, scheme.check_words or scheme.words).unionByName(alone)
-    gone = checked.groupBy(F.col("doc_id").alias("gone_id")).agg(F.max(F.col("first").cast("int")).alias("first")).filter("first = 0")
-    gone = materialise(gone.select("gone_id"), "near-gone")
-    return without(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")))
+    given = F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), text_key(text_col).alias("text_key")
+    same = F.col("doc_id").eqNullSafe(F.col("linked_id")) & (F.col("text_key") == F.col("linked_key"))
+    members = docs.select(*given).join(F.broadcast(linked) if few else linked, same)
+    gone = _beaten(members, scheme.check_words or scheme.words).distinct()
+    gone = materialise(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "near-gone")
+    return without(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (text_key(text_col) == F.col("gone_key")))
 
 
 def _hex(col: str) -> Column:
