@@ -185,13 +185,15 @@ def champions(outcomes: DataFrame, keys: list[str], place: str, score: str, tie:
     return per.withColumn("rank", n).filter("rank <= 2")
 
 
-def compared(returns: DataFrame, pairs: DataFrame, keys: list[str], name: str, ts: str, value: str, lag: int = 0) -> DataFrame:
+def compared(returns: DataFrame, pairs: DataFrame, keys: list[str], name: str, ts: str, value: str, lag: int = 0, losses: bool = True) -> DataFrame:
     """Diebold-Mariano tests of the listed comparisons.
 
     ``returns``: one row per series (``keys``, ``name``) and time; ``pairs``: ``keys``,
-    comparison, a and b, names of two series.  Losses are the negative returns; series
-    are paired by time."""
-    loss = returns.select(*keys, F.col(name).alias("n_"), F.col(ts).alias("t_"), (-F.col(value)).alias("v_"))
+    comparison, a and b, names of two series.  Losses are the negative returns, so the
+    statistic is below 0 where a gains more; without ``losses`` returns are compared as
+    they are.  Series are paired by time."""
+    v = -F.col(value) if losses else F.col(value)
+    loss = returns.select(*keys, F.col(name).alias("n_"), F.col(ts).alias("t_"), v.alias("v_"))
     left = pairs.join(loss.withColumnsRenamed({"n_": "a", "v_": "loss_a"}), [*keys, "a"])
     both = left.join(loss.withColumnsRenamed({"n_": "b", "v_": "loss_b"}), [*keys, "b", "t_"])
     of = [*keys, "comparison", "a", "b"]

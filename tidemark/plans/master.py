@@ -175,6 +175,20 @@ def tiered_selection(
     return {"t1": t1, "survivors": survivors, "t2": t2, "chosen": chosen, "t4": t4, "ranking": final, "t5": t5}
 
 
+def fold_outcomes(
+    bars: DataFrame, registry: dict[str, Strategy], folds: list[tuple[str, str, str]], spread: float | None = None,
+    max_hold: int | None = None, ts: str = "ts", config: Config | None = None,
+) -> DataFrame:
+    """Walk-forward: signals, trades and metrics of every strategy on every fold's training
+    bars, one row per (pair, strategy, fold), the folds being one job.  A fold without
+    signals or not longer than the warm-up has zeros; one without bars has no row."""
+    config, keys = config or Config(), [*KEYS, "fold"]
+    parts = splits.folds(bars, folds, config.purge_rows, ["pair"], ts).filter("kind = 'train'")
+    signals = all_signals(parts, registry, ts, ["pair", "fold"])
+    specs = _specs(signals.select(*keys).distinct(), spread, max_hold)
+    return backtest.run_variants(signals, keys, ts, specs, config.annualisation, config.capital, always=True)
+
+
 def without_data(outcomes: DataFrame, expected: DataFrame) -> DataFrame:
     """``outcomes`` with a row of status NO_DATA_IN_WINDOW for every expected run
     whose series has no bar in the window."""

@@ -736,3 +736,152 @@ SQL["run_backtest"] = (
     " round(CASE WHEN l > 0 THEN least(w / l, 999) ELSE 999 END, 4) AS profit_factor, round(coalesce(ah, 0), 4) AS avg_trade_bars, round(turnover, 4) AS turnover"
     " FROM c JOIN raw USING (pair) LEFT JOIN y USING (pair)"
 )
+
+# Summary tables of outcomes.
+SQL["run_summary"] = q(
+    "SELECT fold, count(*) AS runs, round(avg(net_sharpe), 6) AS mean_sharpe, round(avg(total_return), 6) AS mean_return, round(avg(max_drawdown), 6) AS mean_drawdown, count(*) FILTER (net_sharpe >= 0) AS positive_runs, "
+    + ", ".join(f"arg_min({c}, ({'-' if s == 'best' else ''}net_sharpe, pair, strategy)) AS {s}_{n}" for s in ("best", "worst") for c, n in (("pair", "pair"), ("strategy", "strategy"), ("net_sharpe", "sharpe"), ("total_return", "return")))
+    + " FROM fr GROUP BY 1",
+    base=FOLD_RUNS,
+)
+SQL["strategy_table"] = q(
+    "SELECT strategy, coalesce(runs, 0) AS runs, coalesce(a, 0) AS mean_sharpe, coalesce(b, 0) AS mean_return, coalesce(c, 0) AS mean_dd, coalesce(d, 0) AS mean_trades FROM (SELECT DISTINCT 'S' || (p_partkey % 9) AS strategy FROM part)"
+    " LEFT JOIN (SELECT strategy, count(*) AS runs, round(avg(net_sharpe), 6) AS a, round(avg(total_return), 6) AS b, round(avg(max_drawdown), 6) AS c, round(avg(n_trades), 6) AS d FROM fr GROUP BY 1) USING (strategy)",
+    base=FOLD_RUNS,
+)
+SQL["family_table"] = sweep_sql(
+    [None], ["both"],
+    ", so AS (SELECT run, CASE WHEN count(*) FILTER (r < 0) >= 2 AND stddev_pop(r) FILTER (r < 0) > 0 THEN avg(r) / stddev_pop(r) FILTER (r < 0) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sortino FROM pnl GROUP BY 1),"
+    f" x AS (SELECT family, pair, net_sharpe, coalesce(sortino, 0) AS sortino FROM runs LEFT JOIN so USING (run) WHERE {_RAN}),"
+    " y AS (SELECT family, pair, round(avg(net_sharpe), 6) AS m FROM x GROUP BY 1, 2),"
+    " e AS (SELECT family, arg_min(pair, (-m, pair)) AS best_pair, arg_min(pair, (m, pair)) AS worst_pair FROM y GROUP BY 1)"
+    " SELECT family, count(*) AS runs, round(avg(net_sharpe), 4) AS mean_sharpe, round(avg(sortino), 4) AS mean_sortino, best_pair, worst_pair FROM x JOIN e USING (family) GROUP BY ALL",
+)
+SQL["report_meta"] = q(
+    "SELECT fold, array_to_string(list_sort(list(DISTINCT pair)), ',') AS pairs, array_to_string(list_sort(list(DISTINCT strategy)), ',') AS strategies, round(avg(capital_final) FILTER (capital_final > 0), 2) AS capital_final_avg FROM fr GROUP BY 1",
+    base=FOLD_RUNS,
+)
+_RANKED = (
+    "SELECT pair, strategy, coalesce(session, '-') AS session, direction, round(composite, 6) AS composite,"
+    " row_number() OVER (ORDER BY round(composite, 6) DESC, pair, strategy, coalesce(session, '-'), direction) AS rank FROM sc"
+)
+SQL["ranked_results"] = q(_RANKED, base=OUTCOMES)
+SQL["top_results"] = q(f"SELECT * REPLACE (rank::INT AS rank) FROM ({_RANKED}) WHERE rank <= 50", base=OUTCOMES)
+SQL["session_shares"] = q(
+    "SELECT pair, split, " + ", ".join(f"round(avg((session = '{s}')::INT) * 100, 2) AS {n}_pct" for s, n in (("Asia", "asia"), ("London", "london"), ("Overlap", "overlap"), ("New_York", "ny")))
+    + " FROM sp GROUP BY 1, 2",
+    LABELLED, SPLIT.format(src="l"),
+)
+SQL["prediction_histogram"] = q(
+    "SELECT pair, class, count(*) FILTER (label = class) AS actual, count(*) FILTER (pred = class) AS predicted, count(*) FILTER (label = class AND pred = class) AS hits FROM x, (VALUES (-1), (0), (1)) c(class) GROUP BY 1, 2",
+    LABELLED,
+    f"h AS (SELECT *, {ret(5)} AS past FROM l WHERE label IS NOT NULL), x AS (SELECT pair, label, -CASE WHEN past > 0.25 THEN 1 WHEN past < -0.25 THEN -1 ELSE 0 END AS pred FROM h)",
+)
+SQL["daily_range_correlation"] = q(
+    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(\"{a}\", \"{b}\"), 6) AS corr FROM dr" for i, a in enumerate(PAIRS) for b in PAIRS[i:]),
+    "dm AS (SELECT ts::DATE AS day, pair, avg(high - low) AS m FROM b GROUP BY 1, 2),"
+    f" dr AS (SELECT day, {', '.join(f'max(m) FILTER (pair = {p!r}) AS {p}' for p in PAIRS)} FROM dm GROUP BY 1 HAVING count(m) = 5)",
+)
+SQL["legacy_selection"] = q(
+    "SELECT row_number() OVER (ORDER BY fold_mean DESC, fold_std, strategy, pair)::INT AS rank, strategy, pair, session, direction, fold_mean, fold_std, negative_folds, folds FROM"
+    " (SELECT strategy, pair, session, direction, round(avg(v), 6) AS fold_mean, round(stddev_pop(v), 6) AS fold_std, count(*) FILTER (v < 0) AS negative_folds, count(*) AS folds FROM places JOIN lf USING (strategy, pair) GROUP BY ALL)"
+    " WHERE negative_folds <= 3 AND fold_std <= 1.5 ORDER BY fold_mean DESC, fold_std, strategy, pair LIMIT 10",
+    "su AS (SELECT strategy FROM (SELECT strategy, round(avg(net_sharpe), 6) AS m FROM sc GROUP BY 1) WHERE m > -0.2 ORDER BY m DESC, strategy LIMIT 8),"
+    " one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy, pair ORDER BY net_sharpe DESC, session NULLS FIRST, direction) AS n FROM sc JOIN su USING (strategy)) WHERE n = 1),"
+    " places AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY net_sharpe DESC, pair) AS k FROM one) WHERE k <= 3),"
+    " lf AS (SELECT 'S' || lpad((l_partkey % 13)::VARCHAR, 2, '0') AS strategy, 'P' || (l_suppkey % 5) AS pair, (l_orderkey % 5)::INT AS fold, round(avg(l_quantity) - 25.3, 4) AS v FROM lineitem GROUP BY 1, 2, 3)",
+    base=OUTCOMES,
+)
+SQL["fold_outcomes"] = SQL["tier4_ranking"][: SQL["tier4_ranking"].index(" pnl AS (")] + (
+    " pnl AS (SELECT run, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
+    " m AS (SELECT run, count(*) AS n, avg(h) AS held, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe FROM pnl GROUP BY 1),"
+    " d AS (SELECT run, pair, strategy, fold, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short FROM sig GROUP BY ALL)"
+    " SELECT pair, strategy, fold, coalesce(n, 0) AS n_trades, n_long, n_short, round(coalesce(sharpe, 0), 4) AS net_sharpe, round(coalesce(held, 0), 4) AS avg_trade_bars FROM d LEFT JOIN m USING (run)"
+)
+
+# A price-like series: from 100 by thousandths.
+PRICED = BARS.replace(", b AS (", ", b_all AS (") + (
+    f", b AS (SELECT * REPLACE (100 + (sum((floor(close * 100)::BIGINT % 101) - 50) {W[:-1]} ROWS UNBOUNDED PRECEDING))::DOUBLE / 1000.0::DOUBLE AS close) FROM b_all)"
+)
+PRICED_RUN = (
+    f"WITH RECURSIVE {PRICED}, {momentum(24)}, {positions()}, v(variant, tp, sl, mh) AS (VALUES (0, 0.2::DOUBLE, 0.15::DOUBLE, 48)),"
+    f" {simulator('pair').replace('- 0.5 / nullif(xe, 0)', '- 0.01::DOUBLE / nullif(xe, 0)')}"
+)
+_DOLLARS = "round(10000 * coalesce(product(1 + net) OVER (PARTITION BY pair ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * net, 4)"
+SQL["trade_dollars"] = PRICED_RUN + (
+    f" SELECT pair, entry_bar, exit_bar, exit_reason, round(round(net * 100, 6) + 1e-9, 5) AS pnl_pct, round({_DOLLARS} + 1e-9, 3) AS pnl_dollars FROM trades"
+)
+SQL["trade_curves"] = PRICED_RUN + (
+    ", ev AS (SELECT p.pair, p.ts, p.rn, p.close, lag(p.close) OVER (PARTITION BY p.pair ORDER BY p.rn) AS before, t.direction, t.net, t.exit_reason, t.i FROM pos p LEFT JOIN trades t ON t.pair = p.pair AND p.rn - 1 > t.entry_bar AND p.rn - 1 <= t.exit_bar),"
+    " er AS (SELECT *, CASE WHEN i = rn AND exit_reason != 'END_OF_DATA' THEN net END AS realised FROM ev),"
+    " eq AS (SELECT *, product(1 + coalesce(realised, 0)) OVER (PARTITION BY pair ORDER BY rn) AS e FROM er)"
+    " SELECT pair, ts, round(e, 6) AS equity, round(e * 10000, 3) AS dollars, round(CASE WHEN direction IS NULL THEN 0 WHEN realised IS NOT NULL THEN realised ELSE direction * (close - before) / before END, 6) + 0.0::DOUBLE AS bar_return FROM eq"
+)
+_TAIL = SQL["run_backtest"][SQL["run_backtest"].index(" x AS (SELECT pair, round(net") :]
+SQL["priced_backtest"] = PRICED_RUN + "," + _TAIL.replace(
+    " SELECT pair, CASE WHEN n <= 24",
+    f", dl AS (SELECT pair, {_DOLLARS} AS d FROM trades), cf AS (SELECT pair, sum(d) AS gained FROM dl GROUP BY 1),"
+    " eq AS (SELECT pair, i, product(1 + net) OVER (PARTITION BY pair ORDER BY i) AS e FROM trades WHERE exit_reason != 'END_OF_DATA' UNION ALL SELECT DISTINCT pair, 0, 1.0 FROM pos),"
+    " pk AS (SELECT *, max(e) OVER (PARTITION BY pair ORDER BY i) AS p FROM eq), g AS (SELECT pair, arg_max(e, i) - 1 AS total, min((e - p) / p) AS dd FROM pk GROUP BY 1)"
+    " SELECT pair, round(total, 6) AS total_return, round(dd, 6) AS max_drawdown, round(CASE WHEN dd < 0 THEN total / abs(dd) ELSE 0 END, 4) AS calmar, round(10000 + coalesce(gained, 0), 2) AS capital_final, CASE WHEN n <= 24",
+).replace("FROM c JOIN raw USING (pair)", "FROM c JOIN raw USING (pair) JOIN g USING (pair) LEFT JOIN cf USING (pair)")
+
+
+# Comparisons of an evaluation: rules on validation bars, models on test bars.
+_RULES, _MODELS = {f"Rule_{n}": n for n in (6, 12, 24)}, {"LR_global": 8, "LR_london": 10, "LSTM_global": 16, "LSTM_asia": 20, "LSTM_ny": 12}
+_INSIDE = {"london": "session IN ('London', 'Overlap')", "ny": "session IN ('New_York', 'Overlap')", "asia": "session = 'Asia'"}
+
+
+def _runs_of(src: str, lookbacks: dict[str, int]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT pair, ts, close, session, '{name}' AS strategy, CASE WHEN row_number() OVER (PARTITION BY pair ORDER BY ts) <= {n} THEN 0 WHEN close > max(close) OVER w THEN 1 WHEN close < min(close) OVER w THEN -1 ELSE 0 END::INT AS signal"
+        f" FROM {src} WINDOW w AS (PARTITION BY pair ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        for name, n in lookbacks.items()
+    )
+
+
+def _moves(src: str, keys: str) -> str:
+    move = f"(lead(close) OVER (PARTITION BY {keys} ORDER BY ts) - close) / CASE WHEN close = 0 THEN 1 ELSE close END"
+    return f"(SELECT * FROM (SELECT *, {move} AS mv FROM {src}) WHERE mv IS NOT NULL)"
+
+
+_SIDES = (
+    f"{SPLIT.format(src='b')}, ses AS (SELECT *, {SESSION} AS session FROM sp), vb AS (SELECT * FROM ses WHERE split = 'val'), tb AS (SELECT * FROM ses WHERE split = 'test'),"
+    f" vg AS ({_runs_of('vb', _RULES)}), tg AS ({_runs_of('tb', _MODELS)})"
+)
+_OWN = "CASE split_part(strategy, '_', 2) " + " ".join(f"WHEN '{n}' THEN CASE WHEN {c} THEN signal ELSE 0 END" for n, c in _INSIDE.items()) + " ELSE signal END"
+_LABEL = "'LR/LSTM_' || s || '_{}_domain'"
+_STAT = "CASE WHEN count(*) >= 10 AND var_samp(v) > 0 THEN round(avg(v) / sqrt(var_samp(v) / count(*)), 4) END AS stat"
+SQL["comparison_set"] = q(
+    f"SELECT pair, comparison, sa AS strategy_a, sb AS strategy_b, count(*) AS n, {_STAT} FROM"
+    " (SELECT ps.*, x.value - y.value AS v FROM ps JOIN se x ON x.part = ps.part AND x.pair = ps.pair AND x.name = a JOIN se y ON y.part = ps.part AND y.pair = ps.pair AND y.name = b AND y.ts = x.ts) GROUP BY ALL",
+    _SIDES,
+    f"vr AS (SELECT pair, strategy, ts, signal * mv AS value FROM {_moves('vg', 'pair, strategy')}), t0 AS (SELECT *, signal * mv AS value FROM {_moves('tg', 'pair, strategy')}),"
+    f" te AS (SELECT pair, strategy, split_part(strategy, '_', 2) AS s, es, strategy || '/eval=' || es AS run, ts, CASE WHEN es = 'global' {' '.join(f'OR es = {n!r} AND {c}' for n, c in _INSIDE.items())} THEN value ELSE 0 END AS value FROM t0, (VALUES ('global'), ('london'), ('ny'), ('asia')) v(es)),"
+    " rb AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY c DESC, strategy) AS k FROM (SELECT pair, strategy, round(avg(value), 6) AS c FROM vr GROUP BY 1, 2 HAVING count(*) >= 10)),"
+    " ml AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY c DESC, strategy, es) AS k FROM (SELECT pair, strategy, es, run, round(avg(value), 6) AS c FROM te GROUP BY ALL HAVING count(*) >= 10)),"
+    " hm AS (SELECT pair, s, min(run) FILTER (es = s) AS run, count(*) FILTER (es != s) AS away FROM te WHERE s != 'global' GROUP BY 1, 2),"
+    " ps AS (SELECT 'val' AS part, pair, 'best_RB_vs_BAH' AS comparison, strategy AS a, 'buy_and_hold' AS b, strategy AS sa, 'buy_and_hold' AS sb FROM rb WHERE k = 1"
+    " UNION ALL SELECT 'test', pair, 'best_ML_vs_BAH', run, 'buy_and_hold', strategy, 'buy_and_hold' FROM ml WHERE k = 1"
+    " UNION ALL SELECT 'val', f.pair, 'RB_champion_vs_runner_up', f.strategy, g.strategy, f.strategy, g.strategy FROM rb f JOIN rb g ON f.pair = g.pair AND f.k = 1 AND g.k = 2"
+    " UNION ALL SELECT 'test', f.pair, 'ML_champion_vs_runner_up', f.run, g.run, f.run, g.run FROM ml f JOIN ml g ON f.pair = g.pair AND f.k = 1 AND g.k = 2"
+    f" UNION ALL SELECT 'test', pair, 'in_domain_' || s || '_vs_transfer', run, 'transfer/' || s, {_LABEL.format('in')}, {_LABEL.format('out_of')} FROM hm WHERE run IS NOT NULL AND away > 0),"
+    " se AS (SELECT 'val' AS part, pair, strategy AS name, ts, value FROM vr UNION ALL SELECT 'test', pair, run, ts, value FROM te"
+    " UNION ALL SELECT 'test', pair, 'transfer/' || s, ts, avg(value) FROM te WHERE s != 'global' AND es != s GROUP BY pair, s, ts"
+    f" UNION ALL SELECT 'val', pair, 'buy_and_hold', ts, mv FROM {_moves('vb', 'pair')} UNION ALL SELECT 'test', pair, 'buy_and_hold', ts, mv FROM {_moves('tb', 'pair')})",
+)
+SQL["model_evaluation"] = (
+    f"WITH RECURSIVE {BARS}, {_SIDES}, sn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts) AS rn FROM (SELECT * REPLACE ({_OWN} AS signal), pair || '|' || strategy AS run FROM tg)),"
+    f" {positions('sn', 'run')}, v(variant, tp, sl, mh) AS (VALUES (0, NULL::DOUBLE, NULL::DOUBLE, NULL::INT), (1, NULL, NULL, NULL), (2, NULL, NULL, NULL)),"
+    f" {simulator('run').replace('- 0.5 / nullif(xe, 0)', '- [0.25, 0.5, 1.0][z.variant + 1]::DOUBLE / nullif(xe, 0)')},"
+    " pnl AS (SELECT run, variant, round(net * 100, 6) / 100 AS r, bars_held AS h FROM trades),"
+    " m AS (SELECT run, variant, count(*) AS n, avg((r >= 0)::INT) AS wr, CASE WHEN count(*) >= 2 AND max(r) != min(r) THEN avg(r) / stddev_pop(r) * sqrt(floor(greatest(1.0, 98280 / greatest(avg(h), 1.0)))) ELSE 0 END AS sharpe FROM pnl GROUP BY 1, 2)"
+    " SELECT pair, strategy, [0.5, 1.0, 2.0][variant + 1]::DOUBLE AS spread_multiplier, coalesce(n, 0) AS n_trades, CASE WHEN n IS NULL THEN 'ZERO_TRADES' ELSE 'OK' END AS status, round(coalesce(sharpe, 0), 4) AS net_sharpe, round(coalesce(wr, 0), 4) AS win_rate"
+    " FROM (SELECT DISTINCT pair, strategy, run FROM sn) CROSS JOIN (SELECT variant FROM v) LEFT JOIN m USING (run, variant)"
+)
+SQL["model_test"] = q(
+    f"SELECT pair, 'LSTM_global_vs_LR_global' AS comparison, count(*) AS n, {_STAT} FROM (SELECT x.pair, x.g - y.g AS v FROM gn x JOIN gn y ON x.pair = y.pair AND x.ts = y.ts AND x.strategy = 'LSTM_global' AND y.strategy = 'LR_global') GROUP BY 1",
+    _SIDES,
+    f"sn AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY ts) AS rn FROM (SELECT * REPLACE ({_OWN} AS signal), pair || '|' || strategy AS run FROM tg)), {positions('sn', 'run')},"
+    " gn AS (SELECT pair, strategy, ts, position * coalesce(close - lag(close) OVER (PARTITION BY run ORDER BY ts), 0) AS g FROM pos)",
+)

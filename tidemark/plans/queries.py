@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.config import LONG_FEATURES, LR_FEATURES, SESSION_FEATURES, SHORT_FEATURES, Config
 from tidemark.functions import scalars as S
 from tidemark.functions import windows as W
-from tidemark.operators import backtest, clean, eda, evaluate, features, folds, logs, ml, numbering, order_stats, splits, strategies
+from tidemark.operators import backtest, clean, eda, evaluate, features, folds, logs, ml, numbering, order_stats, reports, splits, strategies
 from tidemark.sources import archives
 from tidemark.sources import bars as B
 from tidemark.sources.tables import fresh_folder, written
@@ -1074,3 +1074,183 @@ def set_operations(spark, sf):
     parts = {"union_all": a.unionByName(b), "union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)}
     out = [df.agg(F.lit(n).alias("op"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("o_custkey"), F.lit(0)).alias("total")) for n, df in parts.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
+# -- summary tables and comparisons of a whole evaluation ---------------------------
+
+
+@query
+def run_summary(spark, sf):
+    """Means, positive runs, best and worst run of every fold."""
+    s = reports.run_summary(_fold_runs(spark, sf), ["fold"], ["pair", "strategy"])
+    return s.withColumns({c: r6(c) for c in ("mean_sharpe", "mean_return", "mean_drawdown")})
+
+
+@query
+def strategy_table(spark, sf):
+    """All five columns; names without runs have zeros."""
+    names = read(spark, sf, "part").select(F.concat(F.lit("S"), F.col("p_partkey") % 9).alias("strategy")).distinct()
+    t = reports.strategy_table(_fold_runs(spark, sf), names)
+    return t.withColumns({c: r6(c) for c in ("mean_sharpe", "mean_return", "mean_dd", "mean_trades")})
+
+
+@query
+def family_table(spark, sf):
+    """The registry's families over its strategies' runs."""
+    runs = _sweep(spark, sf, [None], ["both"])
+    t = reports.family_table(runs.filter(evaluate.ok(F.col("status"))))
+    return t.withColumns({c: F.round(c, 4) for c in ("mean_sharpe", "mean_sortino")})
+
+
+@query
+def report_meta(spark, sf):
+    m = reports.report_meta(_fold_runs(spark, sf), ["fold"])
+    return m.withColumns({c: F.array_join(c, ",") for c in ("pairs", "strategies")})
+
+
+NAMED = ["pair", "strategy", "session", "direction"]
+
+
+@query
+def ranked_results(spark, sf):
+    """Every run with its place by score."""
+    s = scored_outcomes(spark, sf).withColumns({"composite": r6("composite"), "session": F.coalesce("session", F.lit("-"))})
+    return reports.ranked(s, "composite", NAMED).select(*NAMED, "composite", "rank")
+
+
+@query
+def top_results(spark, sf):
+    """The fifty best runs."""
+    s = scored_outcomes(spark, sf).withColumns({"composite": r6("composite"), "session": F.coalesce("session", F.lit("-"))})
+    return reports.top(s, "composite", NAMED, 50).select(*NAMED, "composite", "rank")
+
+
+@query
+def session_shares(spark, sf):
+    s = splits.fixed_split(_labelled(spark, sf), TRAIN_END, VAL_END, 15, KEY, "ts")
+    return reports.shares(s, ["pair", "split"], "session", {"Asia": "asia_pct", "London": "london_pct", "Overlap": "overlap_pct", "New_York": "ny_pct"})
+
+
+@query
+def prediction_histogram(spark, sf):
+    l = _labelled(spark, sf).filter("label is not null")
+    pred = F.coalesce(S.three_way(W.simple_return("close", 5, w()), 0.25).cast("int"), F.lit(0))
+    return reports.prediction_histogram(l.withColumn("pred", -pred), KEY, "label", "pred", [-1, 0, 1])
+
+
+@query
+def daily_range_correlation(spark, sf):
+    c = eda.correlations(reports.daily_ranges(bars(spark, sf), PAIRS), PAIRS)
+    return c.select("a", "b", r6("corr").alias("corr"))
+
+
+@query
+def legacy_selection(spark, sf):
+    """Survivors, their best instruments, and the ranking over folds."""
+    li = read(spark, sf, "lineitem").select(
+        F.concat(F.lit("P"), F.col("l_suppkey") % 5).alias("pair"),
+        F.concat(F.lit("S"), F.lpad((F.col("l_partkey") % 13).cast("string"), 2, "0")).alias("strategy"),
+        (F.col("l_orderkey") % 5).cast("int").alias("fold"), "l_quantity",
+    )
+    runs = li.groupBy("strategy", "pair", "fold").agg(F.round(F.avg("l_quantity") - 25.3, 4).alias("net_sharpe"))
+    out = reports.legacy_selection(scored_outcomes(spark, sf), runs, ["session", "direction"], -0.2, most_negative=3)
+    return out.select("rank", "strategy", "pair", "session", "direction", "fold_mean", "fold_std", "negative_folds", "folds")
+
+
+@query
+def fold_outcomes(spark, sf):
+    """Walk-forward with simulation and metrics of every fold."""
+    from tidemark.plans import master
+
+    registry = {f"Momentum_{n}": strategies.momentum(n) for n in (12, 24, 120, 240)}
+    f = master.fold_outcomes(bars(spark, sf), registry, FOLDS, 0.5, 24)
+    return f.select("pair", "strategy", "fold", "n_trades", "n_long", "n_short", *[F.round(c, 4).alias(c) for c in ("net_sharpe", "avg_trade_bars")])
+
+
+def priced(spark, sf) -> DataFrame:
+    """Bars whose close walks like a price: from 100 by thousandths that the values set."""
+    step = (F.floor(F.col("close") * 100) % 101).cast("long") - 50
+    return bars(spark, sf).withColumn("close", 100 + F.sum(step).over(W.so_far(w())) / F.lit(1000.0))
+
+
+PRICED = {"spread": 0.01, "take": 0.2, "stop": 0.15, "max_hold": 48}
+
+
+@query
+def priced_backtest(spark, sf):
+    """All metrics of a back-test over a price-like series."""
+    from tidemark.plans import master
+
+    p = PRICED
+    m = master.run_backtest(priced(spark, sf), strategies.momentum(24), "ts", p["spread"], p["take"], p["stop"], p["max_hold"])["metrics"]
+    exact = ["pair", "status", "n_trades", "n_long", "n_short", "n_flat"]
+    return m.select(
+        *exact, *[F.round(c, 4).alias(c) for c in ("net_sharpe", "sortino", "gross_sharpe", "win_rate", "profit_factor", "avg_trade_bars", "turnover", "calmar")],
+        *[r6(c).alias(c) for c in ("total_return", "max_drawdown")], F.round("capital_final", 2).alias("capital_final"),
+    )
+
+
+@query
+def trade_curves(spark, sf):
+    """Equity, dollars and bar returns of every bar of that back-test."""
+    s = strategies.momentum(24).generate(priced(spark, sf), KEY)
+    p = backtest.with_position(s.withColumn("signal", F.col("signal").cast("int")), "signal", KEY, "ts")
+    c = backtest.run_curves(p, KEY, "ts", PRICED | {"capital": 10_000.0})
+    return c.select("pair", "ts", r6("equity").alias("equity"), F.round(F.col("equity") * 10_000, 3).alias("dollars"), (r6("bar_return") + 0.0).alias("bar_return"))  # no -0.0
+
+
+@query
+def trade_dollars(spark, sf):
+    """What each trade of that back-test gained."""
+    s = strategies.momentum(24).generate(priced(spark, sf), KEY)
+    p = backtest.with_position(s.withColumn("signal", F.col("signal").cast("int")), "signal", KEY, "ts")
+    t = backtest.run_trades(p, KEY, "ts", [PRICED], capital=10_000.0)
+    off_ties = lambda c, n: F.round(F.col(c) + 1e-9, n).alias(c)
+    return t.select("pair", "entry_bar", "exit_bar", "exit_reason", off_ties("pnl_pct", 5), off_ties("pnl_dollars", 3))
+
+
+RULES = {f"Rule_{n}": n for n in (6, 12, 24)}
+MODELS = {"LR_global": 8, "LR_london": 10, "LSTM_global": 16, "LSTM_asia": 20, "LSTM_ny": 12}
+
+
+def _split_signals(spark, sf, part: str, lookbacks: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Bars of a split with their session, and the signals of rules that stand for models."""
+    from tidemark.plans import master
+
+    b = splits.fixed_split(_session(bars(spark, sf)), TRAIN_END, VAL_END, 15, KEY, "ts").filter(F.col("split") == part)
+    s = master.all_signals(b, {k: strategies.momentum(n) for k, n in lookbacks.items()})
+    return b, s.join(b.select("pair", "ts", "session"), ["pair", "ts"])
+
+
+@query
+def comparison_set(spark, sf):
+    """All comparisons of an evaluation; runs are scored by their mean return."""
+    from tidemark.plans import comparison
+
+    val_bars, val = _split_signals(spark, sf, "val", RULES)
+    test_bars, test = _split_signals(spark, sf, "test", MODELS)
+    score = [F.round(F.avg("value"), 6).alias("composite"), F.count(F.lit(1)).alias("n_trades"), F.lit(True).alias("ok")]
+    rules = comparison.bar_returns(val).groupBy("pair", "strategy").agg(*score)
+    by = comparison.by_session(comparison.bar_returns(test)).groupBy("pair", "strategy", "eval_session").agg(*score)
+    models = by.withColumns({"train_session": F.substring_index("strategy", "_", -1), "spread_mult": F.lit(1.0)})
+    out = comparison.comparison_set(rules, models, val, test, val_bars, test_bars)
+    return out.select("pair", "comparison", "strategy_a", "strategy_b", "n", "stat")
+
+
+@query
+def model_evaluation(spark, sf):
+    """Models within their own session at three spreads."""
+    from tidemark.plans import comparison
+
+    _, test = _split_signals(spark, sf, "test", MODELS)
+    m = comparison.model_evaluation(test, spread=0.5)
+    return m.select("pair", "strategy", "spread_multiplier", "n_trades", "status", *[F.round(c, 4).alias(c) for c in ("net_sharpe", "win_rate")])
+
+
+@query
+def model_test(spark, sf):
+    """One model against another on price differences."""
+    from tidemark.plans import comparison
+
+    t = comparison.model_test(_split_signals(spark, sf, "test", MODELS)[1])
+    return t.select("pair", "comparison", "n", "stat")
