@@ -159,3 +159,29 @@ def model_test(signals: DataFrame, a: str = "LSTM_global", b: str = "LR_global",
     gains = held.withColumn("value", F.col("position") * step)
     pairs = gains.groupBy("pair").agg(F.lit(f"{a}_vs_{b}").alias("comparison"), F.lit(a).alias("a"), F.lit(b).alias("b"))
     return evaluate.compared(gains, pairs, ["pair"], "strategy", ts, "value", losses=False).drop("mean", "var")
+
+
+def evaluation_tables(rules: DataFrame, models: DataFrame, tests: DataFrame, importance: DataFrame | None = None, score: str = "composite") -> dict[str, DataFrame]:
+    """The small tables of a whole evaluation, ready for ``sinks.write_bundle``: results of
+    rules, of models and of both by score; best and worst run per instrument; the matrix of
+    sessions per kind of model; generalisability; break-even spreads; tests; and the
+    weights of inputs, if given.
+
+    ``rules`` and ``models`` as in ``comparison_set``, models with ``model_type``."""
+    ran = models.filter("ok")
+    both = rules.unionByName(models, allowMissingColumns=True)
+    name = [c for c in ("pair", "strategy", "eval_session", "spread_mult", "session", "direction") if c in both.columns]
+    order = lambda df: df.orderBy(F.desc(score), *[c for c in name if c in df.columns])
+    run = F.struct(*[c for c in ("strategy", "eval_session") if c in both.columns], score)
+    by = [F.struct(F.col(score), "strategy"), F.struct(-F.col(score), "strategy")]
+    ends = both.filter("ok").groupBy("pair").agg(F.min_by(run, by[1]).alias("best"), F.min_by(run, by[0]).alias("worst"))
+    ends = ends.select("pair", *[F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("best", "worst") for c in ("strategy", score)]).orderBy("pair")
+    at_one = ran.filter(F.abs(F.col("spread_mult") - 1) < 0.01)
+    out = {"results_rule_based": order(rules), "results_ml": order(models), "results_all": order(both), "best_worst": ends}
+    for kind in ("LR", "LSTM"):
+        out[f"transfer_{kind.lower()}"] = evaluate.transfer_matrix(ran.filter(F.col("model_type") == kind), SESSIONS).orderBy("train_session")
+    out["generalisability"] = evaluate.generalisability(at_one).orderBy("train_session")
+    series = ran.groupBy("pair", "strategy", "eval_session", "spread_mult").agg(F.avg("net_sharpe").alias("net_sharpe"))
+    out["breakeven"] = evaluate.breakeven(series, ["pair", "strategy", "eval_session"]).orderBy("pair", "strategy", "eval_session")
+    out["dm_tests"] = tests.orderBy("pair", "comparison")
+    return out if importance is None else out | {"feature_importance": importance}

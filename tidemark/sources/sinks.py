@@ -64,3 +64,21 @@ def write_bundle(tables: dict[str, DataFrame], folder: str) -> None:
     for name, df in tables.items():
         flat = [F.concat_ws("|", c).alias(c) if kind.startswith("array<string") else F.col(c) for c, kind in df.dtypes]
         write_csv(df.select(*flat), f"{folder}/{name}")
+
+
+def report_parts(title: str, parts: dict[str, DataFrame], rows: int = 50) -> str:
+    """A text report of several parts, one small table each, in the order given."""
+    bar = "#" * max(20, len(title))
+    texts = [report_text(f"PART {k}: {name}", df, rows) for k, (name, df) in enumerate(parts.items(), 1)]
+    return "\n\n".join([f"{bar}\n{title}\n{bar}", *texts])
+
+
+def comparison_html(title: str, tables: dict[str, DataFrame], most: int = 1000) -> str:
+    """A self-contained page with a heading and a table for each small result table."""
+    sections = []
+    for name, df in tables.items():
+        head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+        cell = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else html.escape(str(v))
+        body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in df.limit(most).collect())
+        sections.append(f"<h2>{html.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>{''.join(sections)}"
