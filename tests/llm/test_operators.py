@@ -646,6 +646,38 @@ def test_a_hot_identifier_keeps_texts_apart(spark):
     assert Counter(got) == {f"{k}w0": 1 for k in range(60)}
 
 
+def test_large_groups_in_blocks_give_the_same(spark):
+    """Chains, unlike members, copies and missing identifiers; blocks of 3, 7 and all."""
+    rng = np.random.default_rng(21)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(2000)]
+    rows, t = [], list(rng.choice(vocab, 120))
+    for k in range(30):  # each like the next, the first and the last unlike
+        rows.append(" ".join(t))
+        t[4 * k : 4 * k + 4] = list(rng.choice(vocab, 4))
+    for k in range(6):  # pairs apart from the chain
+        u = list(rng.choice(vocab, 90))
+        rows += [" ".join(u), " ".join([*u, "more"])]
+    rows += ["", "one", "two words"]
+    ids = [None if i % 11 == 5 else int(rng.integers(0, 40)) for i in range(len(rows))]
+    shape = "root long, doc_id long, text_key binary, text binary"
+    of = {1: rows, 2: [x[::-1] for x in rows[:-3]]}  # equal texts are never in two groups
+    data = [(r, None if i is None else i + 100 * r, hashlib.md5(x.encode()).digest(), x.encode()) for r, xs in of.items() for i, x in zip(ids, xs, strict=False)]
+    members = spark.createDataFrame(data, shape)
+    told = lambda df: sorted(((r["doc_id"], bytes(r["text_key"])) for r in df.distinct().collect()), key=str)
+    want = told(simhash._beaten(members, 5))
+    assert len(want) > 50
+    for most in (3, 7, 1000):
+        assert told(simhash._beaten_in_blocks(members, 5, most)) == want
+    assert simhash._beaten_in_blocks(members.filter("false"), 5, 3).count() == 0
+
+
+def test_representatives_of_large_groups(spark):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(40)] + [(100 + i, " ".join(f"{i}x{k}" for k in range(80))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.representatives(df, most=6).collect()) == [0, 100, 101, 102]
+
+
 def test_only_shingle_similarity_of_08_removes(spark):
     """Against brute-force Jaccard of five-word shingles; scattered and block edits."""
     rng = np.random.default_rng(11)

@@ -20,7 +20,10 @@ most but for about one pair in five hundred.
 
 ``representatives`` takes these links as candidates only: the texts of each linked
 group are brought together and their sets of five-word shingles compared, and only
-similarities of ``SIMILAR`` or more (and chains of such) make a group.
+similarities of ``SIMILAR`` or more (and chains of such) make a group.  A group of over
+``GROUP`` texts is compared in blocks: within blocks, then the first of each block's
+groups, and then what these leave apart from the largest part against all blocks, so
+that no task holds more than two blocks and no similar pair is left out.
 
 Equal fingerprints are merged first.  Within a table's bucket only a spanning forest
 of the links leaves the task.  A bucket of over ``BLOCK`` fingerprints is covered once
@@ -58,6 +61,8 @@ BITS = 64
 BLOCK = 16_384
 SEED = 42
 SIMILAR = 0.8
+#: Linked texts that one task compares at a time, and bytes of them.
+GROUP, GROUP_BYTES = 1024, 64 << 20
 _UPPER = bytes(range(65, 91))
 _LOWER_TABLE = bytes(b + 32 if b in _UPPER else b for b in range(256))
 
@@ -389,21 +394,143 @@ def _beaten(members: DataFrame, words: int) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, text_key binary")
 
 
-def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _node(prefix: str) -> Column:
+    """An order of rows: by identifier, missing ones last, then by text."""
+    return F.struct(*[F.col(f"{prefix}_{c}").alias(c) for c in ("missing", "id", "key")])
+
+
+def _edges(nodes: list[dict], us: list[int], vs: list[int]) -> pa.RecordBatch:
+    """Links between ``nodes``, one column per part of a node."""
+    cols, names = [], []
+    for side, at in (("u", us), ("v", vs)):
+        for c, kind in (("missing", pa.bool_()), ("id", pa.int64()), ("key", pa.binary())):
+            cols.append(pa.array([nodes[i][c] for i in at], kind))
+            names.append(f"{side}_{c}")
+    return pa.RecordBatch.from_arrays(cols, names=names)
+
+
+def _block_links(rows: DataFrame, words: int) -> DataFrame:
+    """Links (u, v) within blocks of ``rows`` (node, text, label, probe, root, a, b), one
+    block (root, a, b) at a time: without probes a forest of all its similar members, else
+    those of each probe with members of other labels, one a label."""
+
+    def linked(nodes: list, sets: list, labels: list, probes: list) -> pa.RecordBatch:
+        if not any(probes):
+            got = similar_groups(sets)
+            us = np.flatnonzero(got != np.arange(len(got)))
+            return _edges(nodes, us.tolist(), got[us].tolist())
+        sizes, of = np.array([len(x) for x in sets]), np.array(labels)
+        values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        owner, mine = np.repeat(np.arange(len(sets)), sizes), np.split(flat, np.cumsum(sizes)[:-1])
+        marked, us, vs = np.zeros(len(values), dtype=bool), [], []
+        for x in np.flatnonzero(probes):
+            marked[mine[x]] = True
+            both = np.bincount(owner[marked[flat]], minlength=len(sets))
+            marked[mine[x]] = False
+            hit = np.flatnonzero((of != of[x]) & (both >= SIMILAR * (sizes + sizes[x] - both)))
+            one = hit[np.unique(of[hit], return_index=True)[1]]
+            us += [int(x)] * len(one)
+            vs += one.tolist()
+        return _edges(nodes, us, vs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets, labels, probes = None, [], [], [], []
+        for b in batches:
+            for i, part in enumerate(zip(*(b.column(k).to_pylist() for k in range(3)), strict=True)):
+                if nodes and part != now:
+                    yield linked(nodes, sets, labels, probes)
+                    nodes, sets, labels, probes = [], [], [], []
+                now = part
+                nodes.append(b.column(3)[i].as_py())
+                sets.append(shingle_set(b.column(4)[i].as_py(), words))
+                labels.append(b.column(5)[i].as_py())
+                probes.append(b.column(6)[i].as_py())
+        if nodes:
+            yield linked(nodes, sets, labels, probes)
+        nodes, sets, labels, probes = [], [], [], []
+        give_back()
+
+    part = ["root", "a", "b"]
+    dealt = rows.select(*part, "node", "text", "label", "probe").repartition(*part).sortWithinPartitions(*part)
+    flat = ", ".join(f"{side}_missing boolean, {side}_id long, {side}_key binary" for side in "uv")
+    return dealt.mapInArrow(run, flat).select(_node("u").alias("u"), _node("v").alias("v"))
+
+
+def _blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+    """``rows`` (root, node, text) with the number of blocks of their root, as ``n_`` and
+    the name, and their own block, as ``name``."""
+    n = F.ceil(F.greatest(F.count(F.lit(1)) / most, F.sum(F.octet_length("text")) / GROUP_BYTES))
+    counted = rows.groupBy("root").agg(F.greatest(n, F.lit(1)).cast("int").alias(f"n_{name}"))
+    return _per_root(rows, counted).withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"n_{name}")).cast("int"))
+
+
+def _per_root(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` joined with a row per root: broadcast after counting, as a root is a group
+    of many rows, so that no group meets in one task."""
+    table = materialise(table, "near-roots")
+    return rows.join(F.broadcast(table) if table.limit(200_001).count() <= 200_000 else table, "root")
+
+
+def _labelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """``rows`` with ``label``, a number of the component that ``edges`` put them in."""
+    first = components(edges).select("node", F.xxhash64("root").alias("label"))
+    return rows.join(first, "node", "left").withColumn("label", F.coalesce("label", F.xxhash64("node")))
+
+
+def _beaten_in_blocks(members: DataFrame, words: int, most: int) -> DataFrame:
+    """What ``_beaten`` gives, of groups of any size; members are compared in blocks.
+
+    First within blocks; then the first of every local group, in blocks again; members
+    outside their group's largest part by then are compared with all others that are not
+    in their own part.  Near copies of one text are one part after the second step, which
+    leaves the third without work; it grows with the members outside times all."""
+    node = F.struct(F.isnull("doc_id").alias("missing"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))
+    rows = materialise(_blocks(members.select("root", node.alias("node"), "text").distinct(), most, "a"), "near-blocks")
+    plain = {"b": F.lit(0), "label": F.lit(0).cast("long"), "probe": F.lit(False)}
+    edges = materialise(_block_links(rows.withColumns(plain), words), "near-edges")
+    inner = edges.select(F.col("u").alias("node"))  # all but the first of a local group
+    firsts = rows.join(inner.distinct(), "node", "left_anti").select("root", "node", "text")
+    between = materialise(_block_links(_blocks(firsts, most, "a").withColumns(plain), words), "near-firsts")
+    edges = edges.unionByName(between)
+    placed = materialise(_labelled(rows.select("root", "node", "a", "n_a"), edges), "near-parts")
+    parts = placed.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    apart = materialise(largest.filter("parts > 1"), "near-apart")
+    if apart.head(1):
+        targets = _per_root(placed, apart).join(rows.select("node", "text"), "node")
+        probes = _blocks(targets.filter("label != main").select("root", "node", "text", "label", F.col("n_a").alias("targets")), most, "c")
+        left = probes.select("root", "node", "text", "label", F.lit(True).alias("probe"), F.col("c").alias("b"), F.explode(F.sequence(F.lit(0), F.col("targets") - 1)).alias("a"))
+        right = _per_root(targets.select("root", "node", "text", "label", F.lit(False).alias("probe"), "a"), probes.groupBy("root").agg(F.max("n_c").alias("n_c")))
+        right = right.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_c") - 1)))
+        edges = edges.unionByName(materialise(_block_links(left.unionByName(right.select(*left.columns)), words), "near-across"))
+    gone = components(edges).filter("node != root")
+    return gone.select(F.when(~F.col("node.missing"), F.col("node.id")).alias("doc_id"), F.col("node.key").alias("text_key"))
+
+
+def representatives(docs: DataFrame, scheme: Scheme = NEAR_TEXT, text_col: str = "text", id_col: str = "doc_id", most: int = GROUP) -> DataFrame:
     """The rows of ``docs`` that are the first of their group, all columns: the smallest
     identifier stays, missing ones coming last; of rows that share it the one whose text
     has the smallest md5.  Rows are told apart by identifier and text, so a repeated
     identifier neither saves a near copy nor removes another text; rows with the same
-    identifier and text stay or go together."""
+    identifier and text stay or go together.  Groups of over ``most`` rows are compared in
+    blocks of about so many, with the same result."""
     found = materialise(linked_rows(docs, scheme, id_col, text_col).select("doc_id", "text_key", "root"), "near-found")
-    shared = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("root")
-    linked = found.join(shared, "root").select(F.col("doc_id").alias("linked_id"), F.col("text_key").alias("linked_key"), "root").distinct()
+    shared = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = found.join(shared, "root").select(F.col("doc_id").alias("linked_id"), F.col("text_key").alias("linked_key"), "root", "n").distinct()
     linked = materialise(linked, "near-linked")
-    few = linked.limit(200_001).count() <= 200_000
     given = F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), text_key(text_col).alias("text_key")
     same = F.col("doc_id").eqNullSafe(F.col("linked_id")) & (F.col("text_key") == F.col("linked_key"))
-    members = docs.select(*given).join(F.broadcast(linked) if few else linked, same)
-    gone = _beaten(members, scheme.check_words or scheme.words).distinct()
+    few = linked.limit(200_001).count() <= 200_000
+
+    def members(which: str) -> DataFrame:
+        of = linked.filter(which)
+        return docs.select(*given).join(F.broadcast(of) if few else of, same)
+
+    words = scheme.check_words or scheme.words
+    gone = _beaten(members(f"n <= {most}"), words)
+    if linked.filter(F.col("n") > most).head(1):
+        gone = gone.unionByName(_beaten_in_blocks(members(f"n > {most}"), words, most))
+    gone = gone.distinct()
     gone = materialise(gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")), "near-gone")
     return without(docs, gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id")) & (text_key(text_col) == F.col("gone_key")))
 
