@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import backtest, folds, order_stats, trades
+from tidemark.operators import backtest, folds, logs, order_stats, trades
 
 #: Minutes of a chunk: one row, a few, all.
 CHUNKS = (60, 60 * 37, 10**9)
@@ -155,6 +155,24 @@ def test_machine_on_random_series():
         assert state[2][0].cash == pytest.approx(closed_cash, abs=1e-3 * (1 + len(want)))
 
 
+def test_a_trade_entered_at_zero_has_no_return(spark):
+    """As in SQL: null, never 0, and nothing of it in the metrics."""
+    price, position = [5.0, 0.0, 2.0, 4.0, 5.0], [0, 1, -1, -1, 1]
+    df = spark.createDataFrame([("s", i, p, h) for i, (p, h) in enumerate(zip(price, position, strict=True))], "series string, at int, close double, position int")
+    log = trades.run_trades(df, ["series"], "at", [{"spread": 0.5}]).orderBy("entry_bar")
+    want = [(1, 2, 0.0, None, None), (2, 4, 2.0, -175.0, -17500.0), (4, 4, 5.0, -10.0, 750.0)]
+    cols = ["entry_bar", "exit_bar", "entry_price", "pnl_pct", "pnl_dollars"]
+    assert [tuple(r) for r in log.select(*cols).collect()] == want
+    logs.register(spark)
+    df.withColumnRenamed("close", "price").createOrReplaceTempView("held_at_zero")
+    call = "SELECT * FROM trade_log(TABLE(held_at_zero) PARTITION BY (series) ORDER BY (at), 0.5, null, null, null) ORDER BY entry_bar"
+    assert [tuple(r) for r in spark.sql(call).select(*cols).collect()] == want
+    got, equity, _ = backtest.simulate(np.array(price), np.array(position), 0.5, no_return=None)
+    assert [(t[0], t[1], t[4], t[6], t[7]) for t in got] == want
+    assert backtest.metrics_of(got, equity, np.array(position), 1, 10_000.0)["win_rate"] == 0
+    assert backtest.trade_metrics(log, ["series"], 1).first()["win_rate"] == 0
+
+
 def test_summaries_stay_small():
     """What a chunk tells of itself does not hold its bars."""
     rng = np.random.default_rng(1)

@@ -64,6 +64,7 @@ def simulate(
     stop: float | None = None,
     max_hold: int | None = None,
     capital: float = 10_000.0,
+    no_return: float | None = 0.0,
 ) -> tuple[list[tuple], np.ndarray, np.ndarray]:
     """Trades, realised equity and bar returns.
 
@@ -71,7 +72,8 @@ def simulate(
     position, in that order, at the bar's price; then, if flat and the position is
     not 0, a trade opens at the same price.  The spread is charged once, at the exit.
     A trade still open at the end closes on the last bar and changes the capital
-    only.  Distances of 0 or None are off."""
+    only.  A trade entered at price 0 has no return: its gains are ``no_return`` and the
+    cash stays.  Distances of 0 or None are off."""
     n = len(price)
     equity, returns, trades = np.ones(n), np.zeros(n), []
     base = capital if capital else 1.0
@@ -83,10 +85,8 @@ def simulate(
         net = move - (spread / entry if entry else 0.0)
         gained = cash * net
         cash += gained
-        trades.append(
-            (at, i, i - at, side, round(float(entry), 6), round(float(price[i]), 6),
-             round(float(net * 100), 6), round(float(gained), 4), reason)
-        )
+        pnl = (round(float(net * 100), 6), round(float(gained), 4)) if entry else (no_return, no_return)
+        trades.append((at, i, i - at, side, round(float(entry), 6), round(float(price[i]), 6), *pnl, reason))
         return net
 
     for i in range(1, n):
@@ -134,7 +134,7 @@ def trade_metrics(trades: DataFrame, keys: list[str], annualisation: int, capita
         .otherwise(PROFIT_FACTOR_CAP)
         .alias("profit_factor"),
         F.avg("bars_held").alias("avg_trade_bars"),
-        (capital + F.sum("pnl_dollars")).alias("capital_final"),
+        (capital + F.coalesce(F.sum("pnl_dollars"), F.lit(0.0))).alias("capital_final"),
     )
 
 
@@ -179,7 +179,7 @@ def _ratio(x: np.ndarray, spread: np.ndarray, per_year: int, least: int) -> floa
 
 def metrics_of(trades: list[tuple], equity: np.ndarray, position: np.ndarray, annualisation: int, capital: float) -> dict:
     """All thirteen metrics of one run."""
-    r = np.array([t[6] for t in trades]) / 100
+    r = np.array([t[6] for t in trades if t[6] is not None], dtype=float) / 100
     held = np.array([t[2] for t in trades], dtype=float)
     per_year = int(max(1, annualisation / max(held.mean() if len(held) else 1.0, 1.0)))
     total = float(equity[-1] - 1) if len(equity) else 0.0
@@ -199,7 +199,7 @@ def metrics_of(trades: list[tuple], equity: np.ndarray, position: np.ndarray, an
         "profit_factor": min(float(win.sum()) / lost, PROFIT_FACTOR_CAP) if lost else PROFIT_FACTOR_CAP,
         "avg_trade_bars": float(held.mean()) if len(held) else 0.0,
         "turnover": float((position != 0).mean()) if len(position) else 0.0,
-        "capital_final": capital + float(sum(t[7] for t in trades)),
+        "capital_final": capital + float(sum(t[7] for t in trades if t[7] is not None)),
     }
 
 
@@ -256,7 +256,7 @@ def run_variants(
                 s = np.maximum(s, 0) if v["direction"] == "long_only" else np.minimum(s, 0) if v["direction"] == "short_only" else s
                 held = pd.Series(s).where(s != 0).ffill().fillna(0).to_numpy(int)
                 pos = np.concatenate([[0], held[:-1]]) if len(held) else held
-                trades, equity, _ = simulate(price, pos, v["spread"] or 0.0, v["tp"], v["sl"], v["max_hold"], capital)
+                trades, equity, _ = simulate(price, pos, v["spread"] or 0.0, v["tp"], v["sl"], v["max_hold"], capital, None)
                 got = metrics_of(trades, equity, pos, annualisation, capital)
                 signs = [int((s == k).sum()) for k in (1, -1, 0)]
                 out.append([*key, *v.values(), *got.values(), *signs, "OK" if trades else "ZERO_TRADES", None])

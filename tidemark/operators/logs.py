@@ -26,10 +26,8 @@ class TradeLog:
         gained = self.cash * net
         self.cash += gained
         side, self.side = self.side, 0
-        return (
-            self.series, self.at, self.bar, self.bar - self.at, side, round(self.entry, 6), round(self.price, 6),
-            round(net * 100, 6), round(gained, 4), reason,
-        )
+        pnl = (round(net * 100, 6), round(gained, 4)) if self.entry else (None, None)
+        return (self.series, self.at, self.bar, self.bar - self.at, side, round(self.entry, 6), round(self.price, 6), *pnl, reason)
 
     def eval(self, row: Row, spread: float, take: float, stop: float, max_hold: int) -> Iterator[tuple]:
         self.bar += 1

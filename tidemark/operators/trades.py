@@ -281,7 +281,8 @@ def run_trades(
     On each bar but the first an open trade is tested for target, stop, holding time and
     opposite position, in that order, at the bar's price; then, if flat and the position
     is not 0, a trade opens at the same price.  The spread is charged once, at the exit.
-    A trade still open at the end closes on the last bar."""
+    A trade still open at the end closes on the last bar.  A trade entered at price 0 has
+    no return: its gains are null and the cash stays."""
     machine = Machine(tuple(variants), price, position, capital)
     order = [ts] if isinstance(ts, str) else list(ts)
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("variant", T.IntegerType()), *T.StructType.fromDDL(TRADES)])
@@ -300,9 +301,8 @@ def run_trades(
             for side, entry, at, i, net, why in closed:
                 gained = cash * net
                 cash += gained
-                rows.append(
-                    (*key, v, at, begin + i, begin + i - at, side, round(entry, 6), round(float(prices[i]), 6), round(net * 100, 6), round(gained, 4), why)
-                )
+                pnl = (round(net * 100, 6), round(gained, 4)) if entry else (None, None)
+                rows.append((*key, v, at, begin + i, begin + i - at, side, round(entry, 6), round(float(prices[i]), 6), *pnl, why))
         return pd.DataFrame(rows, columns=schema.names)
 
     return folds.scan(df.select(*need), keys, order, machine.fold(), replay, schema, seconds)
