@@ -207,3 +207,21 @@ def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     got = line_dedup.without_common_lines(docs)
     assert got.columns == ["doc_id", "n_lines", "n_dropped", "kept_text"] and got.collect() == []
+
+
+def test_copied_anchors_never_pass_the_driver(spark):
+    """Anchors are copied for every part of the rows; Spark would broadcast so few rows."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, i, i % 3, [int(x) for x in rng.integers(-99, 99, 8)], [0.0]) for i in range(300)], "r long, id long, label long, vec array<long>, ends array<double>")
+    rows = hard_negatives.materialise(rows, "vector-rows")
+    order = hard_negatives.dimension_order(rows)
+    blocks = hard_negatives.materialise(hard_negatives.in_blocks(rows, order, 100, parts=1), "row-blocks")
+    anchors = hard_negatives.in_blocks(rows.filter("id % 50 = 0"), order, 100, "ends", 1)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "600")
+    try:
+        met = hard_negatives.met(blocks, anchors, 6, True)
+        assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+        assert met.count() == blocks.count() == 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)

@@ -190,9 +190,11 @@ def ranked(a: np.ndarray, i: np.ndarray, score: np.ndarray, ids: np.ndarray) ->
 
 def met(rows: DataFrame, anchors: DataFrame, n_anchors: int, same_label: bool) -> DataFrame:
     """Pairs of blocks of equal width that labels and norms don't rule out.  Keys are
-    (part of the row blocks, part of the anchor blocks)."""
+    (part of the row blocks, part of the anchor blocks).  Anchors are copied once for each
+    part of the row blocks, of which there are no more than blocks; the copies, far larger
+    than Spark takes them for, are always shuffled, as a broadcast passes the driver."""
     spark = rows.sparkSession
-    row_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    row_parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count()))
     anchor_parts = -(-n_anchors // ANCHORS_AT_ONCE)
     number = F.xxhash64("number")
     r = rows.select(*[F.col(c).alias(f"x_{c}") for c in BLOCK_NAMES], F.pmod(number, F.lit(row_parts)).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(anchor_parts - 1))).alias("s"))
@@ -202,7 +204,7 @@ def met(rows: DataFrame, anchors: DataFrame, n_anchors: int, same_label: bool) -
         can = can & (F.col("x_lo") <= F.col("q_hi")) & (F.col("x_hi") >= F.col("q_lo"))
     else:
         can = can & ~((F.col("x_lo") == F.col("x_hi")) & (F.col("q_lo") == F.col("q_hi")) & (F.col("x_lo") == F.col("q_lo")))
-    return r.join(a, (r["p"] == a["p"]) & (r["s"] == a["s"]) & can)
+    return r.join(a.hint("merge"), (r["p"] == a["p"]) & (r["s"] == a["s"]) & can)
 
 
 def _block(b: pa.RecordBatch, i: int, side: str) -> dict[str, np.ndarray]:
@@ -275,7 +277,7 @@ def _needed(pairs: DataFrame) -> list[str]:
 
 
 def _blocks_of(anchors: DataFrame, order: dict[int, np.ndarray], n: int) -> DataFrame:
-    return in_blocks(anchors, order, ANCHORS, "ends", max(1, n // ANCHORS))
+    return materialise(in_blocks(anchors, order, ANCHORS, "ends", max(1, n // ANCHORS)), "anchor-blocks")
 
 
 def positives_of(blocks: DataFrame, anchors: DataFrame, order: dict[int, np.ndarray], most: int) -> DataFrame:
@@ -286,8 +288,10 @@ def positives_of(blocks: DataFrame, anchors: DataFrame, order: dict[int, np.ndar
         if not n:
             break
         t = F.lit(float("-inf")) if level is None else F.col("reach") * level
-        pairs = met(blocks, _blocks_of(left.withColumn("ends", F.array(t)), order, n), n, True)
+        own = _blocks_of(left.withColumn("ends", F.array(t)), order, n)
+        pairs = met(blocks, own, n, True)
         found = materialise(best_positives(pairs, most).withColumn("place", F.col("rank") - 1).drop("rank"), "positives")
+        drop_table(own)
         if level is None:
             done.append(found)
             break
@@ -316,9 +320,11 @@ def negatives_of(
         n = per.count()
         if not n:
             break
-        with_ends = anchors.join(per, anchors["r"] == per["a"]).select("r", "id", "label", "vec", "ends")
-        pairs = met(blocks, _blocks_of(with_ends, order, n), n, False)
+        with_ends = anchors.join(per.hint("merge"), anchors["r"] == per["a"]).select("r", "id", "label", "vec", "ends")
+        own = _blocks_of(with_ends, order, n)
+        pairs = met(blocks, own, n, False)
         found = materialise(best_negatives(pairs, places, most), "negatives")
+        drop_table(own)
         if level is None:
             done.append(found)
             break
