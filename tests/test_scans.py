@@ -93,6 +93,23 @@ def test_expanding_quantile(spark, seconds, buckets, q, least):
         assert np.allclose(got, want, rtol=1e-12, equal_nan=True)
 
 
+def test_chunks_of_the_quantile_are_bounded(spark):
+    """However many rows share a span of time, or an instant, no chunk has more than it may."""
+    rng = np.random.default_rng(4)
+    n = 900
+    x = np.round(rng.normal(0, 1, n), 1)
+    rows = [("AB"[i % 3 == 0], int(i // 300 * 1000), i, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "pair string, ts long, id long, x double")
+    order = ["ts", "id"]
+    cut = order_stats.chunked(df, ["pair"], order, 1e6, 64)
+    sizes = [r["count"] for r in cut.groupBy("pair", "chunk_").count().collect()]
+    assert sum(sizes) == n and max(sizes) == 64 and len(sizes) == -(-300 // 64) + -(-600 // 64)
+    assert order_stats.chunked(df, ["pair"], order, 1e6, n).select("chunk_").distinct().count() == 1
+    got = order_stats.expanding_quantile(df, "x", 0.8, ["pair"], order, 5, "q", 1e6, 16, rows=64).orderBy("id").toPandas()
+    want = got.groupby("pair")["x"].transform(lambda v: v.expanding(min_periods=5).quantile(0.8))
+    assert np.allclose(got["q"], want, rtol=1e-12, equal_nan=True)
+
+
 def test_a_chunk_gets_what_is_near_the_place(spark):
     """Of a long past a chunk is sent some rows, not all."""
     before, own, q = 100_000, 100, 0.8

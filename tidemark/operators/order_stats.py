@@ -1,7 +1,8 @@
 """Exact quantiles of everything so far, on order statistics that merge.
 
-A series is cut into chunks of time (``folds.with_chunk``) and its values into buckets, by
-bounds that the chunks' own quantiles give.  Per chunk and bucket a cell holds the
+A series is cut into chunks of time (``folds.with_chunk``), or of rows by number where the
+clock is dense, and its values into buckets, by bounds that the chunks' own quantiles give.
+Per chunk and bucket a cell holds the
 distinct values and how often they occur: counts indexed by rank, which add up over
 chunks.  Within a chunk of n rows the order statistic sought moves by n ranks at most, so a
 chunk needs of all rows before it only their number below and the cells around that place,
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.folds import CHUNK_SECONDS, sorted_rows, with_chunk
+from tidemark.operators.numbering import numbered
 from tidemark.sources.tables import written
 
 #: Quantiles that a chunk gives for the bounds, and buckets of a series.
 SAMPLES, BUCKETS = 64, 1024
+#: Rows that a chunk may have.
+CHUNK_ROWS = 50_000
 
 
 def bounds_of(samples: list[np.ndarray], counts: np.ndarray, buckets: int) -> np.ndarray:
@@ -131,6 +135,18 @@ def quantiles(x: np.ndarray, q: float, least: int, before: int, below: int, valu
     return out
 
 
+def chunked(df: DataFrame, keys: list[str], order: str | list[str], seconds: float, rows: int) -> DataFrame:
+    """``df`` with ``chunk_``, written.  Chunks are spans of time; if any holds over ``rows``
+    rows, the rows of each series are numbered in order and cut by their numbers, so that
+    a chunk is bounded however many rows share a span or an instant."""
+    at = written(with_chunk(df, order, seconds), "quantile-rows")
+    most = at.groupBy(*keys, "chunk_").count().agg(F.max("count")).first()[0]
+    if (most or 0) <= rows:
+        return at
+    placed = numbered(at.drop("chunk_"), keys, [order] if isinstance(order, str) else list(order), "chunk_")
+    return written(placed.withColumn("chunk_", F.floor(F.col("chunk_") / rows)), "quantile-rows")
+
+
 def expanding_quantile(
     df: DataFrame,
     col: str,
@@ -141,11 +157,12 @@ def expanding_quantile(
     name: str = "quantile",
     seconds: float = CHUNK_SECONDS,
     buckets: int = BUCKETS,
+    rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Adds the exact, linearly interpolated quantile of all values so far, null below
     ``least`` of them.  Rows without a value get that of the values before."""
     by = [*keys, "chunk_"]
-    at = written(with_chunk(df, order, seconds), "quantile-rows")
+    at = chunked(df, keys, order, seconds, rows)
     fields = [at.schema[k] for k in by]
     more = lambda ddl: T.StructType([*fields, *T.StructType.fromDDL(ddl)])
 
